@@ -1,6 +1,64 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing, packing."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and returns a DataFrame; run()
+writes each result as Parquet in the shared folder and reads it again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taxrecon.llm import language, line_dedup, mixing, near_dedup, packing
+from taxrecon.llm.common import table, written
+from taxrecon.llm.tokens import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text in any language (no letter, or null) go; a null lang becomes the prediction."""
+    found = language.identify(docs.select(*COLUMNS), docs)
+    return found.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated three-line windows go from the texts, and with them documents of which nothing is left."""
+    cleaned = line_dedup.line_dedup(docs.select(*COLUMNS))
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
+    return cleaned.filter(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest doc_id stays, once. Documents without
+    a doc_id stay, as nothing tells them apart."""
+    classes = near_dedup.jaccard_classes(docs)
+    keep = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("k")).distinct()
+    named = docs.select(*COLUMNS).join(keep, F.col("doc_id") == F.col("k")).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, rounded: not at all, once, or up to three times."""
+    docs = docs.select(*COLUMNS)
+    times = mixing.mixed(docs).groupBy(F.col("doc_id").alias("k"), F.col("size").alias("s")).agg(F.max(F.expr("if(size = 0, 0, (2 * taken + size) div (2 * size))")).alias("times"))
+    joined = docs.withColumn("size", mixing.words(F.col("text"))).join(times, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("size") == F.col("s")))
+    return joined.filter("times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences with their token ids."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("mix_sources", mix), ("pack", pack)]
+
+#: SQL has neither suffix automata nor the tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

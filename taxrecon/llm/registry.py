@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import exact_dedup, line_dedup, mixing, packing, tokens
+from . import exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, sentence_dedup, tokens, topk_search
 
 QUERIES: dict[str, Callable] = {
     "op1_pack_power_of_two": packing.op1_pack_power_of_two,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_jaccard_join": near_dedup.op5_jaccard_join,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_language_id": language.op7_language_id,
+    "op8_extract_html": html_extract.op8_extract_html,
+    "op9_sentence_dedup": sentence_dedup.op9_sentence_dedup,
+    "op10_top_k_search": topk_search.op10_top_k_search,
+    "pipeline": corpus_pipeline.run,
 }
 
+#: The others have no SQL: they depend on a tokenizer, trained automata, hash functions or page parsing.
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
+    "op10_top_k_search": topk_search.OP10_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
