@@ -12,26 +12,26 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, table
+from .tokens import balanced
 
 #: Parameters of the bounded training sample: about so many documents and at most so many characters per
-#: language; words remembered per task; longest remembered word.
-TRAIN_DOCS, TRAIN_CHARS, CACHE_WORDS, WORD_CHARS = 300, 60_000, 250_000, 64
+#: language, and characters over all languages; words remembered per task, characters of text handled
+#: together, longest word that is parsed in step with others.
+TRAIN_DOCS, TRAIN_CHARS, ALL_CHARS, CACHE_WORDS, BATCH_CHARS, WORD_CHARS = 300, 60_000, 480_000, 300_000, 1 << 20, 256
 _LETTER = re.compile(r"[^\W\d_]")
-_SHIFT = 21
-#: Bits per language in a packed sum of phrase counts.
-_BITS = 48
 
 
-def automaton(text: str) -> dict[int, int]:
-    """Transitions of text's suffix automaton: (state << 21 | code point) to state; 0 is the start."""
-    nexts: list[dict[int, int]] = [{}]
+def automaton(text: str) -> list[dict[str, int]]:
+    """Transitions of text's suffix automaton, by state; 0 is the start."""
+    nexts: list[dict[str, int]] = [{}]
     length, link, last = [0], [-1], 0
-    for c in map(ord, text):
+    for c in text:
         cur = len(nexts)
         nexts.append({}), length.append(length[last] + 1), link.append(0)
         p = last
@@ -50,17 +50,19 @@ def automaton(text: str) -> dict[int, int]:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return {s << _SHIFT | c: t for s, d in enumerate(nexts) for c, t in d.items()}
+    return nexts
 
 
-def phrases(text: str, moves: dict[int, int]) -> int:
-    """Phrases of the greedy parse of text; a character that the automaton lacks is a phrase."""
+def phrases(text: str, moves: list[dict[str, int]]) -> int:
+    """Phrases of the greedy parse of text, each the longest match from where the last one ended; a
+    character that the automaton lacks ends a phrase."""
     n = state = 0
-    for c in map(ord, text):
-        state = moves.get(state << _SHIFT | c, 0)
-        if not state:
+    for c in text:
+        if c in moves[state]:
+            state = moves[state][c]
+        else:
             n += 1
-            state = moves.get(c, 0)
+            state = moves[0].get(c, 0)
     return n + 1 if text else n
 
 
@@ -79,38 +81,111 @@ def training_text(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int =
 
 
 class Parser:
-    """Phrase counts under all languages at once, packed in one integer per word."""
+    """Phrase counts of words under all languages. Words are parsed many at a time: one step takes the next
+    character of each through the automata's tables."""
 
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
-        self.moves = [automaton(training[x]) for x in self.langs]
-        self.cost = [math.log2(max(2, len(training[x]))) for x in self.langs]
+        limit = ALL_CHARS // max(1, len(training))
+        texts = [training[x][:limit] for x in self.langs]
+        self.cost = np.array([math.log2(max(2, len(t))) for t in texts])
+        letters = sorted(set("".join(texts)))
+        #: By code point below 0x10000, the column of a letter; 0 for those that no training text has.
+        self.column = np.zeros(0x10000, np.int32)
+        at = {c: i + 1 for i, c in enumerate(letters) if 0 < ord(c) < 0x10000}
+        for c, i in at.items():
+            self.column[ord(c)] = i
+        self.tables = []
+        for t in texts:
+            moves = automaton(t)
+            table_ = np.zeros((len(moves), len(letters) + 1), np.int32)
+            for state, d in enumerate(moves):
+                for c, to in d.items():
+                    table_[state, at.get(c, 0)] = to
+            table_[:, 0] = 0
+            self.tables.append(table_)
+        self._forget()
+
+    def _forget(self) -> None:
         self.seen: dict[str, int] = {}
-
-    def packed(self, word: str) -> int:
-        text = f" {word} "
-        return sum(phrases(text, m) << _BITS * i for i, m in enumerate(self.moves))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its lead over the second (0 none, towards 1 all); ties go to the first label."""
-        if not text or not _LETTER.search(text) or not self.langs:
-            return "und", 0.0
-        words = text.lower().split()
-        new = set(words) - self.seen.keys()
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen.clear()
-            new = set(words)
-        long = {w for w in new if len(w) > WORD_CHARS}
-        for w in new - long if long else new:
-            self.seen[w] = self.packed(w)
-        if long:
-            total = sum(self.packed(w) if w in long else self.seen[w] for w in words)
-        else:
-            total = sum(map(self.seen.__getitem__, words))
-        counts = [total >> _BITS * i & (1 << _BITS) - 1 for i in range(len(self.langs))]
-        bits = sorted((n * c, i) for i, (n, c) in enumerate(zip(counts, self.cost, strict=True)))
-        second = bits[1][0] if len(bits) > 1 else bits[0][0] * 2
-        return self.langs[bits[0][1]], 1.0 - bits[0][0] / second if second else 0.0
+        self.counts = np.zeros((0, len(self.langs)), np.int64)
+
+    def _columns(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.column[np.where(points < 0x10000, points, 0)]
+
+    def parse(self, words: list[str]) -> np.ndarray:
+        """Phrase counts (words x languages) of words, each between spaces."""
+        size = np.array([len(w) + 2 for w in words])
+        order = np.argsort(-size, kind="stable")
+        cols = self._columns("".join(f" {words[i]} " for i in order.tolist()))
+        size = size[order]
+        start = np.cumsum(size) - size
+        # How many words, the longest first, have a character at each place.
+        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right") if len(size) else []
+        out = np.ones((len(words), len(self.langs)), np.int64)
+        for k, table_ in enumerate(self.tables):
+            state, n = np.zeros(len(words), np.int32), np.ones(len(words), np.int64)
+            for step, m in enumerate(alive):
+                c = cols[start[:m] + step]
+                to = table_[state[:m], c]
+                stuck = to == 0
+                n[:m] += stuck
+                state[:m] = np.where(stuck, table_[0, c], to)
+            out[order, k] = n
+        return out
+
+    def _parse_long(self, word: str) -> np.ndarray:
+        cols = self._columns(f" {word} ").tolist()
+        out = []
+        for table_ in self.tables:
+            n, state = 1, 0
+            for c in cols:
+                to = table_.item(state, c)
+                if not to:
+                    n += 1
+                    to = table_.item(0, c)
+                state = to
+            out.append(n)
+        return np.array(out, np.int64)
+
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Phrases (texts x languages) of whole texts."""
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        for a, b in balanced([len(t) for t in texts], BATCH_CHARS):
+            parts = [t.lower().split() for t in texts[a:b]]
+            known: set[str] = set()
+            for p in parts:
+                known.update(p)
+            long = {w: self._parse_long(w) for w in known if len(w) > WORD_CHARS}
+            if len(self.seen) + len(known) > CACHE_WORDS:
+                self._forget()
+            new = [w for w in known if w not in self.seen and w not in long]
+            if new:
+                self.seen.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
+                self.counts = np.concatenate([self.counts, self.parse(new)])
+            for i, p in enumerate(parts):
+                if long:
+                    out[a + i] += sum((long[w] for w in p if w in long), np.zeros(len(self.langs), np.int64))
+                    p = [w for w in p if w not in long]
+                rows = np.fromiter(map(self.seen.__getitem__, p), np.int64, len(p))
+                out[a + i] += self.counts[rows].sum(axis=0)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and its lead over the second (0 none, towards 1 all); ties go to the
+        first label. und and 0 for null, for no letter, and where nothing was learned."""
+        fit = [bool(t) and bool(self.langs) and _LETTER.search(t) is not None for t in texts]
+        bits = self.totals([t if f else "" for t, f in zip(texts, fit, strict=True)]) * self.cost
+        out = []
+        for f, row in zip(fit, bits, strict=True):
+            if not f:
+                out.append(("und", 0.0))
+                continue
+            best = int(row.argmin())
+            rest = np.delete(row, best)
+            out.append((self.langs[best], float(1 - row[best] / rest.min()) if len(rest) else 0.5))
+        return out
 
 
 _parsers: dict[int, Parser] = {}
@@ -127,7 +202,7 @@ def predicted(text: Column, training) -> Column:
             _parsers.clear()
             _parsers[key] = Parser(data)
         for s in batches:
-            yield pd.DataFrame([_parsers[key].predict(t) for t in s], columns=["lang_pred", "score"])
+            yield pd.DataFrame(_parsers[key].predict([None if t is None or t != t else t for t in s]), columns=["lang_pred", "score"])
 
     return run(text)
 
