@@ -8,9 +8,10 @@ reaches over such a place, so the ids are those of the whole text.
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,20 @@ _SAFE = re.compile(r"(?<=\S) ")
 #: Python counts these as white space, the tokenizers don't.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Parameters: slices of long texts, texts handled together, chunks remembered, longest remembered chunk.
-SLICE_CHARS, BATCH_CHARS, CACHE_CHUNKS, CHUNK_CHARS = 1 << 16, 1 << 20, 250_000, 64
+SLICE_CHARS, BATCH_CHARS, CACHE_CHUNKS, CHUNK_CHARS = 1 << 16, 1 << 20, 500_000, 64
+_MARKS = ".,;:!?"
+#: Precomposed letters that every normaliser here leaves alone but for their case.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies' letters: printable bytes stand for themselves, the others follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
+
+
+_BYTES = _byte_letters()
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,16 +93,42 @@ class ChunkEncoder:
             return _CHUNK.findall(text)
         return None if any(c in text for c in _ODD) else text.split()
 
+    def _core(self, chunk: str) -> str:
+        """chunk without the marks at its end, where these start a pre-token of their own."""
+        core = chunk.rstrip(_MARKS)
+        end = core[-1:]
+        if not end.isascii():  # normalised or folded, a letter can end in a combining mark
+            end = unicodedata.normalize("NFC", end.lower())[-1:]
+        if len(core) == len(chunk) or not end.isalnum():
+            core = chunk
+        # The tokenizer that drops white space also folds case.
+        return core.lower() if not self.keep_space and _LATIN.fullmatch(core) else core
+
     def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.seen.keys())
-        if len(self.seen) + len(new) > CACHE_CHUNKS:
-            self.seen.clear()
-            new = list(chunks)
-        for a, b in balanced([len(c) for c in new]):
-            part = new[a:b]
+        """Results for chunks. A full memory keeps what these chunks use, so frequent words stay."""
+        seen = self.seen
+        if len(seen) + len(chunks) > CACHE_CHUNKS:
+            self.seen = seen = {c: seen[c] for c in chunks if c in seen}
+        cores = {c: self._core(c) for c in chunks if c not in seen}
+        need = [c for c in set(cores.values()) | {c[len(x) :] for c, x in cores.items()} if c and c not in seen]
+        # A run of these letters is one pre-token, so the library's model takes it as it is.
+        tokenize, rest = self.tok.model.tokenize, []
+        for c in need:
+            word = c[1:] if self.keep_space and c[0] == " " else c
+            if _LATIN.fullmatch(word):
+                seen[c] = self.measure([t.id for t in tokenize(c.encode().decode("latin-1").translate(_BYTES))])
+            else:
+                rest.append(c)
+        for a, b in balanced([len(c) for c in rest]):
+            part = rest[a:b]
             for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 # A chunk that ends in unusual white space can merge with the next one.
-                self.seen[c] = None if self.keep_space and len(c.rstrip()) < len(c.rstrip(" \t\n\r\x0b\x0c")) else self.measure(e.ids)
+                seen[c] = None if self._odd(c) else self.measure(e.ids)
+        for c, x in cores.items():
+            if len(x) < len(c):
+                seen[c] = seen[x] + seen[c[len(x) :]]
+            elif x != c:
+                seen[c] = seen[x]
 
     def batch(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
@@ -120,7 +160,7 @@ _encoders: dict[tuple, ChunkEncoder] = {}
 
 
 def _ids_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str, keep_space: bool, ids: bool) -> ChunkEncoder:
