@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, hash128, table
+from .common import fresh, hash128, table, written
 
 
 def _windows(lines: Column, width: int) -> Column:
     """Spans of width consecutive non-blank lines: their first and last place and two hashes of the lines."""
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")).alias("t"))), lambda s: s["t"] != "")
+    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(" \t\r\x0b\x0c")).alias("t"))), lambda s: s["t"] != "")
     hashed = F.transform(full, lambda s: F.struct(s["i"].alias("i"), *(h.alias(n) for n, h in zip("ab", hash128(s["t"]), strict=True))))
 
     n = F.size(full)
@@ -34,7 +34,7 @@ def line_dedup(docs: DataFrame, width: int = 3, text: str = "text", key: str = "
     whose key is null. Rows equal in key and text count as one document and keep the same lines."""
     n_lines, n_removed, h, lines, spans, gone = (fresh(docs, c) for c in ("n_lines", "n_removed", "__h", "__lines", "__spans", "__gone"))
     source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.split(F.col(text), "\n", -1).alias("lines")).filter("k is not null and size(lines) >= %d" % width)
-    occurs = source.select("k", "h", F.explode(_windows(F.col("lines"), width)).alias("s")).select("k", "h", "s.*")
+    occurs = written(source.select("k", "h", F.explode(_windows(F.col("lines"), width)).alias("s")).select("k", "h", "s.*"))
     place = F.struct("k", "h", "first")
     repeated = occurs.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("g")).filter("f <> g").select("h1", "h2", "f")
     later = occurs.join(repeated, ["h1", "h2"]).filter(place > F.col("f")).select("k", "h", "first", "last").distinct()
@@ -65,7 +65,7 @@ WITH l AS (
   SELECT d.doc_id, d.text, u.i - 1 AS i, string_split(d.text, chr(10))[u.i] AS line
   FROM documents d, unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS u(i)),
 f AS (
-  SELECT *, trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS t FROM l),
+  SELECT *, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM l),
 w AS (
   SELECT doc_id, i AS first, lead(i, 2) OVER p AS last,
          t || chr(10) || lead(t, 1) OVER p || chr(10) || lead(t, 2) OVER p AS body
