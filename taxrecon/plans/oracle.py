@@ -214,6 +214,32 @@ _SELECTS: dict[str, str] = {
     "stream_invoice_alerts": "SELECT invoice_id, CASE WHEN presence_status = 'Matched' THEN 'success' WHEN total_tax > 5000000 THEN 'critical' ELSE 'warning' END AS type, CASE WHEN presence_status <> 'Matched' THEN 'Mismatch: ' || invoice_id || ' from ' || vendor_name || ' — ' || presence_status || ' (₹' || format('{:,}', total_tax // 100) || ' tax)' ELSE 'Invoice ' || invoice_id || ' from ' || vendor_name || ' matched' END AS message, CASE WHEN presence_status = 'Matched' THEN '🟢' WHEN total_tax > 5000000 THEN '🔴' ELSE '🟡' END AS icon FROM posted WHERE n > 2",
 }
 
+
+
+def _pagerank(rounds: int = 10, damping: float = 0.85) -> str:
+    ctes = [
+        "pn AS MATERIALIZED (SELECT id FROM nodes WHERE \"group\" IN ('vendor', 'invoice', 'gstr'))",
+        "pe AS MATERIALIZED (SELECT source, target FROM edges WHERE type IN ('issued', 'reported'))",
+        "po AS MATERIALIZED (SELECT source, count(*) AS k FROM pe GROUP BY source)",
+        "pc AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM pn)",
+        "r0 AS MATERIALIZED (SELECT id, 1 / n AS rank FROM pn, pc)",
+    ]
+    for i in range(1, rounds + 1):
+        given = f"SELECT target, sum(rank / k) AS got FROM pe JOIN po ON po.source = pe.source JOIN r{i - 1} ON id = pe.source GROUP BY target"
+        lost = f"SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT source FROM po)"
+        ctes.append(f"r{i} AS MATERIALIZED (SELECT pn.id, CAST({1 - damping!r} AS DOUBLE) / n + CAST({damping} AS DOUBLE) * (coalesce(got, 0) + lost / n) AS rank FROM pn LEFT JOIN ({given}) ON target = pn.id, pc, ({lost}))")
+    return BASE + ", " + ", ".join(ctes) + f" SELECT id, floor(rank * 10000000000 + 0.5) / 10000000000 AS rank FROM r{rounds}"
+
+
+def _communities() -> str:
+    ctes = [
+        "member AS (SELECT DISTINCT vendor_id, hsn || '|' || period AS g FROM i)",
+        "linked AS (SELECT DISTINCT x.vendor_id AS a, y.vendor_id AS b FROM member x JOIN member y ON x.g = y.g)",
+        "reach AS (SELECT a, b FROM linked UNION SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a)",
+    ]
+    return BASE.replace("WITH lines", "WITH RECURSIVE lines") + ", " + ", ".join(ctes) + " SELECT a AS vendor_id, min(b) AS community FROM reach GROUP BY a"
+
+
 #: Those that don't start from the domain tables.
 _ALONE: dict[str, str] = {
     "vendor_threshold_alerts": "WITH r AS (SELECT user_id, event_id, ts, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events WHERE event_type = 'error'), l AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM r) SELECT user_id, event_id, running FROM l WHERE running > 500000 AND before <= 500000",
@@ -221,4 +247,4 @@ _ALONE: dict[str, str] = {
     "stream_reconcile_outer": "SELECT p.event_id AS purchase_id, p.user_id, q.event_id AS signup_id, CASE WHEN q.event_id IS NULL THEN 'Missing in GSTR-1' ELSE 'Matched' END AS status FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') q ON p.user_id = q.user_id AND q.ts >= p.ts AND q.ts <= p.ts + INTERVAL 1 DAY",
 }
 
-ORACLES = {**{k: BASE + s for k, s in _SELECTS.items()}, **_ALONE}
+ORACLES = {**{k: BASE + s for k, s in _SELECTS.items()}, **_ALONE, "pagerank": _pagerank(), "communities": _communities()}

@@ -212,7 +212,8 @@ def forest_feature_importance(d: Domain) -> DataFrame:
 @query("pagerank")
 def pagerank(d: Domain) -> DataFrame:
     nodes, edges = graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)
-    return graph.pagerank(nodes.filter("group in ('vendor', 'invoice', 'gstr')"), edges.filter("type in ('issued', 'reported')"))
+    ranks = graph.pagerank(nodes.filter("group in ('vendor', 'invoice', 'gstr')"), edges.filter("type in ('issued', 'reported')"))
+    return ranks.select("id", scoring.round_half_up(F.col("rank"), 10).alias("rank"))
 
 
 @query("communities")

@@ -5,7 +5,7 @@ import pytest
 from taxrecon.plans import oracle
 from taxrecon.plans.queries import QUERIES
 
-ROWS_ONLY = {"vendor_risk_forest", "forest_feature_importance", "pagerank", "communities"}
+ROWS_ONLY = {"vendor_risk_forest", "forest_feature_importance"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
@@ -34,4 +34,4 @@ def test_pagerank_sums_to_one(spark, sf_dir):
     from pyspark.sql import functions as F
 
     total = QUERIES["pagerank"](spark, sf_dir).agg(F.sum("rank")).first()[0]
-    assert total == pytest.approx(1.0)
+    assert total == pytest.approx(1.0, abs=1e-5)
