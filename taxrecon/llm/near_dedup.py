@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ def ngrams(text: str | None, n: int = N) -> np.ndarray:
     words = (text or "").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    new = set(words) - _words.keys()
+    new = [w for w in set(words) if w not in _words]
     if len(_words) + len(new) > CACHE_WORDS:
         _words.clear()
-        new = set(words)
+        new = list(set(words))
     for w in new:
         _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -60,6 +61,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache
 def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20_240_607)
     return r.integers(1, _MASK, count, np.uint64) | np.uint64(1), r.integers(0, _MASK, count, np.uint64)
