@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxrecon.llm import language, line_dedup, mixing, near_dedup, packing
-from taxrecon.llm.common import table, written
+from taxrecon.llm.common import importable, table, written
 from taxrecon.llm.tokens import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,6 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text in any language (no letter, or null) go; a null lang becomes the prediction."""
+    importable(spark)
     found = language.identify(docs.select(*COLUMNS), docs)
     return found.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -32,6 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id stays, once. Documents without
     a doc_id stay, as nothing tells them apart."""
+    importable(spark)
     classes = near_dedup.jaccard_classes(docs)
     keep = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("k")).distinct()
     named = docs.select(*COLUMNS).join(keep, F.col("doc_id") == F.col("k")).dropDuplicates(["doc_id"]).select(*COLUMNS)
@@ -48,6 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences with their token ids."""
+    importable(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

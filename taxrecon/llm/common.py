@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,20 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+def importable(spark: SparkSession) -> None:
+    """Ships this package to the Python workers, once per session, unless their path has it already."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any("taxrecon-" in x for x in sc._python_includes):
+        return
+    path = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"taxrecon-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in (root / "taxrecon").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
