@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.storage import checkpointed
 from .reconcile import mismatched
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def nodes(vendors: DataFrame, invoices: DataFrame) -> DataFrame:
     """id, label, group, flagged of vendors, the two returns of each period, invoices and their documents."""
     name = F.lit(None).cast("boolean").alias("flagged")
@@ -81,30 +74,30 @@ def top_nodes(nodes_: DataFrame, edges_: DataFrame, n: int = 200) -> DataFrame:
 def pagerank(nodes_: DataFrame, edges_: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 4) -> DataFrame:
     """id, rank; ranks sum to 1, nodes without out-edges spread theirs evenly. Lineage is cut every few
     rounds. Hubs are summed by partial aggregation before the shuffle."""
-    ids = _cut(nodes_.select("id").distinct())
+    ids = checkpointed(nodes_.select("id").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     out = edges_.select(F.col("source").alias("id"), "target")
-    links = _cut(out.join(out.groupBy("id").agg(F.count("*").alias("out")), "id"))
+    links = checkpointed(out.join(out.groupBy("id").agg(F.count("*").alias("out")), "id"))
     sources = links.select("id").distinct()
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
         given = links.join(ranks, "id").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         lost = F.broadcast(ranks.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
         ranks = ids.join(given, "id", "left").crossJoin(lost).select("id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        ranks = _cut(ranks) if i % every == 0 else ranks
+        ranks = checkpointed(ranks) if i % every == 0 else ranks
     return ranks
 
 
 def communities(invoices: DataFrame, rounds: int = 50) -> DataFrame:
     """vendor_id, community: the smallest vendor reached through shared HSN codes of a period. A vendor and
     a code group exchange their smallest label each round, so no vendor pairs are made."""
-    member = _cut(invoices.filter("vendor_id is not null").select("vendor_id", F.concat_ws("|", "hsn", "period").alias("g")).distinct())
+    member = checkpointed(invoices.filter("vendor_id is not null").select("vendor_id", F.concat_ws("|", "hsn", "period").alias("g")).distinct())
     labels = member.select("vendor_id").distinct().withColumn("community", F.col("vendor_id"))
     for _ in range(rounds):
         by_group = member.join(labels, "vendor_id").groupBy("g").agg(F.min("community").alias("low"))
-        new = _cut(member.join(by_group, "g").groupBy("vendor_id").agg(F.min("low").alias("community")))
+        new = checkpointed(member.join(by_group, "g").groupBy("vendor_id").agg(F.min("low").alias("community")))
         moved = new.join(labels.withColumnRenamed("community", "was"), "vendor_id").filter("community <> was").limit(1).count()
         labels = new
         if not moved:

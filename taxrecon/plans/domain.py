@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import reconcile, vendors
+from ..sources.storage import written
 
 
 def _key_text(prefix: str) -> Column:
@@ -55,7 +56,8 @@ class Domain:
             "late": F.when(s10 == 9, k >= 30).otherwise(k.between(26, 33)), "due_date": text.due_date(F.col("invoice_date")),
         })
         off_days = F.when(F.col("late"), F.when(s10 == 9, 25 + F.col("sk") % 6).otherwise(F.col("sk") % 25 + 1)).otherwise(-(k % 5))
-        return b.withColumn("filed_date", F.date_add("due_date", off_days.cast("int")))
+        # Both books and all documents come from this table, so it is computed once per query.
+        return written(b.withColumn("filed_date", F.date_add("due_date", off_days.cast("int"))).drop("region", "buyer_region", "mpk", "s10"))
 
     @cached_property
     def gstr1(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import explain, graph, kpis, model, reconcile, vendors
-from ..sources import returns, sinks
+from ..sources import returns, sinks, storage
 from ..streaming import jobs
 from .domain import Domain
 
@@ -194,7 +194,7 @@ def _trained(d: Domain):
     """Features with centrality and communities, labelled, held for the passes of the training."""
     nodes, edges = graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)
     rank = graph.pagerank(nodes.filter("group in ('vendor', 'invoice', 'gstr')"), edges.filter("type in ('issued', 'reported')"), rounds=5).filter("id like 'v-%'").select(F.substring("id", 3, 100).alias("vendor_id"), "rank")
-    rows = graph._cut(model.labelled(model.features(d.vendors, d.invoices, rank, graph.communities(d.invoices))))
+    rows = storage.checkpointed(model.labelled(model.features(d.vendors, d.invoices, rank, graph.communities(d.invoices))))
     return rows, model.train(model.split(rows)[0], trees=50)
 
 

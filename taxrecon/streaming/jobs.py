@@ -6,7 +6,6 @@ signup a line of the suppliers', error a mismatch.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions import scoring
 from ..operators import explain
 from ..sources import returns, sinks
+from ..sources.storage import shared_dir
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 #: Later than any event: closes the last windows. Rows of it are filtered out again.
@@ -24,10 +24,7 @@ END = "9000-01-01 00:00:00"
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the session."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", end: str | None = None) -> DataFrame:
