@@ -28,6 +28,8 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Parameters: slices of long texts, texts handled together, chunks remembered, longest remembered chunk.
 SLICE_CHARS, BATCH_CHARS, CACHE_CHUNKS, CHUNK_CHARS = 1 << 16, 1 << 20, 500_000, 64
 _MARKS = ".,;:!?"
+#: A mark between a letter and white space is a pre-token of its own.
+_MARK = re.compile(r"(?<=[A-Za-z])[.,](?=[ \n])")
 #: Precomposed letters that every normaliser here leaves alone but for their case.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
@@ -91,7 +93,11 @@ class ChunkEncoder:
         """None: only the library itself can tell where this text may be cut."""
         if self.keep_space:
             return _CHUNK.findall(text)
-        return None if any(c in text for c in _ODD) else text.split()
+        if any(c in text for c in _ODD):
+            return None
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
+        return _MARK.sub(r" \g<0>", text).split()
 
     def _core(self, chunk: str) -> str:
         """chunk without the marks at its end, where these start a pre-token of their own."""
@@ -109,8 +115,12 @@ class ChunkEncoder:
         seen = self.seen
         if len(seen) + len(chunks) > CACHE_CHUNKS:
             self.seen = seen = {c: seen[c] for c in chunks if c in seen}
-        cores = {c: self._core(c) for c in chunks if c not in seen}
-        need = [c for c in set(cores.values()) | {c[len(x) :] for c, x in cores.items()} if c and c not in seen]
+        new = [c for c in chunks if c not in seen]
+        cores = {c: x for c in new if (x := self._core(c)) != c}
+        need = [c for c in new if c not in cores]
+        need += {x for x in cores.values() if x not in seen} - set(need)
+        tails = {c[len(x) :] for c, x in cores.items()}
+        need += [t for t in tails if t and t not in seen and t not in chunks]
         # A run of these letters is one pre-token, so the library's model takes it as it is.
         tokenize, rest = self.tok.model.tokenize, []
         for c in need:
@@ -125,10 +135,7 @@ class ChunkEncoder:
                 # A chunk that ends in unusual white space can merge with the next one.
                 seen[c] = None if self._odd(c) else self.measure(e.ids)
         for c, x in cores.items():
-            if len(x) < len(c):
-                seen[c] = seen[x] + seen[c[len(x) :]]
-            elif x != c:
-                seen[c] = seen[x]
+            seen[c] = seen[x] + seen[c[len(x) :]] if len(x) < len(c) else seen[x]
 
     def batch(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
