@@ -12,10 +12,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, table, written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -159,9 +159,9 @@ def _best(found: list[tuple[str, str, int]]) -> str | None:
     return min(rated, key=lambda p: (-rated[p], p)) if rated else None
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    """Lower-case host of a URL without port and user; '' where there is none."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def extract(page: str, path: str | None) -> str:
@@ -175,40 +175,45 @@ def extract(page: str, path: str | None) -> str:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the container path that wins on most pages of the host, then by score, then by name."""
-
-    @F.pandas_udf("host string, path string, score double")
-    def vote(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for urls, texts in batches:
-            rows = []
-            for url, text in zip(urls, texts, strict=True):
-                rated = scores(blocks(text or ""))
-                best = min(rated, key=lambda p: (-rated[p], p)) if rated else None
-                rows.append((_host(url), best, rated.get(best, 0.0)))
-            yield pd.DataFrame(rows, columns=["host", "path", "score"])
-
-    votes = pages.select(vote("url", "html").alias("v")).select("v.*").filter("path is not null")
+    """host, path, pages: the container path that wins on most pages of the host, then by score, then by
+    name; and on how many pages any path won."""
+
+    @F.pandas_udf("path string, score double")
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rated = [scores(blocks(t or "")) for t in texts]
+            best = [min(r, key=lambda p, r=r: (-r[p], p)) if r else None for r in rated]
+            yield pd.DataFrame({"path": pd.Series(best, dtype=object), "score": [r.get(p, 0.0) for r, p in zip(rated, best, strict=True)]})
+
+    votes = pages.select(host_of(F.col("url")).alias("host"), vote("html").alias("v")).select("host", "v.*").filter("path is not null")
     # Scores are summed as whole numbers, so that the order of rows can't matter.
     per_path = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("bigint")).alias("s"))
-    return per_path.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), F.col("path").alias("path"))).alias("w")).select("host", F.col("w.path").alias("path"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), F.col("path").alias("path"))).alias("w")
+    return per_path.groupBy("host").agg(best, F.sum("n").alias("pages")).select("host", F.col("w.path").alias("path"), "pages")
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, hot: int = 1000) -> DataFrame:
     """pages, every row and column kept, with text ('' if none) and n_chars (code points) added. Null html
-    is empty; null or hostless urls share the host ''. Repeated rows vote and are extracted one by one."""
-    host, path, text, n_chars, key = (fresh(pages, c) for c in ("__host", "__path", "text", "n_chars", "__key"))
+    is empty; null or hostless urls share the host ''. Repeated rows vote and are extracted one by one.
 
-    @F.pandas_udf("string")
-    def hosts(urls: pd.Series) -> pd.Series:
-        return urls.map(_host)
+    Hosts with more than one of hot pages, of which there are fewer than hot, are looked up by broadcast;
+    their pages are dealt out evenly, and only the others meet their winners by host."""
+    host, path, hot_path, text, n_chars, key, key2 = (fresh(pages, c) for c in ("__host", "__path", "__hot_path", "text", "n_chars", "__key", "__key2"))
 
     @F.pandas_udf("string")
     def again(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, paths in batches:
             yield pd.Series([extract(t or "", p) for t, p in zip(texts, paths, strict=True)], dtype=object)
 
-    winners = host_paths(pages).select(F.col("host").alias(key), F.col("path").alias(path))
-    joined = pages.withColumn(host, hosts("url")).join(winners, F.col(host) == F.col(key), "left")
+    winners = written(host_paths(pages))
+    limit = (winners.agg(F.sum("pages")).first()[0] or 0) / hot
+    frequent = winners.filter(F.col("pages") > limit).select(F.col("host").alias(key2), F.col("path").alias(hot_path))
+    named = pages.withColumn(host, host_of(F.col("url"))).join(F.broadcast(frequent), F.col(host) == F.col(key2), "left").drop(key2)
+    # No host has a NUL, so these keys match nothing.
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("url", "html"), F.lit(1 << 16)).cast("string"))
+    named = named.withColumn(host, F.when(F.col(hot_path).isNull(), F.col(host)).otherwise(spread))
+    rest = winners.select(F.col("host").alias(key), F.col("path").alias(path))
+    joined = named.join(rest, F.col(host) == F.col(key), "left").withColumn(path, F.coalesce(hot_path, path))
     return joined.withColumn(text, again("html", path)).withColumn(n_chars, F.length(text).cast("bigint")).select(*pages.columns, text, n_chars)
 
 
