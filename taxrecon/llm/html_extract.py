@@ -185,6 +185,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
             best = [min(r, key=lambda p, r=r: (-r[p], p)) if r else None for r in rated]
             yield pd.DataFrame({"path": pd.Series(best, dtype=object), "score": [r.get(p, 0.0) for r, p in zip(rated, best, strict=True)]})
 
+    # Else the filter is pushed below the function and every page is scored twice.
+    vote = vote.asNondeterministic()
     votes = pages.select(host_of(F.col("url")).alias("host"), vote("html").alias("v")).select("host", "v.*").filter("path is not null")
     # Scores are summed as whole numbers, so that the order of rows can't matter.
     per_path = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("bigint")).alias("s"))
