@@ -23,7 +23,7 @@ from .tokens import balanced
 #: Parameters of the bounded training sample: about so many documents and at most so many characters per
 #: language, and characters over all languages; words remembered per task, characters of text handled
 #: together, longest word that is parsed in step with others.
-TRAIN_DOCS, TRAIN_CHARS, ALL_CHARS, CACHE_WORDS, BATCH_CHARS, WORD_CHARS = 300, 60_000, 480_000, 300_000, 1 << 20, 256
+TRAIN_DOCS, TRAIN_CHARS, ALL_CHARS, CACHE_WORDS, BATCH_CHARS, WORD_CHARS = 300, 40_000, 320_000, 150_000, 1 << 19, 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -157,13 +157,15 @@ class Parser:
             known: set[str] = set()
             for p in parts:
                 known.update(p)
-            long = {w: self._parse_long(w) for w in known if len(w) > WORD_CHARS}
+            long = {w: self._parse_long(w) * (_LETTER.search(w) is not None) for w in known if len(w) > WORD_CHARS}
             if len(self.seen) + len(known) > CACHE_WORDS:
                 self._forget()
             new = [w for w in known if w not in self.seen and w not in long]
             if new:
                 self.seen.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
-                self.counts = np.concatenate([self.counts, self.parse(new)])
+                # Words without a letter say nothing of the language.
+                spoken = np.fromiter((_LETTER.search(w) is not None for w in new), bool, len(new))
+                self.counts = np.concatenate([self.counts, self.parse(new) * spoken[:, None]])
             for i, p in enumerate(parts):
                 if long:
                     out[a + i] += sum((long[w] for w in p if w in long), np.zeros(len(self.langs), np.int64))
@@ -204,7 +206,8 @@ def predicted(text: Column, training) -> Column:
         for s in batches:
             yield pd.DataFrame(_parsers[key].predict([None if t is None or t != t else t for t in s]), columns=["lang_pred", "score"])
 
-    return run(text)
+    # Else a filter on the result is pushed below it and every text is parsed twice.
+    return run.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, train: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> DataFrame:
