@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,17 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, free: Callable[[], None]) -> None:
+    """For Python workers, which outlive their tasks: what other operators remember there is freed, so that
+    the stages of a pipeline don't add up in memory."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    _held[owner] = free
+
+
 def importable(spark: SparkSession) -> None:
     """Ships this package to the Python workers, once per session, unless their path has it already."""
     root, sc = Path(__file__).resolve().parents[2], spark.sparkContext

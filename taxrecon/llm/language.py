@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import claim, fresh, table
 from .tokens import balanced
 
 #: Parameters of the bounded training sample: about so many documents and at most so many characters per
@@ -193,18 +193,24 @@ class Parser:
 _parsers: dict[int, Parser] = {}
 
 
+def _parser(training: dict[str, str]) -> Parser:
+    """The worker's parser; tasks of one model share it."""
+    claim("language", _parsers.clear)
+    key = hash(tuple(sorted(training.items())))
+    if key not in _parsers:
+        _parsers.clear()
+        _parsers[key] = Parser(training)
+    return _parsers[key]
+
+
 def predicted(text: Column, training) -> Column:
     """struct(lang_pred, score) of a text. training: a broadcast of what training_text() returned."""
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        data = training.value
-        key = hash(tuple(sorted(data.items())))
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(data)
+        parser = _parser(training.value)
         for s in batches:
-            yield pd.DataFrame(_parsers[key].predict([None if t is None or t != t else t for t in s]), columns=["lang_pred", "score"])
+            yield pd.DataFrame(parser.predict([None if t is None or t != t else t for t in s]), columns=["lang_pred", "score"])
 
     # Else a filter on the result is pushed below it and every text is parsed twice.
     return run.asNondeterministic()(text)

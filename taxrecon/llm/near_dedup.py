@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table, written
+from .common import claim, cut, partitions, table, written
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 4
 #: Parameters: classes in a block, words remembered per task.
-BLOCK, CACHE_WORDS = 256, 400_000
+BLOCK, CACHE_WORDS = 256, 250_000
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -34,6 +34,10 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
 _words: dict[str, int] = {}
 
 
+def _hold_words() -> None:
+    claim("words", _words.clear)
+
+
 def ngrams(text: str | None, n: int = N) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct n-grams of text's words (lower case, by white space). Fewer
     words than n are one n-gram; no words none."""
@@ -86,6 +90,7 @@ def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: i
     schema = pa.schema([("k", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_words()
         for b in batches:
             keys, hashes = [], []
             for t in b.column("t").to_pylist():
@@ -228,6 +233,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     schema = pa.schema([("k", pa.int64()), ("buckets", pa.list_(pa.int64())), ("grams", pa.binary())])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold_words()
         for b in batches:
             found = []
             for set_key, choice in zip(b.column("set_key").to_pylist(), b.column("t").to_pylist(), strict=True):

@@ -7,6 +7,7 @@ reaches over such a place, so the ids are those of the whole text.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import unicodedata
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import claim, table
 
 #: White space that the tokenizers' patterns and Python agree on.
 _A = r" \t\n\r\x0b\x0c"
@@ -115,14 +116,26 @@ class ChunkEncoder:
         seen = self.seen
         if len(seen) + len(chunks) > CACHE_CHUNKS:
             self.seen = seen = {c: seen[c] for c in chunks if c in seen}
-        new = [c for c in chunks if c not in seen]
+        tokenize, measure, new = self.tok.model.tokenize, self.measure, []
+        for c in chunks:
+            if c in seen:
+                continue
+            # A run of letters is one pre-token, so the library's model takes it as it is.
+            if self.keep_space:
+                word = c[1:] if c[0] == " " else c
+                if word.isalpha() and word.isascii():
+                    seen[c] = measure([t.id for t in tokenize(c if len(word) == len(c) else "\u0120" + word)])
+                    continue
+            elif c.isalpha() and c.isascii() and c.islower():
+                seen[c] = measure([t.id for t in tokenize(c)])
+                continue
+            new.append(c)
         cores = {c: x for c in new if (x := self._core(c)) != c}
         need = [c for c in new if c not in cores]
         need += {x for x in cores.values() if x not in seen} - set(need)
         tails = {c[len(x) :] for c, x in cores.items()}
         need += [t for t in tails if t and t not in seen and t not in chunks]
-        # A run of these letters is one pre-token, so the library's model takes it as it is.
-        tokenize, rest = self.tok.model.tokenize, []
+        rest = []
         for c in need:
             word = c[1:] if self.keep_space and c[0] == " " else c
             if _LATIN.fullmatch(word):
@@ -138,6 +151,16 @@ class ChunkEncoder:
             seen[c] = seen[x] + seen[c[len(x) :]] if len(x) < len(c) else seen[x]
 
     def batch(self, texts: list[str]) -> list:
+        """Results of texts, in order. The many small results hold no cycles, so collection rests meanwhile."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._batch(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _batch(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
         for a, b in balanced([len(t) for t in texts]):
             parts = [self.chunks(t) for t in texts[a:b]]
@@ -172,6 +195,7 @@ def _ids_bytes(ids: list[int]) -> bytes:
 
 def encoder(path: str, keep_space: bool, ids: bool) -> ChunkEncoder:
     """The worker's own encoder; loaded once however many batches come."""
+    claim("tokens", _encoders.clear)
     key = (path, keep_space, ids)
     if key not in _encoders:
         import os
