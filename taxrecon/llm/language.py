@@ -3,7 +3,9 @@
 Labelled text of each language becomes a suffix automaton. A text is parsed into the fewest phrases that
 occur in it: each phrase is the longest match from where the last one ended. Phrases don't cross white
 space, so a word's phrase count is parsed once per task and looked up afterwards. The language that needs
-the fewest phrases, each weighed by the log of its training length, wins.
+the fewest bits wins: a phrase costs the log of the longest training length, whatever the language, and a
+character that a language's text lacks the log of the alphabet besides. So a label with little text gains
+nothing from it.
 """
 
 from __future__ import annotations
@@ -68,28 +70,49 @@ def phrases(text: str, moves: list[dict[str, int]]) -> int:
 
 def training_text(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Lower-case words of a bounded sample per non-null lang. The sample goes by a hash of the row, with a
-    rate from the language's count; it reaches the driver, as its size is bounded by the parameters times
-    the number of labels."""
+    rate from the language's count, and each document gives a piece whose place goes by another; it reaches
+    the driver, as its size is bounded by the parameters times the number of labels."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # No document gives more than a hundredth of the sample, so that none sets the tone, unless the sample would
+    # stay short: the piece is the smallest of these with which the documents picked fill it twice.
+    sizes = [max(200, max_chars // 100) << i for i in range(8)]
+    held = [F.sum(F.least(F.length("text"), F.lit(x))).alias(f"held{i}") for i, x in enumerate(sizes)]
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), *held)
+    share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n"))
+    size = F.coalesce(*(F.when(F.col(f"held{i}") * share >= 2 * max_chars, x) for i, x in enumerate(sizes)), F.lit(sizes[-1]))
+    counts = counts.select("lang", "n", size.alias("size"))
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     picked = labelled.join(F.broadcast(counts), "lang").filter(unit < F.ceil(F.lit(float(max_docs * (1 << 30))) / F.col("n")))
-    # No document gives more than a hundredth of the sample, so that none sets the tone.
-    part = F.substring(F.regexp_replace(F.lower("text"), r"\s+", " "), 1, max(200, max_chars // 100))
-    texts = picked.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(unit.alias("u"), part.alias("t")))), lambda s: s["t"]), " ").alias("t"))
+    picked = picked.select("lang", "size", unit.alias("u"), F.xxhash64(F.lit(1), "doc_id", "text").alias("at"), F.regexp_replace(F.lower("text"), r"\s+", " ").alias("t"))
+    start = F.pmod(F.col("at"), F.greatest(F.lit(1), F.length("t") - F.col("size") + 1)).cast("int") + 1
+    # A piece begins with a whole word where words are short enough to tell.
+    piece = F.when(F.length("t") <= F.col("size"), F.col("t")).otherwise(F.regexp_replace(F.substring("t", start, F.col("size")), r"^\S{0,40} ", ""))
+    texts = picked.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", piece.alias("t")))), lambda s: s["t"]), " ").alias("t"))
     return {r["lang"]: (" " + " ".join(r["t"].split()) + " ")[:max_chars] for r in texts.orderBy("lang").collect()}
 
 
+def fitting(sizes: list[int], total: int) -> int:
+    """The largest common limit under which sizes add up to total at most; short ones leave the others theirs."""
+    limit = 0
+    for i, size in enumerate(sorted(sizes)):
+        limit = total // (len(sizes) - i)
+        if size > limit:
+            return limit
+        total -= size
+    return max(sizes, default=limit)
+
+
 class Parser:
     """Phrase counts of words under all languages. Words are parsed many at a time: one step takes the next
     character of each through the automata's tables."""
 
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
-        limit = ALL_CHARS // max(1, len(training))
+        limit = fitting([len(t) for t in training.values()], ALL_CHARS)
         texts = [training[x][:limit] for x in self.langs]
-        self.cost = np.array([math.log2(max(2, len(t))) for t in texts])
         letters = sorted(set("".join(texts)))
+        #: Bits of a phrase and, besides, of a character that a language lacks.
+        self.cost, self.alphabet = math.log2(max([2, *map(len, texts)])), math.log2(len(letters) + 2)
         #: By code point below 0x10000, the column of a letter; 0 for those that no training text has.
         self.column = np.zeros(0x10000, np.int32)
         at = {c: i + 1 for i, c in enumerate(letters) if 0 < ord(c) < 0x10000}
@@ -104,11 +127,14 @@ class Parser:
                     table_[state, at.get(c, 0)] = to
             table_[:, 0] = 0
             self.tables.append(table_)
+        #: By column, 1 for the languages that lack the letter.
+        self.lacking = np.stack([t[0] == 0 for t in self.tables], axis=1).astype(np.int64) if texts else np.zeros((1, 0), np.int64)
         self._forget()
 
     def _forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.counts = np.zeros((0, len(self.langs)), np.int64)
+        #: Phrases by language, then unknown characters by language, of the words seen.
+        self.counts = np.zeros((0, 2 * len(self.langs)), np.int64)
 
     def _columns(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -135,6 +161,13 @@ class Parser:
             out[order, k] = n
         return out
 
+    def lacks(self, words: list[str]) -> np.ndarray:
+        """Characters (words x languages) of words that a language's training text lacks."""
+        if not words:
+            return np.zeros((0, len(self.langs)), np.int64)
+        size = np.array([len(w) for w in words])
+        return np.add.reduceat(self.lacking[self._columns("".join(words))], np.cumsum(size) - size)
+
     def _parse_long(self, word: str) -> np.ndarray:
         cols = self._columns(f" {word} ").tolist()
         out = []
@@ -151,13 +184,17 @@ class Parser:
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """Phrases (texts x languages) of whole texts."""
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        return self._sums(texts)[:, : len(self.langs)]
+
+    def _sums(self, texts: list[str]) -> np.ndarray:
+        """Phrases by language, then unknown characters by language, of whole texts."""
+        out = np.zeros((len(texts), 2 * len(self.langs)), np.int64)
         for a, b in balanced([len(t) for t in texts], BATCH_CHARS):
             parts = [t.lower().split() for t in texts[a:b]]
             known: set[str] = set()
             for p in parts:
                 known.update(p)
-            long = {w: self._parse_long(w) * (_LETTER.search(w) is not None) for w in known if len(w) > WORD_CHARS}
+            long = {w: np.concatenate([self._parse_long(w), self.lacks([w])[0]]) * (_LETTER.search(w) is not None) for w in known if len(w) > WORD_CHARS}
             if len(self.seen) + len(known) > CACHE_WORDS:
                 self._forget()
             new = [w for w in known if w not in self.seen and w not in long]
@@ -165,10 +202,10 @@ class Parser:
                 self.seen.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
                 # Words without a letter say nothing of the language.
                 spoken = np.fromiter((_LETTER.search(w) is not None for w in new), bool, len(new))
-                self.counts = np.concatenate([self.counts, self.parse(new) * spoken[:, None]])
+                self.counts = np.concatenate([self.counts, np.hstack([self.parse(new), self.lacks(new)]) * spoken[:, None]])
             for i, p in enumerate(parts):
                 if long:
-                    out[a + i] += sum((long[w] for w in p if w in long), np.zeros(len(self.langs), np.int64))
+                    out[a + i] += sum((long[w] for w in p if w in long), np.zeros(2 * len(self.langs), np.int64))
                     p = [w for w in p if w not in long]
                 rows = np.fromiter(map(self.seen.__getitem__, p), np.int64, len(p))
                 out[a + i] += self.counts[rows].sum(axis=0)
@@ -178,7 +215,8 @@ class Parser:
         """The language of each text and its lead over the second (0 none, towards 1 all); ties go to the
         first label. und and 0 for null, for no letter, and where nothing was learned."""
         fit = [bool(t) and bool(self.langs) and _LETTER.search(t) is not None for t in texts]
-        bits = self.totals([t if f else "" for t, f in zip(texts, fit, strict=True)]) * self.cost
+        sums = self._sums([t if f else "" for t, f in zip(texts, fit, strict=True)])
+        bits = sums[:, : len(self.langs)] * self.cost + sums[:, len(self.langs) :] * self.alphabet
         out = []
         for f, row in zip(fit, bits, strict=True):
             if not f:

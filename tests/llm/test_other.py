@@ -65,6 +65,29 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+TALK = {"en": "the house stands near the river and people walk there every morning with their children ", "fr": "la maison est près de la rivière et les gens y marchent chaque matin avec leurs enfants ", "de": "das haus steht nahe dem fluss und die leute gehen dort jeden morgen mit ihren kindern "}
+
+
+@pytest.mark.parametrize("stray", ["ok", "hello world", "日本"])
+def test_a_tiny_label_wins_nothing(spark, stray):
+    rows = [(10 * i + j, " ".join(random.Random(10 * i + j).sample(t.split(), 12)), x) for i, (x, t) in enumerate(TALK.items()) for j in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    train = docs.union(spark.createDataFrame([(99, stray, "zz")], docs.schema))
+    got = language.identify(docs, train).collect()
+    assert [r["lang_pred"] for r in got] == [r["lang"] for r in got]
+
+
+def test_training_reads_all_of_a_document(spark):
+    rows = [(i, "head " * 200 + f"tail{i} " * 400, "en") for i in range(40)] + [(100, "solo " * 500 + "end", "fr"), (101, "word " * 20_000, "de"), (102, "x", "de")]
+    got = language.training_text(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(got["en"]) == language.TRAIN_CHARS and len(set(re.findall(r"tail\d+", got["en"]))) > 10
+    assert got["fr"] == " " + "solo " * 500 + "end " and len(got["de"]) == language.TRAIN_CHARS
+
+
+def test_short_texts_leave_the_others_room():
+    assert language.fitting([4, 100, 100], 104) == 50 and language.fitting([4, 5], 100) == 5 and language.fitting([], 9) == 0
+
+
 # HTML
 
 
