@@ -10,6 +10,7 @@ import html as html_lib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,17 @@ MARKS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies respond share sharing "
     "social related recommended recommendations pagination pager tags toolbar copyright skip search form".split()
 )
+#: Words that a marking name may have besides, those of the article's own parts, marks that say what a part of the
+#: article's head is there, marks of readers' parts, and marks of layout, which may name a wrapper of all the text.
+CARRIERS = frozenset(
+    "the site page main top bottom left right upper lower primary secondary global local user reader box block area wrap wrapper container "
+    "outer inner list item items row column col bar panel section region zone div holder group set button buttons btn link links icon icons "
+    "widget text title content body web slot unit this info google facebook twitter wp js id".split()
+)
+PARTS, HEADS = frozenset("post posts article articles entry entries story stories".split()), frozenset("header masthead banner".split())
+READERS = frozenset("comment comments disqus replies respond related recommended recommendations".split())
+LAYOUT = frozenset("nav navbar navigation menu submenu header masthead topbar footer sidebar aside widget widgets toolbar search form skip tags".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -42,16 +54,60 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html_lib.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTR.findall(text)} if text.strip() else {}
 
 
+@lru_cache(1 << 16)
+def _marks(name: str, inside: bool) -> frozenset[str]:
+    """Marks of a class or id name. A name marks as a whole: one with any other word (with-sidebar, related-work)
+    says something else. inside: of an article or main."""
+    words = {w.lower() for w in _WORD.findall(name)}
+    words = {w for w in words if not w.isdigit()}
+    found = words & MARKS
+    if not found or not words <= MARKS | CARRIERS | PARTS:
+        return frozenset()
+    return found - HEADS if inside or words & PARTS else found
+
+
 def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     """Whether an element starts something that isn't article text. inside: of an article or main."""
     if tag in DROPPED or tag == "header" and not inside:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    words = {w.lower() for w in _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    return not words.isdisjoint(MARKS)
+    return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None
+
+
+def _marked(tag: str, attrs: dict[str, str], inside: bool) -> frozenset[str]:
+    """Marks of an element's names. Headings and paragraphs of an article have none, nor have headings' ids, which
+    repeat their text."""
+    if not attrs or tag in ("html", "body", "article", "main") or tag in PROSE and inside:
+        return frozenset()
+    names = attrs.get("class", "").split() + ([] if tag in PROSE and tag != "p" else attrs.get("id", "").split())
+    return frozenset().union(*(_marks(n, inside) for n in names))
+
+
+def _misnamed(found: list, soft: list[frozenset[str]], articles: list[tuple[bool, tuple[int, ...]]]) -> set[int]:
+    """Numbers of marked elements that hold the article all the same. found: (text, characters in links, marked
+    elements around, articles around) of the blocks; soft: marks by number; articles: (whether a main, marked
+    elements around) by number."""
+    out: set[int] = set()
+    if not soft:
+        return out
+    size = [0] * len(articles)
+    held, free, total = [0] * len(soft), [False] * len(soft), 0
+    for text, linked, marked, around in found:
+        worth = max(0, len(text) - linked)
+        total += worth
+        for i in around:
+            size[i] += worth
+        for i in marked:
+            held[i] += worth
+            free[i] = free[i] or not around
+    full = [i for i, n in enumerate(size) if n]
+    if full:
+        # Where one stands in no marked element, articles in others are teasers or comments.
+        if all(articles[i][1] for i in full):
+            out.update(articles[max(full, key=lambda i: (not any(soft[j] & READERS for j in articles[i][1]), articles[i][0], size[i]))][1])
+    # Adverts, notices and comments may be longer than an article; layout outside of one isn't it.
+    return out | {i for i, n in enumerate(held) if 2 * n > total and soft[i] <= LAYOUT and not (full and free[i])}
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -63,15 +119,18 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(path of the enclosing container, text, characters of it in links) of each block of text in page
     order, without unwanted elements. Unclosed and stray tags are read as browsers do."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, container path, unwanted, inside an article
+    out: list[tuple[str, str, int, tuple[int, ...], tuple[int, ...]]] = []
+    # tag, container path, unwanted, marked elements and articles around by number
+    stack: list[tuple[str, str, bool, tuple[int, ...], tuple[int, ...]]] = []
+    soft: list[frozenset[str]] = []
+    articles: list[tuple[bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = [0, 0]  # characters, open links
 
     def flush() -> None:
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append((stack[-1][1] if stack else "", text, linked[0]))
+                out.append((stack[-1][1] if stack else "", text, linked[0], *(stack[-1][3:] if stack else ((), ()))))
             parts.clear()
         linked[0] = 0
 
@@ -129,8 +188,17 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             close(i)
         if tag not in INLINE:
             flush()
-        _, path, bad, inside = stack[-1] if stack else ("", "", False, False)
-        bad = bad or _unwanted(tag, attrs, inside)
+        _, path, bad, marked, around = stack[-1] if stack else ("", "", False, (), ())
+        bad = bad or _unwanted(tag, attrs, bool(around))
+        if not bad and (names := _marked(tag, attrs, bool(around))):
+            if tag in INLINE:
+                bad = True
+            else:
+                marked = (*marked, len(soft))
+                soft.append(names)
+        if not bad and tag in ("article", "main"):
+            articles.append((tag == "main", marked))
+            around = (*around, len(articles) - 1)
         if tag in CONTAINERS:
             path = f"{path}>{_step(tag, attrs)}" if path else _step(tag, attrs)
         if tag in RAW:
@@ -138,10 +206,11 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             at = end.end() if end else len(page)
             continue
         linked[1] += tag == "a"
-        stack.append((tag, path, bad, inside or tag in ("article", "main")))
+        stack.append((tag, path, bad, marked, around))
     said(page[at:])
     flush()
-    return out
+    fine = _misnamed([b[1:] for b in out], soft, articles)
+    return [b[:3] for b in out if fine.issuperset(b[3])]
 
 
 def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
@@ -154,9 +223,13 @@ def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
     return {p: s * (1.5 if re.match(r"(article|main)\b", p.rsplit(">", 1)[-1]) else 1) for p, s in total.items()}
 
 
-def _best(found: list[tuple[str, str, int]]) -> str | None:
+def _best(found: list[tuple[str, str, int]]) -> tuple[str | None, float]:
+    """The container path that a page votes for, and its best part's score."""
     rated = scores(found)
-    return min(rated, key=lambda p: (-rated[p], p)) if rated else None
+    if not rated:
+        return None, 0.0
+    best = min(rated, key=lambda p: (-rated[p], p))
+    return best, rated[best]
 
 
 def host_of(url: Column) -> Column:
@@ -171,7 +244,7 @@ def extract(page: str, path: str | None) -> str:
     def within(p: str | None) -> list[str]:
         return [t for q, t, _ in found if p is not None and (q == p or q.startswith(p + ">"))]
 
-    return "\n".join(within(path) or within(_best(found)))
+    return "\n".join(within(path) or within(_best(found)[0]))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -181,9 +254,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
     @F.pandas_udf("path string, score double")
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rated = [scores(blocks(t or "")) for t in texts]
-            best = [min(r, key=lambda p, r=r: (-r[p], p)) if r else None for r in rated]
-            yield pd.DataFrame({"path": pd.Series(best, dtype=object), "score": [r.get(p, 0.0) for r, p in zip(rated, best, strict=True)]})
+            best = [_best(blocks(t or "")) for t in texts]
+            yield pd.DataFrame({"path": pd.Series([p for p, _ in best], dtype=object), "score": [n for _, n in best]})
 
     # Else the filter is pushed below the function and every page is scored twice.
     vote = vote.asNondeterministic()

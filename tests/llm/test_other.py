@@ -104,6 +104,21 @@ def test_blocks():
     assert html_extract.extract(PAGE, None) == "Title <1>\nFirst bolder line two\nSecond © para\none\ntwo\nQuote"
 
 
+LONG = "Plain words of the article. " * 20
+
+
+@pytest.mark.parametrize("name", ["class='content with-sidebar'", "class=no-sidebar", "class=has-header", "id=page-header-fixed", "class=sidebar", "class='page menu'"])
+def test_a_wrapper_named_after_a_layout_is_kept(name):
+    page = f"<body><div {name}><div class=menu><p>no</p></div><article><h1>T</h1><p>{LONG}</p></article><div id=comments><article><p>no {LONG * 3}</p></article></div></div></body>"
+    assert html_extract.extract(page, None) == f"T\n{LONG.strip()}"
+    assert html_extract.extract(f"<body><div {name}><div class=text><p>{LONG}</p></div></div><div class=nav>no</div></body>", None) == LONG.strip()
+
+
+def test_names_inside_an_article():
+    page = f"<body><article><div class=entry-header><h1 id=search>T</h1></div><h2 id='related-work'>a</h2><h2 id=notices>b</h2><section id='social-policy'><p>c</p></section><p class=alert>{LONG}</p><div class=cookie-notice>no</div><div class='related-posts'>no</div><p>d <span class=share>no</span>e</p><div id=comments><article><p>no</p></article></div></article></body>"
+    assert html_extract.extract(page, None) == f"T\na\nb\nc\n{LONG.strip()}\nd e"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></b>", "<p>a", "<script>x", "<<>>", "<!-- a", "a &bogus; b", "<a><a></p>", "<td><tr><table>", "\x00<p>\x00", "<p a='>b"])
 def test_broken_pages(page):
     html_extract.extract(page, "body>article")
