@@ -1,7 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Every page scores its containers by their text; Spark counts, per host, which generalised tag-class path
-wins on how many pages; the pages are then read again with the winning path of their host.
+wins on how many pages; the pages are then read again with the winning path of their host. A page votes for
+the whole article around its best container.
 """
 
 from __future__ import annotations
@@ -223,13 +224,41 @@ def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
     return {p: s * (1.5 if re.match(r"(article|main)\b", p.rsplit(">", 1)[-1]) else 1) for p, s in total.items()}
 
 
+def raised(found: list[tuple[str, str, int]], path: str) -> str:
+    """The container of the whole article whose best part is at path: the article or main around it, else the
+    highest container below body up to which lists of links add no more than a twentieth to the part."""
+    steps = path.split(">")
+    names = [re.match(r"[^.]*", x)[0] for x in steps]
+    for x in ("article", "main"):
+        if x in names:
+            return ">".join(steps[: names.index(x) + 1])
+    now = path
+    for up in range(len(steps) - 1, 0, -1):
+        if names[up - 1] in ("body", "html"):
+            break
+        own, above = 0, ">".join(steps[:up])
+        sides: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for p, text, linked in found:
+            if p == now or p.startswith(now + ">"):
+                own += len(text)
+            elif p == above or p.startswith(above + ">"):
+                side = sides[p[len(above) + 1 :].split(">", 1)[0]]
+                side[0] += len(text)
+                side[1] += linked
+        if sum(n for n, m in sides.values() if 3 * m > n) > 0.05 * own:
+            break
+        if sides:
+            now = above
+    return now
+
+
 def _best(found: list[tuple[str, str, int]]) -> tuple[str | None, float]:
     """The container path that a page votes for, and its best part's score."""
     rated = scores(found)
     if not rated:
         return None, 0.0
     best = min(rated, key=lambda p: (-rated[p], p))
-    return best, rated[best]
+    return raised(found, best), rated[best]
 
 
 def host_of(url: Column) -> Column:

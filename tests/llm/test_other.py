@@ -119,6 +119,20 @@ def test_names_inside_an_article():
     assert html_extract.extract(page, None) == f"T\na\nb\nc\n{LONG.strip()}\nd e"
 
 
+def test_the_whole_article_is_returned(spark):
+    body, lead = LONG.strip(), "A lead that says what follows."
+    links = "<div class=more><p>" + "<a href=/>other page</a> " * 10 + "</p></div>"
+    in_article = f"<body><div class=page><article><h1>T</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></article>{links}</div></body>"
+    assert html_extract.extract(in_article, None) == f"T\n{body}\n{body}"
+    in_div = f"<body><div class=page><div class=content><h1>T</h1><div class=lead><p>{lead}</p></div><div class=body><p>{LONG}</p></div></div>{links}</div></body>"
+    assert html_extract.extract(in_div, None) == f"T\n{lead}\n{body}"
+    sections = f"<body><div class=page><div class=content><section class=one><p>{LONG}</p></section><section class=two><p>{lead}</p></section></div>{links}</div></body>"
+    assert html_extract.extract(sections, None) == f"{body}\n{lead}"
+    rows = [(i, "http://h.com/a", x) for i, x in enumerate([in_div] * 3 + [sections])]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == {0: f"T\n{lead}\n{body}", 1: f"T\n{lead}\n{body}", 2: f"T\n{lead}\n{body}", 3: f"{body}\n{lead}"}
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></b>", "<p>a", "<script>x", "<<>>", "<!-- a", "a &bogus; b", "<a><a></p>", "<td><tr><table>", "\x00<p>\x00", "<p a='>b"])
 def test_broken_pages(page):
     html_extract.extract(page, "body>article")
