@@ -193,9 +193,9 @@ def stream_reconcile_outer(d: Domain) -> DataFrame:
 def _trained(d: Domain):
     """Features with centrality and communities, labelled, held for the passes of the training."""
     nodes, edges = graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)
-    rank = graph.pagerank(nodes.filter("group in ('vendor', 'invoice', 'gstr')"), edges.filter("type in ('issued', 'reported')"), rounds=5).filter("id like 'v-%'").select(F.substring("id", 3, 100).alias("vendor_id"), "rank")
+    rank = graph.pagerank(nodes.filter("group in ('vendor', 'invoice', 'gstr')"), edges.filter("type in ('issued', 'reported')")).filter("id like 'v-%'").select(F.substring("id", 3, 100).alias("vendor_id"), "rank")
     rows = storage.checkpointed(model.labelled(model.features(d.vendors, d.invoices, rank, graph.communities(d.invoices))))
-    return rows, model.train(model.split(rows)[0], trees=50)
+    return rows, model.train(model.split(rows)[0])
 
 
 @query("vendor_risk_forest")

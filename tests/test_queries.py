@@ -30,6 +30,16 @@ def test_forest(spark, sf_dir):
     assert len(rows) == 10 and all(0 <= r["probability"] <= 1 for r in rows)
 
 
+def test_forest_runs_the_defaults(spark, sf_dir):
+    from taxrecon.plans import queries
+    from taxrecon.plans.domain import Domain
+
+    rows, fitted = queries._trained(Domain(spark, sf_dir))
+    assert fitted.stages[-1].getNumTrees == 100
+    full = {r["id"]: r["rank"] for r in QUERIES["pagerank"](spark, sf_dir).collect()}
+    assert all(r["graph_centrality"] == pytest.approx(full["v-" + r["vendor_id"]], abs=1e-10) for r in rows.collect())
+
+
 def test_pagerank_sums_to_one(spark, sf_dir):
     from pyspark.sql import functions as F
 
