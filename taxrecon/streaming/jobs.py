@@ -7,6 +7,7 @@ signup a line of the suppliers', error a mismatch.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,22 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", end: str | None = None) -> DataFrame:
-    """Events of a folder's files, and those of the closing folder end. Timestamps without a zone are UTC."""
+    """Events of a folder's files, and those of the closing folder end; a table may be a file or a folder of part
+    files. Timestamps without a zone are UTC."""
     schema = EVENTS.replace("ts timestamp", "ts timestamp_ntz")
 
     def read(path: str, files: str) -> DataFrame:
         return spark.readStream.schema(schema).option("pathGlobFilter", files).option("recursiveFileLookup", True).parquet(path)
 
-    out = read(folder, glob)
-    out = out.unionByName(read(end, "*.parquet")) if end else out
+    # The filter sees names of files alone, so a folder of part files is read as such.
+    name = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
+    found = name.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(name) or []
+    parts = [read(x.getPath().toString(), "*") for x in found if x.isDirectory()]
+    if not parts or any(x.isFile() for x in found):
+        parts.append(read(folder, glob))
+    if end:
+        parts.append(read(end, "*.parquet"))
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("tax", F.round(F.col("value") * 100).cast("bigint"))
 
 

@@ -40,6 +40,12 @@ def test_forest_runs_the_defaults(spark, sf_dir):
     assert all(r["graph_centrality"] == pytest.approx(full["v-" + r["vendor_id"]], abs=1e-10) for r in rows.collect())
 
 
+@pytest.mark.parametrize("name", ["stream_windowed_kpis", "stream_reconcile_outer"])
+def test_streams_read_a_table_of_part_files(spark, sf_dir, same, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    same(QUERIES[name](spark, str(tmp_path)), oracle.ORACLES[name])
+
+
 def test_pagerank_sums_to_one(spark, sf_dir):
     from pyspark.sql import functions as F
 
