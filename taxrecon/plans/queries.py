@@ -140,14 +140,14 @@ def quarantine_rows(d: Domain) -> DataFrame:
 def json_gstr1_roundtrip(d: Domain) -> DataFrame:
     path = jobs.work_dir(d.spark)
     # A file per document: the readers take whole-file documents.
-    sinks.gstr1_documents(d.gstr1).groupBy("period").agg(F.flatten(F.collect_list("b2b")).alias("b2b")).repartition("period").write.option("maxRecordsPerFile", 1).json(path)
+    sinks.gstr1_documents(d.gstr1).write.option("maxRecordsPerFile", 1).json(path)
     return returns.gstr1(d.spark, path, "").groupBy("supplier_gstin").agg(F.count("*").alias("n"), F.sum("taxable").alias("taxable"), F.sum(F.col("cgst") + F.col("sgst") + F.col("igst")).alias("tax"), F.min("invoice_date").alias("first"), F.max("hsn").alias("hsn"))
 
 
 @query("json_gstr2b_roundtrip")
 def json_gstr2b_roundtrip(d: Domain) -> DataFrame:
     path = jobs.work_dir(d.spark)
-    sinks.gstr2b_documents(d.gstr2b).groupBy("period").agg(F.struct(F.flatten(F.collect_list("docdata.b2b")).alias("b2b")).alias("docdata")).select("docdata").repartition(8).write.option("maxRecordsPerFile", 1).json(path)
+    sinks.gstr2b_documents(d.gstr2b).select("docdata").write.option("maxRecordsPerFile", 1).json(path)
     return returns.gstr2b(d.spark, path, "").groupBy("supplier_gstin", "itc_available").agg(F.count("*").alias("n"), F.sum("taxable").alias("taxable"), F.sum(F.col("cgst") + F.col("sgst") + F.col("igst")).alias("tax"), F.min("invoice_date").alias("first"), F.max("hsn").alias("hsn"))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Parameter: invoices of a return document, about so many at most.
+DOCUMENT = 10_000
+
 
 def last_write_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of each key the row that comes first in order (newest first)."""
@@ -62,17 +65,27 @@ def numbered_ids(rows: DataFrame, prefix: str, order: list[Column], existing: in
     return spread.withColumn(name, F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))).drop("__m")
 
 
-def gstr1_documents(book: DataFrame) -> DataFrame:
-    """Per (supplier, period) one JSON document in the layout that the reader takes, amounts in rupees."""
+def _dealt(book: DataFrame, inv: Column, most: int, *names: Column) -> DataFrame:
+    """period, b2b: a period's invoices dealt by a hash of supplier and number to documents of about most at most, in
+    each the suppliers with their invoices. A supplier's may be in several; readers put them together."""
+    key, n, bucket = "__period", "__n", "__bucket"
+    # One row per period.
+    counts = book.groupBy(F.col("period").alias(key)).agg(F.count("*").alias(n))
+    spread = F.pmod(F.xxhash64("supplier_gstin", "invoice_no"), F.ceil(F.col(n) / most))
+    dealt = book.join(F.broadcast(counts), F.col("period").eqNullSafe(F.col(key))).withColumn(bucket, spread)
+    per = dealt.groupBy("period", bucket, "supplier_gstin").agg(F.collect_list(inv).alias("inv"))
+    return per.groupBy("period", bucket).agg(F.collect_list(F.struct(F.col("supplier_gstin").alias("ctin"), *names, "inv")).alias("b2b")).drop(bucket)
+
+
+def gstr1_documents(book: DataFrame, most: int = DOCUMENT) -> DataFrame:
+    """JSON documents of one period each in the layout that the reader takes, amounts in rupees."""
     inv = F.struct(F.col("invoice_no").alias("inum"), F.col("invoice_date").cast("string").alias("idt"), (F.col("taxable") / 100).alias("val"), F.lit(0.0).alias("rt"), (F.col("igst") / 100).alias("iamt"), (F.col("cgst") / 100).alias("camt"), (F.col("sgst") / 100).alias("samt"), "hsn")
-    per = book.groupBy("period", "supplier_gstin").agg(F.collect_list(inv).alias("inv"))
-    return per.select("period", F.array(F.struct(F.col("supplier_gstin").alias("ctin"), "inv")).alias("b2b"))
+    return _dealt(book, inv, most).select("period", "b2b")
 
 
-def gstr2b_documents(book: DataFrame) -> DataFrame:
+def gstr2b_documents(book: DataFrame, most: int = DOCUMENT) -> DataFrame:
     inv = F.struct(F.col("invoice_no").alias("inum"), F.col("invoice_date").cast("string").alias("dt"), (F.col("taxable") / 100).alias("val"), (F.col("igst") / 100).alias("iamt"), (F.col("cgst") / 100).alias("camt"), (F.col("sgst") / 100).alias("samt"), F.col("itc_available").alias("itcavl"), "hsn")
-    per = book.groupBy("period", "supplier_gstin").agg(F.collect_list(inv).alias("inv"))
-    return per.select("period", F.struct(F.array(F.struct(F.col("supplier_gstin").alias("ctin"), F.lit("").alias("trdnm"), "inv")).alias("b2b")).alias("docdata"))
+    return _dealt(book, inv, most, F.lit("").alias("trdnm")).select("period", F.struct("b2b").alias("docdata"))
 
 
 def einvoice_documents(rows: DataFrame) -> DataFrame:

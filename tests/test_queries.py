@@ -46,6 +46,20 @@ def test_streams_read_a_table_of_part_files(spark, sf_dir, same, tmp_path, name)
     same(QUERIES[name](spark, str(tmp_path)), oracle.ORACLES[name])
 
 
+def test_return_documents_are_bounded(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from taxrecon.plans.domain import Domain
+    from taxrecon.sources import sinks
+
+    d = Domain(spark, sf_dir)
+    for documents, book, column in ((sinks.gstr1_documents, d.gstr1, "b2b"), (sinks.gstr2b_documents, d.gstr2b, "docdata.b2b")):
+        # One supplier has a third of a period's invoices; the period holds a thousand.
+        hot = book.limit(1000).withColumn("period", F.lit("2024-01")).withColumn("supplier_gstin", F.when(F.monotonically_increasing_id() % 3 == 0, "hot").otherwise(F.col("supplier_gstin")))
+        sizes = [sum(len(s["inv"]) for s in r["b2b"]) for r in documents(hot, 50).select("period", F.col(column).alias("b2b")).collect()]
+        assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) < 100
+
+
 def test_pagerank_sums_to_one(spark, sf_dir):
     from pyspark.sql import functions as F
 
