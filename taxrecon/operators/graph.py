@@ -90,16 +90,22 @@ def pagerank(nodes_: DataFrame, edges_: DataFrame, rounds: int = 10, damping: fl
     return ranks
 
 
-def communities(invoices: DataFrame, rounds: int = 50) -> DataFrame:
+def communities(invoices: DataFrame, rounds: int = 200) -> DataFrame:
     """vendor_id, community: the smallest vendor reached through shared HSN codes of a period. A vendor and
-    a code group exchange their smallest label each round, so no vendor pairs are made."""
+    a code group exchange their smallest label each round, so no vendor pairs are made. All vendors of a label take
+    the smallest that any of them met, then the label of the vendor that it names, so long chains shrink fast.
+    Raises if labels still move after rounds."""
     member = checkpointed(invoices.filter("vendor_id is not null").select("vendor_id", F.concat_ws("|", "hsn", "period").alias("g")).distinct())
     labels = member.select("vendor_id").distinct().withColumn("community", F.col("vendor_id"))
     for _ in range(rounds):
         by_group = member.join(labels, "vendor_id").groupBy("g").agg(F.min("community").alias("low"))
-        new = checkpointed(member.join(by_group, "g").groupBy("vendor_id").agg(F.min("low").alias("community")))
+        met = member.join(by_group, "g").groupBy("vendor_id").agg(F.min("low").alias("low"))
+        lowest = labels.join(met, "vendor_id").groupBy("community").agg(F.min("low").alias("low"))
+        near = checkpointed(labels.join(lowest, "community").select("vendor_id", F.col("low").alias("community")))
+        ahead = near.select(F.col("vendor_id").alias("community"), F.col("community").alias("next"))
+        new = checkpointed(near.join(ahead, "community").select("vendor_id", F.col("next").alias("community")))
         moved = new.join(labels.withColumnRenamed("community", "was"), "vendor_id").filter("community <> was").limit(1).count()
         labels = new
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"communities still grow after {rounds} rounds")

@@ -125,6 +125,16 @@ def test_communities_and_degrees(spark):
     assert {r[0]: r[1] for r in graph.communities(inv).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
+@pytest.mark.parametrize("name", [lambda i: i, lambda i: 0 if i == 69 else i + 1, lambda i: i * 37 % 70])
+def test_communities_of_a_long_chain(spark, name):
+    # Vendors i and i + 1 share code i alone.
+    rows = [(f"v{name(i):03}", str(c), "p") for i in range(70) for c in (i - 1, i)]
+    inv = spark.createDataFrame(rows, "vendor_id string, hsn string, period string")
+    assert {r[1] for r in graph.communities(inv, rounds=20).collect()} == {"v000"}
+    with pytest.raises(RuntimeError):
+        graph.communities(inv, rounds=1)
+
+
 def test_model_round_trip(spark, tmp_path):
     rows = spark.range(200).select(F.concat(F.lit("v"), "id").alias("vendor_id"), *(((F.col("id") * (i + 3)) % 17).cast("double").alias(c) for i, c in enumerate(model.FEATURES)))
     data = model.labelled(rows)
