@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxrecon.llm import language, line_dedup, mixing, near_dedup, packing
-from taxrecon.llm.common import importable, table, written
+from taxrecon.llm.common import hash128, importable, table, written
 from taxrecon.llm.tokens import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,12 +31,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays, once. Documents without
-    a doc_id stay, as nothing tells them apart."""
+    """Of each class of near duplicates the document with the smallest doc_id stays, once; a document is a row's
+    doc_id and text, so other texts under one doc_id stay. Documents without a doc_id stay, as nothing tells
+    them apart."""
     importable(spark)
-    classes = near_dedup.jaccard_classes(docs)
-    keep = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("k")).distinct()
-    named = docs.select(*COLUMNS).join(keep, F.col("doc_id") == F.col("k")).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # Written, so that the numbers of the rows stay as they are.
+    rows = written(docs.filter("doc_id is not null").select(*COLUMNS, F.monotonically_increasing_id().alias("k"), *(h.alias(f"h{i}") for i, h in enumerate(hash128(F.col("text"))))))
+    classes = near_dedup.jaccard_classes(rows.select("k", "text"), key="k").select("k", "class_id")
+    place = F.struct("doc_id", "h0", "h1", "k")
+    first = rows.select("k", "doc_id", "h0", "h1").join(classes, "k").groupBy("class_id").agg(F.min(place).alias("s")).select("s.*")
+    # Texts without words are classes of their own, even in equal rows.
+    keep = first.groupBy("doc_id", "h0", "h1").agg(F.min("k").alias("k")).select("k")
+    named = rows.join(keep, "k").select(*COLUMNS)
     return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 

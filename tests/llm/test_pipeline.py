@@ -33,3 +33,10 @@ def test_edge_rows(spark, sf_dir):
     assert cp.pack(spark, mixed, sf_dir).count() >= 1
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_texts_that_share_a_doc_id_stay(spark, sf_dir):
+    a, b = "the cat sat on the mat and slept", "a dog ran over the wide green field"
+    rows = [(1, a, "en", "x", len(a)), (1, b, "en", "x", len(b)), (1, a, "en", "x", len(a)), (2, a, "en", "x", len(a)), (3, "!!", "en", "x", 2), (3, "!!", "en", "x", 2), (3, "??", "en", "x", 2)]
+    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
+    assert sorted((r["doc_id"], r["text"]) for r in cp.dedup_near(spark, docs, sf_dir).collect()) == [(1, b), (1, a), (3, "!!"), (3, "??")]
