@@ -1,8 +1,10 @@
 """Main text of web pages by consensus host paths.
 
 Every page scores its containers by their text; Spark counts, per host, which generalised tag-class path
-wins on how many pages; the pages are then read again with the winning path of their host. A page votes for
-the whole article around its best container.
+wins on how many pages, and which containers below it the host's pages together show to be something else;
+the pages are then read again with the winning path of their host. A page votes for the whole article around
+its best container. Elements leave by tag and role alone; class and id names only lower a container's score,
+and it is the host's pages together, with link text, repetition and size, that decide.
 """
 
 from __future__ import annotations
@@ -14,13 +16,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, table, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Character references that stand for no character.
+_HUGE = re.compile(r"&#(?:\d{8,}|[xX][0-9a-fA-F]{7,});?")
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe template noembed noframes".split())
@@ -28,17 +35,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 DROPPED = frozenset("head nav footer aside form button select option input svg canvas object audio video dialog menu map applet fieldset datalist".split()) | RAW
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-# Words of class and id names that mark what isn't the article.
+# Words of class and id names that hint at something other than the article.
 MARKS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets "
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login comment comments disqus replies respond share sharing "
     "social related recommended recommendations pagination pager tags toolbar copyright skip search form".split()
 )
-#: Words that a marking name may have besides, those of the article's own parts, marks that say what a part of the
-#: article's head is there, marks of readers' parts, and marks of layout, which may name a wrapper of all the text.
+#: Words that a hinting name may have besides, those of the article's own parts, hints that say what a part of the
+#: article's head is there, hints of readers' parts, and hints of layout, which may name a wrapper of all the text.
 CARRIERS = frozenset(
     "the site page main top bottom left right upper lower primary secondary global local user reader box block area wrap wrapper container "
     "outer inner list item items row column col bar panel section region zone div holder group set button buttons btn link links icon icons "
@@ -49,15 +56,18 @@ READERS = frozenset("comment comments disqus replies respond related recommended
 LAYOUT = frozenset("nav navbar navigation menu submenu header masthead topbar footer sidebar aside widget widgets toolbar search form skip tags".split())
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Parameters: containers below this depth count as part of the one there; characters of a path's step before it is
+#: hashed; what a hinted container's text counts for in a score; pages that must repeat a part of few words.
+DEPTH, STEP_CHARS, HINTED, REPEATS = 64, 100, 0.1, 4
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): html_lib.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTR.findall(text)} if text.strip() else {}
+    return {k.lower(): html_lib.unescape(_HUGE.sub("�", v[1:-1] if v[:1] in "\"'" else v)) for k, v in _ATTR.findall(text)} if text.strip() else {}
 
 
 @lru_cache(1 << 16)
 def _marks(name: str, inside: bool) -> frozenset[str]:
-    """Marks of a class or id name. A name marks as a whole: one with any other word (with-sidebar, related-work)
+    """Hints of a class or id name. A name hints as a whole: one with any other word (with-sidebar, related-work)
     says something else. inside: of an article or main."""
     words = {w.lower() for w in _WORD.findall(name)}
     words = {w for w in words if not w.isdigit()}
@@ -68,7 +78,7 @@ def _marks(name: str, inside: bool) -> frozenset[str]:
 
 
 def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element starts something that isn't article text. inside: of an article or main."""
+    """Whether an element, by its tag, role or visibility, holds no article text. inside: of an article or main."""
     if tag in DROPPED or tag == "header" and not inside:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -77,7 +87,7 @@ def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 
 def _marked(tag: str, attrs: dict[str, str], inside: bool) -> frozenset[str]:
-    """Marks of an element's names. Headings and paragraphs of an article have none, nor have headings' ids, which
+    """Hints of an element's names. Headings and paragraphs of an article have none, nor have headings' ids, which
     repeat their text."""
     if not attrs or tag in ("html", "body", "article", "main") or tag in PROSE and inside:
         return frozenset()
@@ -85,180 +95,330 @@ def _marked(tag: str, attrs: dict[str, str], inside: bool) -> frozenset[str]:
     return frozenset().union(*(_marks(n, inside) for n in names))
 
 
-def _misnamed(found: list, soft: list[frozenset[str]], articles: list[tuple[bool, tuple[int, ...]]]) -> set[int]:
-    """Numbers of marked elements that hold the article all the same. found: (text, characters in links, marked
-    elements around, articles around) of the blocks; soft: marks by number; articles: (whether a main, marked
-    elements around) by number."""
-    out: set[int] = set()
-    if not soft:
-        return out
-    size = [0] * len(articles)
-    held, free, total = [0] * len(soft), [False] * len(soft), 0
-    for text, linked, marked, around in found:
-        worth = max(0, len(text) - linked)
-        total += worth
-        for i in around:
-            size[i] += worth
-        for i in marked:
-            held[i] += worth
-            free[i] = free[i] or not around
-    full = [i for i, n in enumerate(size) if n]
-    if full:
-        # Where one stands in no marked element, articles in others are teasers or comments.
-        if all(articles[i][1] for i in full):
-            out.update(articles[max(full, key=lambda i: (not any(soft[j] & READERS for j in articles[i][1]), articles[i][0], size[i]))][1])
-    # Adverts, notices and comments may be longer than an article; layout outside of one isn't it.
-    return out | {i for i, n in enumerate(held) if 2 * n > total and soft[i] <= LAYOUT and not (full and free[i])}
-
-
-def _step(tag: str, attrs: dict[str, str]) -> str:
-    """Tag and classes, generalised: sorted, with numbers as #."""
+def _step(tag: str, attrs: dict[str, str], hinted: bool) -> str:
+    """Tag and classes, generalised: sorted, with numbers as #; ! where a name hints."""
     names = sorted({re.sub(r"\d+", "#", c.lower()) for c in attrs.get("class", "").split()})
-    return ".".join([tag, *names])
-
-
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path of the enclosing container, text, characters of it in links) of each block of text in page
-    order, without unwanted elements. Unclosed and stray tags are read as browsers do."""
-    out: list[tuple[str, str, int, tuple[int, ...], tuple[int, ...]]] = []
-    # tag, container path, unwanted, marked elements and articles around by number
-    stack: list[tuple[str, str, bool, tuple[int, ...], tuple[int, ...]]] = []
-    soft: list[frozenset[str]] = []
-    articles: list[tuple[bool, tuple[int, ...]]] = []
-    parts: list[str] = []
-    linked = [0, 0]  # characters, open links
-
-    def flush() -> None:
-        if parts:
-            if text := " ".join("".join(parts).split()):
-                out.append((stack[-1][1] if stack else "", text, linked[0], *(stack[-1][3:] if stack else ((), ()))))
-            parts.clear()
-        linked[0] = 0
-
-    def close(upto: int) -> None:
-        if any(s[0] not in INLINE for s in stack[upto:]):
-            flush()
-        linked[1] -= sum(s[0] == "a" for s in stack[upto:])
-        del stack[upto:]
-
-    def nearest(names, stops=()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in stops:
-                break
-        return -1
-
-    def said(text: str) -> None:
-        if text and not (stack and stack[-1][2]):
-            parts.append(html_lib.unescape(text))
-            if linked[1]:
-                linked[0] += len(text)
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        said(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                said(m[0][9:-3])
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "br":
-                parts.append(" ")
-            elif tag == "p" and nearest(("p",), CONTAINERS) < 0:
+    step = ".".join([tag, *names]) + ("!" if hinted else "")
+    return step if len(step) <= STEP_CHARS else f"{tag}.{xxhash.xxh64_hexdigest(step)}"
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Place of the > that ends a tag, values in quotes skipped; -1 where a quote stays open."""
+    while m := _STOP.search(page, at):
+        if not m[1]:
+            return m.start()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+class Page:
+    """One page, read once from front to back. Containers with equal paths are one node; nodes are numbered so that
+    a parent comes before its children. blocks: per block of text its pieces (node, text, in a link, mark, article)."""
+
+    def __init__(self, page: str):
+        self.parent, self.step, self.depth, self.key = [-1], [""], [0], [0]
+        self._at: dict[tuple[int, str], int] = {}
+        self.blocks: list[list[tuple[int, str, bool, int, int]]] = []
+        #: Hinting elements: names, the one around, article around; articles: whether a main, hint and article around.
+        self.soft: list[tuple[frozenset[str], int, int]] = []
+        self.articles: list[tuple[bool, int, int]] = []
+        self._read(page)
+        self._measure()
+
+    def _node(self, parent: int, step: str) -> int:
+        if self.depth[parent] >= DEPTH:
+            return parent
+        got = self._at.get((parent, step))
+        if got is None:
+            got = self._at[parent, step] = len(self.parent)
+            self.parent.append(parent), self.step.append(step), self.depth.append(self.depth[parent] + 1)
+            self.key.append(xxhash.xxh64_intdigest(step, self.key[parent]) >> 1)
+        return got
+
+    def _read(self, page: str) -> None:
+        """Unclosed and stray tags are read as browsers do. No step looks back or ahead further than what it then
+        takes or closes, so the time is linear in the page."""
+        stack: list[tuple[str, int, bool, int, int]] = []  # tag, node, unwanted, hint and article around
+        where: dict[str, list[int]] = defaultdict(list)  # places of open tags in the stack
+        node, bad, mark, article = 0, False, -1, -1
+        pieces: list[tuple[int, str, bool, int, int]] = []
+        links = 0
+
+        def said(text: str) -> None:
+            if text and not bad:
+                if "&" in text:
+                    text = html_lib.unescape(_HUGE.sub("�", text) if "&#" in text else text)
+                pieces.append((node, text, links > 0, mark, article))
+
+        def flush() -> None:
+            nonlocal pieces
+            if pieces:
+                self.blocks.append(pieces)
+                pieces = []
+
+        def last(names) -> int:
+            return max((where[x][-1] for x in names if where[x]), default=-1)
+
+        def close(upto: int) -> None:
+            nonlocal links, node, bad, mark, article
+            if any(s[0] not in INLINE for s in stack[upto:]):
                 flush()
-            elif (i := nearest((tag,), () if tag not in INLINE else CONTAINERS)) >= 0:
+            for s in stack[upto:]:
+                where[s[0]].pop()
+                links -= s[0] == "a"
+            del stack[upto:]
+            _, node, bad, mark, article = stack[-1] if stack else ("", 0, False, -1, -1)
+
+        at, size, plain = 0, len(page), False
+        while at < size:
+            lt = page.find("<", at)
+            if lt < 0:
+                break
+            said(page[at:lt])
+            c = page[lt + 1 : lt + 2]
+            if c in ("!", "?"):
+                if page.startswith("<!--", lt):
+                    end = page.find("-->", lt + 4)
+                    at = end + 3 if end >= 0 else size
+                elif page.startswith("<![CDATA[", lt):
+                    end = page.find("]]>", lt + 9)
+                    said(page[lt + 9 : end if end >= 0 else size])
+                    at = end + 3 if end >= 0 else size
+                else:
+                    end = page.find(">", lt)
+                    at = end + 1 if end >= 0 else size
+                continue
+            m = _NAME.match(page, lt + (2 if c == "/" else 1))
+            if not m:
+                # </ before anything else is a comment, a lone < is text.
+                end = page.find(">", lt) if c == "/" else -1
+                if end < 0:
+                    said("<")
+                at = end + 1 if end >= 0 else lt + 1
+                continue
+            gt = page.find(">", m.end())
+            if gt < 0:
+                at = size  # an unfinished tag at the end of the page
+                break
+            inner = page[m.end() : gt]
+            if not plain and c != "/" and ("'" in inner or inner.count('"') % 2):
+                end = _tag_end(page, m.end())
+                if end < 0:
+                    plain = True  # a quote that nothing closes: tags end at their first > from here
+                else:
+                    gt, inner = end, page[m.end() : end]
+            at, tag = gt + 1, m[0].lower()
+            if c == "/":
+                if tag == "br":
+                    said(" ")
+                elif tag == "p" and last(("p",)) <= last(CONTAINERS):
+                    flush()
+                elif (i := last((tag,))) >= 0 and (tag not in INLINE or i > last(CONTAINERS)):
+                    close(i)
+                continue
+            if tag in VOID:
+                if tag == "hr":
+                    flush()
+                elif tag == "br":
+                    said(" ")
+                continue
+            attrs = _attributes(inner)
+            if tag in CLOSES_P and (i := last(("p",))) > last(CONTAINERS):
                 close(i)
-            continue
-        attrs = _attributes(m[3])
-        if tag in VOID:
-            if tag == "hr":
-                flush()
-            elif tag == "br" and not (stack and stack[-1][2]):
-                parts.append(" ")
-            continue
-        if tag in CLOSES_P and (i := nearest(("p",), CONTAINERS)) >= 0:
-            close(i)
-        if tag in SIBLINGS:
-            own, stops = SIBLINGS[tag]
-            if (i := nearest(own.split(), stops)) >= 0:
+            if tag in SIBLINGS:
+                own, stops = SIBLINGS[tag]
+                if (i := last(own)) > last(stops):
+                    close(i)
+            if tag == "body" and (i := last(("head",))) >= 0:
                 close(i)
-        if tag == "body" and (i := nearest(("head",))) >= 0:
-            close(i)
-        if tag not in INLINE:
-            flush()
-        _, path, bad, marked, around = stack[-1] if stack else ("", "", False, (), ())
-        bad = bad or _unwanted(tag, attrs, bool(around))
-        if not bad and (names := _marked(tag, attrs, bool(around))):
-            if tag in INLINE:
-                bad = True
+            if tag not in INLINE:
+                flush()
+            if tag in RAW:
+                end = _raw_end(tag).search(page, at)
+                at = end.end() if end else size
+                continue
+            new_node, new_bad, new_mark, new_article = node, bad or _unwanted(tag, attrs, article >= 0), mark, article
+            if not new_bad:
+                names = _marked(tag, attrs, article >= 0)
+                if names:
+                    new_mark = len(self.soft)
+                    self.soft.append((names, mark, article))
+                if tag in ("article", "main"):
+                    new_article = len(self.articles)
+                    self.articles.append((tag == "main", mark, article))
+                if names or tag in CONTAINERS:
+                    new_node = self._node(node, _step(tag, attrs, bool(names)))
+            links += tag == "a"
+            where[tag].append(len(stack))
+            stack.append((tag, new_node, new_bad, new_mark, new_article))
+            node, bad, mark, article = new_node, new_bad, new_mark, new_article
+        said(page[at:])
+        flush()
+
+    def _measure(self) -> None:
+        """Per node, of the whole text below it: characters, those in links, those in hinted elements, a hash that
+        doesn't depend on order; and of its own text what it is worth to a score."""
+        n = len(self.parent)
+        self.chars, self.linked, self.hinted, self.hash, self.worth = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
+        sized = [(node, len(" ".join(text.split())), link, mark, article, text) for b in self.blocks for node, text, link, mark, article in b]
+        voided = self._misnamed(sized)
+        for node, size, link, mark, _, text in sized:
+            if size:
+                hinted = mark >= 0 and not voided[mark]
+                self.chars[node] += size
+                self.linked[node] += size * link
+                self.hinted[node] += size * hinted
+                self.hash[node] += xxhash.xxh64_intdigest(text)
+                self.worth[node] += (-size if link else size) * (HINTED if hinted else 1)
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            self.chars[p] += self.chars[i]
+            self.linked[p] += self.linked[i]
+            self.hinted[p] += self.hinted[i]
+            self.hash[p] += self.hash[i]
+
+    def _misnamed(self, sized: list) -> list[bool]:
+        """By hinting element, whether it holds the article all the same: it is around the page's main article, or
+        it is a layout name with most of the page's text."""
+        soft, articles = self.soft, self.articles
+        out = [False] * len(soft)
+        if not soft:
+            return out
+        area, held, free, total = [0] * len(articles), [0] * len(soft), [False] * len(soft), 0
+        for _, size, link, mark, article, _ in sized:
+            worth = 0 if link else size
+            total += worth
+            if article >= 0:
+                area[article] += worth
+            if mark >= 0:
+                held[mark] += worth
+                free[mark] = free[mark] or article < 0 and size > 0
+        for i in range(len(articles) - 1, -1, -1):
+            if articles[i][2] >= 0:
+                area[articles[i][2]] += area[i]
+        for i in range(len(soft) - 1, -1, -1):
+            if soft[i][1] >= 0:
+                held[soft[i][1]] += held[i]
+                free[soft[i][1]] = free[soft[i][1]] or free[i]
+        readers: list[bool] = []
+        for names, around, _ in soft:
+            readers.append(bool(names & READERS) or around >= 0 and readers[around])
+        full = [i for i, x in enumerate(area) if x]
+        # Where one stands in no hinting element, articles in others are teasers or comments.
+        if full and all(articles[i][1] >= 0 for i in full):
+            at = articles[max(full, key=lambda i: (not readers[articles[i][1]], articles[i][0], area[i]))][1]
+            while at >= 0:
+                out[at], at = True, soft[at][1]
+        # Adverts, notices and comments may be longer than an article; layout outside of one isn't it.
+        for i, (names, _, _) in enumerate(soft):
+            out[i] = out[i] or 2 * held[i] > total and names <= LAYOUT and not (full and free[i])
+        # An element in a hinting one is hinted with it, so only whole chains are void.
+        for i, (_, around, _) in enumerate(soft):
+            out[i] = out[i] and (around < 0 or out[around])
+        return out
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node > 0:
+            steps.append(self.step[node])
+            node = self.parent[node]
+        return ">".join(reversed(steps))
+
+    def scores(self) -> dict[int, float]:
+        """Score per container: its own text outside links, and part of what lies up to three levels deeper."""
+        total: dict[int, float] = defaultdict(float)
+        for i, worth in enumerate(self.worth):
+            share, at = max(0.0, worth), i
+            for _ in range(4):
+                if share <= 0 or at < 0:
+                    break
+                total[at] += share
+                share, at = share * 0.6, self.parent[at]
+        return {i: s * (1.5 if _tag(self.step[i]) in ("article", "main") else 1) for i, s in total.items()}
+
+    def raised(self, node: int) -> int:
+        """The container of the whole article whose best part is node: the outermost article or main around it, else
+        the highest container below body up to which link lists and hinted parts add no more than a twentieth."""
+        chain = [node]
+        while self.parent[chain[-1]] > 0:
+            chain.append(self.parent[chain[-1]])
+        for x in ("article", "main"):
+            for i in reversed(chain):
+                if _tag(self.step[i]) == x:
+                    return i
+        kids: dict[int, list[int]] = defaultdict(list)
+        above = set(chain)
+        for i in range(1, len(self.parent)):
+            if self.parent[i] in above:
+                kids[self.parent[i]].append(i)
+        now = branch = node
+        for up in chain[1:]:
+            if _tag(self.step[up]) == "body":
+                break
+            sides = [(self.chars[i], self.linked[i] + self.hinted[i]) for i in kids[up] if i != branch]
+            own = self.chars[up] - sum(self.chars[i] for i in kids[up])
+            alone = own and (own, self.linked[up] - sum(self.linked[i] for i in kids[up]))
+            sides = [s for s in [*sides, alone or (0, 0)] if s[0]]
+            if sum(n for n, m in sides if 3 * m > n) > 0.05 * self.chars[branch]:
+                break
+            if sides:
+                now = up
+            branch = up
+        return now
+
+    def vote(self) -> tuple[int, float]:
+        """The node that the page votes for (-1: none), and its best part's score."""
+        rated = self.scores()
+        if not rated:
+            return -1, 0.0
+        most = max(rated.values())
+        best = [i for i, s in rated.items() if s == most]
+        best = min(best, key=self.path) if len(best) > 1 else best[0]
+        return self.raised(best), most
+
+    def below(self, node: int) -> list[int]:
+        """The nodes with text below node."""
+        inside = [False] * len(self.parent)
+        out = []
+        for i in range(1, len(self.parent)):
+            p = self.parent[i]
+            inside[i] = p == node or inside[p]
+            if inside[i] and self.chars[i]:
+                out.append(i)
+        return out
+
+    def text(self, key: int, skip: set[int]) -> str | None:
+        """Text at and below the container with this path key, without what lies in containers of skip; None where
+        the page has no such container or no text there."""
+        inside, found = [False] * len(self.parent), -1
+        for i, k in enumerate(self.key):
+            p = self.parent[i]
+            if k == key and found < 0:
+                inside[i], found = True, i
             else:
-                marked = (*marked, len(soft))
-                soft.append(names)
-        if not bad and tag in ("article", "main"):
-            articles.append((tag == "main", marked))
-            around = (*around, len(articles) - 1)
-        if tag in CONTAINERS:
-            path = f"{path}>{_step(tag, attrs)}" if path else _step(tag, attrs)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        linked[1] += tag == "a"
-        stack.append((tag, path, bad, marked, around))
-    said(page[at:])
-    flush()
-    fine = _misnamed([b[1:] for b in out], soft, articles)
-    return [b[:3] for b in out if fine.issuperset(b[3])]
-
-
-def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
-    """Score per container path: its blocks' characters outside links, and part of what lies deeper."""
-    total: dict[str, float] = defaultdict(float)
-    for path, text, linked in found:
-        worth, steps = max(0, len(text) - 2 * linked), path.split(">")
-        for k in range(len(steps), max(0, len(steps) - 4), -1):
-            total[">".join(steps[:k])] += worth * 0.6 ** (len(steps) - k)
-    return {p: s * (1.5 if re.match(r"(article|main)\b", p.rsplit(">", 1)[-1]) else 1) for p, s in total.items()}
-
-
-def raised(found: list[tuple[str, str, int]], path: str) -> str:
-    """The container of the whole article whose best part is at path: the article or main around it, else the
-    highest container below body up to which lists of links add no more than a twentieth to the part."""
-    steps = path.split(">")
-    names = [re.match(r"[^.]*", x)[0] for x in steps]
-    for x in ("article", "main"):
-        if x in names:
-            return ">".join(steps[: names.index(x) + 1])
-    now = path
-    for up in range(len(steps) - 1, 0, -1):
-        if names[up - 1] in ("body", "html"):
-            break
-        own, above = 0, ">".join(steps[:up])
-        sides: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for p, text, linked in found:
-            if p == now or p.startswith(now + ">"):
-                own += len(text)
-            elif p == above or p.startswith(above + ">"):
-                side = sides[p[len(above) + 1 :].split(">", 1)[0]]
-                side[0] += len(text)
-                side[1] += linked
-        if sum(n for n, m in sides.values() if 3 * m > n) > 0.05 * own:
-            break
-        if sides:
-            now = above
-    return now
-
-
-def _best(found: list[tuple[str, str, int]]) -> tuple[str | None, float]:
-    """The container path that a page votes for, and its best part's score."""
-    rated = scores(found)
-    if not rated:
-        return None, 0.0
-    best = min(rated, key=lambda p: (-rated[p], p))
-    return raised(found, best), rated[best]
+                inside[i] = p >= 0 and inside[p] and k not in skip
+        if found < 0 or not self.chars[found]:
+            return None
+        joined = (" ".join("".join(p[1] for p in b if inside[p[0]]).split()) for b in self.blocks)
+        return "\n".join(t for t in joined if t)
+
+
+@lru_cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+@lru_cache(1 << 14)
+def _tag(step: str) -> str:
+    return re.match(r"[^.!]*", step)[0]
+
+
+def unlike(chars: int, hinted: int, whole: int) -> bool:
+    """Whether a container below the winner is hinted at by most of its text and has no more than half of the
+    article's: over the pages of a host, or on one page without a host."""
+    return 2 * hinted > chars and 2 * chars <= whole
 
 
 def host_of(url: Column) -> Column:
@@ -266,60 +426,94 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(page: str, path: str | None) -> str:
-    """Text of the containers at or below path, the page's own best if it has none there."""
-    found = blocks(page)
+def extract(page: str, key: int | None, skip: set[int] = frozenset()) -> str:
+    """Text of the container with this path key without the containers of skip; by the page's own vote if it has no
+    text there."""
+    read = Page(page)
+    found = None if key is None else read.text(key, skip)
+    if found is None:
+        node, _ = read.vote()
+        if node < 0:
+            return ""
+        own = {read.key[i] for i in read.below(node) if unlike(read.chars[i], read.hinted[i], read.chars[node])}
+        found = read.text(read.key[node], own)
+    return found or ""
 
-    def within(p: str | None) -> list[str]:
-        return [t for q, t, _ in found if p is not None and (q == p or q.startswith(p + ">"))]
 
-    return "\n".join(within(path) or within(_best(found)[0]))
+_SUBS = "array<struct<key:bigint,chars:bigint,hinted:bigint,hash:bigint>>"
+_VOTE = f"host string, path string, key bigint, score bigint, chars bigint, hash bigint, subs {_SUBS}"
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path, pages: the container path that wins on most pages of the host, then by score, then by
-    name; and on how many pages any path won."""
+def votes(pages: DataFrame) -> DataFrame:
+    """One row per page that has text: host, the path it votes for with its key, score, characters and hash of the
+    text there, and the same of every container below."""
+    sub = pa.struct([(c, pa.int64()) for c in ("key", "chars", "hinted", "hash")])
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), *((c, pa.int64()) for c in ("key", "score", "chars", "hash")), ("subs", pa.list_(sub))])
 
-    @F.pandas_udf("path string, score double")
-    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            best = [_best(blocks(t or "")) for t in texts]
-            yield pd.DataFrame({"path": pd.Series([p for p, _ in best], dtype=object), "score": [n for _, n in best]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                page = Page(text or "")
+                node, score = page.vote()
+                if node >= 0:
+                    subs = [{"key": page.key[i], "chars": page.chars[i], "hinted": page.hinted[i], "hash": page.hash[i] & (2**63 - 1)} for i in page.below(node)]
+                    rows.append((host, page.path(node), page.key[node], int(score), page.chars[node], page.hash[node] & (2**63 - 1), subs))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(7)], schema=schema)
 
-    # Else the filter is pushed below the function and every page is scored twice.
-    vote = vote.asNondeterministic()
-    votes = pages.select(host_of(F.col("url")).alias("host"), vote("html").alias("v")).select("host", "v.*").filter("path is not null")
-    # Scores are summed as whole numbers, so that the order of rows can't matter.
-    per_path = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("bigint")).alias("s"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), F.col("path").alias("path"))).alias("w")
-    return per_path.groupBy("host").agg(best, F.sum("n").alias("pages")).select("host", F.col("w.path").alias("path"), "pages")
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, _VOTE)
 
 
-def extract_pages(pages: DataFrame, hot: int = 1000) -> DataFrame:
+def host_paths(pages: DataFrame) -> DataFrame:
+    """host, path, key, pages, skip: the container path that wins on most pages of the host, then by score, then by
+    name; on how many pages any path won; and the keys of containers below it that aren't the article. Those are
+    the ones that unlike() names over all pages that voted for the path, and those of at most a quarter of the
+    text that say the same on at least REPEATS pages with different articles."""
+    cast = written(votes(pages))
+    # Scores are whole numbers, so that the order of rows can't matter.
+    per_path = cast.groupBy("host", "path", "key").agg(F.count("*").alias("n"), F.sum("score").alias("s"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), F.col("path").alias("path"), F.col("key").alias("key"))).alias("w")
+    winners = per_path.groupBy("host").agg(best, F.sum("n").alias("pages")).select("host", F.col("w.path").alias("path"), F.col("w.key").alias("key"), "pages")
+    subs = cast.select("host", "key", F.col("chars").alias("whole"), F.col("hash").alias("article"), F.explode("subs").alias("s"))
+    # Equal parts of equal articles first, so that the distinct counts run over few rows a group.
+    equal = subs.groupBy("host", "key", F.col("s.key").alias("sub"), F.col("s.hash").alias("said"), "article").agg(F.sum("s.chars").alias("chars"), F.sum("s.hinted").alias("hinted"), F.sum("whole").alias("whole"))
+    shown = equal.groupBy("host", "key", "sub").agg(F.sum("chars").alias("chars"), F.sum("hinted").alias("hinted"), F.sum("whole").alias("whole"), F.count_distinct("said").alias("said"), F.count_distinct("article").alias("articles"))
+    hinted = (2 * F.col("hinted") > F.col("chars")) & (2 * F.col("chars") <= F.col("whole"))
+    repeated = (F.col("articles") >= REPEATS) & (2 * F.col("said") <= F.col("articles")) & (4 * F.col("chars") <= F.col("whole"))
+    skip = shown.filter(hinted | repeated).groupBy("host", "key").agg(F.sort_array(F.collect_list("sub")).alias("skip"))
+    return winners.join(skip, ["host", "key"], "left").select("host", "path", "key", "pages", F.coalesce("skip", F.array().cast("array<bigint>")).alias("skip"))
+
+
+def extract_pages(pages: DataFrame, hot: int = 1000, salts: int = 64) -> DataFrame:
     """pages, every row and column kept, with text ('' if none) and n_chars (code points) added. Null html
-    is empty; null or hostless urls share the host ''. Repeated rows vote and are extracted one by one.
+    is empty; null or hostless urls share the host ''. Repeated rows vote and are extracted one by one. An empty
+    table gives an empty one. The time for a page is linear in its length, whatever its markup.
 
-    Hosts with more than one of hot pages, of which there are fewer than hot, are looked up by broadcast;
-    their pages are dealt out evenly, and only the others meet their winners by host."""
-    host, path, hot_path, text, n_chars, key, key2 = (fresh(pages, c) for c in ("__host", "__path", "__hot_path", "text", "n_chars", "__key", "__key2"))
+    Hosts with more than one of hot pages, of which there are fewer than hot, are known to every task by a hash;
+    their winners are there under each of salts, so their pages meet them in so many groups."""
+    host, salt, key, skip, hot_at, text, n_chars, k1, k2 = (fresh(pages, c) for c in ("__host", "__salt", "__key", "__skip", "__hot", "text", "n_chars", "__k1", "__k2"))
 
+    # Keys come as text: pandas has no 64-bit integers beside nulls.
     @F.pandas_udf("string")
-    def again(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, paths in batches:
-            yield pd.Series([extract(t or "", p) for t, p in zip(texts, paths, strict=True)], dtype=object)
+    def again(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, keys, skips in batches:
+            rows = zip(texts, keys, skips, strict=True)
+            yield pd.Series([extract(t or "", None if k is None else int(k), set() if s is None else set(s)) for t, k, s in rows], dtype=object)
 
     winners = written(host_paths(pages))
     limit = (winners.agg(F.sum("pages")).first()[0] or 0) / hot
-    frequent = winners.filter(F.col("pages") > limit).select(F.col("host").alias(key2), F.col("path").alias(hot_path))
-    named = pages.withColumn(host, host_of(F.col("url"))).join(F.broadcast(frequent), F.col(host) == F.col(key2), "left").drop(key2)
-    # No host has a NUL, so these keys match nothing.
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("url", "html"), F.lit(1 << 16)).cast("string"))
-    named = named.withColumn(host, F.when(F.col(hot_path).isNull(), F.col(host)).otherwise(spread))
-    rest = winners.select(F.col("host").alias(key), F.col("path").alias(path))
-    joined = named.join(rest, F.col(host) == F.col(key), "left").withColumn(path, F.coalesce(hot_path, path))
-    return joined.withColumn(text, again("html", path)).withColumn(n_chars, F.length(text).cast("bigint")).select(*pages.columns, text, n_chars)
+    frequent = winners.filter(F.col("pages") > limit).select(F.xxhash64("host").alias(hot_at)).distinct()
+    is_hot = F.col(hot_at).isNotNull()
+    spread = F.when(is_hot, F.pmod(F.xxhash64("url", "html"), F.lit(salts))).otherwise(F.lit(0)).cast("bigint")
+    named = pages.withColumn(host, host_of(F.col("url"))).join(F.broadcast(frequent), F.xxhash64(F.col(host)) == F.col(hot_at), "left").withColumn(salt, spread).drop(hot_at)
+    many = F.when(F.col("pages") > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    sides = winners.select(F.col("host").alias(k1), F.col("key").cast("string").alias(key), F.col("skip").alias(skip), F.explode(many.cast("array<bigint>")).alias(k2))
+    joined = named.join(sides, (F.col(host) == F.col(k1)) & (F.col(salt) == F.col(k2)), "left")
+    return joined.withColumn(text, again("html", key, skip)).withColumn(n_chars, F.length(text).cast("bigint")).select(*pages.columns, text, n_chars)
 
 
 def op8_extract_html(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars. Null and empty html give '' and 0; repeated
+    rows, null ids and null urls keep a row each; other columns of the table aren't read."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_pages(pages).select("page_id", "url", "text", "n_chars")

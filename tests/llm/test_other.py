@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -163,6 +164,90 @@ def test_pages_query(spark, sf_dir):
         assert r["text"] == "\n".join(x for x in want if x) and r["n_chars"] == len(r["text"])
 
 
+NAMES = ["content", "content no-sidebar", "site-content with-sidebar", "entry-content has-header", "post-tags article-body", "main-form"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_alone_drop_nothing(name):
+    page = f"<body><nav>no</nav><div class='{name}'><h1>T</h1><p>{LONG}</p></div><footer>no</footer></body>"
+    assert html_extract.extract(page, None) == f"T\n{LONG.strip()}"
+
+
+HOSTILE = {"open": "<a ", "bold": "<b>", "stray": "</p>", "div": "<div>", "marks": "<div class=ad>x", "articles": "<article>x", "quotes": "<a b='\">", "comment": "<!--", "less": "< ", "cells": "<tr><td>x", "items": "<li><b>", "number": "&#1", "script": "<script>"}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    def took(times):
+        page = "<ul><table><b>" * 50 + HOSTILE[name] * times
+        start = time.process_time()
+        html_extract.extract(page, 1)
+        node, _ = html_extract.Page(page).vote()
+        return time.process_time() - start
+
+    n = 400_000 // len(HOSTILE[name])
+    small = max(0.05, min(took(n // 4) for _ in range(2)))
+    assert took(n) < 12 * small  # 16 times as long if it were quadratic, and far above that in the forms that once hung
+    assert took(n) < 10
+
+
+def brute_extract(rows):
+    """Texts by id: votes, hosts' winners and what they leave out, by plain loops over the pages."""
+    pages = [(i, re.sub(r"^https?://", "", (u or "").lower()).split("/")[0].split(":")[0] if "//" in (u or "") else "", html_extract.Page(t or "")) for i, u, t in rows]
+    cast = [(h, p, *p.vote()) for _, h, p in pages]
+    out = []
+    for i, h, p in pages:
+        tally = {}
+        for q, r, n, s in cast:
+            if q == h and n >= 0:
+                k = tally.setdefault((r.path(n), r.key[n]), [0, 0])
+                k[0] += 1
+                k[1] += int(s)
+        key, skip = None, set()
+        if tally:
+            key = min(tally, key=lambda x: (-tally[x][0], -tally[x][1], x[0]))[1]
+            shown = {}
+            for q, r, n, _ in cast:
+                if q == h and n >= 0 and r.key[n] == key:
+                    for b in r.below(n):
+                        shown.setdefault(r.key[b], []).append((r.chars[b], r.hinted[b], r.chars[n], r.hash[b], r.hash[n]))
+            for k, seen in shown.items():
+                chars, hinted, whole = (sum(x[j] for x in seen) for j in range(3))
+                said, articles = len({x[3] for x in seen}), len({x[4] for x in seen})
+                if (2 * hinted > chars and 2 * chars <= whole) or (articles >= 4 and 2 * said <= articles and 4 * chars <= whole):
+                    skip.add(k)
+        own = {p.key[b] for n in [p.vote()[0]] if n >= 0 for b in p.below(n) if 2 * p.hinted[b] > p.chars[b] and 2 * p.chars[b] <= p.chars[n]}
+        found = None if key is None else p.text(key, skip)
+        out.append((i, found if found is not None else ("" if p.vote()[0] < 0 else p.text(p.key[p.vote()[0]], own) or "")))
+    return sorted(out, key=repr)
+
+
+def test_votes_against_brute_force(spark):
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(n))
+    shapes = [
+        lambda: f"<div class='post-{r.randint(1, 9)}'><h1>{say(3)}</h1><div class=text><p>{say(60)}<p>{say(20)}</div><div class=comments><p>{say(r.choice([5, 90]))}</div></div>",
+        lambda: f"<article><h1>{say(3)}</h1><div class=bio>about the author</div><section><p>{say(50)}</section><div class=share>{say(4)}</div></article>",
+        lambda: f"<div class=x><p>{say(30)}</div><div class=y><p>{say(40)}</div>",
+        lambda: f"<p>{say(5)}",
+        lambda: "",
+    ]
+    rows = []
+    for i in range(120):
+        host = r.choice(["a.com", "b.com", "c.com", "d.com"])
+        body = r.choice(shapes if host == "d.com" else shapes[:2] if host == "a.com" else shapes[:3])()
+        rows.append((i, r.choice([f"http://{host}/p{i}", f"https://{host.upper()}:80/x"]), f"<html><body><nav>{say(4)}</nav>{body}<div class=ad>{say(9)}</div></body></html>"))
+    rows += [(600 + i, "http://e.com/", f"<body>{shapes[1]()}</body>") for i in range(10)]
+    rows += [(500, None, None), (501, "nonsense", ""), rows[0], (502, "http://a.com/", "<article>" + "<p>long text here</p>" * 40_000)]
+    df = spark.createDataFrame([(*x, "x", "y", "z") for x in rows], "page_id bigint, url string, html string, text string, __key string, __host string")
+    out = html_extract.extract_pages(df)
+    assert out.columns[:6] == df.columns
+    got = sorted(((x["page_id"], x["text_"]) for x in out.collect()), key=repr)
+    assert got == brute_extract(rows)
+    assert not any("about the author" in t for i, t in got if 600 <= i < 610)
+    assert html_extract.extract_pages(df, hot=2, salts=3).select("page_id", "text_").exceptAll(out.select("page_id", "text_")).count() == 0
+
+
 # Mixing
 
 
