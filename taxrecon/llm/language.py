@@ -1,18 +1,20 @@
 """Language identification by cross-parsing entropy.
 
-Labelled text of each language becomes a suffix automaton. A text is parsed into the fewest phrases that
-occur in it: each phrase is the longest match from where the last one ended. Phrases don't cross white
-space, so a word's phrase count is parsed once per task and looked up afterwards. The language that needs
-the fewest bits wins: a phrase costs the log of the longest training length, whatever the language, and a
-character that a language's text lacks the log of the alphabet besides. So a label with little text gains
-nothing from it.
+Labelled text of each language becomes a suffix automaton. A whole text is parsed into phrases that occur in
+it, over word boundaries as well: each phrase is the longest match from where the last one ended. The language
+that needs the fewest bits wins: a phrase costs the log of the longest training length, whatever the language,
+and a character that a language's text lacks the log of the alphabet besides. So a label with little text gains
+nothing from it. Many texts are parsed in step, under all languages at once; nothing is remembered of one text
+for another.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,12 @@ from .common import claim, fresh, table
 from .tokens import balanced
 
 #: Parameters of the bounded training sample: about so many documents and at most so many characters per
-#: language, and characters over all languages; words remembered per task, characters of text handled
-#: together, longest word that is parsed in step with others.
-TRAIN_DOCS, TRAIN_CHARS, ALL_CHARS, CACHE_WORDS, BATCH_CHARS, WORD_CHARS = 300, 40_000, 320_000, 150_000, 1 << 19, 256
-_LETTER = re.compile(r"[^\W\d_]")
+#: language, and so many languages, those with the most documents.
+TRAIN_DOCS, TRAIN_CHARS, MAX_LABELS = 300, 40_000, 256
+#: Parameters of the parse: characters of text handled together, places of a text parsed as one lane (longer texts
+#: take several, which are put together exactly), frequent letters with a column in the tables, and moves from which
+#: on a state has a row there.
+BATCH_CHARS, LANE, FREQUENT, BRANCHES = 1 << 22, 2048, 63, 3
 
 
 def automaton(text: str) -> list[dict[str, int]]:
@@ -57,7 +61,7 @@ def automaton(text: str) -> list[dict[str, int]]:
 
 def phrases(text: str, moves: list[dict[str, int]]) -> int:
     """Phrases of the greedy parse of text, each the longest match from where the last one ended; a
-    character that the automaton lacks ends a phrase."""
+    character that the automaton lacks ends a phrase and leads the next one."""
     n = state = 0
     for c in text:
         if c in moves[state]:
@@ -68,16 +72,16 @@ def phrases(text: str, moves: list[dict[str, int]]) -> int:
     return n + 1 if text else n
 
 
-def training_text(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Lower-case words of a bounded sample per non-null lang. The sample goes by a hash of the row, with a
+def training_text(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS, max_labels: int = MAX_LABELS) -> dict[str, str]:
+    """Lower-case text of a bounded sample per non-null lang. The sample goes by a hash of the row, with a
     rate from the language's count, and each document gives a piece whose place goes by another; it reaches
-    the driver, as its size is bounded by the parameters times the number of labels."""
+    the driver, as its size is bounded by the parameters."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # No document gives more than a hundredth of the sample, so that none sets the tone, unless the sample would
     # stay short: the piece is the smallest of these with which the documents picked fill it twice.
     sizes = [max(200, max_chars // 100) << i for i in range(8)]
     held = [F.sum(F.least(F.length("text"), F.lit(x))).alias(f"held{i}") for i, x in enumerate(sizes)]
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), *held)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), *held).orderBy(F.desc("n"), "lang").limit(max_labels)
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("n"))
     size = F.coalesce(*(F.when(F.col(f"held{i}") * share >= 2 * max_chars, x) for i, x in enumerate(sizes)), F.lit(sizes[-1]))
     counts = counts.select("lang", "n", size.alias("size"))
@@ -87,139 +91,218 @@ def training_text(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int =
     start = F.pmod(F.col("at"), F.greatest(F.lit(1), F.length("t") - F.col("size") + 1)).cast("int") + 1
     # A piece begins with a whole word where words are short enough to tell.
     piece = F.when(F.length("t") <= F.col("size"), F.col("t")).otherwise(F.regexp_replace(F.substring("t", start, F.col("size")), r"^\S{0,40} ", ""))
-    texts = picked.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", piece.alias("t")))), lambda s: s["t"]), " ").alias("t"))
+    # Equal rows share a hash, so a row that is everywhere is held once.
+    pieces = picked.select("lang", "u", piece.alias("t")).distinct()
+    texts = pieces.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("u", "t"))), lambda s: s["t"]), " ").alias("t"))
     return {r["lang"]: (" " + " ".join(r["t"].split()) + " ")[:max_chars] for r in texts.orderBy("lang").collect()}
 
 
-def fitting(sizes: list[int], total: int) -> int:
-    """The largest common limit under which sizes add up to total at most; short ones leave the others theirs."""
-    limit = 0
-    for i, size in enumerate(sorted(sizes)):
-        limit = total // (len(sizes) - i)
-        if size > limit:
-            return limit
-        total -= size
-    return max(sizes, default=limit)
+@lru_cache
+def _kinds() -> np.ndarray:
+    """By code point: 2 for letters, 1 for marks that go with letters, 0 for all else."""
+    kind = {"L": 2, "M": 1}
+    return np.fromiter((kind.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8, 0x110000)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def plain(text: str) -> str:
+    """text in lower case with one space for each run of what is neither letter nor mark, before the first word and
+    after the last."""
+    points = _points(text.lower())
+    words = np.where(_kinds()[points] > 0, points, ord(" ")).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return " " + "".join(f"{w} " for w in words.split(" ") if w)
 
 
 class Parser:
-    """Phrase counts of words under all languages. Words are parsed many at a time: one step takes the next
-    character of each through the automata's tables."""
+    """Phrase counts of texts under all languages. The automata share arrays with moves by state: rows of frequent
+    letters for states that branch, one move beside each state, and the other moves sorted by state and letter."""
 
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
-        limit = fitting([len(t) for t in training.values()], ALL_CHARS)
-        texts = [training[x][:limit] for x in self.langs]
-        letters = sorted(set("".join(texts)))
+        texts = [plain(training[x]) for x in self.langs]
+        letters = [c for c, _ in sorted(Counter("".join(texts)).items(), key=lambda x: (-x[1], x[0]))]
+        if " " not in letters:
+            letters.append(" ")
         #: Bits of a phrase and, besides, of a character that a language lacks.
         self.cost, self.alphabet = math.log2(max([2, *map(len, texts)])), math.log2(len(letters) + 2)
-        #: By code point below 0x10000, the column of a letter; 0 for those that no training text has.
-        self.column = np.zeros(0x10000, np.int32)
-        at = {c: i + 1 for i, c in enumerate(letters) if 0 < ord(c) < 0x10000}
-        for c, i in at.items():
-            self.column[ord(c)] = i
-        self.tables = []
-        for t in texts:
-            moves = automaton(t)
-            table_ = np.zeros((len(moves), len(letters) + 1), np.int32)
-            for state, d in enumerate(moves):
-                for c, to in d.items():
-                    table_[state, at.get(c, 0)] = to
-            table_[:, 0] = 0
-            self.tables.append(table_)
-        #: By column, 1 for the languages that lack the letter.
-        self.lacking = np.stack([t[0] == 0 for t in self.tables], axis=1).astype(np.int64) if texts else np.zeros((1, 0), np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        #: Phrases by language, then unknown characters by language, of the words seen.
-        self.counts = np.zeros((0, 2 * len(self.langs)), np.int64)
-
-    def _columns(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        return self.column[np.where(points < 0x10000, points, 0)]
-
-    def parse(self, words: list[str]) -> np.ndarray:
-        """Phrase counts (words x languages) of words, each between spaces."""
-        size = np.array([len(w) + 2 for w in words])
+        at = {c: i for i, c in enumerate(letters)}
+        #: By code point the column: one for each letter of the training texts, one for other letters, and a space
+        #: for what is no letter.
+        self.space, self.width = at[" "], len(letters) + 1
+        self.column = np.where(_kinds() > 0, len(letters), self.space).astype(np.int32)
+        self.column[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.frequent = min(FREQUENT, len(letters))
+        # State 0 is none; each automaton's states follow those of the one before.
+        self.roots, row, c1, t1, more = [], [0], [-1], [0], [False]
+        rows, keys, values = [np.zeros(self.frequent + 1, np.int32)], [], []
+        self.starts = np.zeros((len(texts), self.width), np.int32)
+        for k, text in enumerate(texts):
+            base = len(row)
+            self.roots.append(base)
+            for state, moves in enumerate(automaton(text)):
+                here = [(at[c], base + to) for c, to in moves.items()]
+                if state == 0:
+                    for c, to in here:
+                        self.starts[k, c] = to
+                if len(here) >= BRANCHES:
+                    own = np.zeros(self.frequent + 1, np.int32)
+                    for c, to in here:
+                        if c < self.frequent:
+                            own[c] = to
+                    row.append(len(rows)), c1.append(-1), t1.append(0)
+                    rows.append(own)
+                    here = [(c, to) for c, to in here if c >= self.frequent]
+                else:
+                    row.append(0), c1.append(here[0][0] if here else -1), t1.append(here[0][1] if here else 0)
+                    here = here[1:]
+                more.append(bool(here))
+                for c, to in here:
+                    keys.append((base + state) * self.width + c), values.append(to)
+        self.row, self.c1, self.t1, self.more = np.array(row, np.int32), np.array(c1, np.int32), np.array(t1, np.int32), np.array(more)
+        self.rows, self.keys, self.values = np.stack(rows), np.array(keys, np.int64), np.array(values, np.int32)
+        order = np.argsort(self.keys)
+        self.keys, self.values = np.append(self.keys[order], np.iinfo(np.int64).max), np.append(self.values[order], 0).astype(np.int32)
+        self.roots = np.array(self.roots, np.int32)
+
+    def _move(self, state: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Next states, 0 where there is none."""
+        to = self.rows[self.row[state], np.minimum(col, self.frequent)]
+        miss = np.flatnonzero(to == 0)
+        s, c = state[miss], col[miss]
+        hit = self.c1[s] == c
+        to[miss[hit]] = self.t1[s[hit]]
+        rest = np.flatnonzero(self.more[s] & ~hit)
+        if len(rest):
+            key = s[rest].astype(np.int64) * self.width + c[rest]
+            i = np.searchsorted(self.keys, key)
+            to[miss[rest]] = np.where(self.keys[i] == key, self.values[i], 0)
+        return to
+
+    def columns(self, text: str) -> tuple[np.ndarray, bool]:
+        """The text as columns, in lower case, with one space for each run of what is no letter, before the first
+        and after the last; and whether there is a letter."""
+        points = _points(text.lower())
+        cols = np.empty(len(points) + 2, np.int32)
+        cols[0] = cols[-1] = self.space
+        cols[1:-1] = self.column[points]
+        blank = cols == self.space
+        keep = ~blank
+        keep[0] = True
+        keep[1:] |= ~blank[:-1]
+        return cols[keep], bool((_kinds()[points] == 2).any())
+
+    def _lanes(self, texts: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """Of texts parsed apart, by language and text: how often a phrase ends and another starts, and the
+        characters lacking; and of the texts wanted the places of these ends as (step, language * texts + text)."""
+        size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")
-        cols = self._columns("".join(f" {words[i]} " for i in order.tolist()))
-        size = size[order]
-        start = np.cumsum(size) - size
-        # How many words, the longest first, have a character at each place.
-        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right") if len(size) else []
-        out = np.ones((len(words), len(self.langs)), np.int64)
-        for k, table_ in enumerate(self.tables):
-            state, n = np.zeros(len(words), np.int32), np.ones(len(words), np.int64)
-            for step, m in enumerate(alive):
-                c = cols[start[:m] + step]
-                to = table_[state[:m], c]
-                stuck = to == 0
-                n[:m] += stuck
-                state[:m] = np.where(stuck, table_[0, c], to)
-            out[order, k] = n
-        return out
-
-    def lacks(self, words: list[str]) -> np.ndarray:
-        """Characters (words x languages) of words that a language's training text lacks."""
-        if not words:
-            return np.zeros((0, len(self.langs)), np.int64)
-        size = np.array([len(w) for w in words])
-        return np.add.reduceat(self.lacking[self._columns("".join(words))], np.cumsum(size) - size)
-
-    def _parse_long(self, word: str) -> np.ndarray:
-        cols = self._columns(f" {word} ").tolist()
-        out = []
-        for table_ in self.tables:
-            n, state = 1, 0
-            for c in cols:
-                to = table_.item(state, c)
-                if not to:
-                    n += 1
-                    to = table_.item(0, c)
-                state = to
-            out.append(n)
-        return np.array(out, np.int64)
+        cols, size = np.concatenate([texts[i] for i in order.tolist()]), size[order]
+        start, n_langs = np.cumsum(size) - size, len(self.langs)
+        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist()
+        ends, lacks = np.zeros((n_langs, len(texts)), np.int64), np.zeros((n_langs, len(texts)), np.int64)
+        state, seen = np.zeros((n_langs, len(texts)), np.int32), []
+        for step, m in enumerate(alive):
+            c = cols[start[:m] + step]
+            first = self.starts[:, c]
+            if step:
+                to = self._move(np.ascontiguousarray(state[:, :m]).ravel(), np.tile(c, n_langs)).reshape(n_langs, m)
+                k, i = np.nonzero(to == 0)
+                ends[k, i] += 1
+                to[k, i] = first[k, i]
+                if wanted.any():
+                    which = wanted[order[i]]
+                    seen.append((step, k[which] * len(texts) + order[i[which]]))
+            else:
+                to = first
+            k, i = np.nonzero(to == 0)
+            lacks[k, i] += 1
+            to[k, i] = self.roots[k]
+            state = to
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return ends[:, back], lacks[:, back], seen
+
+    def _phrase_end(self, cols: np.ndarray, at: int, k: int) -> int:
+        """Where the phrase that starts at a place of a text ends."""
+        state = self.starts.item(k, cols.item(at)) or self.roots.item(k)
+        for i in range(at + 1, len(cols)):
+            c = cols.item(i)
+            to = self.rows.item(self.row.item(state), min(c, self.frequent))
+            if not to and self.c1.item(state) == c:
+                to = self.t1.item(state)
+            if not to and self.more.item(state):
+                key = state * self.width + c
+                j = int(np.searchsorted(self.keys, key))
+                to = self.values.item(j) if self.keys.item(j) == key else 0
+            if not to:
+                return i
+            state = to
+        return len(cols)
+
+    def _joined(self, cols: np.ndarray, own: list[np.ndarray], k: int) -> int:
+        """Ends of phrases inside a text whose lanes of LANE places were parsed apart, each from its first place. own:
+        places of these ends by lane. A phrase depends on where it starts alone, so the parses of a lane agree from
+        the first start that they share."""
+        n, at = 0, 0
+        for j, ends in enumerate(own):
+            begin, stop = j * LANE, min((j + 1) * LANE, len(cols))
+            while at < stop:
+                i = int(np.searchsorted(ends, at, side="right"))
+                if i < len(ends) and (at == begin or i and ends[i - 1] == at):
+                    n, at = n + len(ends) - i, int(ends[-1])
+                at = self._phrase_end(cols, at, k)
+                n += at < len(cols)
+        return n
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases and lacking characters (texts x languages) of whole texts, and which have a letter."""
+        total, lacks = (np.zeros((len(texts), len(self.langs)), np.int64) for _ in range(2))
+        spoken = np.zeros(len(texts), bool)
+        for a, b in balanced([len(t) for t in texts], BATCH_CHARS):
+            read = [self.columns(t) for t in texts[a:b]]
+            spoken[a:b] = [x for _, x in read]
+            lanes, owner = [], []
+            for i, (cols, _) in enumerate(read):
+                for p in range(0, len(cols), LANE):
+                    lanes.append(cols[p : p + LANE]), owner.append(i)
+            owner = np.array(owner)
+            several = np.bincount(owner, minlength=b - a) > 1
+            single = ~several[owner]
+            ends, lacking, seen = self._lanes(lanes, ~single)
+            np.add.at(lacks, a + owner, lacking.T)
+            total[a + owner[single]] = ends.T[single] + 1
+            if several.any():
+                steps = np.repeat([s for s, _ in seen], [len(x) for _, x in seen])
+                lane = np.concatenate([x for _, x in seen])
+                by = np.lexsort((steps, lane))
+                lane, steps = lane[by], steps[by]
+                for i in np.flatnonzero(several).tolist():
+                    of = np.flatnonzero(owner == i)
+                    for k in range(len(self.langs)):
+                        cut = np.searchsorted(lane, [k * len(lanes) + of[0], k * len(lanes) + of[-1] + 1])
+                        part, at = lane[cut[0] : cut[1]] - (k * len(lanes) + of[0]), steps[cut[0] : cut[1]]
+                        edge = np.searchsorted(part, np.arange(len(of) + 1))
+                        own = [at[edge[j] : edge[j + 1]] + j * LANE for j in range(len(of))]
+                        total[a + i, k] = self._joined(read[i][0], own, k) + 1
+        return total, lacks, spoken
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """Phrases (texts x languages) of whole texts."""
-        return self._sums(texts)[:, : len(self.langs)]
-
-    def _sums(self, texts: list[str]) -> np.ndarray:
-        """Phrases by language, then unknown characters by language, of whole texts."""
-        out = np.zeros((len(texts), 2 * len(self.langs)), np.int64)
-        for a, b in balanced([len(t) for t in texts], BATCH_CHARS):
-            parts = [t.lower().split() for t in texts[a:b]]
-            known: set[str] = set()
-            for p in parts:
-                known.update(p)
-            long = {w: np.concatenate([self._parse_long(w), self.lacks([w])[0]]) * (_LETTER.search(w) is not None) for w in known if len(w) > WORD_CHARS}
-            if len(self.seen) + len(known) > CACHE_WORDS:
-                self._forget()
-            new = [w for w in known if w not in self.seen and w not in long]
-            if new:
-                self.seen.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
-                # Words without a letter say nothing of the language.
-                spoken = np.fromiter((_LETTER.search(w) is not None for w in new), bool, len(new))
-                self.counts = np.concatenate([self.counts, np.hstack([self.parse(new), self.lacks(new)]) * spoken[:, None]])
-            for i, p in enumerate(parts):
-                if long:
-                    out[a + i] += sum((long[w] for w in p if w in long), np.zeros(2 * len(self.langs), np.int64))
-                    p = [w for w in p if w not in long]
-                rows = np.fromiter(map(self.seen.__getitem__, p), np.int64, len(p))
-                out[a + i] += self.counts[rows].sum(axis=0)
-        return out
+        return self.counts(texts)[0]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and its lead over the second (0 none, towards 1 all); ties go to the
         first label. und and 0 for null, for no letter, and where nothing was learned."""
-        fit = [bool(t) and bool(self.langs) and _LETTER.search(t) is not None for t in texts]
-        sums = self._sums([t if f else "" for t, f in zip(texts, fit, strict=True)])
-        bits = sums[:, : len(self.langs)] * self.cost + sums[:, len(self.langs) :] * self.alphabet
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        total, lacks, spoken = self.counts([t or "" for t in texts])
+        bits = total * self.cost + lacks * self.alphabet
         out = []
-        for f, row in zip(fit, bits, strict=True):
-            if not f:
+        for fit, row in zip(spoken.tolist(), bits, strict=True):
+            if not fit:
                 out.append(("und", 0.0))
                 continue
             best = int(row.argmin())
@@ -255,8 +338,10 @@ def predicted(text: Column, training) -> Column:
 
 
 def identify(docs: DataFrame, train: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> DataFrame:
-    """docs, every row and column kept, with lang_pred and score, learned from text and lang of train.
-    und, with score 0: null text, text without a letter, or nothing to learn from. Only text is read."""
+    """docs, every row and column kept, with lang_pred and score (lang_pred_ and so on where docs has such a column
+    already), learned from text and lang of train. und, with score 0: null text, text without a letter, or nothing to
+    learn from. Only text is read; repeated rows and null ids keep a row each, and a text of any length is parsed
+    whole."""
     out = fresh(docs, "__lid")
     names = [fresh(docs, c) for c in ("lang_pred", "score")]
     training = docs.sparkSession.sparkContext.broadcast(training_text(train, max_docs, max_chars))
@@ -270,6 +355,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every document: doc_id, held_out, lang_pred, score, learned from rows that aren't held out.
+    Null texts and texts without a letter are und; repeated rows keep a row each; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     train = docs.filter(~held_out(F.col("doc_id")))
     return identify(docs.select("doc_id", "text"), train).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

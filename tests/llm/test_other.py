@@ -11,43 +11,74 @@ from taxrecon.llm import html_extract, language, mixing, topk_search
 # Language ID
 
 
+def longest_matches(s, text):
+    """Phrases of s: at each place the longest one in text; a character that text lacks leads the next phrase."""
+    n = i = 0
+    while i < len(s):
+        n += 1
+        k = 0 if s[i] in text else 1
+        start = i + k
+        while start + k < len(s) + 1 and s[start : i + k + 1] in text and i + k < len(s):
+            k += 1
+        i += max(k, 1)
+    return n
+
+
 def test_parse_is_the_longest_match():
-    text = "the cat sat on the mat that the rat had"
+    text = " the cat sat on the mat that the rat had "
     moves = language.automaton(text)
     r = random.Random(1)
-    for _ in range(300):
-        s = "".join(r.choices("thecas xz", k=r.randint(1, 20)))
-        n = i = 0
-        while i < len(s):
-            k = 0
-            while i + k < len(s) and s[i : i + k + 1] in text:
-                k += 1
-            if k == 0:  # an unknown character ends a phrase and leads the next
-                n += 1
-                i += 1
-                if i == len(s):
-                    n += 1
-                continue
-            i += k
-            n += i < len(s) and s[i] in text
-            n += i == len(s)
-            if i < len(s) and s[i] not in text:
-                pass
-        got = language.phrases(s, moves)
-        assert got >= 1
-        if all(c in text for c in s):
-            assert got == n
-
-
-def test_vectors_equal_the_plain_parse():
-    training = {"a": "hello world the cat " * 20, "b": "bonjour le monde chat " * 20}
+    for _ in range(500):
+        s = " " + "".join(r.choices("thecas xz", k=r.randint(0, 30)))
+        assert language.phrases(s, moves) == longest_matches(s, text)
+
+
+SCRIPTS = {"a": "abcdefgh", "b": "abcdeé", "c": "".join(map(chr, range(0x4E00, 0x4F00))), "g": "".join(map(chr, range(0x10330, 0x1034A))), "h": "कखगािु"}
+
+
+@pytest.mark.parametrize(("lane", "branches", "frequent"), [(7, 2, 5), (64, 3, 63), (2048, 1, 3)])
+def test_whole_texts_equal_the_plain_parse(monkeypatch, lane, branches, frequent):
+    for name, value in (("LANE", lane), ("BRANCHES", branches), ("FREQUENT", frequent), ("BATCH_CHARS", 3000)):
+        monkeypatch.setattr(language, name, value)
+    r = random.Random(lane)
+    words = {k: ["".join(r.choices(x, k=r.randint(1, 6))) for _ in range(200)] for k, x in SCRIPTS.items()}
+    training = {k: language.plain(" ".join(r.choices(w, k=400))) for k, w in words.items()}
+    moves = {k: language.automaton(t) for k, t in training.items()}
+    texts = ["", " ", "12 ?!", "x", "ß", "½"]
+    texts += [" ".join(r.choice(words[r.choice("abcgh")]) + r.choice(["", ",", ". ", "1", " X", "😀"]) for _ in range(r.choice([1, 30, 300]))) for _ in range(40)]
+    p = language.Parser(training)
+    total, lacks, spoken = p.counts(texts)
+    plain = [language.plain(t) for t in texts]
+    assert total.tolist() == [[language.phrases(t, moves[k]) for k in p.langs] for t in plain]
+    assert lacks.tolist() == [[sum(c not in training[k] for c in t) for k in p.langs] for t in plain]
+    assert spoken.tolist() == [any(c.isalpha() for c in t) for t in texts]
+    assert language.Parser({}).predict(["a", None]) == [("und", 0.0)] * 2
+
+
+def test_scripts_beyond_the_basic_plane_and_memory():
+    r = random.Random(2)
+    sample = lambda x: " ".join("".join(r.choices(x, k=r.randint(1, 5))) for _ in range(10_000))
+    big = {f"z{i}": "".join(map(chr, range(0x4E00 + 2000 * i, 0x4E00 + 2000 * i + 3000))) for i in range(7)}
+    training = {k: sample(x)[:40_000] for k, x in {**big, "got": SCRIPTS["g"], "en": "abcdefghij"}.items()}
     p = language.Parser(training)
-    words = ["hello", "monde", "x", "日本", "hellomonde", "q" * 300, "é"]
-    want = [[language.phrases(f" {w} ", language.automaton(training[k])) for k in "ab"] for w in words]
-    assert p.parse(words).tolist() == want
-    assert p._parse_long(words[5]).tolist() == want[5]
-    text = " ".join(words * 3)
-    assert p.totals([text, ""]).tolist() == [np.array(want * 3).sum(axis=0).tolist(), [0, 0]]
+    assert sum(x.nbytes for x in (p.rows, p.row, p.c1, p.t1, p.more, p.keys, p.values, p.starts, p.column)) < 64 << 20
+    found = p.predict([sample(SCRIPTS["g"])[:300], sample("abcdefghij")[:300], sample(big["z3"])[:300]])
+    assert [x for x, _ in found] == ["got", "en", "z3"]
+
+
+def test_query_equals_a_plain_parse(spark, sf_dir):
+    """The registered query against automata walked one text and one language at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    training = {k: language.plain(t) for k, t in language.training_text(docs.filter(~language.held_out(docs.doc_id))).items()}
+    moves = {k: language.automaton(t) for k, t in training.items()}
+    cost, alphabet = np.log2(max(map(len, training.values()))), np.log2(len(set("".join(training.values()))) + 2)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in language.op7_language_id(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i in sorted(texts)[::4]:
+        t = language.plain(texts[i])
+        bits = {k: language.phrases(t, m) * cost + sum(c not in training[k] for c in t) * alphabet for k, m in moves.items()}
+        assert got[i] == (min(sorted(bits), key=bits.get) if any(c.isalpha() for c in texts[i]) else "und")
 
 
 def test_language_edges(spark):
@@ -55,8 +86,9 @@ def test_language_edges(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, df).collect()}
     assert got == {1: "und", 2: "und", 3: "und", 4: "en", None: "fr", 5: "fr"}
-    nothing = language.identify(df.withColumnRenamed("lang", "lang_pred").withColumnRenamed("lang_pred", "lang"), df.limit(0)).collect()
-    assert {r["lang_pred"] for r in nothing} == {"und"} and len(nothing) == len(rows)
+    nothing = language.identify(df.selectExpr("*", "'x' AS lang_pred", "'y' AS score", "'z' AS __lid"), df.limit(0))
+    assert nothing.columns == ["doc_id", "text", "lang", "lang_pred", "score", "__lid", "lang_pred_", "score_"]
+    assert {(r["lang_pred"], r["lang_pred_"]) for r in nothing.collect()} == {("x", "und")} and nothing.count() == len(rows)
     assert language.identify(df.limit(0), df).count() == 0
 
 
@@ -85,10 +117,6 @@ def test_training_reads_all_of_a_document(spark):
     assert got["fr"] == " " + "solo " * 500 + "end " and len(got["de"]) == language.TRAIN_CHARS
 
 
-def test_short_texts_leave_the_others_room():
-    assert language.fitting([4, 100, 100], 104) == 50 and language.fitting([4, 5], 100) == 5 and language.fitting([], 9) == 0
-
-
 # HTML
 
 
