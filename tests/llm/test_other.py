@@ -340,3 +340,51 @@ def test_search_edges(spark):
     got = [tuple(r) for r in topk_search.top_k(df, df.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 65536), (0, 2, 50, 32768), (50, 1, 0, 32768), (50, 2, 1, 32768)]
     assert topk_search.top_k(df.limit(0), df, 5).count() == 0 and topk_search.top_k(df, df.limit(0), 5).count() == 0
+
+
+def clustered(r, n, dim, groups, spread=3):
+    return (r.normal(0, spread, (n, dim)) + r.integers(-300, 300, (groups, dim))[r.integers(0, groups, n)]).astype(np.int64)
+
+
+def test_cover_tree_keeps_its_promises():
+    r = np.random.default_rng(9)
+    for x in (clustered(r, 3000, 4, 20), clustered(r, 2000, 3, 300), r.normal(0, 60, (1500, 2)), r.normal(0, 60, (600, 64)), np.ones((300, 3))):
+        x = x.astype(float)
+        order, nodes, centres = topk_search.cover_tree(x)
+        assert sorted(order.tolist()) == list(range(len(x)))
+        split = 0
+        for i, n in enumerate(nodes):
+            assert (np.sqrt(((x[order[n["lo"] : n["hi"]]] - centres[i]) ** 2).sum(axis=1)) <= n["radius"] + 1e-9).all()
+            kids = range(n["kids"], n["kids"] + n["n_kids"])
+            split += bool(n["n_kids"])
+            assert all(nodes[k]["radius"] <= n["radius"] / 2 for k in kids)
+            assert all(np.sqrt(((centres[a] - centres[b]) ** 2).sum()) > n["radius"] / 2 for a in kids for b in kids if a < b)
+        assert split or len(x) in (600, 300)
+
+
+def test_the_trees_leave_most_pairs_out():
+    r = np.random.default_rng(3)
+    x = clustered(r, 4000, 6, 40)
+    order, nodes, centres = topk_search.cover_tree(x.astype(float))
+    q = x[order[:200]]
+    qo, qn, qc = topk_search.cover_tree(q.astype(float))
+    met = []
+    topk_search.search(q[qo], np.arange(200), (qn, qc), x[order], np.arange(4000), (nodes, centres), 5, met=met)
+    assert 0 < sum(met) < 0.25 * 200 * 4000
+
+
+@pytest.mark.parametrize("kind", ["clustered", "flat", "hot"])
+def test_shards_against_brute_force(spark, monkeypatch, kind):
+    for name, value in (("SHARD_ROWS", 50), ("QUERY_ROWS", 16), ("LEAF", 4), ("LANE", 3), ("ROOTS", 7)):
+        monkeypatch.setattr(topk_search, name, value)
+    r = np.random.default_rng(5)
+    x = {"clustered": clustered(r, 600, 3, 12), "flat": r.integers(-256, 256, (600, 3)), "hot": np.where(r.random((600, 1)) < 0.4, 9, r.integers(-50, 50, (600, 3)))}[kind]
+    rows = [(i, [v / 256 for v in x[i].tolist()]) for i in range(600)] + [(600 + i, [0.5] * (1 + i % 2)) for i in range(6)] + [(650, [])]
+    df = spark.createDataFrame([(*t, 1.0, "x") for t in rows], "vec_id bigint, embedding array<double>, score double, part string")
+    got = sorted(tuple(t) for t in topk_search.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect())
+    want = []
+    for i, v in rows:
+        if i % 50 == 0:
+            best = sorted((-sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i and len(w) == len(v))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
