@@ -7,22 +7,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that sessions of this process have written, for cleanup().
+_tables: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where spark.checkpoint.dir is unset."""
+    """The session's checkpoint folder. Where spark.checkpoint.dir is unset, a local master gets one of its own; on a
+    cluster that is an error, as executors would write where nobody else can read."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: lineage ends in the shared folder, so a lost executor costs nothing upstream."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table, read again: computed once however often it is used."""
+def written(df: DataFrame, *partition: str) -> DataFrame:
+    """df as a Parquet table, read again: computed once however often it is used, and read by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
+    _tables.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path) if partition else df.sparkSession.read.parquet(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written so far; for when their results have been stored."""
+    for path in _tables:
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+    n = len(_tables)
+    _tables.clear()
+    return n
