@@ -12,6 +12,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed as cut
+from ..sources.storage import written
+
+__all__ = ["claim", "cut", "fresh", "hash128", "importable", "partitions", "table", "written"]
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 
@@ -44,29 +49,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is set (tests)."""
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in the shared folder, so a lost executor costs nothing upstream."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: columnar, compressed, read again by column."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,20 +64,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with dense numbers from 0 in partition order. df is checkpointed first, so that the partitions,
-    and with them the numbers, stay as they are when tasks run again. Only one count per partition
-    reaches the driver."""
-    kept = cut(df)
-    place = F.monotonically_increasing_id()
-    part, local = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted((r[0], r[1]) for r in kept.select(part.alias("p")).groupBy("p").count().collect())
-    starts, total = {}, 0
-    for p, n in counts:
-        starts[p] = total
-        total += n
-    offsets = [starts.get(p, 0) for p in range(max(starts, default=-1) + 1)] or [0]
-    at = F.get(F.lit(offsets).cast("array<bigint>"), part.cast("int"))
-    return kept.withColumn(name, at + local)
