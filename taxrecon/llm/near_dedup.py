@@ -3,12 +3,14 @@
 Texts become sets of hashed five-word n-grams. Equal sets are one class, represented by its smallest
 document. Classes that share a band of their MinHash signature meet in a bucket; every pair in a bucket is
 verified on the full sets. Buckets are worked in blocks: a task holds two blocks of bounded size and
-returns link counts and a spanning forest, never the pairs, so a bucket of any size stays exact.
+returns link counts and a spanning forest, never the pairs, so a bucket of any size stays exact. The blocks of a
+large bucket go by the size of the sets, and blocks whose sizes rule a link out don't meet.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,12 +19,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import claim, cut, partitions, table, written
+from .common import claim, cut, table, written
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 4
-#: Parameters: classes in a block, words remembered per task.
-BLOCK, CACHE_WORDS = 256, 250_000
+#: Parameters: classes in a block, words remembered per task, salts of a node with many edges.
+BLOCK, CACHE_WORDS, SALTS = 256, 250_000, 32
+#: Scripts written without spaces, of which every character is a word where characters are asked for.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -38,10 +43,11 @@ def _hold_words() -> None:
     claim("words", _words.clear)
 
 
-def ngrams(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-grams of text's words (lower case, by white space). Fewer
-    words than n are one n-gram; no words none."""
-    words = (text or "").lower().split()
+def ngrams(text: str | None, n: int = N, characters: bool = False) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct n-grams of text's words (lower case, by white space; with characters, every
+    character of a script without spaces is a word too). Fewer words than n are one n-gram; no words none."""
+    text = (text or "").lower()
+    words = (_WIDE.sub(r" \g<0> ", text) if characters and not text.isascii() else text).split()
     if not words:
         return np.empty(0, np.uint64)
     new = [w for w in set(words) if w not in _words]
@@ -85,21 +91,22 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> list[int]:
     return (mix >> np.uint64(1)).astype(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int) -> DataFrame:
-    """k, set_key (128-bit digest of the n-gram set, null for empty sets), grams (count), bands."""
-    schema = pa.schema([("k", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int, characters: bool = False) -> DataFrame:
+    """k, set_key (128-bit digest of the n-gram set, null for empty sets), size (of the set), bands."""
+    schema = pa.schema([("k", pa.int64()), ("set_key", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _hold_words()
         for b in batches:
-            keys, hashes = [], []
+            keys, sizes, hashes = [], [], []
             for t in b.column("t").to_pylist():
-                g = ngrams(t, n)
+                g = ngrams(t, n, characters)
+                sizes.append(len(g))
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 hashes.append(band_hashes(g, bands, rows) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(keys, pa.binary()), pa.array(hashes, schema.field(2).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, schema.field(3).type)], schema=schema)
 
-    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, set_key binary, bands array<bigint>")
+    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k bigint, set_key binary, size bigint, bands array<bigint>")
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -181,10 +188,18 @@ def _verify(threshold: float):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _star(edges: DataFrame, side: DataFrame, on: str, how: str) -> DataFrame:
+    """edges (u, v) with side by one of their nodes. A node with many edges is dealt out over SALTS; side holds few nodes
+    and is there under each salt."""
+    salt = F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int")
+    copies = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", salt).join(copies, [on, "salt"], how).drop("salt")
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """v, class: for nodes of edges (u, v, both not null) the smallest node that they are connected to. Alternating large and
-    small stars; each round's edges are checkpointed."""
-    n = max(1, min(partitions(edges.sparkSession), 64))
+    small stars; each round's edges are checkpointed. Rounds grow with the square of the log of the nodes at most; if edges
+    still change after rounds, that is an error."""
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
 
     def summary(e: DataFrame):
@@ -194,40 +209,46 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        # Large star: neighbours above a node go to its smallest neighbour.
+        # Large star: neighbours above a node go to its smallest neighbour, where that is below the node itself.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lower = both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").select(F.col("u").alias("v"), "m")
+        large = _star(now, lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Small star: a node and its neighbours below go to the smallest of these.
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = cut(small.filter("u <> v").distinct().coalesce(n))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        several = low.filter("m < most").select("u", "m")
+        small = _star(large, several, "u", "inner").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        now = cut(small.filter("u <> v").distinct())
         new = summary(now)
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     tops = now.groupBy("u").agg(F.min("v").alias("class"))
     return tops.select(F.col("u").alias("v"), "class").union(now.select("v", F.col("v").alias("class")).distinct())
 
 
-def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK, characters: bool = False) -> DataFrame:
     """One row per document: key, set_id (smallest key with the same n-gram set), class_id (smallest key it
     is linked to through any chain), n_links (other n-gram sets at threshold or above), n_linked_docs (the
     documents behind these, and the other documents of its own set).
 
     Texts without words, or null, link to nothing: each is its own class. Rows with a null key come back
     with null classes and no links. A key that repeats is one document; if its texts differ, the one whose
-    set has the smallest digest stands for it. Keys are taken as bigint."""
+    set has the smallest digest stands for it. Keys are taken as bigint. Texts of any length count whole; an empty table
+    gives no rows; other columns aren't read. A text without white space is one word and links to its copies alone,
+    unless characters is set (see ngrams)."""
     bands = bands_for(threshold, recall, rows)
-    signed = written(signatures(docs, text, key, n, bands, rows))
-    full = signed.filter("k is not null and set_key is not null").groupBy("k").agg(F.min(F.struct("set_key", "bands")).alias("s")).select("k", "s.*")
-    sets = written(full.groupBy("set_key").agg(F.min("k").alias("set_id"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    entries = sets.select("set_id", F.explode("bands").alias("bucket"))
+    signed = written(signatures(docs, text, key, n, bands, rows, characters))
+    full = signed.filter("k is not null and set_key is not null").groupBy("k").agg(F.min(F.struct("set_key", "size", "bands")).alias("s")).select("k", "s.*")
+    # Sets at the threshold or above are at most one step of size apart.
+    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("bigint") if threshold < 1 else F.col("size")
+    sets = written(full.groupBy("set_key", "size").agg(F.min("k").alias("set_id"), F.count("*").alias("n"), F.first("bands").alias("bands")).withColumn("step", step))
+    entries = sets.select("set_id", "step", F.explode("bands").alias("bucket"))
     # Buckets with the same members do the work once.
     crowd = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), "set_id").cast("decimal(20,0)")).alias("b")).filter("m > 1")
     kept = crowd.groupBy("m", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
-    members = written(entries.join(kept, "bucket"))
+    members = written(entries.join(kept, "bucket").withColumn("step", F.when(F.col("m") > block, F.col("step")).otherwise(0)))
     mine = members.groupBy("set_id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets")).join(sets.select("set_id", "set_key"), "set_id").withColumnRenamed("set_id", "k")
     texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).join(mine, "k").groupBy("k").agg(F.first("set_key").alias("set_key"), F.first("buckets").alias("buckets"), F.collect_set("t").alias("t"))
     schema = pa.schema([("k", pa.int64()), ("buckets", pa.list_(pa.int64())), ("grams", pa.binary())])
@@ -237,14 +258,23 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
         for b in batches:
             found = []
             for set_key, choice in zip(b.column("set_key").to_pylist(), b.column("t").to_pylist(), strict=True):
-                every = (ngrams(t, n).tobytes() for t in choice)
+                every = (ngrams(t, n, characters).tobytes() for t in choice)
                 found.append(next(g for g in every if xxhash.xxh3_128_digest(g) == set_key))
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("buckets").cast(schema.field(1).type), pa.array(found, pa.binary())], schema=schema)
 
     hashed = texts.mapInArrow(grams, "k bigint, buckets array<bigint>, grams binary")
-    parts = F.ceil(F.col("m") / block).cast("int")
-    dealt = members.select("bucket", F.col("set_id").alias("k"), "m").join(sets.select(F.col("set_id").alias("k"), "n"), "k")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k", "bucket"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # By bucket and step the number of blocks, and that of the steps next to it.
+    by_step = Window.partitionBy("bucket").orderBy("step")
+    crowds = members.groupBy("bucket", "step").agg(F.ceil(F.count("*") / block).cast("bigint").alias("parts"))
+    beside = [(F.when(f("step").over(by_step) == F.col("step") + d, f("parts").over(by_step))) for f, d in ((F.lag, -1), (F.lead, 1))]
+    crowds = crowds.withColumns({"below": F.coalesce(beside[0], F.lit(0)), "above": F.coalesce(beside[1], F.lit(0))})
+    dealt = members.select("bucket", F.col("set_id").alias("k"), "step").join(crowds, ["bucket", "step"]).join(sets.select(F.col("set_id").alias("k"), "n"), "k")
+
+    def blocks(of, count):
+        return F.transform(F.slice(F.sequence(F.lit(0).cast("bigint"), F.greatest(count - 1, F.lit(0))), 1, count.cast("int")), lambda i: F.shiftleft(of, 24) + i)
+
+    others = F.concat(blocks(F.col("step"), F.col("parts")), blocks(F.col("step") - 1, F.col("below")), blocks(F.col("step") + 1, F.col("above")))
+    dealt = dealt.withColumn("block", F.shiftleft("step", 24) + F.pmod(F.xxhash64("k", "bucket"), F.col("parts"))).withColumn("other", F.explode(others))
     dealt = dealt.select("bucket", "k", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     work = hashed.join(dealt, "k").select("bucket", "i", "j", "k", "n", "block", F.filter("buckets", lambda b: b < F.col("bucket")).alias("earlier"), "grams")
     verified = written(work.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_verify(threshold), "k bigint, other bigint, links bigint, weight bigint"))
@@ -259,4 +289,6 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """One row per document of the table: doc_id, set_id, class_id, n_links, n_linked_docs, by word 5-grams at 0.8. Edge
+    cases are those of jaccard_classes()."""
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
