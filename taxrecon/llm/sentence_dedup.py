@@ -20,19 +20,22 @@ from pyspark.sql.window import Window
 
 from .common import fresh, table
 
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\"')\]»”’]*|$)")
+_SENTENCE = re.compile(r"[^.!?\n。！？｡]*(?:[.!?\n。！？｡]+[\"')\]»”’」』）]*|$)")
+#: Scripts written without spaces, of which every character counts as a word.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _PACKED = np.dtype([("k", "<i8"), ("h", "<i8"), ("h1", "<u8"), ("h2", "<u4"), ("first", "<i4"), ("last", "<i4")])
 #: Parameters: a span has this many sentences and words, or is one sentence of so many words.
 SENTENCES, WORDS, ALONE = 2, 20, 50
-#: Documents per shard of the global join, and texts whose spans are dealt together.
-SHARD_DOCS, BATCH_CHARS = 2_000, 16 << 20
+#: Characters of text per shard of the global join, and those of texts whose spans are dealt together.
+SHARD_CHARS, BATCH_CHARS = 8 << 20, 16 << 20
 
 
 def sentences(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
     """(start, end, words in lower case) of each sentence that has words; end is past its last mark."""
     out = []
     for m in _SENTENCE.finditer(text):
-        if words := m[0].lower().split():
+        low = m[0].lower()
+        if words := (low if low.isascii() else _WIDE.sub(r" \g<0> ", low)).split():
             out.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), tuple(words)))
     return out
 
@@ -126,12 +129,12 @@ def _later(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = np.concatenate(parts) if parts else np.empty(0, _PACKED)
     rows = rows[np.lexsort((rows["first"], rows["h"], rows["k"]))]
     # Spans of one document that meet are joined here already.
-    reach = rows["last"].copy()
-    new = np.ones(len(rows), bool)
-    for i in range(1, len(rows)):
-        if rows["k"][i] == rows["k"][i - 1] and rows["h"][i] == rows["h"][i - 1] and rows["first"][i] <= reach[i - 1]:
-            new[i] = False
-            reach[i] = max(reach[i], reach[i - 1])
+    # One running maximum serves all documents: each is lifted above the one before it.
+    doc = np.cumsum(np.r_[False, (rows["k"][1:] != rows["k"][:-1]) | (rows["h"][1:] != rows["h"][:-1])]) if len(rows) else np.empty(0, np.int64)
+    lift = doc.astype(np.int64) << 32
+    reach = np.maximum.accumulate(rows["last"] + lift) if len(rows) else lift
+    new = np.r_[True, rows["first"][1:] + lift[1:] > reach[:-1]] if len(rows) else np.empty(0, bool)
+    reach = (reach - lift).astype(np.int32)
     ends = np.r_[np.flatnonzero(new)[1:], len(rows)] - 1 if len(rows) else np.empty(0, int)
     heads = rows[new]
     return pd.DataFrame({"k": heads["k"], "h": heads["h"], "first": heads["first"], "last": reach[ends] if len(rows) else heads["last"]})
@@ -140,11 +143,12 @@ def _later(pdf: pd.DataFrame) -> pd.DataFrame:
 def later_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", **kind: int) -> DataFrame:
     """k, h (key and hash of the text), first, last (characters, end exclusive) of the stretches that any
     non-first repeated span covers; stretches of one document can overlap. A shard holds the spans of about
-    SHARD_DOCS documents however large the table is, and a span that is everywhere reaches it once a batch."""
+    SHARD_CHARS of text however large the table is, and a span that is everywhere reaches it once a batch."""
     source = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("k is not null and t is not null")
-    shards = max(8, -(-docs.count() // SHARD_DOCS))
+    shards = max(8, -(-(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD_CHARS))
     dealt = source.mapInArrow(_deal(shards, kind), "shard bigint, later boolean, rows binary")
-    return dealt.groupBy("shard").applyInPandas(_later, "k bigint, h bigint, first int, last int")
+    # As many tasks as shards, so that what a task reads doesn't grow with the table.
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(_later, "k bigint, h bigint, first int, last int")
 
 
 def sentence_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **kind: int) -> DataFrame:
@@ -152,7 +156,8 @@ def sentence_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **k
 
     The occurrence that comes first by (key, place) stays; sentences that a later one covers go, with the
     white space behind them. Null texts, null keys and texts without spans stay as they are. Rows equal in
-    key and text count as one document and keep the same sentences."""
+    key and text count as one document and keep the same sentences. Texts of any length are read whole; an empty table
+    gives an empty one; a column of docs named n_spans or n_chars_removed stays, and the new one is n_spans_ and so on."""
     n_spans, n_removed, k2, h2, gone = (fresh(docs, c) for c in ("n_spans", "n_chars_removed", "__k", "__h", "__gone"))
     by_doc = Window.partitionBy("k", "h").orderBy("first", "last")
     reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -171,4 +176,6 @@ def sentence_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **k
 
 
 def op9_sentence_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with its text without repeated passages: doc_id, text, n_spans, n_chars_removed. Edge cases are
+    those of sentence_dedup()."""
     return sentence_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
