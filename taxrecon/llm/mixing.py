@@ -7,6 +7,8 @@ cumulative slot counts it names a source, and the slot's rank among its source's
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +17,9 @@ from .common import SPACE, table, written
 
 #: floor(2^32 / golden ratio) + 1, odd: multiples of it mod 2^32 are the golden-ratio points.
 GOLDEN = 2654435769
-#: Parameters: slots that the whole mix has about, fewest blocks a source is cut into, most repeats.
-SLOTS, MIN_BLOCKS, REPEATS = 200_000, 64, 3
+#: Parameters: slots that the whole mix has about, fewest blocks a source is cut into, most repeats; slots of a stretch
+#: in which a point looks for its source; documents of a source that are put in order together, about.
+SLOTS, MIN_BLOCKS, REPEATS, WIDTH, GROUP_DOCS = 200_000, 64, 3, 64, 20_000
 
 
 def words(text: Column) -> Column:
@@ -26,7 +29,8 @@ def words(text: Column) -> Column:
 def source_targets(sized: DataFrame, repeats: int = REPEATS, slots: int = SLOTS) -> DataFrame:
     """One row per source of sized (source, size): source_no, weight, source_size, target, blocks, n_slots,
     slot_to. Sources by code point, null last, weigh 1, 2, 3, repeating; targets share the total size and
-    stop at repeats times the source, the rest reshared by weight. The windows here run over sources."""
+    stop at repeats times the source, the rest reshared by weight. The windows here run over one row per source,
+    which the order of all sources needs; nothing else is in one task."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = per.withColumn("source_no", F.row_number().over(by_name)).withColumn("weight", (F.col("source_no") - 1) % 3 + 1)
@@ -52,10 +56,11 @@ def schedule(targets: DataFrame, repeats: int = REPEATS, chunk: int = 4096) -> D
     consecutive slots, so a source with many slots is never one task's."""
     spark = targets.sparkSession
     total = targets.agg(F.coalesce(F.max("slot_to"), F.lit(0))).first()[0]
-    ends = targets.agg(F.sort_array(F.collect_list(F.struct("slot_to", "source_no"))).alias("ends"))
-    point = F.expr(f"shiftright((slot * {GOLDEN}L & 4294967295L) * {total}L, 32)")
-    slots = spark.range(total).select(F.col("id").alias("slot")).withColumn("p", point).crossJoin(F.broadcast(ends)) if total else spark.range(0).select(F.col("id").alias("slot"), F.col("id").alias("p")).crossJoin(ends)
-    named = slots.select("slot", F.expr("filter(ends, e -> e.slot_to > p)[0].source_no").alias("source_no"), F.expr(f"slot div {chunk}").alias("c"))
+    # A point's stretch of WIDTH slots names the few sources that have slots there.
+    held = targets.filter("n_slots > 0").select("source_no", (F.col("slot_to") - F.col("n_slots")).alias("slot_from"), "slot_to")
+    held = held.withColumn("w", F.explode(F.expr(f"sequence(slot_from div {WIDTH}, (slot_to - 1) div {WIDTH})")))
+    slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"shiftright((id * {GOLDEN}L & 4294967295L) * {total}L, 32)").alias("p")).withColumn("w", F.expr(f"p div {WIDTH}"))
+    named = slots.join(held, "w").filter("p >= slot_from and p < slot_to").select("slot", "source_no", F.expr(f"slot div {chunk}").alias("c"))
     counts = named.groupBy("source_no", "c").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source_no").orderBy("c")) - F.col("n")).drop("n")
     ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("source_no", "c").orderBy("slot")) - 1).join(before, ["source_no", "c"])
@@ -63,10 +68,12 @@ def schedule(targets: DataFrame, repeats: int = REPEATS, chunk: int = 4096) -> D
     return ranked.join(targets.select("source_no", "blocks"), "source_no").filter(F.col("rank") < F.lit(repeats) * F.col("blocks")).select("slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
-def placed(sized: DataFrame, targets: DataFrame, digits: int = 3) -> DataFrame:
+def placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Documents with a size at their place in their source's shuffled stream: doc_id, size, source_no, start.
-    The order is that of the md5 of the doc_id; running sums go by its first digits, then inside these."""
-    shuffled = sized.filter("size > 0").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_no", "source_size", "blocks", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("o"))
+    The order is that of the md5 of the doc_id (of the text's hash where it is null); running sums go by its first
+    digits, as many as the number of documents asks for, then inside these."""
+    digits = max(3, math.ceil(math.log(max(1, sized.count() / GROUP_DOCS), 16)))
+    shuffled = sized.filter("size > 0").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_no", "source_size", "blocks", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("h").cast("string"))).cast("binary")).alias("o"))
     shuffled = shuffled.withColumn("c", F.substring("o", 1, digits))
     sums = shuffled.groupBy("source_no", "c").agg(F.sum("size").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source_no").orderBy("c")) - F.col("n")).drop("n")
@@ -77,8 +84,9 @@ def placed(sized: DataFrame, targets: DataFrame, digits: int = 3) -> DataFrame:
 def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """Per document: doc_id, size (words; null text: 0), source_size, target (its source's), taken (words the
     mix takes, repeats counted). No word is taken more than repeats times. Empty documents take 0; repeated
-    rows count one by one; null sources are a source of their own, last; null doc_ids order as empty."""
-    sized = written(docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size")))
+    rows count one by one; null sources are a source of their own, last; null doc_ids order by their text's hash. A text
+    longer than a block lies in several; an empty table gives no rows; other columns aren't read."""
+    sized = written(docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h")))
     targets = written(source_targets(sized, repeats))
     times = schedule(targets, repeats).groupBy("source_no", "block").agg(F.count("*").alias("times"))
     at = placed(sized, targets)
@@ -94,6 +102,7 @@ def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken. Edge cases are those of mixed()."""
     return mixed(table(spark, sf_dir, "documents"))
 
 
