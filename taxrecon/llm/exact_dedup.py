@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, table, written
@@ -134,48 +134,74 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.sha2(F.regexp_replace(text, f"[{SPACE}]+", "").cast("binary"), 256).alias("text_sha256"), F.length(text).cast("bigint").alias("len"))
 
 
+def _best() -> Column:
+    """Of rows of digests() the longest, then the smallest id, null last, as struct b."""
+    return F.min(F.struct((-F.col("len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))).alias("b")
+
+
 def index_digests(digested: DataFrame, shard_rows: int = 20_000, salts: int = 16) -> DataFrame:
     """The live index: shard, digest, group_size, keep_len, keep_id. Copies of one digest are first summed
     under salts, so at most that many rows of it reach its shard; shards grow in number with the rows."""
-    best = F.min(F.struct((-F.col("len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))).alias("b")
-    summed = digested.groupBy(F.col("text_sha256").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"), best)
+    summed = digested.groupBy(F.col("text_sha256").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"), _best())
     shards = max(1, -(-digested.count() // shard_rows))
     rows = summed.select(F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard"), "digest", F.lit(1).alias("op"), "n", (-F.col("b.l")).alias("len"), F.col("b.id").alias("id"))
     return rows.groupBy("shard").applyInPandas(_merge, _CLASS)
 
 
-def change_index(index: DataFrame, inserts: DataFrame | None, deletes: DataFrame | None) -> DataFrame:
+def change_index(index: DataFrame, inserts: DataFrame | None, deletes: DataFrame | None, live: DataFrame | None = None, shard_rows: int = 20_000) -> DataFrame:
     """The index after inserting and deleting rows of digests(). Each deleted row takes one off its digest's
-    group_size and the digest goes at 0; deletes of unknown digests do nothing. keep_id stays that of the
-    best row ever inserted while the digest is live."""
-    spread = index.agg(F.max("shard")).first()[0]
-    shards = 1 if spread is None else spread + 1
+    group_size and the digest goes at 0; deletes of unknown digests do nothing. The shards follow from the new number
+    of digests, and every row, old or new, is dealt by them alone, so a digest is never in two.
+
+    keep_id stays that of the best row inserted while that row isn't deleted. Where it is and copies of it live on,
+    their best takes its place if live (rows of digests() that remain) is given; else keep_id and keep_len are null."""
 
     def rows(df: DataFrame, op: int) -> DataFrame:
-        return df.groupBy(F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n"), F.min(F.struct((-F.col("len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))).alias("b")).select(F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard"), "digest", F.lit(op).alias("op"), "n", (-F.col("b.l")).alias("len"), F.col("b.id").alias("id"))
+        return df.groupBy(F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n"), _best()).select("digest", F.lit(op).alias("op"), "n", (-F.col("b.l")).alias("len"), F.col("b.id").alias("id"))
 
-    all_rows = index.select("shard", "digest", F.lit(1).alias("op"), F.col("group_size").alias("n"), F.col("keep_len").alias("len"), F.col("keep_id").alias("id"))
+    all_rows = index.select("digest", F.lit(1).alias("op"), F.col("group_size").alias("n"), F.col("keep_len").alias("len"), F.col("keep_id").alias("id"))
     for df, op in ((inserts, 1), (deletes, -1)):
         if df is not None:
             all_rows = all_rows.unionByName(rows(df, op))
+    all_rows = written(all_rows)
+    shards = max(1, -(-all_rows.count() // shard_rows))
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         return _merge(pdf.sort_values("op", ascending=False, kind="stable"))
 
-    return all_rows.groupBy("shard").applyInPandas(ordered, _CLASS)
+    out = all_rows.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards))).groupBy("shard").applyInPandas(ordered, _CLASS)
+    if deletes is None:
+        return out
+    gone = deletes.select(F.col("text_sha256").alias("digest"), F.col("len").alias("keep_len"), F.col("doc_id").alias("keep_id"), F.lit(True).alias("lost")).distinct()
+    named = (out["digest"] == gone["digest"]) & (out["keep_len"] == gone["keep_len"]) & out["keep_id"].eqNullSafe(gone["keep_id"])
+    out = out.join(gone.select(*(F.col(c) for c in gone.columns)), named, "left").select(out["*"], "lost")
+    if live is None:
+        best = out.select("digest").limit(0).withColumns({"l": F.lit(None).cast("bigint"), "id": F.lit(None).cast("bigint")})
+    else:
+        best = live.groupBy(F.col("text_sha256").alias("digest")).agg(_best()).select("digest", (-F.col("b.l")).alias("l"), F.col("b.id").alias("id"))
+    keep = [F.when(F.col("lost").isNull(), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("keep_len", "l"), ("keep_id", "id"))]
+    return out.join(best, "digest", "left").select("shard", "digest", "group_size", *keep)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Every document with its class: doc_id, keep_id, group_size, kept, text_sha256. Texts are equal when
     they are without white space; null counts as empty. The longest original stays, then the smallest
-    doc_id (null last). Rows that repeat a kept doc_id and text are marked kept as well: they are that row."""
+    doc_id (null last). Rows that repeat a kept doc_id and text are marked kept as well: they are that row. Texts of any
+    length are hashed whole; an empty table gives no rows; other columns aren't read."""
     digested = written(digests(docs))
-    index = index_digests(digested).select(F.col("digest").alias("text_sha256"), "keep_id", "group_size", "keep_len")
-    joined = digested.join(index, "text_sha256")
+    index = written(index_digests(digested)).select(F.col("digest").alias("text_sha256"), "keep_id", "group_size", "keep_len")
+    # Digests with more than a thousandth of the rows, of which there are fewer than a thousand, are known to every task;
+    # their documents stay where they are.
+    hot = F.col("group_size") > digested.count() / 1000
+    frequent = index.filter(hot).select(F.col("text_sha256").alias("d"), *(F.col(c).alias(f"hot_{c}") for c in ("keep_id", "group_size", "keep_len")))
+    met = digested.join(F.broadcast(frequent), F.col("text_sha256") == F.col("d"), "left")
+    cols = ("doc_id", "text_sha256", "len")
+    joined = met.filter("d is not null").select(*cols, *(F.col(f"hot_{c}").alias(c) for c in ("keep_id", "group_size", "keep_len"))).unionByName(met.filter("d is null").select(*cols).join(index.filter(~hot), "text_sha256"))
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("keep_len"))).alias("kept"), "text_sha256")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Edge cases are those of exact_dedup()."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
