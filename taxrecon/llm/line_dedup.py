@@ -31,13 +31,23 @@ def line_dedup(docs: DataFrame, width: int = 3, text: str = "text", key: str = "
     windows of width lines that are equal, the one that comes first by (key, place) stays; a line that any
     later one covers is removed, with blank lines inside it. So a run of equal lines in one document keeps
     its first line. Documents of fewer lines stay as they are, as do null texts (n_lines 0) and rows
-    whose key is null. Rows equal in key and text count as one document and keep the same lines."""
+    whose key is null. Rows equal in key and text count as one document and keep the same lines. Texts of any length are
+    read whole; an empty table gives an empty one; a column of docs named n_lines or n_removed stays, and the new one is
+    n_lines_ and so on."""
     n_lines, n_removed, h, lines, spans, gone = (fresh(docs, c) for c in ("n_lines", "n_removed", "__h", "__lines", "__spans", "__gone"))
     source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.split(F.col(text), "\n", -1).alias("lines")).filter("k is not null and size(lines) >= %d" % width)
     occurs = written(source.select("k", "h", F.explode(_windows(F.col("lines"), width)).alias("s")).select("k", "h", "s.*"))
     place = F.struct("k", "h", "first")
-    repeated = occurs.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("g")).filter("f <> g").select("h1", "h2", "f")
-    later = occurs.join(repeated, ["h1", "h2"]).filter(place > F.col("f")).select("k", "h", "first", "last").distinct()
+    repeated = written(occurs.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("g"), F.count("*").alias("n")).filter("f <> g").select("h1", "h2", "f", "n"))
+    # Windows with more than a thousandth of the occurrences, of which there are fewer than a thousand, are known to
+    # every task; the others meet their occurrences by hash.
+    hot = F.col("n") > occurs.count() / 1000
+    frequent = repeated.filter(hot).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("f").alias("hot_f"))
+    met = occurs.join(F.broadcast(frequent), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    cols = ("k", "h", "first", "last")
+    often = met.filter("hot_f is not null").filter(place > F.col("hot_f")).select(*cols)
+    rest = met.filter("hot_f is null").select(*cols, "h1", "h2").join(repeated.filter(~hot), ["h1", "h2"]).filter(place > F.col("f")).select(*cols)
+    later = often.unionByName(rest).distinct()
 
     by_doc = Window.partitionBy("k", "h").orderBy("first", "last")
     reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -57,6 +67,8 @@ def line_dedup(docs: DataFrame, width: int = 3, text: str = "text", key: str = "
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with its text without repeated lines: doc_id, text, n_lines, n_removed. Edge cases are those of
+    line_dedup()."""
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
