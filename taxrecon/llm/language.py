@@ -30,7 +30,7 @@ TRAIN_DOCS, TRAIN_CHARS, MAX_LABELS = 300, 40_000, 256
 #: Parameters of the parse: characters of text handled together, places of a text parsed as one lane (longer texts
 #: take several, which are put together exactly), frequent letters with a column in the tables, and moves from which
 #: on a state has a row there.
-BATCH_CHARS, LANE, FREQUENT, BRANCHES = 1 << 22, 2048, 63, 3
+BATCH_CHARS, LANE, FREQUENT, BRANCHES = 1 << 21, 2048, 63, 3
 
 
 def automaton(text: str) -> list[dict[str, int]]:

@@ -26,8 +26,8 @@ _CHUNK = re.compile(f"[{_A}]*[^{_A}]+|[{_A}]+")
 _SAFE = re.compile(r"(?<=\S) ")
 #: Python counts these as white space, the tokenizers don't.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Parameters: slices of long texts, texts handled together, chunks remembered, longest remembered chunk.
-SLICE_CHARS, BATCH_CHARS, CACHE_CHUNKS, CHUNK_CHARS = 1 << 16, 1 << 20, 500_000, 64
+#: Parameters: slices of long texts, bytes of texts handled together, chunks remembered, longest remembered chunk.
+SLICE_CHARS, BATCH_BYTES, CACHE_CHUNKS, CHUNK_CHARS = 1 << 16, 1 << 20, 500_000, 64
 _MARKS = ".,;:!?"
 #: A mark between a letter and white space is a pre-token of its own.
 _MARK = re.compile(r"(?<=[A-Za-z])[.,](?=[ \n])")
@@ -66,8 +66,13 @@ def slices(text: str, size: int = SLICE_CHARS) -> list[str]:
     return [*out, text[at:]]
 
 
-def balanced(sizes: list[int], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of consecutive items that hold about limit characters each."""
+def n_bytes(text: str) -> int:
+    """Length in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def balanced(sizes: list[int], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive items that hold about limit (bytes, or what sizes are in) each."""
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
@@ -142,7 +147,7 @@ class ChunkEncoder:
                 seen[c] = self.measure([t.id for t in tokenize(c.encode().decode("latin-1").translate(_BYTES))])
             else:
                 rest.append(c)
-        for a, b in balanced([len(c) for c in rest]):
+        for a, b in balanced([n_bytes(c) for c in rest]):
             part = rest[a:b]
             for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 # A chunk that ends in unusual white space can merge with the next one.
@@ -162,7 +167,7 @@ class ChunkEncoder:
 
     def _batch(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
-        for a, b in balanced([len(t) for t in texts]):
+        for a, b in balanced([n_bytes(t) for t in texts]):
             parts = [self.chunks(t) for t in texts[a:b]]
             known: set[str] = set()
             for p in parts:
@@ -220,12 +225,14 @@ def count_tokens(text: Column, path: str) -> Column:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """Per document (repeated rows and null ids each keep a row): doc_id, n_bytes, n_tokens, over_limit
-    (n_tokens > limit). Null text counts as empty; other columns aren't read."""
+    (n_tokens > limit). Null text counts as empty; texts of any length are counted whole; an empty table gives no rows;
+    other columns aren't read."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), count_tokens(text, path).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_tokens, over_limit. Edge cases are those of token_counts()."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
