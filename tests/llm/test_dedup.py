@@ -54,6 +54,30 @@ def test_index_changes(spark):
     assert rows == {sha("a"): (2, 0), sha("c"): (1, 9)}
 
 
+def test_an_index_of_many_shards_takes_no_digest_twice(spark):
+    rows = exact_dedup.digests(frame(spark, [(i, f"text{i}") for i in range(60)]))
+    index = exact_dedup.index_digests(rows, shard_rows=3)
+    again = exact_dedup.change_index(index, rows, None, shard_rows=3)
+    assert again.count() == again.select("digest").distinct().count() == 60 and {r["group_size"] for r in again.collect()} == {2}
+    more = exact_dedup.change_index(again, exact_dedup.digests(frame(spark, [(i, f"text{i}") for i in range(300)])), rows, shard_rows=3)
+    assert more.count() == 300 and sorted(r["group_size"] for r in more.collect()) == [1] * 240 + [2] * 60
+
+
+def test_a_deleted_keeper_is_replaced_by_a_live_one(spark):
+    index = exact_dedup.index_digests(exact_dedup.digests(frame(spark, [(1, "a b"), (2, "ab"), (3, "a b"), (4, "c")])))
+    gone, live = exact_dedup.digests(frame(spark, [(1, "a b")])), exact_dedup.digests(frame(spark, [(2, "ab"), (3, "a b"), (4, "c")]))
+    got = {(r["group_size"], r["keep_id"], r["keep_len"]) for r in exact_dedup.change_index(index, None, gone, live).collect()}
+    assert got == {(2, 3, 3), (1, 4, 1)}
+    assert {(r["group_size"], r["keep_id"]) for r in exact_dedup.change_index(index, None, gone).collect()} == {(2, None), (1, 4)}
+
+
+def test_long_and_hot_texts(spark):
+    rows = [(i, "hot text") for i in range(3000)] + [(5000 + i, f"t{i}") for i in range(3000)] + [(9000, "x y " * 200_000), (9001, "xy" * 200_000)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert got[7] == (0, 3000, False) and got[0] == (0, 3000, True) and got[5001] == (5001, 1, True)
+    assert got[9000] == (9000, 2, True) and got[9001] == (9000, 2, False) and len(got) == len(rows)
+
+
 def test_exact_query(spark, sf_dir, same):
     same(exact_dedup.op3_exact_dedup(spark, sf_dir), exact_dedup.OP3_SQL)
 
@@ -85,6 +109,12 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_hot_windows(spark):
+    rows = [(i, f"a{i}\nx\ny\nz\nb{i}") for i in range(400)] + [(1000 + i, f"p{i % 150}\nq{i % 150}\nr{i % 150}") for i in range(300)]
+    got = sorted(((x["doc_id"], x["text"]) for x in line_dedup.line_dedup(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted(brute_lines(rows), key=repr)
+
+
 def test_lines_query(spark, sf_dir, same):
     same(line_dedup.op2_line_dedup(spark, sf_dir), line_dedup.OP2_SQL)
 
@@ -113,6 +143,42 @@ def test_spans():
         assert sentence_dedup.spans(sizes) == brute_spans(sizes)
 
 
+def test_every_sentence_of_a_repeated_run_is_covered():
+    """Spans are the shortest runs alone; together they cover each longer run of enough sentences and words."""
+    r = random.Random(3)
+    for _ in range(2000):
+        sizes = [r.choice([1, 2, 5, 9, 15, 19, 30]) for _ in range(r.randint(2, 12))]
+        a = r.randrange(len(sizes) - 1)
+        b = r.randrange(a + 1, len(sizes))
+        if sum(sizes[a : b + 1]) >= 20:
+            inside = [s for s in sentence_dedup.spans(sizes) if a <= s[0] and s[1] <= b]
+            assert set(range(a, b + 1)) == {i for s in inside for i in range(s[0], s[1] + 1)}
+
+
+def test_texts_without_spaces(spark):
+    r = random.Random(4)
+    say = lambda n: "".join(r.choice("天地玄黃宇宙洪荒日月盈昃辰宿列張") for _ in range(n)) + "。"
+    passage = "".join(say(12) for _ in range(4))
+    rows = [(i, say(15) + passage + say(11)) for i in range(4)]
+    out = {x["doc_id"]: x["text"] for x in sentence_dedup.sentence_dedup(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1] and all(passage not in out[i] and len(out[i]) == 28 for i in (1, 2, 3))
+    base = say(300)
+    near = [(1, base), (2, base[:150] + base[151:]), (3, say(300))]
+    classes = lambda **kw: {x["doc_id"]: x["class_id"] for x in near_dedup.jaccard_classes(frame(spark, near), **kw).collect()}
+    assert classes() == {1: 1, 2: 2, 3: 3} and classes(characters=True) == {1: 1, 2: 1, 3: 3}
+
+
+def test_sentence_shards(spark, monkeypatch):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(50)]
+    rows = [(i, " ".join(" ".join(r.choices(words, k=r.randint(3, 12))).capitalize() + "." for _ in range(r.randint(0, 30)))) for i in range(60)]
+    rows += [(100 + i, rows[i % 7][1] + " " + rows[i % 11][1]) for i in range(40)]
+    monkeypatch.setattr(sentence_dedup, "SHARD_CHARS", 500)
+    monkeypatch.setattr(sentence_dedup, "BATCH_CHARS", 900)
+    out = sentence_dedup.sentence_dedup(frame(spark, rows)).collect()
+    assert sorted(((x["doc_id"], (x["text"] or "").split()) for x in out), key=repr) == brute_sentences(rows)
+
+
 def brute_sentences(rows):
     first, gone, occurs = {}, defaultdict(set), []
     for i, t in sorted({(i, t) for i, t in rows if i is not None and t is not None}):
@@ -217,6 +283,25 @@ def test_near_edges(spark):
     assert len(rows) == 3 and len({x["class_id"] for x in rows if x["doc_id"] == 1}) == 1
 
 
+def test_sizes_part_the_blocks(spark):
+    """Texts that share half of their n-grams but differ in size meet in buckets; the sizes decide which blocks meet."""
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(600)]
+    base = r.choices(words, k=400)
+    docs = [(i, " ".join(base[: r.randint(20, 400)])) for i in range(150)]
+    got = {x["doc_id"]: (x["set_id"], x["class_id"], x["n_links"]) for x in near_dedup.jaccard_classes(frame(spark, docs), recall=0.9999999, rows=2, block=5).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_components_end_with_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(500)], "u bigint, v bigint")
+    assert {x["class"] for x in near_dedup.components(chain).collect()} == {0}
+    hub = spark.createDataFrame([(0, i) for i in range(1, 2000)] + [(5000, i) for i in range(1, 2000)], "u bigint, v bigint")
+    assert {x["class"] for x in near_dedup.components(hub).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        near_dedup.components(chain, rounds=2)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(40)] + [(7, 7)]

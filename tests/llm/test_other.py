@@ -302,6 +302,17 @@ def test_mixing_bounds(spark):
     assert {x["taken"] for x in mixing.mixed(df.filter("size(split(text, 'w')) < 2")).collect() if x["size"] == 0} == {0}
 
 
+def test_mixing_many_sources(spark):
+    """Thousands of sources with a slot or a few each, null ids, equal rows, a very long text."""
+    r = random.Random(8)
+    rows = [(i, f"host{i % 3000}", "w " * r.randint(1, 4)) for i in range(6000)] + [(None, "n", f"t{i} x") for i in range(50)] + [(None, None, "same text")] * 30 + [(7000, "long", "v " * 300_000)]
+    df = spark.createDataFrame([(*x, 1, "y") for x in rows], "doc_id bigint, source string, text string, taken int, slot string")
+    out = mixing.mixed(df).collect()
+    assert len(out) == len(rows) and all(0 <= x["taken"] <= 3 * x["size"] for x in out)
+    assert sorted(x["size"] for x in out) == sorted(len(t.split()) for _, _, t in rows)
+    assert sum(x["taken"] for x in out) == pytest.approx(sum(x["size"] for x in out), rel=0.05)
+
+
 def test_mixing_plan_is_native(spark, sf_dir):
     plan = mixing.op6_mix_sources(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
