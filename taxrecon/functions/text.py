@@ -45,6 +45,11 @@ def shortened(name: Column, most: int = 14) -> Column:
     return F.when(F.length(name) > most, F.concat(F.substring(name, 1, most - 1), F.lit("…"))).otherwise(name)
 
 
+def short_id(invoice_id: Column) -> Column:
+    """Invoice id without its year."""
+    return F.replace(invoice_id, F.lit("INV-2025-"), F.lit("INV-"))
+
+
 def contains_fold(text: Column, term: str) -> Column:
     return F.lower(text).contains(term.lower())
 

@@ -13,16 +13,23 @@ from .reconcile import mismatched
 
 
 def nodes(vendors: DataFrame, invoices: DataFrame) -> DataFrame:
-    """id, label, group, flagged of vendors, the two returns of each period, invoices and their documents."""
+    """id, label, group, flagged of vendors, the two returns of each period, invoices and their documents; and what a
+    node of its group knows besides: gstin, risk, state and status of a vendor, period of a return, status and amount
+    of an invoice."""
     name = F.lit(None).cast("boolean").alias("flagged")
+    kinds = {"gstin": "string", "risk": "double", "state": "string", "status": "string", "period": "string", "amount": "bigint"}
+
+    def known(**columns) -> list:
+        return [columns.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+
     returns = invoices.select("period").filter("period <> ''").distinct().select("period", F.explode(F.array(F.lit("GSTR-1"), F.lit("GSTR-2B"))).alias("type"))
     tail = F.right("invoice_id", F.lit(3))
     parts = [
-        vendors.select(F.concat(F.lit("v-"), "vendor_id").alias("id"), text.shortened(F.col("name")).alias("label"), F.lit("vendor").alias("group"), name),
-        returns.select(F.concat(F.lit("g-"), "type", F.lit("-"), "period").alias("id"), F.concat("type", F.lit(" "), text.period_label(F.col("period"))).alias("label"), F.lit("gstr").alias("group"), name),
-        invoices.select(F.concat(F.lit("i-"), "invoice_id").alias("id"), F.col("invoice_id").alias("label"), F.lit("invoice").alias("group"), mismatched().alias("flagged")),
-        invoices.filter("has_einvoice").select(F.concat(F.lit("e-"), "invoice_id").alias("id"), F.concat(F.lit("IRN-"), tail).alias("label"), F.lit("einvoice").alias("group"), name),
-        invoices.filter("has_eway_bill").select(F.concat(F.lit("w-"), "invoice_id").alias("id"), F.concat(F.lit("EWB-"), tail).alias("label"), F.lit("ewaybill").alias("group"), name),
+        vendors.select(F.concat(F.lit("v-"), "vendor_id").alias("id"), text.shortened(F.col("name")).alias("label"), F.lit("vendor").alias("group"), name, *known(gstin=F.col("gstin"), risk=F.col("risk_score"), state=F.col("state"), status=F.col("status"))),
+        returns.select(F.concat(F.lit("g-"), "type", F.lit("-"), "period").alias("id"), F.concat("type", F.lit(" "), text.period_label(F.col("period"))).alias("label"), F.lit("gstr").alias("group"), name, *known(period=F.col("period"))),
+        invoices.select(F.concat(F.lit("i-"), "invoice_id").alias("id"), text.short_id(F.col("invoice_id")).alias("label"), F.lit("invoice").alias("group"), mismatched().alias("flagged"), *known(status=F.when(mismatched(), "flagged").otherwise("matched"), amount=F.col("total"))),
+        invoices.filter("has_einvoice").select(F.concat(F.lit("e-"), "invoice_id").alias("id"), F.concat(F.lit("IRN-"), tail).alias("label"), F.lit("einvoice").alias("group"), name, *known()),
+        invoices.filter("has_eway_bill").select(F.concat(F.lit("w-"), "invoice_id").alias("id"), F.concat(F.lit("EWB-"), tail).alias("label"), F.lit("ewaybill").alias("group"), name, *known()),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -71,22 +78,36 @@ def top_nodes(nodes_: DataFrame, edges_: DataFrame, n: int = 200) -> DataFrame:
     return nodes_.join(degrees(edges_), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), "id").limit(n)
 
 
-def pagerank(nodes_: DataFrame, edges_: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 4) -> DataFrame:
-    """id, rank; ranks sum to 1, nodes without out-edges spread theirs evenly. Lineage is cut every few
-    rounds. Hubs are summed by partial aggregation before the shuffle."""
+def around(nodes_: DataFrame, edges_: DataFrame, n: int = 200) -> DataFrame:
+    """The edges among the n nodes of the highest degree."""
+    ids = F.broadcast(top_nodes(nodes_, edges_, n).select("id"))  # n rows
+    return edges_.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def vendor_connections(edges_: DataFrame) -> DataFrame:
+    """Per vendor its invoices, and the returns and documents these lead to."""
+    issued = edges_.filter("type = 'issued'").select(F.substring("source", 3, 100).alias("vendor_id"), F.col("target").alias("id"))
+    onward = edges_.filter("type <> 'issued'").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"))
+    return issued.join(onward, "id", "left").groupBy("vendor_id").agg(F.count("*").alias("invoices"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
+
+
+def pagerank(nodes_: DataFrame, edges_: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """id, rank; ranks sum to 1. What nodes give along their out-edges to other nodes is counted, and the rest, which
+    nodes without out-edges keep, is spread evenly: one sum per round instead of a join. Every round ends in a
+    checkpoint, which keeps the partitioning by id, so that the next join moves nothing. Hubs are summed by partial
+    aggregation before the shuffle."""
     ids = checkpointed(nodes_.select("id").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     out = edges_.select(F.col("source").alias("id"), "target")
     links = checkpointed(out.join(out.groupBy("id").agg(F.count("*").alias("out")), "id"))
-    sources = links.select("id").distinct()
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for i in range(1, rounds + 1):
+    for _ in range(rounds):
         given = links.join(ranks, "id").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        lost = F.broadcast(ranks.join(sources, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
-        ranks = ids.join(given, "id", "left").crossJoin(lost).select("id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        ranks = checkpointed(ranks) if i % every == 0 else ranks
+        held = checkpointed(ids.join(given, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got")))
+        lost = 1.0 - (held.agg(F.sum("got")).first()[0] or 0.0)
+        ranks = held.select("id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.col("got") + F.lit(lost / n))).alias("rank"))
     return ranks
 
 

@@ -10,9 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scoring
+from ..sources import sinks
 
 FEATURES = ["mismatch_count", "total_tax_at_risk", "filing_delay_days", "graph_centrality", "transaction_volume", "community_cluster", "einvoice_compliance_rate", "state_risk_factor"]
 # What a vendor without the fact has.
@@ -30,8 +30,8 @@ def features(vendors: DataFrame, invoices: DataFrame, centrality: DataFrame | No
         if side is None:
             out = out.withColumn(name, F.lit(None).cast("double"))
         elif name == "community_cluster":
-            # Communities are numbered in the order of their names; there are at most as many as vendors.
-            numbers = side.select(col).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(col)).cast("double") - 1)
+            # Communities are numbered in the order of their names, from counts per range of names.
+            numbers = sinks.ranked(side.select(col).distinct(), name, [F.col(col)]).withColumn(name, F.col(name).cast("double"))
             out = out.join(side.join(numbers, col).select("vendor_id", name), "vendor_id", "left")
         else:
             out = out.join(side.select("vendor_id", F.col(col).alias(name)), "vendor_id", "left")
@@ -88,6 +88,14 @@ def confusion(model: PipelineModel, test: DataFrame) -> DataFrame:
     return model.transform(test).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
+def evaluated(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """model, metric, value of a forest and of boosted trees, trained on one side of the split and measured on the
+    other; a handful of rows."""
+    train_, test = split(rows, seed=seed)
+    found = [(name, k, float(v)) for name, boosted in (("forest", False), ("boosted", True)) for k, v in sorted(metrics(train(train_, boosted=boosted), test).items())]
+    return rows.sparkSession.createDataFrame(found, "model string, metric string, value double")
+
+
 def cross_validated(rows: DataFrame, folds: int = 5, **kw) -> float:
     """Mean area under ROC over folds."""
     cv = CrossValidator(estimator=pipeline(**kw), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=42)

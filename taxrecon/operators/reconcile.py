@@ -27,6 +27,11 @@ def _tax() -> Column:
     return F.col("cgst") + F.col("sgst") + F.col("igst")
 
 
+def document_keys(documents: DataFrame) -> list[str]:
+    """The keys of an invoice that its documents carry: all of them, or its number alone in files that have no more."""
+    return [k for k in KEYS if k in documents.columns]
+
+
 def _named(df: DataFrame, vendors: DataFrame) -> DataFrame:
     """Vendor name by gstin; invoices without a known vendor stay."""
     return df.join(vendors.select(F.col("gstin").alias("supplier_gstin"), F.col("name").alias("vendor_name")), "supplier_gstin", "left")
@@ -68,12 +73,14 @@ def eway_bill_missing(gstr1, gstr2b, eway_bills, period=None, per_return: bool =
     cols = [*KEYS, "taxable"]
     reported = in_period(gstr1, period).select(*cols).unionByName(in_period(gstr2b, period).select(*cols)).filter(F.col("taxable") > EWAY_LIMIT)
     reported = reported if per_return else reported.dropDuplicates(KEYS)
-    return reported.join(eway_bills.select("invoice_no"), "invoice_no", "left_anti").select(F.col("invoice_no").alias("invoice_id"), "period", F.col("taxable").alias("amount"), F.lit("E-Way Bill Missing").alias("issue_type"))
+    by = document_keys(eway_bills)
+    return reported.join(eway_bills.select(*by), by, "left_anti").select(F.col("invoice_no").alias("invoice_id"), "period", F.col("taxable").alias("amount"), F.lit("E-Way Bill Missing").alias("issue_type"))
 
 
 def einvoice_missing(gstr1, gstr2b, einvoices, period=None) -> DataFrame:
     reported = in_period(gstr1, period).select(*KEYS).unionByName(in_period(gstr2b, period).select(*KEYS)).dropDuplicates(KEYS)
-    return reported.join(einvoices.select("invoice_no"), "invoice_no", "left_anti").select(F.col("invoice_no").alias("invoice_id"), "period", "supplier_gstin")
+    by = document_keys(einvoices)
+    return reported.join(einvoices.select(*by), by, "left_anti").select(F.col("invoice_no").alias("invoice_id"), "period", "supplier_gstin")
 
 
 def late_filing(gstr1, period=None) -> DataFrame:
@@ -87,10 +94,37 @@ def presence_match(gstr1, gstr2b, period=None) -> DataFrame:
 
 
 def full_list(gstr1, gstr2b, eway_bills, vendors, period=None) -> DataFrame:
-    """The four checks as one list; impact is the tax, else the amount, else 0."""
-    parts = [missing_in_gstr1(gstr1, gstr2b, vendors, period), tax_mismatch(gstr1, gstr2b, vendors, period), hsn_mismatch(gstr1, gstr2b, period), eway_bill_missing(gstr1, gstr2b, eway_bills, period)]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.withColumn("check_order", F.lit(i)) for i, p in enumerate(parts, 1)))
-    return rows.select("invoice_id", "period", "issue_type", "check_order", F.coalesce("tax", "amount", F.lit(0)).cast("bigint").alias("impact"), "tax_difference", "hsn_2b", "hsn_1", "vendor_name")
+    """The four checks as one list; impact is the tax, else the amount, else 0. One pass over both books has the facts
+    of every check; an invoice gives a row for each that it fails."""
+    own = ["taxable", "cgst", "sgst", "igst", "hsn"]
+    a = in_period(gstr1, period).select(*KEYS, *(F.col(c).alias(f"{c}_1") for c in own), F.lit(True).alias("in_1"))
+    b = in_period(gstr2b, period).select(*KEYS, *(F.col(c).alias(f"{c}_2") for c in own), F.lit(True).alias("in_2"))
+    by = document_keys(eway_bills)
+    both = a.join(b, KEYS, "full_outer").join(eway_bills.select(*by).distinct().withColumn("has_ewb", F.lit(True)), by, "left")
+    text_, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    col = F.col
+    differ = (col("cgst_1") != col("cgst_2")) | (col("sgst_1") != col("sgst_2"))
+    amount = F.coalesce("taxable_2", "taxable_1")
+    # check, condition, impact, tax difference, HSN codes, whether it names the vendor
+    checks = [
+        ("Missing in GSTR-1", col("in_1").isNull(), F.coalesce(col("cgst_2") + col("sgst_2") + col("igst_2"), col("taxable_2"), F.lit(0)), number, text_, text_, True),
+        ("Tax Amount Mismatch", differ, F.lit(0), F.abs(col("cgst_2") - col("cgst_1")) + F.abs(col("sgst_2") - col("sgst_1")), text_, text_, True),
+        ("HSN Mismatch", col("hsn_1") != col("hsn_2"), F.lit(0), number, col("hsn_2"), col("hsn_1"), False),
+        ("E-Way Bill Missing", (amount > EWAY_LIMIT) & col("has_ewb").isNull(), amount, number, text_, text_, False),
+    ]
+    found = [F.when(cond, F.struct(F.lit(name).alias("issue_type"), F.lit(i).alias("check_order"), impact.cast("bigint").alias("impact"), diff.cast("bigint").alias("tax_difference"), h2.alias("hsn_2b"), h1.alias("hsn_1"), F.lit(vendor).alias("named"))) for i, (name, cond, impact, diff, h2, h1, vendor) in enumerate(checks, 1)]
+    rows = both.select(*KEYS, F.explode(F.array_compact(F.array(*found))).alias("x")).select(*KEYS, "x.*")
+    return _named(rows, vendors).select(col("invoice_no").alias("invoice_id"), "period", "issue_type", "check_order", "impact", "tax_difference", "hsn_2b", "hsn_1", F.when(col("named"), col("vendor_name")).alias("vendor_name"))
+
+
+def by_tax(rows: DataFrame) -> DataFrame:
+    """Missing invoices by tax, the largest first; a tax that isn't known comes before all."""
+    return rows.orderBy(F.desc_nulls_first("tax"), "invoice_id")
+
+
+def by_difference(rows: DataFrame) -> DataFrame:
+    """Tax mismatches by difference, the largest first, unknown before all."""
+    return rows.orderBy(F.desc_nulls_first("tax_difference"), "invoice_id")
 
 
 def by_impact(rows: DataFrame) -> DataFrame:
@@ -112,9 +146,11 @@ def unified(gstr1, gstr2b, einvoices, eway_bills) -> DataFrame:
     own = ["invoice_date", "taxable", "cgst", "sgst", "igst", "hsn"]
     a = gstr1.select(*KEYS, *(F.col(c).alias(f"{c}_1") for c in own), "filed_date", "due_date", F.lit(True).alias("in_1"))
     b = gstr2b.select(*KEYS, *(F.col(c).alias(f"{c}_2") for c in own), "itc_available", F.lit(True).alias("in_2"))
-    bills = eway_bills.select("invoice_no").distinct().withColumn("has_ewb", F.lit(True))
-    irns = einvoices.groupBy("invoice_no").agg(F.max(F.col("status") == "ACT").alias("valid_irn"))
-    joined = a.join(b, KEYS, "full_outer").join(irns, "invoice_no", "left").join(bills, "invoice_no", "left")
+    bill, irn = document_keys(eway_bills), document_keys(einvoices)
+    bills = eway_bills.select(*bill).distinct().withColumn("has_ewb", F.lit(True))
+    irns = einvoices.groupBy(*irn).agg(F.max(F.col("status") == "ACT").alias("valid_irn"))
+    # Documents that carry all keys meet the books where these met.
+    joined = a.join(b, KEYS, "full_outer").join(irns, irn, "left").join(bills, bill, "left")
     out = joined.select(*KEYS, *(F.coalesce(f"{c}_2", f"{c}_1").alias(c) for c in own), *(F.col(f"{c}_1") for c in ("cgst", "sgst", "igst", "hsn")), F.coalesce("in_1", F.lit(False)).alias("in_gstr1"), F.coalesce("in_2", F.lit(False)).alias("in_gstr2b"), F.col("valid_irn").isNotNull().alias("has_einvoice"), F.coalesce("valid_irn", F.lit(False)).alias("valid_einvoice"), F.col("has_ewb").isNotNull().alias("has_eway_bill"), "itc_available", "filed_date", "due_date")
     return out.withColumn("total_tax", _tax()).withColumn("match_status", match_status())
 
@@ -135,7 +171,7 @@ def enriched(unified_: DataFrame, vendors: DataFrame) -> DataFrame:
     """The flat invoice view: totals, presence status, level, vendor (Unknown and '' where none matches)."""
     v = vendors.select(F.col("gstin").alias("supplier_gstin"), "vendor_id", "name", "state")
     out = unified_.join(v, "supplier_gstin", "left").withColumn("presence_status", scoring.presence_status(F.col("in_gstr1"), F.col("in_gstr2b")))
-    return out.select(F.col("invoice_no").alias("invoice_id"), "vendor_id", F.coalesce("name", F.lit("Unknown")).alias("vendor_name"), F.when(F.col("vendor_id").isNull(), "").otherwise(F.col("supplier_gstin")).alias("gstin"), F.col("state").alias("vendor_state"), "invoice_date", "period", "taxable", "cgst", "sgst", "igst", "total_tax", (F.col("taxable") + F.col("total_tax")).alias("total"), "hsn", "in_gstr1", "in_gstr2b", "has_einvoice", "valid_einvoice", "has_eway_bill", "filed_date", "due_date", "itc_available", "presence_status", "match_status", scoring.invoice_risk_level(F.col("match_status"), F.col("total_tax")).alias("risk_level"))
+    return out.select(F.col("invoice_no").alias("invoice_id"), "supplier_gstin", "vendor_id", F.coalesce("name", F.lit("Unknown")).alias("vendor_name"), F.when(F.col("vendor_id").isNull(), "").otherwise(F.col("supplier_gstin")).alias("gstin"), F.col("state").alias("vendor_state"), "invoice_date", "period", "taxable", "cgst", "sgst", "igst", "total_tax", (F.col("taxable") + F.col("total_tax")).alias("total"), "hsn", "in_gstr1", "in_gstr2b", "has_einvoice", "valid_einvoice", "has_eway_bill", "filed_date", "due_date", "itc_available", "presence_status", "match_status", scoring.invoice_risk_level(F.col("match_status"), F.col("total_tax")).alias("risk_level"))
 
 
 def search(invoices: DataFrame, period: str | None = None, level: str | None = None, issue: str | None = None, term: str | None = None, hide_matched: bool = True) -> DataFrame:

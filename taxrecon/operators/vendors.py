@@ -58,6 +58,21 @@ def scorecard(vendors: DataFrame, invoices: DataFrame) -> DataFrame:
     return rows.select("vendor_id", "name", "state", "status", "risk_score", scoring.risk_band(F.col("risk_score")).alias("band"), scoring.trend(F.col("risk_score")).alias("trend"), scoring.prediction_text(F.col("risk_score")).alias("prediction"), F.coalesce("at_risk_tax", F.lit(0)).alias("at_risk_tax"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"))
 
 
+def by_score(cards: DataFrame) -> DataFrame:
+    """Score cards, the highest score first."""
+    return cards.orderBy(F.desc("risk_score"), "vendor_id")
+
+
+def with_status(vendors: DataFrame, status: str) -> DataFrame:
+    return vendors.filter(F.col("status") == status)
+
+
+def average_score(vendors: DataFrame) -> DataFrame:
+    """One row: vendors and their mean score, from whole percents so that the order of rows can't matter."""
+    percent = F.sum((F.col("risk_score") * 100 + 0.5).cast("bigint")).cast("double")
+    return vendors.agg(F.count("*").alias("vendors"), (percent / F.lit(100.0) / F.count("*")).alias("avg_risk_score"))
+
+
 def radar(vendors: DataFrame) -> DataFrame:
     dims = scoring.radar(F.col("missed_filings"), F.col("avg_days_late"), F.col("total_transactions"), F.col("risk_score"))
     return vendors.select("vendor_id", *(v.alias(k) for k, v in dims.items()))

@@ -1,4 +1,8 @@
-"""The domain tables, derived from the star-schema tables of a folder."""
+"""The domain tables, derived from the star-schema tables of a folder.
+
+What every query starts from, one row per order and supplier, is built once per session and state of the source
+tables, stored by period in the shared folder, and read from there: queries read the columns and periods they need.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import reconcile, vendors
-from ..sources.storage import written
+from ..sources.storage import state_of, written
+
+
+#: The base of a folder as a stored table, by session, folder and state of its tables.
+_bases: dict[tuple, DataFrame] = {}
+SOURCES = ("lineitem", "orders", "customer", "supplier", "nation")
+#: Documents of an invoice name it by all its keys.
+DOCUMENT = ("gstin AS supplier_gstin", "invoice_no", "period")
 
 
 def _key_text(prefix: str) -> Column:
@@ -29,13 +40,22 @@ class Domain:
     @cached_property
     def vendor_master(self) -> DataFrame:
         sk = F.col("s_suppkey")
-        gstin = F.concat(F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0"), F.lit("AABCS"), F.lpad((sk % 10000).cast("string"), 4, "0"), F.lit("R1ZM"))
+        full = F.concat(F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0"), F.lit("AB"), F.lpad((sk % 10**9).cast("string"), 9, "0"), F.lit("ZM"))
+        gstin = F.when(sk % 9 == 0, F.substring(full, 1, 14)).otherwise(full)  # some are faulty
         s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         return s.select(sk.alias("sk"), F.concat(F.lit("V"), F.lpad(sk.cast("string"), 6, "0")).alias("vendor_id"), F.col("s_name").alias("name"), gstin.alias("gstin"), F.col("n_name").alias("state"), F.col("n_regionkey").alias("region"))
 
     @cached_property
     def base(self) -> DataFrame:
-        """One row per (order, supplier). The join on the order key comes first: the aggregation by order and
+        """One row per (order, supplier), stored by period."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, *(state_of(self.spark, f"{self.sf_dir}/{n}.parquet") for n in SOURCES))
+        if key not in _bases:
+            # Both books and all documents come from this table. Its files follow the periods, the large ones in parts.
+            _bases[key] = written(self._computed().hint("rebalance", "period"), "period")
+        return _bases[key]
+
+    def _computed(self) -> DataFrame:
+        """The base from the star schema. The join on the order key comes first: the aggregation by order and
         supplier then needs no shuffle of its own."""
         price, off = F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.round(F.col("l_discount") * 100).cast("bigint")
         lines = self.table("lineitem").select(F.col("l_orderkey").alias("ok"), F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk"), price.alias("price"), off.alias("off"))
@@ -56,8 +76,7 @@ class Domain:
             "late": F.when(s10 == 9, k >= 30).otherwise(k.between(26, 33)), "due_date": text.due_date(F.col("invoice_date")),
         })
         off_days = F.when(F.col("late"), F.when(s10 == 9, 25 + F.col("sk") % 6).otherwise(F.col("sk") % 25 + 1)).otherwise(-(k % 5))
-        # Both books and all documents come from this table, so it is computed once per query.
-        return written(b.withColumn("filed_date", F.date_add("due_date", off_days.cast("int"))).drop("region", "buyer_region", "mpk", "s10"))
+        return b.withColumn("filed_date", F.date_add("due_date", off_days.cast("int"))).drop("region", "buyer_region", "mpk", "s10")
 
     @cached_property
     def gstr1(self) -> DataFrame:
@@ -68,15 +87,15 @@ class Domain:
 
     @cached_property
     def gstr2b(self) -> DataFrame:
-        return self.base.filter("in_gstr2b").select(F.col("gstin").alias("supplier_gstin"), "invoice_no", "period", "invoice_date", "taxable", "cgst", "sgst", "igst", "hsn", F.lit("Y").alias("itc_available"))
+        return self.base.filter("in_gstr2b").select(F.col("gstin").alias("supplier_gstin"), "invoice_no", "period", "invoice_date", "taxable", "cgst", "sgst", "igst", "hsn", F.when(F.col("k").between(40, 44), "N").otherwise("Y").alias("itc_available"))
 
     @cached_property
     def eway_bills(self) -> DataFrame:
-        return self.base.filter((F.col("ok") + 3 * F.col("sk")) % 17 != 0).select(_key_text("EWB-").alias("ewb_no"), "invoice_no", F.col("invoice_date").alias("ewb_date"))
+        return self.base.filter((F.col("ok") + 3 * F.col("sk")) % 17 != 0).select(_key_text("EWB-").alias("ewb_no"), *map(F.expr, DOCUMENT), F.col("invoice_date").alias("ewb_date"))
 
     @cached_property
     def einvoices(self) -> DataFrame:
-        return self.base.filter((F.col("ok") + 5 * F.col("sk")) % 13 != 0).select(_key_text("IRN-").alias("irn"), "invoice_no", F.lit("ACT").alias("status"))
+        return self.base.filter((F.col("ok") + 5 * F.col("sk")) % 13 != 0).select(_key_text("IRN-").alias("irn"), *map(F.expr, DOCUMENT), F.lit("ACT").alias("status"))
 
     @cached_property
     def unified(self) -> DataFrame:

@@ -13,7 +13,7 @@ grp AS (
   FROM lines GROUP BY ok, sk),
 master AS (
   SELECT s_suppkey AS sk, 'V' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS vendor_id, s_name AS name,
-         lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || 'AABCS' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') || 'R1ZM' AS gstin,
+         left(lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || 'AB' || lpad(CAST(s_suppkey % 1000000000 AS VARCHAR), 9, '0') || 'ZM', CASE WHEN s_suppkey % 9 = 0 THEN 14 ELSE 15 END) AS gstin,
          n_name AS state, n_regionkey AS region
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 b0 AS (
@@ -30,7 +30,7 @@ base AS (
          k >= CASE WHEN s10 < 5 THEN 2 WHEN s10 < 9 THEN 10 ELSE 30 END AS in_gstr1, NOT (k BETWEEN 10 AND 14) AS in_gstr2b,
          CASE WHEN s10 = 9 THEN k >= 30 ELSE k BETWEEN 26 AND 33 END AS late,
          CAST(date_trunc('month', invoice_date) + INTERVAL 1 MONTH + INTERVAL 10 DAY AS DATE) AS due_date,
-         (ok + 3 * sk) % 17 <> 0 AS has_eway_bill, (ok + 5 * sk) % 13 <> 0 AS has_einvoice
+         CASE WHEN k BETWEEN 40 AND 44 THEN 'N' ELSE 'Y' END AS itc_available, (ok + 3 * sk) % 17 <> 0 AS has_eway_bill, (ok + 5 * sk) % 13 <> 0 AS has_einvoice
   FROM b0),
 b1 AS (
   SELECT *, CAST(due_date + CAST(CASE WHEN late THEN CASE WHEN s10 = 9 THEN 25 + sk % 6 ELSE sk % 25 + 1 END ELSE -(k % 5) END AS INTEGER) AS DATE) AS filed,
@@ -85,11 +85,12 @@ past_rows AS (
 filing AS (
   SELECT invoice_id, array_to_string(list_sort(list_filter([CASE WHEN in_gstr1 THEN 'GSTR-1 (' || period || ')' END, CASE WHEN in_gstr2b THEN 'GSTR-2B (' || period || ')' END], lambda x: x IS NOT NULL)), '; ') AS filings FROM i),
 nodes AS (
-  SELECT 'v-' || vendor_id AS id, CASE WHEN length(name) > 14 THEN substr(name, 1, 13) || '…' ELSE name END AS label, 'vendor' AS "group", CAST(NULL AS BOOLEAN) AS flagged FROM master
-  UNION ALL SELECT 'g-' || t || '-' || period, t || ' ' || strftime(CAST(period || '-01' AS DATE), '%b %y'), 'gstr', NULL FROM (SELECT DISTINCT period FROM i), (VALUES ('GSTR-1'), ('GSTR-2B')) AS x(t)
-  UNION ALL SELECT 'i-' || invoice_id, invoice_id, 'invoice', bad FROM i
-  UNION ALL SELECT 'e-' || invoice_id, 'IRN-' || right(invoice_id, 3), 'einvoice', NULL FROM i WHERE has_einvoice
-  UNION ALL SELECT 'w-' || invoice_id, 'EWB-' || right(invoice_id, 3), 'ewaybill', NULL FROM i WHERE has_eway_bill),
+  SELECT 'v-' || vendor_id AS id, CASE WHEN length(name) > 14 THEN substr(name, 1, 13) || '…' ELSE name END AS label, 'vendor' AS "group", CAST(NULL AS BOOLEAN) AS flagged,
+         gstin, risk_score AS risk, state, status, CAST(NULL AS VARCHAR) AS period, CAST(NULL AS BIGINT) AS amount FROM v
+  UNION ALL SELECT 'g-' || t || '-' || period, t || ' ' || strftime(CAST(period || '-01' AS DATE), '%b %y'), 'gstr', NULL, NULL, NULL, NULL, NULL, period, NULL FROM (SELECT DISTINCT period FROM i), (VALUES ('GSTR-1'), ('GSTR-2B')) AS x(t)
+  UNION ALL SELECT 'i-' || invoice_id, replace(invoice_id, 'INV-2025-', 'INV-'), 'invoice', bad, NULL, NULL, NULL, CASE WHEN bad THEN 'flagged' ELSE 'matched' END, NULL, total FROM i
+  UNION ALL SELECT 'e-' || invoice_id, 'IRN-' || right(invoice_id, 3), 'einvoice', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM i WHERE has_einvoice
+  UNION ALL SELECT 'w-' || invoice_id, 'EWB-' || right(invoice_id, 3), 'ewaybill', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM i WHERE has_eway_bill),
 edges AS (
   SELECT 'v-' || vendor_id AS source, 'i-' || invoice_id AS target, 'ISSUED' AS label, 'issued' AS type FROM i
   UNION ALL SELECT 'i-' || invoice_id, 'g-GSTR-2B-' || period, 'IN_2B', 'reported' FROM i WHERE in_gstr2b
@@ -132,6 +133,9 @@ def _tenths(unit: int, suffix: str) -> str:
     return f"'₹' || CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '{suffix}'"
 
 
+_EXPLANATION = "CASE WHEN i.match_status IS NULL THEN 'No data found for invoice ' || b.invoice_id ELSE 'Invoice ' || i.invoice_id || ' (₹' || format('{:,}', (i.taxable + 50) // 100) || ') from ' || i.vendor_name || ' (GSTIN: ' || i.gstin || ') ' || CASE WHEN i.in_gstr2b AND NOT i.in_gstr1 THEN 'appears in GSTR-2B but is MISSING from the vendor''s GSTR-1 filing. ITC cannot be claimed under Section 16(2)(aa) CGST Act until the vendor reports this invoice.' WHEN i.match_status = 'Tax Amount Mismatch' THEN 'shows conflicting tax amounts between GSTR-1 and GSTR-2B. The correct amount must be reconciled before claiming ITC.' ELSE 'status: ' || i.match_status || '. ' END END"
+_TOP_NODES = 'SELECT n.id, n."group", coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN degree d ON d.id = n.id ORDER BY coalesce(degree, 0) DESC, n.id LIMIT 200'
+
 _SELECTS: dict[str, str] = {
     "vendors_view": "SELECT vendor_id, name, gstin, state, tx AS total_transactions, missed AS missed_filings, CAST(late_days AS DOUBLE) AS avg_days_late, risk_score, status FROM v",
     "invoices_enriched": "SELECT invoice_id, vendor_id, vendor_name, gstin, invoice_date, period, taxable, cgst, sgst, igst, total_tax, total, hsn, in_gstr1, in_gstr2b, has_einvoice, has_eway_bill, match_status, risk_level FROM i",
@@ -144,6 +148,28 @@ _SELECTS: dict[str, str] = {
     "hsn_mismatch": "SELECT * FROM hsnm",
     "eway_bill_missing": "SELECT * FROM ewbm",
     "eway_bill_missing_per_return": "SELECT e.* FROM ewbm e JOIN i ON i.invoice_id = e.invoice_id, unnest(range(CAST(in_gstr1 AS INTEGER) + CAST(in_gstr2b AS INTEGER))) AS u(x)",
+    "missing_in_gstr1_by_tax": "SELECT * FROM miss1",
+    "tax_mismatch_by_difference": "SELECT * FROM taxm",
+    "missing_in_gstr1_period": "SELECT * FROM miss1 WHERE period = '1995-03'",
+    "tax_mismatch_period": "SELECT * FROM taxm WHERE period = '1995-03'",
+    "hsn_mismatch_period": "SELECT * FROM hsnm WHERE period = '1995-03'",
+    "eway_bill_missing_period": "SELECT * FROM ewbm WHERE period = '1995-03'",
+    "late_filing_period": "SELECT invoice_id, period, filed_date, due_date, days AS days_late FROM i WHERE filed_date > due_date AND period = '1995-03'",
+    "full_reconciliation_period": "SELECT * FROM full_list WHERE period = '1995-03'",
+    "explanation_lookup": f"SELECT b.invoice_id, {_EXPLANATION} AS explanation FROM (VALUES ('INV-1-2'), ('INV-0-0')) AS b(invoice_id) LEFT JOIN i ON i.invoice_id = b.invoice_id",
+    "reconciliation_with_matched": "SELECT invoice_id, vendor_name, match_status, risk_level, total_tax FROM i WHERE period = '1995-03'",
+    "vendors_with_status": "SELECT vendor_id, name, gstin, state, tx AS total_transactions, missed AS missed_filings, CAST(late_days AS DOUBLE) AS avg_days_late, risk_score, status FROM v WHERE status = 'High Risk'",
+    "average_risk_score": "SELECT count(*) AS vendors, CAST(sum(CAST(floor(risk_score * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 / count(*) AS avg_risk_score FROM v",
+    "vendor_scorecard_by_score": "SELECT vendor_id, name, risk_score, CASE WHEN risk_score > CAST(0.6 AS DOUBLE) THEN 'high' WHEN risk_score > CAST(0.3 AS DOUBLE) THEN 'medium' ELSE 'low' END AS band, coalesce(at_risk_tax, 0) AS at_risk_tax FROM v LEFT JOIN risk USING (vendor_id)",
+    "vendor_connections": "SELECT vendor_id, count(*) AS invoices, CAST(sum(CAST(in_gstr1 AS INTEGER) + CAST(in_gstr2b AS INTEGER) + CAST(has_einvoice AS INTEGER) + CAST(has_eway_bill AS INTEGER)) AS BIGINT) AS documents FROM i GROUP BY 1",
+    "traversal_text": "SELECT invoice_id, 'MATCH (v:Vendor {gstin:''' || gstin || '''})-[:ISSUED_INVOICE]->(i:Invoice {id:''' || invoice_id || '''})' || chr(10) || 'MATCH (i)-[:REPORTED_IN]->(g2:GSTR {type:''GSTR-2B'', period:''' || period || '''})' || chr(10) || 'WHERE NOT EXISTS {' || chr(10) || '  MATCH (i)-[:MATCHES]->(:Invoice)-[:REPORTED_IN]->(:GSTR {type:''GSTR-1'', period:''' || period || '''})' || chr(10) || '}' || chr(10) || 'RETURN v.name AS vendor, i.id AS invoice, i.tax_amount AS tax' AS traversal FROM i WHERE bad",
+    "graph_top_edges": f", top AS ({_TOP_NODES}) SELECT e.* FROM edges e WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top)",
+    "sequential_ids": "SELECT invoice_id, 'INV-2025-' || CASE WHEN length(CAST(n AS VARCHAR)) < 3 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS new_id FROM (SELECT invoice_id, row_number() OVER (ORDER BY invoice_date, invoice_id) + 20 AS n FROM i)",
+    "eway_bill_source": "SELECT 'EWB-' || ok || '-' || sk AS ewb_no, invoice_no, invoice_date AS ewb_date FROM b1 WHERE has_eway_bill",
+    "filings_source": "SELECT r.*, f.filed_date, CASE WHEN f.filed_date IS NULL THEN 'Auto-generated' ELSE 'Filed' END AS status FROM register r LEFT JOIN (SELECT 'GSTR-1' AS type, period, max(filed) AS filed_date FROM b1 WHERE in_gstr1 GROUP BY period) f ON f.type = r.type AND f.period = r.period",
+    "append_alerts": "SELECT period, CASE WHEN NOT bad THEN 'success' WHEN risk_level = 'High' THEN 'critical' ELSE 'warning' END AS type, count(*) AS n FROM i GROUP BY 1, 2",
+    "csv_export": "SELECT invoice_id, vendor_name, match_status, total_tax FROM i WHERE bad AND risk_level = 'High'",
+    "vendor_quarantine": "SELECT * FROM (SELECT vendor_id AS id, CASE WHEN missed > 9 THEN '' ELSE name END AS name, gstin, CAST(tx AS VARCHAR) || CASE WHEN late_days > 12 THEN 'x' ELSE '' END AS \"totalTransactions\" FROM v) WHERE name = '' OR length(gstin) <> 15 OR right(\"totalTransactions\", 1) = 'x'",
     "einvoice_missing": "SELECT invoice_id, period, gstin AS supplier_gstin FROM i WHERE NOT has_einvoice",
     "late_filing": "SELECT invoice_id, period, filed_date, due_date, days AS days_late FROM i WHERE filed_date > due_date",
     "vendor_risk_lookup": "SELECT vendor_id, risk_score, status FROM v WHERE vendor_id = 'V000007'",
@@ -184,7 +210,7 @@ _SELECTS: dict[str, str] = {
     "state_risk_factor": "SELECT * FROM state_rate",
     "einvoice_rate": "SELECT vendor_id, transaction_volume AS n, einvoice_compliance_rate FROM facts",
     "risk_feature_contributions": "SELECT vendor_id, 'Missed Filings' AS feature, CAST(missed AS DOUBLE) AS value, CAST(0.28 AS DOUBLE) AS weight FROM v UNION ALL SELECT vendor_id, 'Avg Days Late', CAST(late_days AS DOUBLE), CAST(0.22 AS DOUBLE) FROM v UNION ALL SELECT vendor_id, 'Transactions', CAST(tx AS DOUBLE), CAST(0.12 AS DOUBLE) FROM v",
-    "blocked_itc": "SELECT 'Y' AS itc_available, count(*) AS n, CAST(sum(tax) AS BIGINT) AS tax FROM b1 WHERE in_gstr2b",
+    "blocked_itc": "SELECT itc_available, count(*) AS n, CAST(sum(tax) AS BIGINT) AS tax FROM b1 WHERE in_gstr2b GROUP BY 1",
     "gstin_quality": "SELECT length(gstin) = 15 AS fine, count(*) AS n FROM master GROUP BY 1",
     "effective_rate": "SELECT * FROM (SELECT invoice_id, ((cgst_1 + sgst_1 + igst_1) * 10000 + taxable // 2) // taxable AS rate_1, (tax * 10000 + taxable // 2) // taxable AS rate_2 FROM i WHERE in_gstr1 AND in_gstr2b) WHERE rate_1 <> rate_2",
     "invoice_context": "SELECT i.invoice_id, vendor_id, vendor_name, match_status, filings, CASE WHEN has_einvoice THEN 'IRN-' || ok || '-' || sk ELSE '' END AS irns, CASE WHEN has_eway_bill THEN 'EWB-' || ok || '-' || sk ELSE '' END AS ewbs FROM i JOIN filing f ON f.invoice_id = i.invoice_id",
@@ -202,14 +228,14 @@ _SELECTS: dict[str, str] = {
     "graph_layer_filter": "SELECT * FROM edges WHERE type = 'issued'",
     "graph_stats": "SELECT \"group\", count(*) AS n, count(*) FILTER (flagged) AS flagged FROM nodes GROUP BY 1",
     "node_degree": "SELECT * FROM degree",
-    "graph_top_nodes": "SELECT n.id, n.\"group\", coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN degree d ON d.id = n.id ORDER BY coalesce(degree, 0) DESC, n.id LIMIT 200",
+    "graph_top_nodes": _TOP_NODES,
     "orphan_einvoices": "SELECT invoice_no, 'IRN-' || ok || '-' || sk AS irn, 'ACT' AS status FROM b1 WHERE has_einvoice AND NOT (in_gstr1 OR in_gstr2b)",
     "vendor_features": "SELECT * FROM features",
     "heuristic_labels": "SELECT vendor_id, CAST(risk > (SELECT quantile_cont(risk, 0.7) FROM heur) AS INTEGER) AS label FROM heur",
     "upsert_last_write_wins": "SELECT gstin AS supplier_gstin, invoice_no, period, CASE WHEN in_gstr2b THEN cgst ELSE cgst_1 END AS cgst, CASE WHEN in_gstr2b THEN sgst ELSE sgst_1 END AS sgst, CASE WHEN in_gstr2b THEN igst ELSE igst_1 END AS igst, CASE WHEN in_gstr2b THEN hsn ELSE hsn_1 END AS hsn, CASE WHEN in_gstr2b THEN 2 ELSE 1 END AS stamp FROM i",
     "quarantine_rows": "SELECT invoice_id AS id, CASE WHEN n = 2 THEN '' ELSE vendor_id END AS \"vendorId\", CASE WHEN n = 0 THEN '' WHEN n = 1 THEN 'abc' ELSE CAST(CAST(CAST(taxable AS DECIMAL(18, 0)) / 100 AS DECIMAL(18, 2)) AS VARCHAR) END AS \"taxableAmount\" FROM posted WHERE n <= 2",
     "json_gstr1_roundtrip": "SELECT gstin AS supplier_gstin, count(*) AS n, CAST(sum(taxable) AS BIGINT) AS taxable, CAST(sum(cgst_1 + sgst_1 + igst_1) AS BIGINT) AS tax, min(invoice_date) AS first, max(hsn_1) AS hsn FROM b1 WHERE in_gstr1 GROUP BY 1",
-    "json_gstr2b_roundtrip": "SELECT gstin AS supplier_gstin, 'Y' AS itc_available, count(*) AS n, CAST(sum(taxable) AS BIGINT) AS taxable, CAST(sum(tax) AS BIGINT) AS tax, min(invoice_date) AS first, max(hsn) AS hsn FROM b1 WHERE in_gstr2b GROUP BY 1",
+    "json_gstr2b_roundtrip": "SELECT gstin AS supplier_gstin, itc_available, count(*) AS n, CAST(sum(taxable) AS BIGINT) AS taxable, CAST(sum(tax) AS BIGINT) AS tax, min(invoice_date) AS first, max(hsn) AS hsn FROM b1 WHERE in_gstr2b GROUP BY 1, 2",
     "json_einvoice_roundtrip": "SELECT 'IRN-' || ok || '-' || sk AS irn, invoice_no, 'ACT' AS status FROM b1 WHERE has_einvoice",
     "stream_invoice_alerts": "SELECT invoice_id, CASE WHEN presence_status = 'Matched' THEN 'success' WHEN total_tax > 5000000 THEN 'critical' ELSE 'warning' END AS type, CASE WHEN presence_status <> 'Matched' THEN 'Mismatch: ' || invoice_id || ' from ' || vendor_name || ' — ' || presence_status || ' (₹' || format('{:,}', total_tax // 100) || ' tax)' ELSE 'Invoice ' || invoice_id || ' from ' || vendor_name || ' matched' END AS message, CASE WHEN presence_status = 'Matched' THEN '🟢' WHEN total_tax > 5000000 THEN '🔴' ELSE '🟡' END AS icon FROM posted WHERE n > 2",
 }
@@ -242,9 +268,12 @@ def _communities() -> str:
 
 #: Those that don't start from the domain tables.
 _ALONE: dict[str, str] = {
-    "vendor_threshold_alerts": "WITH r AS (SELECT user_id, event_id, ts, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events WHERE event_type = 'error'), l AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM r) SELECT user_id, event_id, running FROM l WHERE running > 500000 AND before <= 500000",
+    "vendor_threshold_alerts": "WITH r AS (SELECT user_id, event_id, ts, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events WHERE event_type = 'error'), l AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM r) SELECT user_id, event_id, running FROM l WHERE running > 20000 AND before <= 20000",
     "stream_windowed_kpis": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tax FROM events GROUP BY 1, 2",
+    "stream_sliding_kpis": "SELECT CAST(w AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tax FROM (SELECT event_type, value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY 1, 2",
     "stream_reconcile_outer": "SELECT p.event_id AS purchase_id, p.user_id, q.event_id AS signup_id, CASE WHEN q.event_id IS NULL THEN 'Missing in GSTR-1' ELSE 'Matched' END AS status FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') q ON p.user_id = q.user_id AND q.ts >= p.ts AND q.ts <= p.ts + INTERVAL 1 DAY",
 }
 
+_ALONE["stream_deduplicated"], _ALONE["stream_threshold_alerts"] = _ALONE["stream_windowed_kpis"], _ALONE["vendor_threshold_alerts"]
+
 ORACLES = {**{k: BASE + s for k, s in _SELECTS.items()}, **_ALONE, "pagerank": _pagerank(), "communities": _communities()}

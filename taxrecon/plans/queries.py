@@ -32,7 +32,8 @@ def _simple(name: str, f: Callable[[Domain], DataFrame]) -> None:
 
 
 VENDOR_COLS = ["vendor_id", "name", "gstin", "state", "total_transactions", "missed_filings", "avg_days_late", "risk_score", "status"]
-TERM = "9-1"
+LIMIT = 20_000  # paise at risk at which a vendor's alert goes off
+TERM, PERIOD, INVOICE = "9-1", "1995-03", "INV-1-2"
 
 _simple("vendors_view", lambda d: d.vendors.select(*VENDOR_COLS))
 _simple("invoices_enriched", lambda d: d.invoices.select("invoice_id", "vendor_id", "vendor_name", "gstin", "invoice_date", "period", "taxable", "cgst", "sgst", "igst", "total_tax", "total", "hsn", "in_gstr1", "in_gstr2b", "has_einvoice", "has_eway_bill", "match_status", "risk_level"))
@@ -45,6 +46,23 @@ _simple("tax_mismatch_igst", lambda d: reconcile.tax_mismatch(d.gstr1, d.gstr2b,
 _simple("hsn_mismatch", lambda d: reconcile.hsn_mismatch(d.gstr1, d.gstr2b))
 _simple("eway_bill_missing", lambda d: reconcile.eway_bill_missing(d.gstr1, d.gstr2b, d.eway_bills))
 _simple("eway_bill_missing_per_return", lambda d: reconcile.eway_bill_missing(d.gstr1, d.gstr2b, d.eway_bills, per_return=True))
+_simple("missing_in_gstr1_by_tax", lambda d: reconcile.by_tax(reconcile.missing_in_gstr1(d.gstr1, d.gstr2b, d.vendor_master)))
+_simple("tax_mismatch_by_difference", lambda d: reconcile.by_difference(reconcile.tax_mismatch(d.gstr1, d.gstr2b, d.vendor_master)))
+_simple("missing_in_gstr1_period", lambda d: reconcile.missing_in_gstr1(d.gstr1, d.gstr2b, d.vendor_master, PERIOD))
+_simple("tax_mismatch_period", lambda d: reconcile.tax_mismatch(d.gstr1, d.gstr2b, d.vendor_master, PERIOD))
+_simple("hsn_mismatch_period", lambda d: reconcile.hsn_mismatch(d.gstr1, d.gstr2b, PERIOD))
+_simple("eway_bill_missing_period", lambda d: reconcile.eway_bill_missing(d.gstr1, d.gstr2b, d.eway_bills, PERIOD))
+_simple("late_filing_period", lambda d: reconcile.late_filing(d.gstr1, PERIOD))
+_simple("full_reconciliation_period", lambda d: reconcile.full_list(d.gstr1, d.gstr2b, d.eway_bills, d.vendor_master, PERIOD))
+_simple("explanation_lookup", lambda d: explain.template_explanation(d.spark.createDataFrame([(INVOICE,), ("INV-0-0",)], "invoice_id string"), d.invoices))
+_simple("reconciliation_with_matched", lambda d: reconcile.search(d.invoices, period=PERIOD, hide_matched=False).select("invoice_id", "vendor_name", "match_status", "risk_level", "total_tax"))
+_simple("vendors_with_status", lambda d: vendors.with_status(d.vendors, "High Risk").select(*VENDOR_COLS))
+_simple("average_risk_score", lambda d: vendors.average_score(d.vendors))
+_simple("vendor_scorecard_by_score", lambda d: vendors.by_score(vendors.scorecard(d.vendors, d.invoices)).select("vendor_id", "name", "risk_score", "band", "at_risk_tax"))
+_simple("vendor_connections", lambda d: graph.vendor_connections(graph.edges(d.invoices)))
+_simple("traversal_text", lambda d: explain.traversals(d.invoices))
+_simple("graph_top_edges", lambda d: graph.around(graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)))
+_simple("sequential_ids", lambda d: sinks.numbered_ids(d.invoices.select("invoice_id", "invoice_date"), "INV-2025-", [F.col("invoice_date"), F.col("invoice_id")], 20, name="new_id").select("invoice_id", "new_id"))
 _simple("einvoice_missing", lambda d: reconcile.einvoice_missing(d.gstr1, d.gstr2b, d.einvoices))
 _simple("late_filing", lambda d: reconcile.late_filing(d.gstr1))
 _simple("vendor_risk_lookup", lambda d: d.vendors.filter("vendor_id = 'V000007'").select("vendor_id", "risk_score", "status"))
@@ -86,9 +104,9 @@ _simple("risk_feature_contributions", lambda d: vendors.feature_contributions(d.
 _simple("blocked_itc", lambda d: d.gstr2b.groupBy("itc_available").agg(F.count("*").alias("n"), F.sum(F.col("cgst") + F.col("sgst") + F.col("igst")).alias("tax")))
 _simple("gstin_quality", lambda d: d.vendor_master.groupBy((F.length("gstin") == 15).alias("fine")).agg(F.count("*").alias("n")))
 _simple("effective_rate", lambda d: d.gstr1.join(d.gstr2b.select(*reconcile.KEYS, F.col("taxable").alias("t2"), (F.col("cgst") + F.col("sgst") + F.col("igst")).alias("x2")), reconcile.KEYS).select(F.col("invoice_no").alias("invoice_id"), F.expr("((cgst + sgst + igst) * 10000 + taxable div 2) div taxable").alias("rate_1"), F.expr("(x2 * 10000 + t2 div 2) div t2").alias("rate_2")).filter("rate_1 <> rate_2"))
-_simple("invoice_context", lambda d: explain.invoice_context(d.invoices, d.gstr1, d.gstr2b, d.einvoices, d.eway_bills))
-_simple("invoice_filings", lambda d: explain.invoice_filings(d.invoices, d.gstr1, d.gstr2b))
-_simple("audit_records", lambda d: explain.audit_records(d.invoices, d.vendors).withColumn("evidence", F.array_join("evidence", "; ")))
+_simple("invoice_context", lambda d: explain.invoice_context(d.invoices, d.einvoices, d.eway_bills))
+_simple("invoice_filings", lambda d: explain.invoice_filings(d.invoices))
+_simple("audit_records", lambda d: explain.audit_records(d.invoices, d.vendors).withColumn("evidence", F.array_join("evidence", "; ")).drop("supplier_gstin", "period"))
 _simple("audit_search", lambda d: explain.searched(explain.audit_records(d.invoices, d.vendors), d.invoices, TERM).select("invoice_id", "match_status"))
 _simple("invoice_alerts", lambda d: explain.invoice_alerts(d.invoices).drop("invoice_date"))
 _simple("vendor_alerts", lambda d: explain.vendor_alerts(d.vendors))
@@ -101,17 +119,17 @@ _simple("graph_layer_filter", lambda d: graph.layers(graph.nodes(d.vendors, d.in
 _simple("graph_stats", lambda d: graph.stats(graph.nodes(d.vendors, d.invoices)))
 _simple("node_degree", lambda d: graph.degrees(graph.edges(d.invoices)))
 _simple("graph_top_nodes", lambda d: graph.top_nodes(graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)).select("id", "group", "degree"))
-_simple("orphan_einvoices", lambda d: sinks.orphans(d.einvoices, d.gstr1.select("invoice_no").union(d.gstr2b.select("invoice_no"))))
+_simple("orphan_einvoices", lambda d: sinks.orphans(d.einvoices, d.gstr1.select(*reconcile.KEYS).union(d.gstr2b.select(*reconcile.KEYS))).select("irn", "invoice_no", "status"))
 _simple("vendor_features", lambda d: model.features(d.vendors, d.invoices))
 _simple("heuristic_labels", lambda d: model.labelled(model.features(d.vendors, d.invoices)).select("vendor_id", F.col("label").cast("int").alias("label")))
-_simple("vendor_threshold_alerts", lambda d: jobs.threshold_crossings(d.table("events"), 500_000))
+_simple("vendor_threshold_alerts", lambda d: jobs.threshold_crossings(d.table("events"), LIMIT))
 
 
 @query("template_explanation")
 def template_explanation(d: Domain) -> DataFrame:
     """Every order and supplier is asked for; those in neither book have no data."""
-    asked = d.base.select(F.col("invoice_no").alias("invoice_id"))
-    return explain.template_explanation(asked, d.invoices, d.gstr1, d.gstr2b)
+    asked = d.base.select(F.col("gstin").alias("supplier_gstin"), F.col("invoice_no").alias("invoice_id"), "period")
+    return explain.template_explanation(asked, d.invoices).select("invoice_id", "explanation")
 
 
 @query("upsert_last_write_wins")
@@ -154,9 +172,55 @@ def json_gstr2b_roundtrip(d: Domain) -> DataFrame:
 @query("json_einvoice_roundtrip")
 def json_einvoice_roundtrip(d: Domain) -> DataFrame:
     path = jobs.work_dir(d.spark)
-    sinks.einvoice_documents(d.einvoices).write.json(path)
-    raw = d.spark.read.schema("Irn string, DocDtls struct<No:string>, AckDt string, Status string").json(path)
-    return raw.select(F.col("Irn").alias("irn"), F.col("DocDtls.No").alias("invoice_no"), F.col("Status").alias("status"))
+    # A file per array: the reader takes whole-file documents.
+    sinks.einvoice_documents(d.einvoices).write.option("maxRecordsPerFile", 1).text(path)
+    return returns.einvoices(d.spark, path).select("irn", "invoice_no", "status")
+
+
+@query("eway_bill_source")
+def eway_bill_source(d: Domain) -> DataFrame:
+    path = jobs.work_dir(d.spark)
+    d.eway_bills.select("ewb_no", "invoice_no", "ewb_date").write.parquet(path)
+    return returns.eway_bills(d.spark, path)
+
+
+@query("filings_source")
+def filings_source(d: Domain) -> DataFrame:
+    """The register of returns as CSV, with the date of the last filing, read back."""
+    path = jobs.work_dir(d.spark)
+    filed = d.gstr1.groupBy("period").agg(F.max("filed_date").alias("filed_date")).withColumn("type", F.lit("GSTR-1"))
+    rows = kpis.filings_register(d.gstr1, d.gstr2b).join(filed, ["type", "period"], "left")
+    cols = ["type", "period", "total_invoices", "total_taxable", "total_tax", "filed_date"]
+    sinks.to_csv(rows.select(*cols, F.when(F.col("filed_date").isNull(), "Auto-generated").otherwise("Filed").alias("status")), path)
+    return returns.filings(d.spark, path)
+
+
+@query("append_alerts")
+def append_alerts(d: Domain) -> DataFrame:
+    """Alerts of the two books' sides appended to one table by period, one after the other."""
+    path = jobs.work_dir(d.spark)
+    for reported in (True, False):
+        part = d.invoices.filter(F.col("in_gstr1") == reported)
+        sinks.append(explain.invoice_alerts(part).join(part.select("invoice_id", "period"), "invoice_id").select("period", "type"), path, "period")
+    return d.spark.read.schema("type string, period string").parquet(path).groupBy("period", "type").agg(F.count("*").alias("n"))
+
+
+@query("csv_export")
+def csv_export(d: Domain) -> DataFrame:
+    """The filtered reconciliation view as CSV, read back."""
+    path = jobs.work_dir(d.spark)
+    view = reconcile.search(d.invoices, level="High").select("invoice_id", "vendor_name", "match_status", "total_tax")
+    sinks.to_csv(view, path)
+    return d.spark.read.schema(view.schema).option("header", True).csv(path)
+
+
+@query("vendor_quarantine")
+def vendor_quarantine(d: Domain) -> DataFrame:
+    """Vendors as posted, all text, some faulty; those that the checks turn away."""
+    n = F.col("total_transactions").cast("string")
+    rows = d.vendors.select(F.col("vendor_id").alias("id"), F.when(F.col("missed_filings") > 9, "").otherwise(F.col("name")).alias("name"), "gstin", "state", F.when(F.col("avg_days_late") > 12, F.concat(n, F.lit("x"))).otherwise(n).alias("totalTransactions"), F.col("missed_filings").cast("string").alias("missedFilings"), F.lit(None).cast("string").alias("avgDaysLate"))
+    _, bad = returns.checked_vendors(rows)
+    return bad.select("id", "name", "gstin", "totalTransactions")
 
 
 @query("stream_invoice_alerts")
@@ -181,20 +245,57 @@ def stream_windowed_kpis(d: Domain) -> DataFrame:
     return d.spark.read.parquet(f"{path}/out").filter("start < '8000-01-01'").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "tax")
 
 
+@query("stream_sliding_kpis")
+def stream_sliding_kpis(d: Domain) -> DataFrame:
+    """Events and tax per type in windows of two days that start daily, in update mode: every batch sends the windows
+    that it changed, and the last word on each stands."""
+    path = jobs.work_dir(d.spark)
+    events = jobs.event_stream(d.spark, jobs.split_by_time(d.spark, d.table("events"), f"{path}/in"), "*", files=1)
+    out = jobs.windowed(events.withWatermark("ts", "1 hour"), "2 days", "1 day")
+    jobs.finished(out.writeStream.foreachBatch(jobs.latest(f"{path}/out")).outputMode("update"), f"{path}/cp")
+    rows = d.spark.read.parquet(f"{path}/out")
+    last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "tax"), "batch").alias("x"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "x.*")
+
+
+@query("stream_deduplicated")
+def stream_deduplicated(d: Domain) -> DataFrame:
+    """A stream in which every seventh event comes twice, in files of their own times; each counts once."""
+    path = jobs.work_dir(d.spark)
+    sent = d.table("events").unionByName(d.table("events").filter("event_id % 7 = 0"))
+    events = jobs.event_stream(d.spark, jobs.split_by_time(d.spark, sent, f"{path}/in", close=True), "*", files=1)
+    jobs.finished(jobs.windowed(jobs.deduplicated(events)).writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/cp")
+    return d.spark.read.parquet(f"{path}/out").filter("start < '8000-01-01'").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "tax")
+
+
+@query("stream_threshold_alerts")
+def stream_threshold_alerts(d: Domain) -> DataFrame:
+    """The alerts of vendor_threshold_alerts from a stream of several files."""
+    path = jobs.work_dir(d.spark)
+    events = jobs.event_stream(d.spark, jobs.split_by_time(d.spark, d.table("events"), f"{path}/in"), "*", files=1)
+    jobs.finished(events.writeStream.foreachBatch(jobs.crossings_of_batches(f"{path}/sums", f"{path}/out", LIMIT)).outputMode("append"), f"{path}/cp")
+    return d.spark.read.schema("user_id bigint, event_id bigint, running bigint").parquet(f"{path}/out/*")
+
+
 @query("stream_reconcile_outer")
 def stream_reconcile_outer(d: Domain) -> DataFrame:
+    """Both sides stream in from files of their own times, one a batch; a closing file at the end of either ends the wait."""
     path = jobs.work_dir(d.spark)
-    end = jobs.closing(d.spark, f"{path}/end")
-    out = jobs.reconciled(jobs.event_stream(d.spark, d.sf_dir, end=end), jobs.event_stream(d.spark, d.sf_dir, end=end))
+    folder = jobs.split_by_time(d.spark, d.table("events"), f"{path}/in", close=True)
+    out = jobs.reconciled(*(jobs.event_stream(d.spark, folder, "*", files=1) for _ in range(2)))
     jobs.finished(out.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/cp")
     return d.spark.read.parquet(f"{path}/out").filter("purchase_id >= 0")
 
 
-def _trained(d: Domain):
-    """Features with centrality and communities, labelled, held for the passes of the training."""
+def _rows(d: Domain) -> DataFrame:
+    """Features with centrality and communities, labelled, held for the passes of a training."""
     nodes, edges = graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)
     rank = graph.pagerank(nodes.filter("group in ('vendor', 'invoice', 'gstr')"), edges.filter("type in ('issued', 'reported')")).filter("id like 'v-%'").select(F.substring("id", 3, 100).alias("vendor_id"), "rank")
-    rows = storage.checkpointed(model.labelled(model.features(d.vendors, d.invoices, rank, graph.communities(d.invoices))))
+    return storage.checkpointed(model.labelled(model.features(d.vendors, d.invoices, rank, graph.communities(d.invoices))))
+
+
+def _trained(d: Domain):
+    rows = _rows(d)
     return rows, model.train(model.split(rows)[0])
 
 
@@ -209,6 +310,24 @@ def forest_feature_importance(d: Domain) -> DataFrame:
     return model.importances(_trained(d)[1], d.spark)
 
 
+@query("forest_metrics")
+def forest_metrics(d: Domain) -> DataFrame:
+    """Accuracy, area under ROC, precision, recall and F1 of a forest and of boosted trees on the side not trained on."""
+    return model.evaluated(_rows(d))
+
+
+@query("forest_confusion")
+def forest_confusion(d: Domain) -> DataFrame:
+    train, test = model.split(_rows(d))
+    return model.confusion(model.train(train), test)
+
+
+@query("forest_cross_validation")
+def forest_cross_validation(d: Domain) -> DataFrame:
+    """Mean area under ROC over five folds."""
+    return d.spark.createDataFrame([(float(model.cross_validated(_rows(d))),)], "auc double")
+
+
 @query("pagerank")
 def pagerank(d: Domain) -> DataFrame:
     nodes, edges = graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)

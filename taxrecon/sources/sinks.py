@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import written
+
 #: Parameter: invoices of a return document, about so many at most.
 DOCUMENT = 10_000
 
@@ -35,8 +37,9 @@ def links(rows: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def orphans(einvoices: DataFrame, invoices: DataFrame) -> DataFrame:
-    """e-Invoices whose invoice is unknown."""
-    return einvoices.join(invoices.select("invoice_no"), "invoice_no", "left_anti")
+    """e-Invoices whose invoice is unknown, by all the keys that both sides carry."""
+    by = [k for k in ("supplier_gstin", "invoice_no", "period") if k in einvoices.columns and k in invoices.columns]
+    return einvoices.join(invoices.select(*by), by, "left_anti")
 
 
 def append(rows: DataFrame, path: str, partition: str | None = None) -> None:
@@ -48,21 +51,25 @@ def to_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def numbered_ids(rows: DataFrame, prefix: str, order: list[Column], existing: int, width: int = 3, name: str = "id") -> DataFrame:
-    """prefix and a zero-padded number after existing, in a stated order. Ranks come from counts per range
-    partition, so no task has all rows."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+def ranked(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """rows with their place from 0 in a stated order. Places come from counts per range partition, so no task has all
+    rows; the rows are written first, so that a task that runs again can't move them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
     part = F.shiftright("__m", 33)
     sizes = {r[0]: r[1] for r in spread.groupBy(part.alias("p")).count().collect()}  # one count per partition
-    starts, total = [], existing
+    starts, total = [], 0
     for p in range(max(sizes, default=-1) + 1):
         starts.append(total)
         total += sizes.get(p, 0)
-    number = F.get(F.lit(starts or [0]).cast("array<bigint>"), part.cast("int")) + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    text = number.cast("string")
-    return spread.withColumn(name, F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))).drop("__m")
+    number = F.get(F.lit(starts or [0]).cast("array<bigint>"), part.cast("int")) + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return spread.withColumn(name, number).drop("__m")
+
+
+def numbered_ids(rows: DataFrame, prefix: str, order: list[Column], existing: int, width: int = 3, name: str = "id") -> DataFrame:
+    """prefix and a zero-padded number after existing, in a stated order."""
+    text = (F.col("__place") + existing + 1).cast("string")
+    return ranked(rows, "__place", order).withColumn(name, F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))).drop("__place")
 
 
 def _dealt(book: DataFrame, inv: Column, most: int, *names: Column) -> DataFrame:
@@ -88,5 +95,8 @@ def gstr2b_documents(book: DataFrame, most: int = DOCUMENT) -> DataFrame:
     return _dealt(book, inv, most, F.lit("").alias("trdnm")).select("period", F.struct("b2b").alias("docdata"))
 
 
-def einvoice_documents(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("irn").alias("Irn"), F.struct(F.col("invoice_no").alias("No")).alias("DocDtls"), F.lit("").alias("AckDt"), F.col("status").alias("Status"))
+def einvoice_documents(rows: DataFrame, most: int = DOCUMENT) -> DataFrame:
+    """Texts of JSON arrays of e-invoices in the layout that the reader takes, of about most each."""
+    one = F.struct(F.col("irn").alias("Irn"), F.struct(F.col("invoice_no").alias("No")).alias("DocDtls"), F.lit("").alias("AckDt"), F.col("status").alias("Status"))
+    parts = max(1, -(-rows.count() // most))
+    return rows.groupBy(F.pmod(F.xxhash64("irn"), F.lit(parts)).alias("__part")).agg(F.to_json(F.collect_list(one)).alias("value")).select("value")

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that sessions of this process have written, for cleanup().
+#: Tables that sessions of this process have written, for cleanup(), and how often it ran.
 _tables: list[str] = []
+_cleanups: list[int] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,14 @@ def written(df: DataFrame, *partition: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if partition else df.sparkSession.read.parquet(path)
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Bytes, files and time of a table, and the number of cleanups: they change when it, or what was made of it, does."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = name.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(name)
+    status = name.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(name)
+    return found.getLength(), found.getFileCount(), status.getModificationTime(), len(_cleanups)
+
+
 def cleanup(spark: SparkSession) -> int:
     """Deletes the tables that this process has written so far; for when their results have been stored."""
     for path in _tables:
@@ -44,4 +53,5 @@ def cleanup(spark: SparkSession) -> int:
         name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
     n = len(_tables)
     _tables.clear()
+    _cleanups.append(n)
     return n

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.window import Window
 
 from ..functions import scoring
 from ..operators import explain
@@ -28,26 +29,52 @@ def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", end: str | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", end: str | None = None, files: int | None = None) -> DataFrame:
     """Events of a folder's files, and those of the closing folder end; a table may be a file or a folder of part
-    files. Timestamps without a zone are UTC."""
+    files, and a batch takes so many of them. Timestamps without a zone are UTC."""
     schema = EVENTS.replace("ts timestamp", "ts timestamp_ntz")
 
-    def read(path: str, files: str) -> DataFrame:
-        return spark.readStream.schema(schema).option("pathGlobFilter", files).option("recursiveFileLookup", True).parquet(path)
+    def read(path: str, names: str) -> DataFrame:
+        reader = spark.readStream.schema(schema).option("pathGlobFilter", names).option("recursiveFileLookup", True)
+        return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
     # The filter sees names of files alone, so a folder of part files is read as such.
     name = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
-    found = name.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(name) or []
+    found = [] if glob == "*" else name.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(name) or []
     parts = [read(x.getPath().toString(), "*") for x in found if x.isDirectory()]
     if not parts or any(x.isFile() for x in found):
-        parts.append(read(folder, glob))
+        parts.append(read(folder, "*.parquet" if glob == "*" else glob))
     if end:
         parts.append(read(end, "*.parquet"))
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("tax", F.round(F.col("value") * 100).cast("bigint"))
 
 
+def split_by_time(spark: SparkSession, events: DataFrame, path: str, parts: int = 5, close: bool = False) -> str:
+    """Writes events as parts by ranges of time, one after the other, so that a stream takes them in that order; with
+    close, the closing events after them."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        events.limit(0).write.parquet(f"{path}/part-0")
+    step = (high - low) // parts + 1 if low is not None else 1
+    for i in range(parts if low is not None else 0):
+        events.filter((at >= low + i * step) & (at < low + (i + 1) * step)).coalesce(1).write.parquet(f"{path}/part-{i}")
+    if close:
+        closing(spark, f"{path}/part-end")
+    return path
+
+
+def latest(path: str):
+    """For foreachBatch in update mode: keeps each batch's rows under its number. A batch that comes again replaces its
+    own."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return apply
+
+
 def closing(spark: SparkSession, path: str) -> str:
     """Writes one far-future event of each kind that the joins need."""
     rows = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(END).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.explode(F.array(F.lit("purchase"), F.lit("signup"))).alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
@@ -110,15 +137,39 @@ def reconcile_changes(path: str, keys: list[str], stamp: str, run):
     return apply
 
 
-def threshold_crossings(events: DataFrame, limit: int) -> DataFrame:
-    """Batch form of the alert: the mismatch event at which a vendor's running tax first exceeds limit."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def threshold_crossings(events: DataFrame, limit: int, sums: DataFrame | None = None) -> DataFrame:
+    """Batch form of the alert: the mismatch events at which a vendor's running tax exceeds limit and didn't before. sums
+    (user_id, sum): what vendors had before these events. Days are summed first; only the events of days on which a
+    vendor's sum can pass the limit are put in order, so no task has all events of a vendor."""
     tax = F.round(F.col("value") * 100).cast("bigint")
-    run = events.filter("event_type = 'error'").withColumn("running", F.sum(tax).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.coalesce(F.lag("running").over(w), F.lit(0))
-    return run.withColumn("before", before).filter((F.col("running") > limit) & (F.col("before") <= limit)).select("user_id", "event_id", "running")
+    bad = events.filter("event_type = 'error'").select("user_id", "event_id", "ts", F.to_date("ts").alias("day"), F.coalesce(tax, F.lit(0)).alias("tax"))
+    up, down = F.sum(F.greatest("tax", F.lit(0))).alias("up"), F.sum(F.least("tax", F.lit(0))).alias("down")
+    daily = bad.groupBy("user_id", "day").agg(F.sum("tax").alias("sum"), up, down)
+    start = F.coalesce(F.sum("sum").over(Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = daily.withColumn("start", start)
+    if sums is not None:
+        before = sums.select("user_id", F.col("sum").alias("had"))
+        held = held.join(before, "user_id", "left").withColumn("start", F.col("start") + F.coalesce("had", F.lit(0)))
+    days = held.filter((F.col("start") + F.col("up") > limit) & (F.col("start") + F.col("down") <= limit)).select("user_id", "day", "start")
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = bad.join(days, ["user_id", "day"]).withColumn("running", F.col("start") + F.sum("tax").over(w))
+    return run.filter((F.col("running") > limit) & (F.col("running") - F.col("tax") <= limit)).select("user_id", "event_id", "running")
+
+
+def crossings_of_batches(state: str, path: str, limit: int):
+    """For foreachBatch: the crossings of each batch under its number at path, and the vendors' sums after it under its
+    number at state. A batch that comes again reads the sums of the one before and writes the same."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "user_id bigint, sum bigint"
+        sums = spark.read.schema(schema).parquet(f"{state}/{number - 1}") if number else spark.createDataFrame([], schema)
+        threshold_crossings(batch, limit, sums).write.mode("overwrite").parquet(f"{path}/{number}")
+        tax = F.round(F.col("value") * 100).cast("bigint")
+        new = batch.filter("event_type = 'error'").select("user_id", F.coalesce(tax, F.lit(0)).alias("sum"))
+        sums.unionByName(new).groupBy("user_id").agg(F.sum("sum").alias("sum")).write.mode("overwrite").parquet(f"{state}/{number}")
+
+    return apply
 
 
 def alerts(invoices: DataFrame) -> DataFrame:

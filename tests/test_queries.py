@@ -5,7 +5,7 @@ import pytest
 from taxrecon.plans import oracle
 from taxrecon.plans.queries import QUERIES
 
-ROWS_ONLY = {"vendor_risk_forest", "forest_feature_importance"}
+ROWS_ONLY = {"vendor_risk_forest", "forest_feature_importance", "forest_metrics", "forest_confusion", "forest_cross_validation"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
@@ -65,3 +65,52 @@ def test_pagerank_sums_to_one(spark, sf_dir):
 
     total = QUERIES["pagerank"](spark, sf_dir).agg(F.sum("rank")).first()[0]
     assert total == pytest.approx(1.0, abs=1e-5)
+
+
+def test_a_period_prunes_the_stored_base(spark, sf_dir):
+    """The second query reads what the first stored, and of it the files of its period."""
+    from taxrecon.operators import reconcile
+    from taxrecon.plans.domain import Domain
+
+    base = Domain(spark, sf_dir).base
+    assert Domain(spark, sf_dir).base is base
+    d = Domain(spark, sf_dir)
+    plan = reconcile.missing_in_gstr1(d.gstr1, d.gstr2b, d.vendor_master, "1995-03")._jdf.queryExecution().toString()
+    assert plan.count("PartitionFilters: [isnotnull(period") == 2 and "period#" in plan
+    read = d.gstr2b.filter("period = '1995-03'").select("taxable")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<taxable:bigint,in_gstr2b:boolean>" in read
+
+
+def test_gstins_are_unique_at_any_number_of_suppliers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from taxrecon.plans.domain import Domain
+
+    spark.range(1, 200_001).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name"), F.lit(3).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.lit("n").alias("n_name"), F.lit(0).alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    master = Domain(spark, str(tmp_path)).vendor_master
+    assert master.select("gstin").distinct().count() == 200_000 and {r[0] for r in master.select(F.length("gstin")).distinct().collect()} == {14, 15}
+
+
+def test_sorted_queries_are_in_order(spark, sf_dir):
+    tax = [r["tax"] for r in QUERIES["missing_in_gstr1_by_tax"](spark, sf_dir).collect()]
+    assert tax == sorted(tax, reverse=True)
+    scores = [r["risk_score"] for r in QUERIES["vendor_scorecard_by_score"](spark, sf_dir).collect()]
+    assert scores == sorted(scores, reverse=True)
+
+
+def test_models_do_better_than_chance(spark, sf_dir):
+    """Bands only: how the data are stored can move a tree."""
+    from taxrecon.operators import model
+
+    rows = spark.range(400).selectExpr("concat('v', id) AS vendor_id", *(f"cast(hash(id, {i}) % 100 as double) / 10 AS {c}" for i, c in enumerate(model.FEATURES)))
+    data = model.labelled(rows)
+    found = {(r["model"], r["metric"]): r["value"] for r in model.evaluated(data).collect()}
+    assert len(found) == 10 and found["forest", "accuracy"] > 0.7 and found["boosted", "auc"] > 0.75
+    assert 0.75 < model.cross_validated(data, trees=20) <= 1
+
+
+def test_what_no_data_could_fail_has_rows(spark, sf_dir):
+    for name in ("vendor_threshold_alerts", "stream_threshold_alerts", "vendor_quarantine", "missing_in_gstr1_period", "full_reconciliation_period"):
+        assert QUERIES[name](spark, sf_dir).count() > 0, name
+    assert QUERIES["blocked_itc"](spark, sf_dir).count() == 2 and QUERIES["gstin_quality"](spark, sf_dir).count() == 2

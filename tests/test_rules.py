@@ -80,6 +80,57 @@ def test_unified_statuses(spark):
     assert rows == {("A", "1"): "Matched", ("A", "2"): "Tax Amount Mismatch", ("B", "1"): "HSN Mismatch", ("B", "3"): "Missing in GSTR-2B", ("C", "9"): "Missing in GSTR-1"}
 
 
+def test_one_number_of_two_suppliers_shares_nothing(spark):
+    """A is in GSTR-1 alone and has the documents, B in GSTR-2B alone and has none; both invoices are numbered 1."""
+    from taxrecon.operators import explain
+
+    d = datetime.date(2025, 7, 1)
+    g1 = spark.createDataFrame([("A", "1", "2025-07", d, 9_000_000, 9, 9, 0, "10", d, d)], BOOK + ", filed_date date, due_date date")
+    g2 = spark.createDataFrame([("B", "1", "2025-07", d, 9_000_000, 9, 9, 0, "10", "Y")], BOOK + ", itc_available string")
+    keys = "supplier_gstin string, invoice_no string, period string"
+    irns = spark.createDataFrame([("A", "1", "2025-07", "I", "ACT")], keys + ", irn string, status string")
+    bills = spark.createDataFrame([("A", "1", "2025-07", "W")], keys + ", ewb_no string")
+    v = spark.createDataFrame([("a", "A", "Ann", "s"), ("b", "B", "Bob", "s")], "vendor_id string, gstin string, name string, state string")
+    inv = reconcile.enriched(reconcile.unified(g1, g2, irns, bills), v)
+    assert {(r["vendor_id"], r["has_einvoice"], r["has_eway_bill"]) for r in inv.collect()} == {("a", True, True), ("b", False, False)}
+    context = {r["vendor_id"]: (r["filings"], r["irns"], r["ewbs"]) for r in explain.invoice_context(inv, irns, bills).collect()}
+    assert context == {"a": ("GSTR-1 (2025-07)", "I", "W"), "b": ("GSTR-2B (2025-07)", "", "")}
+    assert [r["invoice_id"] for r in reconcile.eway_bill_missing(g1, g2, bills).collect()] == ["1"]
+    assert [r["supplier_gstin"] for r in reconcile.einvoice_missing(g1, g2, irns).collect()] == ["B"]
+    asked = spark.createDataFrame([("1",)], "invoice_id string")
+    assert len({r["explanation"] for r in explain.template_explanation(asked, inv).collect()}) == 2
+    # Files that name an invoice by its number alone still meet it.
+    assert reconcile.unified(g1, g2, irns.select("invoice_no", "irn", "status"), bills.select("invoice_no", "ewb_no")).filter("has_einvoice and has_eway_bill").count() == 2
+
+
+def test_orders(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("c", 9), ("d", 9)], "invoice_id string, tax bigint")
+    assert [r["invoice_id"] for r in reconcile.by_tax(rows).collect()] == ["b", "c", "d", "a"]
+    assert [r["invoice_id"] for r in reconcile.by_difference(rows.withColumnRenamed("tax", "tax_difference")).collect()] == ["b", "c", "d", "a"]
+    cards = spark.createDataFrame([("v2", 0.5), ("v1", 0.5), ("v3", 0.9)], "vendor_id string, risk_score double")
+    assert [r["vendor_id"] for r in vendors.by_score(cards).collect()] == ["v3", "v1", "v2"]
+
+
+def test_threshold_crossings_over_days_and_batches(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=3 * i), r.randrange(4), r.choice(["error", "error", "view"]), round(r.uniform(-5, 20), 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double")
+    want, sums = [], {}
+    for i, _, u, kind, value in rows:
+        if kind == "error":
+            before = sums.get(u, 0)
+            sums[u] = before + round(value * 100)
+            if sums[u] > 20_000 >= before:
+                want.append((u, i, sums[u]))
+    assert want and sorted(tuple(x) for x in jobs.threshold_crossings(df, 20_000).collect()) == sorted(want)
+    apply = jobs.crossings_of_batches(str(tmp_path / "s"), str(tmp_path / "o"), 20_000)
+    for n in (0, 1, 1, 2):  # a batch that comes again changes nothing
+        apply(df.filter(F.col("event_id").between(100 * n, 100 * n + 99)), n)
+    assert sorted(tuple(x) for x in spark.read.schema("user_id bigint, event_id bigint, running bigint").parquet(str(tmp_path / "o/*")).collect()) == sorted(want)
+
+
 def test_histogram_leaves_out_one(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (0.6,), (1.0,)], "risk_score double")
     assert [r["n"] for r in vendors.histogram(df).orderBy("bucket").collect()] == [1, 1, 0, 0, 0, 0, 1, 0, 0, 0]
@@ -107,6 +158,31 @@ def test_json_sources(spark, tmp_path):
     assert (good.count(), bad.count()) == (1, 1)
 
 
+def test_einvoice_arrays_are_bounded(spark, tmp_path):
+    rows = spark.range(1000).select(F.concat(F.lit("I"), "id").alias("irn"), F.col("id").cast("string").alias("invoice_no"), F.lit("ACT").alias("status"))
+    sinks.einvoice_documents(rows, 50).write.option("maxRecordsPerFile", 1).text(str(tmp_path / "d"))
+    assert len(list((tmp_path / "d").glob("*.txt"))) >= 15
+    assert returns.einvoices(spark, str(tmp_path / "d")).select("irn", "invoice_no", "status").exceptAll(rows).count() == 0
+
+
+def test_shared_folder(spark):
+    from taxrecon.sources import storage
+
+    kept = storage.written(spark.range(5).withColumn("period", F.lit("2024-01")), "period")
+    assert kept.columns == ["id", "period"] and kept.schema["period"].dataType.simpleString() == "string"
+    path = storage._tables[-1]
+    assert "period=2024-01" in kept.inputFiles()[0] and path in kept.inputFiles()[0]
+
+    class Remote:
+        class sparkContext:
+            master = "spark://x:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_dir(Remote)
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "p", 1), (1, "b", "p", 2), (2, "c", "q", 1)], "k int, v string, period string, stamp int")
     path = str(tmp_path / "t")
@@ -118,6 +194,7 @@ def test_sinks(spark, tmp_path):
     ids = sinks.numbered_ids(spark.range(25), "V", [F.col("id")], 990, name="vid").orderBy("id").collect()
     assert (ids[0]["vid"], ids[8]["vid"], ids[24]["vid"]) == ("V991", "V999", "V1015")
     assert sinks.links(rows, "period", "k").count() == 2
+    assert sorted(r["p"] for r in sinks.ranked(spark.range(40), "p", [F.desc("id")]).filter("p = 39 - id").collect()) == list(range(40))
 
 
 def test_communities_and_degrees(spark):
