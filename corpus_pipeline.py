@@ -17,14 +17,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text in any language (no letter, or null) go; a null lang becomes the prediction."""
+    """Documents without text in any language (no letter, or null) go; a null lang becomes the prediction. Rows with
+    equal or null doc_ids are judged one by one, texts of any length whole; other columns don't go on."""
     importable(spark)
     found = language.identify(docs.select(*COLUMNS), docs)
     return found.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go from the texts, and with them documents of which nothing is left."""
+    """Repeated three-line windows go from the texts, and with them documents of which nothing is left. Rows without a
+    doc_id, and texts of fewer lines, stay as they are."""
     cleaned = line_dedup.line_dedup(docs.select(*COLUMNS))
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
     return cleaned.filter(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
@@ -47,15 +49,19 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded: not at all, once, or up to three times."""
-    docs = docs.select(*COLUMNS)
-    times = mixing.mixed(docs).groupBy(F.col("doc_id").alias("k"), F.col("size").alias("s")).agg(F.max(F.expr("if(size = 0, 0, (2 * taken + size) div (2 * size))")).alias("times"))
-    joined = docs.withColumn("size", mixing.words(F.col("text"))).join(times, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("size") == F.col("s")))
-    return joined.filter("times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    """Each row as often as the mix takes its words, rounded: not at all, once, or up to three times. Rows are told apart
+    by a number of their own, so equal or null doc_ids don't matter. Rows without words go, as none are taken."""
+    k = "__row"
+    # Written, so that the numbers of the rows stay as they are.
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(k)))
+    times = mixing.mixed(rows, carry=(k,)).select(k, F.expr("if(size = 0, 0, (2 * taken + size) div (2 * size))").alias("times"))
+    joined = rows.join(times, k).filter("times > 0")
+    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences with their token ids."""
+    """Training sequences with their token ids. A row that is there several times is packed as often; null and empty
+    texts are the end id alone; null doc_ids stay null; texts of any length are packed whole; no rows give none."""
     importable(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
