@@ -68,37 +68,37 @@ def schedule(targets: DataFrame, repeats: int = REPEATS, chunk: int = 4096) -> D
     return ranked.join(targets.select("source_no", "blocks"), "source_no").filter(F.col("rank") < F.lit(repeats) * F.col("blocks")).select("slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
-def placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Documents with a size at their place in their source's shuffled stream: doc_id, size, source_no, start.
+def placed(sized: DataFrame, targets: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents with a size at their place in their source's shuffled stream: doc_id, size, source_no, start, carry.
     The order is that of the md5 of the doc_id (of the text's hash where it is null); running sums go by its first
     digits, as many as the number of documents asks for, then inside these."""
     digits = max(3, math.ceil(math.log(max(1, sized.count() / GROUP_DOCS), 16)))
-    shuffled = sized.filter("size > 0").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_no", "source_size", "blocks", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("h").cast("string"))).cast("binary")).alias("o"))
+    shuffled = sized.filter("size > 0").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", *carry, "source_no", "source_size", "blocks", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("h").cast("string"))).cast("binary")).alias("o"))
     shuffled = shuffled.withColumn("c", F.substring("o", 1, digits))
     sums = shuffled.groupBy("source_no", "c").agg(F.sum("size").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source_no").orderBy("c")) - F.col("n")).drop("n")
-    inner = Window.partitionBy("source_no", "c").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    return shuffled.withColumn("inside", F.sum("size").over(inner) - F.col("size")).join(before, ["source_no", "c"]).select("doc_id", "size", "source_no", "source_size", "blocks", (F.col("before") + F.col("inside")).alias("start"))
+    inner = Window.partitionBy("source_no", "c").orderBy("o", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
+    return shuffled.withColumn("inside", F.sum("size").over(inner) - F.col("size")).join(before, ["source_no", "c"]).select("doc_id", "size", *carry, "source_no", "source_size", "blocks", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
+def mixed(docs: DataFrame, repeats: int = REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, size (words; null text: 0), source_size, target (its source's), taken (words the
-    mix takes, repeats counted). No word is taken more than repeats times. Empty documents take 0; repeated
+    mix takes, repeats counted), and the columns of docs to carry along, such as a key of the rows. No word is taken more than repeats times. Empty documents take 0; repeated
     rows count one by one; null sources are a source of their own, last; null doc_ids order by their text's hash. A text
     longer than a block lies in several; an empty table gives no rows; other columns aren't read."""
-    sized = written(docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h")))
+    sized = written(docs.select(F.col("doc_id"), F.col("source"), *carry, words(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("h")))
     targets = written(source_targets(sized, repeats))
     times = schedule(targets, repeats).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    at = placed(sized, targets)
+    at = placed(sized, targets, carry)
     # Block k holds words floor(k * source_size / blocks) to floor((k + 1) * source_size / blocks).
     first = F.expr("((start + 1) * blocks - 1) div source_size")
     last = F.expr("((start + size) * blocks - 1) div source_size")
     parts = at.withColumn("block", F.explode(F.sequence(first, last)))
     lo, hi = F.expr("(block * source_size) div blocks"), F.expr("((block + 1) * source_size) div blocks")
     overlap = F.least(F.col("start") + F.col("size"), hi) - F.greatest(F.col("start"), lo)
-    taken = parts.withColumn("w", overlap).join(times, ["source_no", "block"], "left").groupBy("source_no", "start", "doc_id", "size").agg(F.sum(F.col("w") * F.coalesce("times", F.lit(0))).alias("taken"))
-    empty = sized.filter("size = 0").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source_no", F.lit(0).cast("bigint").alias("start"), "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
-    return taken.unionByName(empty).join(targets.select("source_no", "source_size", "target"), "source_no").select("doc_id", "size", "source_size", "target", "taken")
+    taken = parts.withColumn("w", overlap).join(times, ["source_no", "block"], "left").groupBy("source_no", "start", "doc_id", "size", *carry).agg(F.sum(F.col("w") * F.coalesce("times", F.lit(0))).alias("taken"))
+    empty = sized.filter("size = 0").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source_no", F.lit(0).cast("bigint").alias("start"), "doc_id", "size", *carry, F.lit(0).cast("bigint").alias("taken"))
+    return taken.unionByName(empty).join(targets.select("source_no", "source_size", "target"), "source_no").select("doc_id", "size", "source_size", "target", "taken", *carry)
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

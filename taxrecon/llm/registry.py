@@ -1,11 +1,10 @@
-"""The queries and SQL of this subpackage, by the names under which they are registered."""
+"""The queries and SQL of this subpackage, by the names under which they are registered. The pipeline, which stands
+outside, is registered beside them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
-
 from . import exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, sentence_dedup, tokens, topk_search
 
 QUERIES: dict[str, Callable] = {
@@ -19,7 +18,6 @@ QUERIES: dict[str, Callable] = {
     "op8_extract_html": html_extract.op8_extract_html,
     "op9_sentence_dedup": sentence_dedup.op9_sentence_dedup,
     "op10_top_k_search": topk_search.op10_top_k_search,
-    "pipeline": corpus_pipeline.run,
 }
 
 #: The others have no SQL: they depend on a tokenizer, trained automata, hash functions or page parsing.
@@ -29,5 +27,3 @@ ORACLES: dict[str, str] = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op10_top_k_search": topk_search.OP10_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
