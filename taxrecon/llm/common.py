@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,6 +12,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +31,15 @@ _held: dict[str, Callable[[], None]] = {}
 def claim(owner: str, free: Callable[[], None]) -> None:
     """For Python workers, which outlive their tasks: what other operators remember there is freed, so that
     the stages of a pipeline don't add up in memory."""
-    for other in [o for o in _held if o != owner]:
+    others = [o for o in _held if o != owner]
+    for other in others:
         _held.pop(other)()
     _held[owner] = free
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone keeps freed memory, and has a call to return it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def importable(spark: SparkSession) -> None:

@@ -17,7 +17,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ TRAIN_DOCS, TRAIN_CHARS, MAX_LABELS = 300, 40_000, 256
 #: Parameters of the parse: characters of text handled together, places of a text parsed as one lane (longer texts
 #: take several, which are put together exactly), frequent letters with a column in the tables, and moves from which
 #: on a state has a row there.
-BATCH_CHARS, LANE, FREQUENT, BRANCHES = 1 << 21, 2048, 63, 3
+BATCH_CHARS, LANE, FREQUENT, BRANCHES = 1 << 20, 1024, 63, 3
 
 
 def automaton(text: str) -> list[dict[str, int]]:
@@ -327,11 +328,15 @@ def _parser(training: dict[str, str]) -> Parser:
 def predicted(text: Column, training) -> Column:
     """struct(lang_pred, score) of a text. training: a broadcast of what training_text() returned."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = _parser(training.value)
-        for s in batches:
-            yield pd.DataFrame(parser.predict([None if t is None or t != t else t for t in s]), columns=["lang_pred", "score"])
+        for column in batches:
+            # Texts become Python's a few at a time: a batch of long ones is large.
+            out, sizes = [], [n or 0 for n in pc.binary_length(column).to_pylist()]
+            for a, b in balanced(sizes, BATCH_CHARS):
+                out += parser.predict(column.slice(a, b - a).to_pylist())
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["lang_pred", "score"])
 
     # Else a filter on the result is pushed below it and every text is parsed twice.
     return run.asNondeterministic()(text)
