@@ -25,7 +25,7 @@ from .common import claim, cut, table, written
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 4
 #: Parameters: classes in a block, words remembered per task, salts of a node with many edges.
-BLOCK, CACHE_WORDS, SALTS = 256, 250_000, 32
+BLOCK, CACHE_WORDS, SALTS = 256, 250_000, 8
 #: Scripts written without spaces, of which every character is a word where characters are asked for.
 _WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _MASK = 0xFFFFFFFFFFFFFFFF
