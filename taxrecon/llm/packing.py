@@ -53,18 +53,23 @@ def decompose(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = 204
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pieces, "doc_id bigint, piece bigint, start bigint, length bigint, ids binary, doc_tokens bigint, part bigint, place bigint")
 
 
+#: Parameter: rows of (length, task) up to which their first ids are sent to every task, at 24 bytes each.
+SENT = 500_000
+
+
 def bucket(pieces: DataFrame) -> DataFrame:
     """pieces of decompose() (further columns stay, part and place go) with sequence_id, dense from 0 and by length from
     the shortest, and offset 0. Pieces are written first, so that their parts and places stay as they are; then only
-    the counts by part and length are summed. No pieces: no sequences."""
+    the counts by part and length are summed, and meet the pieces where these lie unless they are too many to send. No
+    pieces: no sequences."""
     kept = written(pieces)
     held = kept.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     # One row per length, of which there are as many as bits.
     each = held.groupBy("length").agg(F.sum("n").alias("all"))
     base = each.select(F.col("length").alias("at"), (F.sum("all").over(Window.orderBy("length")) - F.col("all")).alias("base"))
-    first = held.withColumn("before", before).join(F.broadcast(base), F.col("length") == F.col("at")).select(F.col("length").alias("__length"), F.col("part").alias("__part"), (F.col("base") + F.col("before")).alias("__first"))
-    out = kept.join(first, (F.col("length") == F.col("__length")) & (F.col("part") == F.col("__part")))
+    first = written(held.withColumn("before", before).join(F.broadcast(base), F.col("length") == F.col("at")).select(F.col("length").alias("__length"), F.col("part").alias("__part"), (F.col("base") + F.col("before")).alias("__first")))
+    out = kept.join(F.broadcast(first) if first.count() <= SENT else first, (F.col("length") == F.col("__length")) & (F.col("part") == F.col("__part")))
     return out.withColumn("sequence_id", F.col("__first") + F.col("place")).withColumn("offset", F.lit(0).cast("bigint")).drop("part", "place", "__length", "__part", "__first")
 
 

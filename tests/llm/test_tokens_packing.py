@@ -74,6 +74,16 @@ def test_packing_round_trip(spark, library):
         packing.decompose(df, WORD, max_tokens=100)
 
 
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_buckets_are_ranges_of_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(packing, "SENT", sent)
+    r = random.Random(6)
+    df = spark.createDataFrame([(i % 50, "a b " * r.choice([0, 1, 3, 40, 3000])) for i in range(200)], "doc_id bigint, text string").repartition(7)
+    rows = sorted(packing.pack(df, WORD).collect(), key=lambda x: x["sequence_id"])
+    assert [x["sequence_id"] for x in rows] == list(range(len(rows)))
+    assert [x["length"] for x in rows] == sorted(x["length"] for x in rows)
+
+
 def test_query_digests(spark, sf_dir, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     ids = {i: np.asarray([*library[0].encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in docs.items()}
