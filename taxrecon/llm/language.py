@@ -77,7 +77,7 @@ def training_text(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int =
     """Lower-case text of a bounded sample per non-null lang. The sample goes by a hash of the row, with a
     rate from the language's count, and each document gives a piece whose place goes by another; it reaches
     the driver, as its size is bounded by the parameters."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     # No document gives more than a hundredth of the sample, so that none sets the tone, unless the sample would
     # stay short: the piece is the smallest of these with which the documents picked fill it twice.
     sizes = [max(200, max_chars // 100) << i for i in range(8)]
