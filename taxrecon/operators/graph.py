@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, written
 from .reconcile import mismatched
 
 
@@ -91,23 +91,36 @@ def vendor_connections(edges_: DataFrame) -> DataFrame:
     return issued.join(onward, "id", "left").groupBy("vendor_id").agg(F.count("*").alias("invoices"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
 
 
-def pagerank(nodes_: DataFrame, edges_: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def pagerank(nodes_: DataFrame, edges_: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
     """id, rank; ranks sum to 1. What nodes give along their out-edges to other nodes is counted, and the rest, which
-    nodes without out-edges keep, is spread evenly: one sum per round instead of a join. Every round ends in a
-    checkpoint, which keeps the partitioning by id, so that the next join moves nothing. Hubs are summed by partial
-    aggregation before the shuffle."""
-    ids = checkpointed(nodes_.select("id").distinct())
+    nodes without out-edges keep, is spread evenly: one sum per round instead of a join. Nodes, links and ranks lie
+    by id for all rounds, so only what is given moves, summed before it does, hubs too. Every few rounds end in a
+    checkpoint, from which lost partitions are computed again."""
+    spark = nodes_.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "id").sortWithinPartitions("id").persist()
+
+    ids = placed(written(nodes_.select("id").distinct()))
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     out = edges_.select(F.col("source").alias("id"), "target")
-    links = checkpointed(out.join(out.groupBy("id").agg(F.count("*").alias("out")), "id"))
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
+    links = placed(written(out.join(out.groupBy("id").agg(F.count("*").alias("out")), "id")))
+    ranks, held = ids.withColumn("rank", F.lit(1.0 / n)), [ids, links]
+    for i in range(1, rounds + 1):
         given = links.join(ranks, "id").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        held = checkpointed(ids.join(given, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got")))
-        lost = 1.0 - (held.agg(F.sum("got")).first()[0] or 0.0)
-        ranks = held.select("id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.col("got") + F.lit(lost / n))).alias("rank"))
+        new = ids.join(given, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))
+        if i == rounds:
+            new = checkpointed(new)
+        else:
+            new = placed(checkpointed(new)) if i % every == 0 else new.persist()
+            held.append(new)
+        lost = 1.0 - (new.agg(F.sum("got")).first()[0] or 0.0)
+        ranks = new.select("id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.col("got") + F.lit(lost / n))).alias("rank"))
+    for df in held:
+        df.unpersist()
     return ranks
 
 
