@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import reconcile, vendors
-from ..sources.storage import state_of, written
+from ..sources.storage import is_there, state_of, written
 
 
 #: The base of a folder as a stored table, by session, folder and state of its tables.
@@ -49,7 +49,7 @@ class Domain:
     def base(self) -> DataFrame:
         """One row per (order, supplier), stored by period."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, *(state_of(self.spark, f"{self.sf_dir}/{n}.parquet") for n in SOURCES))
-        if key not in _bases:
+        if key not in _bases or not is_there(self.spark, _bases[key]):
             # Both books and all documents come from this table. Its files follow the periods, the large ones in parts.
             _bases[key] = written(self._computed().hint("rebalance", "period"), "period")
         return _bases[key]

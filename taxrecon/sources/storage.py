@@ -46,6 +46,15 @@ def state_of(spark: SparkSession, path: str) -> tuple:
     return found.getLength(), found.getFileCount(), status.getModificationTime(), len(_cleanups)
 
 
+def is_there(spark: SparkSession, df: DataFrame) -> bool:
+    """Whether the first file of a stored table is still in its place: shared folders get cleared."""
+    files = df.inputFiles()
+    if not files:
+        return False
+    name = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0]))
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name)
+
+
 def cleanup(spark: SparkSession) -> int:
     """Deletes the tables that this process has written so far; for when their results have been stored."""
     for path in _tables:

@@ -81,6 +81,19 @@ def test_a_period_prunes_the_stored_base(spark, sf_dir):
     assert "ReadSchema: struct<taxable:bigint,in_gstr2b:boolean>" in read
 
 
+def test_a_base_that_was_cleared_is_stored_again(spark, sf_dir):
+    import pathlib
+    import urllib.parse
+
+    from taxrecon.plans.domain import Domain
+
+    base = Domain(spark, sf_dir).base
+    n, folder = base.count(), pathlib.Path(urllib.parse.urlparse(base.inputFiles()[0]).path).parents[1]
+    folder.rename(folder.with_name("away-" + folder.name))
+    again = Domain(spark, sf_dir).base
+    assert again is not base and again.count() == n and Domain(spark, sf_dir).base is again
+
+
 def test_gstins_are_unique_at_any_number_of_suppliers(spark, tmp_path):
     from pyspark.sql import functions as F
 
