@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, sentence_dedup, tokens, topk_search
+from . import alignment, attention, exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, periodic_runs, sentence_dedup, tokens, topk_search
 
 QUERIES: dict[str, Callable] = {
     "op1_pack_power_of_two": packing.op1_pack_power_of_two,
@@ -18,9 +18,13 @@ QUERIES: dict[str, Callable] = {
     "op8_extract_html": html_extract.op8_extract_html,
     "op9_sentence_dedup": sentence_dedup.op9_sentence_dedup,
     "op10_top_k_search": topk_search.op10_top_k_search,
+    "op11_quality_attention": attention.op11_quality_attention,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_align_tokenizers": alignment.op13_align_tokenizers,
 }
 
-#: The others have no SQL: they depend on a tokenizer, trained automata, hash functions or page parsing.
+#: The others have no SQL: they depend on a tokenizer, trained automata or weights, hash functions, page parsing or
+#: recursion over a document's words.
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
