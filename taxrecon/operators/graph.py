@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -16,40 +16,44 @@ def nodes(vendors: DataFrame, invoices: DataFrame) -> DataFrame:
     """id, label, group, flagged of vendors, the two returns of each period, invoices and their documents; and what a
     node of its group knows besides: gstin, risk, state and status of a vendor, period of a return, status and amount
     of an invoice."""
-    name = F.lit(None).cast("boolean").alias("flagged")
-    kinds = {"gstin": "string", "risk": "double", "state": "string", "status": "string", "period": "string", "amount": "bigint"}
+    kinds = {"flagged": "boolean", "gstin": "string", "risk": "double", "state": "string", "status": "string", "period": "string", "amount": "bigint"}
 
-    def known(**columns) -> list:
-        return [columns.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+    def node(id_, label, group: str, **known) -> Column:
+        return F.struct(id_.alias("id"), label.alias("label"), F.lit(group).alias("group"), *(known.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()))
 
+    invoice_id, tail = F.col("invoice_id"), F.right("invoice_id", F.lit(3))
+    own = [
+        node(F.concat(F.lit("i-"), invoice_id), text.short_id(invoice_id), "invoice", flagged=mismatched(), status=F.when(mismatched(), "flagged").otherwise("matched"), amount=F.col("total")),
+        F.when(F.col("has_einvoice"), node(F.concat(F.lit("e-"), invoice_id), F.concat(F.lit("IRN-"), tail), "einvoice")),
+        F.when(F.col("has_eway_bill"), node(F.concat(F.lit("w-"), invoice_id), F.concat(F.lit("EWB-"), tail), "ewaybill")),
+    ]
     returns = invoices.select("period").filter("period <> ''").distinct().select("period", F.explode(F.array(F.lit("GSTR-1"), F.lit("GSTR-2B"))).alias("type"))
-    tail = F.right("invoice_id", F.lit(3))
     parts = [
-        vendors.select(F.concat(F.lit("v-"), "vendor_id").alias("id"), text.shortened(F.col("name")).alias("label"), F.lit("vendor").alias("group"), name, *known(gstin=F.col("gstin"), risk=F.col("risk_score"), state=F.col("state"), status=F.col("status"))),
-        returns.select(F.concat(F.lit("g-"), "type", F.lit("-"), "period").alias("id"), F.concat("type", F.lit(" "), text.period_label(F.col("period"))).alias("label"), F.lit("gstr").alias("group"), name, *known(period=F.col("period"))),
-        invoices.select(F.concat(F.lit("i-"), "invoice_id").alias("id"), text.short_id(F.col("invoice_id")).alias("label"), F.lit("invoice").alias("group"), mismatched().alias("flagged"), *known(status=F.when(mismatched(), "flagged").otherwise("matched"), amount=F.col("total"))),
-        invoices.filter("has_einvoice").select(F.concat(F.lit("e-"), "invoice_id").alias("id"), F.concat(F.lit("IRN-"), tail).alias("label"), F.lit("einvoice").alias("group"), name, *known()),
-        invoices.filter("has_eway_bill").select(F.concat(F.lit("w-"), "invoice_id").alias("id"), F.concat(F.lit("EWB-"), tail).alias("label"), F.lit("ewaybill").alias("group"), name, *known()),
+        vendors.select(node(F.concat(F.lit("v-"), "vendor_id"), text.shortened(F.col("name")), "vendor", gstin=F.col("gstin"), risk=F.col("risk_score"), state=F.col("state"), status=F.col("status")).alias("x")),
+        returns.select(node(F.concat(F.lit("g-"), "type", F.lit("-"), "period"), F.concat("type", F.lit(" "), text.period_label(F.col("period"))), "gstr", period=F.col("period")).alias("x")),
+        invoices.select(F.explode(F.array_compact(F.array(*own))).alias("x")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).select("x.*")
 
 
 def edges(invoices: DataFrame) -> DataFrame:
-    """source, target, label, type; an invoice without a known vendor has no ISSUED edge."""
+    """source, target, label, type, from one pass over invoices; one without a known vendor has no ISSUED edge."""
 
-    def edge(rows: DataFrame, source, target, label: str, kind: str) -> DataFrame:
-        return rows.select(source.alias("source"), target.alias("target"), F.lit(label).alias("label"), F.lit(kind).alias("type"))
+    def edge(cond: Column, source: Column, target: Column, label: str, kind: str) -> Column:
+        return F.when(cond, F.struct(source.alias("source"), target.alias("target"), F.lit(label).alias("label"), F.lit(kind).alias("type")))
 
-    own = F.concat(F.lit("i-"), "invoice_id")
-    dated = invoices.filter("period <> ''")
-    parts = [
-        edge(invoices.filter("vendor_id is not null"), F.concat(F.lit("v-"), "vendor_id"), own, "ISSUED", "issued"),
-        edge(dated.filter("in_gstr2b"), own, F.concat(F.lit("g-GSTR-2B-"), "period"), "IN_2B", "reported"),
-        edge(dated.filter("in_gstr1"), own, F.concat(F.lit("g-GSTR-1-"), "period"), "IN_1", "reported"),
-        edge(invoices.filter("has_einvoice"), own, F.concat(F.lit("e-"), "invoice_id"), "E_INV", "einvoice"),
-        edge(invoices.filter("has_eway_bill"), own, F.concat(F.lit("w-"), "invoice_id"), "EWB", "ewaybill"),
+    def named(prefix: str, column: str) -> Column:
+        return F.concat(F.lit(prefix), column)
+
+    own, dated = named("i-", "invoice_id"), F.col("period") != ""
+    found = [
+        edge(F.col("vendor_id").isNotNull(), named("v-", "vendor_id"), own, "ISSUED", "issued"),
+        edge(dated & F.col("in_gstr2b"), own, named("g-GSTR-2B-", "period"), "IN_2B", "reported"),
+        edge(dated & F.col("in_gstr1"), own, named("g-GSTR-1-", "period"), "IN_1", "reported"),
+        edge(F.col("has_einvoice"), own, named("e-", "invoice_id"), "E_INV", "einvoice"),
+        edge(F.col("has_eway_bill"), own, named("w-", "invoice_id"), "EWB", "ewaybill"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return invoices.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
 
 
 def summarized_in(filings: DataFrame) -> DataFrame:
@@ -57,6 +61,23 @@ def summarized_in(filings: DataFrame) -> DataFrame:
     return filings.select(F.concat(F.lit("g-"), "type", F.lit("-"), "period").alias("source"), F.concat(F.lit("g-GSTR-3B-"), "period").alias("target"), F.lit("SUMMARIZED_IN").alias("label"), F.lit("summary").alias("type"))
 
 
+def summary_returns(filings: DataFrame) -> DataFrame:
+    """The summary return of each period, to which the SUMMARIZED_IN edges lead: period, what the suppliers report and
+    owe, what the buyer may claim, and the difference."""
+
+    def of(kind: str, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("type") == kind, F.col(column))), F.lit(0))
+
+    rows = filings.groupBy("period").agg(of("GSTR-1", "total_taxable").alias("outward_taxable"), of("GSTR-1", "total_tax").alias("outward_tax"), of("GSTR-2B", "total_tax").alias("input_tax"))
+    return rows.withColumn("net_tax", F.col("outward_tax") - F.col("input_tax"))
+
+
+def summary_nodes(filings: DataFrame) -> DataFrame:
+    """id, label, group, period, amount (the net tax) of the summary returns."""
+    rows = summary_returns(filings)
+    return rows.select(F.concat(F.lit("g-GSTR-3B-"), "period").alias("id"), F.concat(F.lit("GSTR-3B "), text.period_label(F.col("period"))).alias("label"), F.lit("gstr").alias("group"), "period", F.col("net_tax").alias("amount"))
+
+
 def layers(nodes_: DataFrame, edges_: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
     """The nodes of some groups and the edges that stay inside them."""
     seen = nodes_.filter(F.col("group").isin(groups))
@@ -80,8 +101,31 @@ def top_nodes(nodes_: DataFrame, edges_: DataFrame, n: int = 200) -> DataFrame:
 
 def around(nodes_: DataFrame, edges_: DataFrame, n: int = 200) -> DataFrame:
     """The edges among the n nodes of the highest degree."""
-    ids = F.broadcast(top_nodes(nodes_, edges_, n).select("id"))  # n rows
-    return edges_.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return among(written(top_nodes(nodes_, edges_, n).select("id")), edges_)
+
+
+def capped(edges_: DataFrame, n: int = 200) -> DataFrame:
+    """id, group: at most n nodes that hang together: a fifth of them the vendors with the most invoices, two fifths
+    those of their invoices with the most edges, the rest what most of these lead to; ties go to the smallest id."""
+
+    def first(rows: DataFrame, most: int) -> DataFrame:
+        # Read twice below, and at most n rows.
+        return F.broadcast(written(rows.orderBy(F.desc("degree"), "id").limit(most).select("id", "group")))
+
+    issued, onward = edges_.filter("type = 'issued'"), edges_.filter("type <> 'issued'")
+    vendors = first(issued.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("degree")).withColumn("group", F.lit("vendor")), n // 5)
+    theirs = issued.join(vendors.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+    out = onward.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("degree"))
+    invoices = first(theirs.join(out, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit("invoice").alias("group")), 2 * n // 5)
+    met = onward.join(invoices.select(F.col("id").alias("source")), "source").withColumn("group", F.when(F.col("type") == "reported", "gstr").otherwise(F.col("type")))
+    rest = first(met.groupBy(F.col("target").alias("id"), "group").agg(F.count("*").alias("degree")), n - n // 5 - 2 * n // 5)
+    return vendors.unionByName(invoices).unionByName(rest)
+
+
+def among(ids: DataFrame, edges_: DataFrame) -> DataFrame:
+    """The edges among a few nodes."""
+    few = F.broadcast(ids.select("id"))
+    return edges_.join(few.withColumnRenamed("id", "source"), "source", "left_semi").join(few.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
 def vendor_connections(edges_: DataFrame) -> DataFrame:

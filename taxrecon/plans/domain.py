@@ -6,6 +6,7 @@ tables, stored by period in the shared folder, and read from there: queries read
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,8 @@ from ..operators import reconcile, vendors
 from ..sources.storage import is_there, state_of, written
 
 
-#: The base of a folder as a stored table, by session, folder and state of its tables.
-_bases: dict[tuple, DataFrame] = {}
+#: Tables that were stored, by name, session, folder and state of its tables.
+_stores: dict[tuple, DataFrame] = {}
 SOURCES = ("lineitem", "orders", "customer", "supplier", "nation")
 #: Documents of an invoice name it by all its keys.
 DOCUMENT = ("gstin AS supplier_gstin", "invoice_no", "period")
@@ -45,14 +46,19 @@ class Domain:
         s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         return s.select(sk.alias("sk"), F.concat(F.lit("V"), F.lpad(sk.cast("string"), 6, "0")).alias("vendor_id"), F.col("s_name").alias("name"), gstin.alias("gstin"), F.col("n_name").alias("state"), F.col("n_regionkey").alias("region"))
 
+    def _stored(self, name: str, make: Callable[[], DataFrame], lookup: tuple[str, ...] = ()) -> DataFrame:
+        """A table by period, computed once a session and state of the source tables. Its files follow the periods, the
+        large ones in parts, and lie in the order of the columns for lookups."""
+        key = (name, self.spark.sparkContext.applicationId, self.sf_dir, *(state_of(self.spark, f"{self.sf_dir}/{n}.parquet") for n in SOURCES))
+        if key not in _stores or not is_there(self.spark, _stores[key]):
+            rows = make().hint("rebalance", "period")
+            _stores[key] = written(rows.sortWithinPartitions("period", *lookup) if lookup else rows, "period", lookup=lookup)
+        return _stores[key]
+
     @cached_property
     def base(self) -> DataFrame:
-        """One row per (order, supplier), stored by period."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, *(state_of(self.spark, f"{self.sf_dir}/{n}.parquet") for n in SOURCES))
-        if key not in _bases or not is_there(self.spark, _bases[key]):
-            # Both books and all documents come from this table. Its files follow the periods, the large ones in parts.
-            _bases[key] = written(self._computed().hint("rebalance", "period"), "period")
-        return _bases[key]
+        """One row per (order, supplier), stored by period: both books and all documents come from it."""
+        return self._stored("base", self._computed)
 
     def _computed(self) -> DataFrame:
         """The base from the star schema. The join on the order key comes first: the aggregation by order and
@@ -99,7 +105,9 @@ class Domain:
 
     @cached_property
     def unified(self) -> DataFrame:
-        return reconcile.unified(self.gstr1, self.gstr2b, self.einvoices, self.eway_bills)
+        """The reconciled invoices, stored by period: one full outer join a session, and lookups by key read the row
+        groups that may hold it."""
+        return self._stored("unified", lambda: reconcile.unified(self.gstr1, self.gstr2b, self.einvoices, self.eway_bills), ("invoice_no", "supplier_gstin"))
 
     @cached_property
     def invoices(self) -> DataFrame:

@@ -225,6 +225,10 @@ _SELECTS: dict[str, str] = {
     "graph_nodes": "SELECT * FROM nodes",
     "graph_edges": "SELECT * FROM edges",
     "graph_summarized_in": "SELECT 'g-' || type || '-' || period AS source, 'g-GSTR-3B-' || period AS target, 'SUMMARIZED_IN' AS label, 'summary' AS type FROM register",
+    "graph_summary_nodes": "SELECT 'g-GSTR-3B-' || period AS id, 'GSTR-3B ' || strftime(CAST(period || '-01' AS DATE), '%b %y') AS label, 'gstr' AS \"group\", period, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE -total_tax END) AS BIGINT) AS amount FROM register GROUP BY period",
+    "summary_return_register": "SELECT period, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_taxable ELSE 0 END) AS BIGINT) AS outward_taxable, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE 0 END) AS BIGINT) AS outward_tax, CAST(sum(CASE WHEN type = 'GSTR-2B' THEN total_tax ELSE 0 END) AS BIGINT) AS input_tax, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE -total_tax END) AS BIGINT) AS net_tax FROM register GROUP BY period",
+    "graph_capped_nodes": "SELECT * FROM capped",
+    "graph_capped_edges": "SELECT * FROM edges WHERE source IN (SELECT id FROM capped) AND target IN (SELECT id FROM capped)",
     "graph_layer_filter": "SELECT * FROM edges WHERE type = 'issued'",
     "graph_stats": "SELECT \"group\", count(*) AS n, count(*) FILTER (flagged) AS flagged FROM nodes GROUP BY 1",
     "node_degree": "SELECT * FROM degree",
@@ -276,4 +280,44 @@ _ALONE: dict[str, str] = {
 
 _ALONE["stream_deduplicated"], _ALONE["stream_threshold_alerts"] = _ALONE["stream_windowed_kpis"], _ALONE["vendor_threshold_alerts"]
 
-ORACLES = {**{k: BASE + s for k, s in _SELECTS.items()}, **_ALONE, "pagerank": _pagerank(), "communities": _communities()}
+_CAPPED = """, cv AS (SELECT source AS id, 'vendor' AS "group" FROM edges WHERE type = 'issued' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 40),
+ci AS (SELECT t.id, 'invoice' AS "group" FROM (SELECT DISTINCT target AS id FROM edges WHERE type = 'issued' AND source IN (SELECT id FROM cv)) t
+  LEFT JOIN (SELECT source AS id, count(*) AS n FROM edges WHERE type <> 'issued' GROUP BY 1) o ON o.id = t.id ORDER BY coalesce(n, 0) DESC, t.id LIMIT 80),
+cr AS (SELECT target AS id, CASE WHEN type = 'reported' THEN 'gstr' ELSE type END AS "group" FROM edges WHERE type <> 'issued' AND source IN (SELECT id FROM ci)
+  GROUP BY 1, 2 ORDER BY count(*) DESC, 1 LIMIT 80),
+capped AS (SELECT * FROM cv UNION ALL SELECT * FROM ci UNION ALL SELECT * FROM cr)"""
+
+
+def _clusters(select: str, rounds: int = 6) -> str:
+    """Label propagation, a few tables a round; the groups' word to a vendor is the commonest label of its others."""
+    sql = BASE + """, cm0 AS MATERIALIZED (SELECT DISTINCT vendor_id, hsn || '|' || period AS g FROM i),
+cm AS MATERIALIZED (SELECT vendor_id, g, CAST(greatest(1, 1000 // (n - 1)) AS HUGEINT) AS w FROM cm0 JOIN (SELECT g, count(*) AS n FROM cm0 GROUP BY g HAVING count(*) > 1) s USING (g)),
+ck AS MATERIALIZED (SELECT vendor_id, CAST(sum(w) AS HUGEINT) AS k FROM cm GROUP BY 1),
+lab0 AS MATERIALIZED (SELECT vendor_id, vendor_id AS label FROM ck)"""
+    for r in range(rounds):
+        sql += f""",
+heard{r} AS MATERIALIZED (
+  SELECT vendor_id, other AS label, w FROM (
+    SELECT m.vendor_id, m.g, m.w, l2.label AS other, row_number() OVER (PARTITION BY m.vendor_id, m.g ORDER BY count(*) DESC, l2.label) AS place
+    FROM cm m JOIN cm m2 ON m2.g = m.g AND m2.vendor_id <> m.vendor_id JOIN lab{r} l2 ON l2.vendor_id = m2.vendor_id
+    GROUP BY m.vendor_id, m.g, m.w, l2.label) WHERE place = 1),
+size{r} AS MATERIALIZED (SELECT label, sum(k) AS size FROM lab{r} JOIN ck USING (vendor_id) GROUP BY 1),
+score{r} AS MATERIALIZED (
+  SELECT c.vendor_id, c.label, own.label AS was,
+         c.s * (SELECT sum(k) FROM ck) - ck.k * (size - CASE WHEN c.label = own.label THEN ck.k ELSE 0 END) AS score
+  FROM (SELECT vendor_id, label, sum(w) AS s FROM (SELECT * FROM heard{r} UNION ALL SELECT vendor_id, label, 0 FROM lab{r}) GROUP BY 1, 2) c
+  JOIN lab{r} own ON own.vendor_id = c.vendor_id JOIN ck ON ck.vendor_id = c.vendor_id JOIN size{r} z ON z.label = c.label),
+lab{r + 1} AS MATERIALIZED (
+  SELECT vendor_id, CASE WHEN (md5(vendor_id) < '8') = ({r} % 2 = 1) THEN label ELSE was END AS label
+  FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, label) AS place FROM score{r}) WHERE place = 1)"""
+    sql += f""",
+clusters AS MATERIALIZED (
+  SELECT v.vendor_id, coalesce(community, v.vendor_id) AS community FROM (SELECT DISTINCT vendor_id FROM i) v
+  LEFT JOIN (SELECT vendor_id, min(vendor_id) OVER (PARTITION BY label) AS community FROM lab{rounds}) l ON l.vendor_id = v.vendor_id)"""
+    return sql + select
+
+
+ORACLES = {**{k: BASE + (_CAPPED if "_capped_" in k else "") + s for k, s in _SELECTS.items()}, **_ALONE, "pagerank": _pagerank(), "communities": _communities(),
+    "vendor_clusters": _clusters(" SELECT * FROM clusters"),
+    "cluster_profile": _clusters(" SELECT community, count(DISTINCT vendor_id) AS vendors, count(*) AS invoices, CAST(count(*) FILTER (bad) AS DOUBLE) / count(*) AS mismatch_share, CAST(sum(CASE WHEN bad THEN total_tax ELSE 0 END) AS BIGINT) AS at_risk_tax FROM clusters JOIN i USING (vendor_id) GROUP BY 1"),
+}

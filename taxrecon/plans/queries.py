@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import explain, graph, kpis, model, reconcile, vendors
+from ..operators import clusters, explain, graph, kpis, model, reconcile, vendors
 from ..sources import returns, sinks, storage
 from ..streaming import jobs
 from .domain import Domain
@@ -119,6 +119,12 @@ _simple("graph_layer_filter", lambda d: graph.layers(graph.nodes(d.vendors, d.in
 _simple("graph_stats", lambda d: graph.stats(graph.nodes(d.vendors, d.invoices)))
 _simple("node_degree", lambda d: graph.degrees(graph.edges(d.invoices)))
 _simple("graph_top_nodes", lambda d: graph.top_nodes(graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)).select("id", "group", "degree"))
+_simple("graph_summary_nodes", lambda d: graph.summary_nodes(kpis.filings_register(d.gstr1, d.gstr2b)))
+_simple("summary_return_register", lambda d: graph.summary_returns(kpis.filings_register(d.gstr1, d.gstr2b)))
+_simple("graph_capped_nodes", lambda d: graph.capped(graph.edges(d.invoices)))
+_simple("graph_capped_edges", lambda d: graph.among(graph.capped(graph.edges(d.invoices)), graph.edges(d.invoices)))
+_simple("vendor_clusters", lambda d: clusters.clusters(d.invoices))
+_simple("cluster_profile", lambda d: clusters.profile(clusters.clusters(d.invoices), d.invoices))
 _simple("orphan_einvoices", lambda d: sinks.orphans(d.einvoices, d.gstr1.select(*reconcile.KEYS).union(d.gstr2b.select(*reconcile.KEYS))).select("irn", "invoice_no", "status"))
 _simple("vendor_features", lambda d: model.features(d.vendors, d.invoices))
 _simple("heuristic_labels", lambda d: model.labelled(model.features(d.vendors, d.invoices)).select("vendor_id", F.col("label").cast("int").alias("label")))
@@ -291,7 +297,7 @@ def _rows(d: Domain) -> DataFrame:
     """Features with centrality and communities, labelled, held for the passes of a training."""
     nodes, edges = graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)
     rank = graph.pagerank(nodes.filter("group in ('vendor', 'invoice', 'gstr')"), edges.filter("type in ('issued', 'reported')")).filter("id like 'v-%'").select(F.substring("id", 3, 100).alias("vendor_id"), "rank")
-    return storage.checkpointed(model.labelled(model.features(d.vendors, d.invoices, rank, graph.communities(d.invoices))))
+    return storage.checkpointed(model.labelled(model.features(d.vendors, d.invoices, rank, clusters.clusters(d.invoices))))
 
 
 def _trained(d: Domain):

@@ -30,10 +30,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, *partition: str) -> DataFrame:
-    """df as a Parquet table, read again: computed once however often it is used, and read by column."""
+def written(df: DataFrame, *partition: str, lookup: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table, read again: computed once however often it is used, and read by column. lookup: columns
+    with Bloom filters, so that equality with a rare value reads the row groups that may hold it alone."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
+    writer = df.write.partitionBy(*partition) if partition else df.write
+    for column in lookup:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True).option("parquet.bloom.filter.adaptive.enabled", True)
+    writer.parquet(path)
     _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path) if partition else df.sparkSession.read.parquet(path)
 
