@@ -256,7 +256,8 @@ def stream_sliding_kpis(d: Domain) -> DataFrame:
     """Events and tax per type in windows of two days that start daily, in update mode: every batch sends the windows
     that it changed, and the last word on each stands."""
     path = jobs.work_dir(d.spark)
-    events = jobs.event_stream(d.spark, jobs.split_by_time(d.spark, d.table("events"), f"{path}/in"), "*", files=1)
+    folder, files = jobs.split_by_time(d.spark, d.table("events"), f"{path}/in")
+    events = jobs.event_stream(d.spark, folder, "*", files=files)
     out = jobs.windowed(events.withWatermark("ts", "1 hour"), "2 days", "1 day")
     jobs.finished(out.writeStream.foreachBatch(jobs.latest(f"{path}/out")).outputMode("update"), f"{path}/cp")
     rows = d.spark.read.parquet(f"{path}/out")
@@ -269,26 +270,29 @@ def stream_deduplicated(d: Domain) -> DataFrame:
     """A stream in which every seventh event comes twice, in files of their own times; each counts once."""
     path = jobs.work_dir(d.spark)
     sent = d.table("events").unionByName(d.table("events").filter("event_id % 7 = 0"))
-    events = jobs.event_stream(d.spark, jobs.split_by_time(d.spark, sent, f"{path}/in", close=True), "*", files=1)
+    folder, files = jobs.split_by_time(d.spark, sent, f"{path}/in", close=True)
+    events = jobs.event_stream(d.spark, folder, "*", files=files)
     jobs.finished(jobs.windowed(jobs.deduplicated(events)).writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/cp")
     return d.spark.read.parquet(f"{path}/out").filter("start < '8000-01-01'").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "tax")
 
 
 @query("stream_threshold_alerts")
 def stream_threshold_alerts(d: Domain) -> DataFrame:
-    """The alerts of vendor_threshold_alerts from a stream of several files."""
+    """The alerts of vendor_threshold_alerts from a stream of several parts, with vendors' sums as keyed state."""
     path = jobs.work_dir(d.spark)
-    events = jobs.event_stream(d.spark, jobs.split_by_time(d.spark, d.table("events"), f"{path}/in"), "*", files=1)
-    jobs.finished(events.writeStream.foreachBatch(jobs.crossings_of_batches(f"{path}/sums", f"{path}/out", LIMIT)).outputMode("append"), f"{path}/cp")
-    return d.spark.read.schema("user_id bigint, event_id bigint, running bigint").parquet(f"{path}/out/*")
+    folder, files = jobs.split_by_time(d.spark, d.table("events"), f"{path}/in")
+    found = jobs.threshold_alerts(jobs.event_stream(d.spark, folder, "*", files=files), LIMIT)
+    with jobs.stateful(d.spark):
+        jobs.finished(found.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/cp")
+    return d.spark.read.schema("user_id bigint, event_id bigint, running bigint").parquet(f"{path}/out")
 
 
 @query("stream_reconcile_outer")
 def stream_reconcile_outer(d: Domain) -> DataFrame:
     """Both sides stream in from files of their own times, one a batch; a closing file at the end of either ends the wait."""
     path = jobs.work_dir(d.spark)
-    folder = jobs.split_by_time(d.spark, d.table("events"), f"{path}/in", close=True)
-    out = jobs.reconciled(*(jobs.event_stream(d.spark, folder, "*", files=1) for _ in range(2)))
+    folder, files = jobs.split_by_time(d.spark, d.table("events"), f"{path}/in", close=True)
+    out = jobs.reconciled(*(jobs.event_stream(d.spark, folder, "*", files=files) for _ in range(2)))
     jobs.finished(out.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), f"{path}/cp")
     return d.spark.read.parquet(f"{path}/out").filter("purchase_id >= 0")
 

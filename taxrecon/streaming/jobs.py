@@ -7,11 +7,14 @@ signup a line of the suppliers', error a mismatch.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..functions import scoring
@@ -50,19 +53,25 @@ def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet",
     return out.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("tax", F.round(F.col("value") * 100).cast("bigint"))
 
 
-def split_by_time(spark: SparkSession, events: DataFrame, path: str, parts: int = 5, close: bool = False) -> str:
+def split_by_time(spark: SparkSession, events: DataFrame, path: str, parts: int = 5, close: bool = False) -> tuple[str, int]:
     """Writes events as parts by ranges of time, one after the other, so that a stream takes them in that order; with
-    close, the closing events after them."""
+    close, the closing events after them. Returns the folder and the files of a part, as many for each: a batch of so
+    many files is a part, and all tasks of a cluster write and read it."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(at), F.max(at)).first()
     if low is None:
         events.limit(0).write.parquet(f"{path}/part-0")
     step = (high - low) // parts + 1 if low is not None else 1
+    part = ((at - F.lit(low)) / F.lit(step)).cast("int") if low is not None else F.lit(0)
+    sizes = {r["p"]: r["n"] for r in events.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a part
+    # With so many rows a file, none is left empty.
+    files = max(1, min([2 * spark.sparkContext.defaultParallelism, *(n // 500 for n in sizes.values())])) if sizes else 1
     for i in range(parts if low is not None else 0):
-        events.filter((at >= low + i * step) & (at < low + (i + 1) * step)).coalesce(1).write.parquet(f"{path}/part-{i}")
+        if i in sizes:
+            events.filter((at >= low + i * step) & (at < low + (i + 1) * step)).repartition(files).write.parquet(f"{path}/part-{i}")
     if close:
         closing(spark, f"{path}/part-end")
-    return path
+    return path, files
 
 
 def latest(path: str):
@@ -172,6 +181,61 @@ def crossings_of_batches(state: str, path: str, limit: int):
     return apply
 
 
+def threshold_alerts(events: DataFrame, limit: int, idle: str | None = None) -> DataFrame:
+    """user_id, event_id, running: the mismatch events of a stream at which a vendor's running tax exceeds limit and
+    didn't before. A vendor's sum is keyed state, which only its own events touch. With idle (such as '90 days'; the
+    events then have a watermark on ts) a vendor that sends nothing for longer starts at 0 again, and a timer clears
+    its state. Batches come in order of time; a batch's own events of a vendor are put in order. Needs stateful()."""
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+
+    # A class of its own here, so that it travels to the workers whole.
+    class Crossings(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.held = handle.getValueState("held", "sum long, last long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            got = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+            had, last = self.held.get() if self.held.exists() else (0, None)
+            at = got["ts"].map(lambda t: int(t.timestamp() * 1000))
+            if ms:
+                # The sum restarts after a silence, whether its timer has gone off yet or not.
+                fresh = at - at.shift(fill_value=at.iloc[0] if last is None else last) > ms
+                total = got["tax"].cumsum() + had
+                running = total - (total - got["tax"]).where(fresh).ffill().fillna(0).astype("int64")
+                if last is not None:
+                    self.handle.deleteTimer(last + ms)
+                self.handle.registerTimer(int(at.iloc[-1]) + ms)
+            else:
+                running = had + got["tax"].cumsum()
+            self.held.update((int(running.iloc[-1]), int(at.iloc[-1])))
+            out = got.assign(running=running)[(running > limit) & (running - got["tax"] <= limit)]
+            yield out[["user_id", "event_id", "running"]]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.held.clear()
+            yield pd.DataFrame({"user_id": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "running": pd.Series(dtype="int64")})
+
+        def close(self) -> None:
+            pass
+
+    bad = events.filter("event_type = 'error'").select("user_id", "event_id", "ts", F.coalesce("tax", F.lit(0)).alias("tax"))
+    schema = "user_id bigint, event_id bigint, running bigint"
+    return bad.groupBy("user_id").transformWithStateInPandas(Crossings(), schema, "Append", "EventTime" if ms else "None")
+
+
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, as keyed state needs, in the shared checkpoint."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def alerts(invoices: DataFrame) -> DataFrame:
     return explain.invoice_alerts(invoices).select("invoice_id", "type", "message", "icon")
 
