@@ -288,6 +288,16 @@ cr AS (SELECT target AS id, CASE WHEN type = 'reported' THEN 'gstr' ELSE type EN
 capped AS (SELECT * FROM cv UNION ALL SELECT * FROM ci UNION ALL SELECT * FROM cr)"""
 
 
+#: The base after the changes that the incremental queries make, from which all else follows.
+_CHANGED = BASE.replace("b1 AS (", "b1_before AS (", 1).replace("\ninv AS (", """
+b1_r AS (SELECT *, (ok * 7 + sk) % 40 AS r FROM b1_before),
+b1_s AS (SELECT * REPLACE (CASE WHEN r = 0 THEN false WHEN r IN (2, 4) THEN true ELSE in_gstr1 END AS in_gstr1, CASE WHEN r = 1 THEN false WHEN r IN (3, 5) THEN true ELSE in_gstr2b END AS in_gstr2b,
+  CASE WHEN r IN (2, 4) THEN cgst ELSE cgst_1 END AS cgst_1, CASE WHEN r IN (2, 4) THEN sgst ELSE sgst_1 END AS sgst_1, CASE WHEN r IN (2, 4) THEN igst ELSE igst_1 END AS igst_1,
+  CASE WHEN r IN (2, 4) THEN hsn ELSE hsn_1 END AS hsn_1, CASE WHEN r = 5 THEN CAST(1000 + (mpk + 1) % 9000 AS VARCHAR) ELSE hsn END AS hsn) FROM b1_r),
+b1 AS (SELECT * REPLACE (CASE WHEN in_gstr2b THEN tax ELSE cgst_1 + sgst_1 + igst_1 END AS tax, CASE WHEN in_gstr2b THEN cgst ELSE cgst_1 END AS cgst, CASE WHEN in_gstr2b THEN sgst ELSE sgst_1 END AS sgst) FROM b1_s),
+inv AS (""", 1)
+
+
 def _clusters(select: str, rounds: int = 6) -> str:
     """Label propagation, a few tables a round; the groups' word to a vendor is the commonest label of its others."""
     sql = BASE + """, cm0 AS MATERIALIZED (SELECT DISTINCT vendor_id, hsn || '|' || period AS g FROM i),
@@ -318,6 +328,8 @@ clusters AS MATERIALIZED (
 
 
 ORACLES = {**{k: BASE + (_CAPPED if "_capped_" in k else "") + s for k, s in _SELECTS.items()}, **_ALONE, "pagerank": _pagerank(), "communities": _communities(),
+    "incremental_status_figures": _CHANGED + " SELECT period, match_status, count(*) AS n, CAST(sum(total_tax) AS BIGINT) AS tax FROM i GROUP BY 1, 2",
+    "incremental_vendor_scores": _CHANGED + " " + _SELECTS["vendors_view"],
     "vendor_clusters": _clusters(" SELECT * FROM clusters"),
     "cluster_profile": _clusters(" SELECT community, count(DISTINCT vendor_id) AS vendors, count(*) AS invoices, CAST(count(*) FILTER (bad) AS DOUBLE) / count(*) AS mismatch_share, CAST(sum(CASE WHEN bad THEN total_tax ELSE 0 END) AS BIGINT) AS at_risk_tax FROM clusters JOIN i USING (vendor_id) GROUP BY 1"),
 }

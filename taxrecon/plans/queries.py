@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import clusters, explain, graph, kpis, model, reconcile, vendors
+from ..operators import changes, clusters, explain, graph, kpis, model, reconcile, vendors
 from ..sources import returns, sinks, storage
 from ..streaming import jobs
 from .domain import Domain
@@ -287,6 +288,42 @@ def stream_threshold_alerts(d: Domain) -> DataFrame:
     return d.spark.read.schema("user_id bigint, event_id bigint, running bigint").parquet(f"{path}/out")
 
 
+def _corrections(d: Domain) -> list[DataFrame]:
+    """Three batches of changes, by a rule on the numbers: invoices leave either book, are corrected or newly reported,
+    are changed wrongly and then rightly, leave and come back under another code."""
+    r = (F.col("ok") * 7 + F.col("sk")) % 40
+    base = d.base.withColumn("supplier_gstin", F.col("gstin")).withColumn("itc_available", F.lit("Y"))
+    wrong = base.filter(r == 4).withColumn("cgst", F.col("cgst") + 100)
+    first = [changes.change(base.filter(r == 0), "gstr1", "delete", 1), changes.change(base.filter(r == 2), "gstr1", "upsert", 1), changes.change(wrong, "gstr1", "upsert", 1), changes.change(base.filter(r == 5), "gstr2b", "delete", 1)]
+    second = [changes.change(base.filter(r == 1), "gstr2b", "delete", 2), changes.change(base.filter(r == 3), "gstr2b", "upsert", 2), changes.change(base.filter(r == 4), "gstr1", "upsert", 3)]
+    third = [changes.change(base.filter(r == 5).withColumn("hsn", F.col("hsn_other")), "gstr2b", "upsert", 4)]
+    return [reduce(DataFrame.unionByName, parts) for parts in (first, second, third)]
+
+
+def _refreshed(d: Domain) -> str:
+    """The folder of the figures after a stream of changes, which arrive one batch after the other."""
+    path = jobs.work_dir(d.spark)
+    keep = changes.maintained(d.gstr1, d.gstr2b, d.einvoices, d.eway_bills, path)
+    for i, batch in enumerate(_corrections(d)):
+        batch.write.parquet(f"{path}/in/{i}")
+        stream = d.spark.readStream.schema(changes.CHANGES).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        jobs.finished(stream.writeStream.foreachBatch(keep), f"{path}/cp")
+    return path
+
+
+@query("incremental_status_figures")
+def incremental_status_figures(d: Domain) -> DataFrame:
+    """Invoices and tax by period and status after inserts, changes and deletions, each batch added to what was there."""
+    return changes.current(d.spark, _refreshed(d), "status", changes.figures(d.unified, "status"))
+
+
+@query("incremental_vendor_scores")
+def incremental_vendor_scores(d: Domain) -> DataFrame:
+    """The vendors' scores after the same changes, from sums by vendor and month."""
+    months = changes.current(d.spark, _refreshed(d), "vendor_month", changes.figures(d.unified, "vendor_month"))
+    return vendors.scored(d.vendor_master, changes.metrics(months)).select(*VENDOR_COLS)
+
+
 @query("stream_reconcile_outer")
 def stream_reconcile_outer(d: Domain) -> DataFrame:
     """Both sides stream in from files of their own times, one a batch; a closing file at the end of either ends the wait."""
