@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import reconcile, vendors
+from ..operators import reconcile, search_index, vendors
 from ..sources.storage import is_there, state_of, written
 
 
@@ -46,13 +46,13 @@ class Domain:
         s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         return s.select(sk.alias("sk"), F.concat(F.lit("V"), F.lpad(sk.cast("string"), 6, "0")).alias("vendor_id"), F.col("s_name").alias("name"), gstin.alias("gstin"), F.col("n_name").alias("state"), F.col("n_regionkey").alias("region"))
 
-    def _stored(self, name: str, make: Callable[[], DataFrame], lookup: tuple[str, ...] = ()) -> DataFrame:
-        """A table by period, computed once a session and state of the source tables. Its files follow the periods, the
+    def _stored(self, name: str, make: Callable[[], DataFrame], lookup: tuple[str, ...] = (), by: str = "period") -> DataFrame:
+        """A table by period (or another column), computed once a session and state of the source tables. Its files follow it, the
         large ones in parts, and lie in the order of the columns for lookups."""
         key = (name, self.spark.sparkContext.applicationId, self.sf_dir, *(state_of(self.spark, f"{self.sf_dir}/{n}.parquet") for n in SOURCES))
         if key not in _stores or not is_there(self.spark, _stores[key]):
-            rows = make().hint("rebalance", "period")
-            _stores[key] = written(rows.sortWithinPartitions("period", *lookup) if lookup else rows, "period", lookup=lookup)
+            rows = make().hint("rebalance", by)
+            _stores[key] = written(rows.sortWithinPartitions(by, *lookup) if lookup else rows, by, lookup=lookup)
         return _stores[key]
 
     @cached_property
@@ -116,3 +116,15 @@ class Domain:
     @cached_property
     def vendors(self) -> DataFrame:
         return vendors.scored(self.vendor_master, vendors.compliance(self.unified))
+
+    @cached_property
+    def id_index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings of the invoices' numbers, and how many each run has."""
+        index = self._stored("ids", lambda: search_index.postings(self.unified, "invoice_no", "supplier_gstin", "period"), ("run",), "bucket")
+        return index, self._stored("id runs", lambda: search_index.frequencies(index), ("run",), "bucket")
+
+    @cached_property
+    def name_index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings of the vendors' names."""
+        index = self._stored("names", lambda: search_index.postings(self.vendor_master, "name", "gstin"), ("run",), "bucket")
+        return index, self._stored("name runs", lambda: search_index.frequencies(index), ("run",), "bucket")

@@ -225,6 +225,9 @@ _SELECTS: dict[str, str] = {
     "graph_nodes": "SELECT * FROM nodes",
     "graph_edges": "SELECT * FROM edges",
     "graph_summarized_in": "SELECT 'g-' || type || '-' || period AS source, 'g-GSTR-3B-' || period AS target, 'SUMMARIZED_IN' AS label, 'summary' AS type FROM register",
+    "indexed_search_short": "SELECT invoice_id, vendor_name, match_status, risk_level, total_tax FROM i WHERE bad AND period = '1995-03' AND (contains(lower(invoice_id), '7') OR contains(lower(vendor_name), '7'))",
+    "indexed_search_name": "SELECT invoice_id, vendor_name, match_status, risk_level, total_tax FROM i WHERE bad AND risk_level = 'High' AND (contains(lower(invoice_id), 'er#00000000') OR contains(lower(vendor_name), 'er#00000000'))",
+    "indexed_lookup": "SELECT invoice_id, vendor_name, match_status, risk_level, total_tax FROM i WHERE contains(lower(invoice_id), 'inv-1-') OR contains(lower(vendor_name), 'inv-1-')",
     "graph_summary_nodes": "SELECT 'g-GSTR-3B-' || period AS id, 'GSTR-3B ' || strftime(CAST(period || '-01' AS DATE), '%b %y') AS label, 'gstr' AS \"group\", period, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE -total_tax END) AS BIGINT) AS amount FROM register GROUP BY period",
     "summary_return_register": "SELECT period, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_taxable ELSE 0 END) AS BIGINT) AS outward_taxable, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE 0 END) AS BIGINT) AS outward_tax, CAST(sum(CASE WHEN type = 'GSTR-2B' THEN total_tax ELSE 0 END) AS BIGINT) AS input_tax, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE -total_tax END) AS BIGINT) AS net_tax FROM register GROUP BY period",
     "graph_capped_nodes": "SELECT * FROM capped",
@@ -327,6 +330,10 @@ clusters AS MATERIALIZED (
     return sql + select
 
 
+# Other ways to the same rows.
+for _new, _old in (("indexed_search", "reconciliation_search"), ("indexed_audit_search", "audit_search"), ("json_gstr1_ranges", "json_gstr1_roundtrip"), ("json_gstr2b_ranges", "json_gstr2b_roundtrip"), ("json_einvoice_ranges", "json_einvoice_roundtrip")):
+    _SELECTS[_new] = _SELECTS[_old]
+
 ORACLES = {**{k: BASE + (_CAPPED if "_capped_" in k else "") + s for k, s in _SELECTS.items()}, **_ALONE, "pagerank": _pagerank(), "communities": _communities(),
     "incremental_status_figures": _CHANGED + " SELECT period, match_status, count(*) AS n, CAST(sum(total_tax) AS BIGINT) AS tax FROM i GROUP BY 1, 2",
     "incremental_vendor_scores": _CHANGED + " " + _SELECTS["vendors_view"],

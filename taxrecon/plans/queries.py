@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import changes, clusters, explain, graph, kpis, model, reconcile, vendors
-from ..sources import returns, sinks, storage
+from ..operators import changes, clusters, explain, graph, kpis, model, reconcile, search_index, vendors
+from ..sources import large_json, returns, sinks, storage
 from ..streaming import jobs
 from .domain import Domain
 
@@ -78,6 +78,11 @@ _simple("reconciliation_period_report", lambda d: reconcile.period_report(reconc
 _simple("reconciliation_by_vendor", lambda d: kpis.by_vendor(d.invoices))
 _simple("classify_mismatch", lambda d: vendors.past_mismatches(d.invoices).groupBy("severity").agg(F.count("*").alias("n"), F.sum("total_tax").alias("tax")))
 _simple("reconciliation_search", lambda d: reconcile.search(d.invoices, level="High", term=TERM).select("invoice_id", "vendor_name", "match_status", "risk_level", "total_tax"))
+_simple("indexed_search", lambda d: reconcile.search(search_index.found(d.invoices, d.id_index, d.name_index, TERM), level="High").select("invoice_id", "vendor_name", "match_status", "risk_level", "total_tax"))
+_simple("indexed_search_short", lambda d: reconcile.search(search_index.found(d.invoices, d.id_index, d.name_index, "7"), period=PERIOD).select("invoice_id", "vendor_name", "match_status", "risk_level", "total_tax"))
+_simple("indexed_search_name", lambda d: reconcile.search(search_index.found(d.invoices, d.id_index, d.name_index, "ER#00000000"), level="High").select("invoice_id", "vendor_name", "match_status", "risk_level", "total_tax"))
+_simple("indexed_lookup", lambda d: search_index.found(d.invoices, d.id_index, d.name_index, "INV-1-").select("invoice_id", "vendor_name", "match_status", "risk_level", "total_tax"))
+_simple("indexed_audit_search", lambda d: explain.searched(explain.audit_records(d.invoices, d.vendors), search_index.found(d.invoices, d.id_index, d.name_index, TERM), TERM).select("invoice_id", "match_status"))
 _simple("dashboard_kpis", lambda d: kpis.dashboard(d.invoices, d.vendors))
 _simple("mismatch_breakdown", lambda d: kpis.breakdown(d.invoices))
 _simple("filtered_summary", lambda d: kpis.summary(reconcile.search(d.invoices, issue="Missing in GSTR-1", term=TERM)))
@@ -184,6 +189,31 @@ def json_einvoice_roundtrip(d: Domain) -> DataFrame:
     return returns.einvoices(d.spark, path).select("irn", "invoice_no", "status")
 
 
+RANGE = "256k"  # bytes of a file that a task reads, small enough for the files here to be split
+
+
+@query("json_gstr1_ranges")
+def json_gstr1_ranges(d: Domain) -> DataFrame:
+    """The suppliers' documents, many a file, read by byte ranges."""
+    path = jobs.work_dir(d.spark)
+    sinks.gstr1_documents(d.gstr1).write.json(path)
+    return large_json.gstr1(d.spark, path, "", RANGE).groupBy("supplier_gstin").agg(F.count("*").alias("n"), F.sum("taxable").alias("taxable"), F.sum(F.col("cgst") + F.col("sgst") + F.col("igst")).alias("tax"), F.min("invoice_date").alias("first"), F.max("hsn").alias("hsn"))
+
+
+@query("json_gstr2b_ranges")
+def json_gstr2b_ranges(d: Domain) -> DataFrame:
+    path = jobs.work_dir(d.spark)
+    sinks.gstr2b_documents(d.gstr2b).select("docdata").write.json(path)
+    return large_json.gstr2b(d.spark, path, "", RANGE).groupBy("supplier_gstin", "itc_available").agg(F.count("*").alias("n"), F.sum("taxable").alias("taxable"), F.sum(F.col("cgst") + F.col("sgst") + F.col("igst")).alias("tax"), F.min("invoice_date").alias("first"), F.max("hsn").alias("hsn"))
+
+
+@query("json_einvoice_ranges")
+def json_einvoice_ranges(d: Domain) -> DataFrame:
+    path = jobs.work_dir(d.spark)
+    sinks.einvoice_documents(d.einvoices).write.text(path)
+    return large_json.einvoices(d.spark, path, RANGE).select("irn", "invoice_no", "status")
+
+
 @query("eway_bill_source")
 def eway_bill_source(d: Domain) -> DataFrame:
     path = jobs.work_dir(d.spark)
