@@ -33,7 +33,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noscript iframe template noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
-DROPPED = frozenset("head nav footer aside form button select option input svg canvas object audio video dialog menu map applet fieldset datalist".split()) | RAW
+DROPPED = frozenset("head button select option input svg canvas object audio video map applet datalist".split()) | RAW
+#: Dropped as well, unless they turn out to be around the article: Page._wrappers().
+SUSPECT = frozenset("nav footer aside form dialog menu fieldset header".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -59,6 +61,10 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Parameters: containers below this depth count as part of the one there; characters of a path's step before it is
 #: hashed; what a hinted container's text counts for in a score; pages that must repeat a part of few words.
 DEPTH, STEP_CHARS, HINTED, REPEATS = 64, 100, 0.1, 4
+#: Parameters: characters outside links from which on a block is prose; prose of a nav or header around an article without
+#: article tags; characters, and of one block, from which on a part of an article is its own whatever its name; how many
+#: times the host's path must fall short of the page's own for the latter to be taken.
+PROSE_CHARS, WRAPPED, SECTION, PARAGRAPH, SHORT = 40, 600, 300, 60, 4
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -77,13 +83,21 @@ def _marks(name: str, inside: bool) -> frozenset[str]:
     return found - HEADS if inside or words & PARTS else found
 
 
-def _unwanted(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element, by its tag, role or visibility, holds no article text. inside: of an article or main."""
-    if tag in DROPPED or tag == "header" and not inside:
+def _hidden(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element, by its tag or visibility, holds no text to read."""
+    if tag in DROPPED:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None
+
+
+def _suspect(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether an element, by its tag or role, holds no article text unless it is around the article. inside: of an
+    article or main, which have headers of their own."""
+    if tag in SUSPECT and not (tag == "header" and inside):
+        return True
+    return bool(attrs) and tag not in ("html", "body", "article", "main") and attrs.get("role", "").lower() in ROLES
 
 
 def _marked(tag: str, attrs: dict[str, str], inside: bool) -> frozenset[str]:
@@ -115,16 +129,22 @@ def _tag_end(page: str, at: int) -> int:
 
 class Page:
     """One page, read once from front to back. Containers with equal paths are one node; nodes are numbered so that
-    a parent comes before its children. blocks: per block of text its pieces (node, text, in a link, mark, article)."""
+    a parent comes before its children. blocks: per block of text its pieces (node, text, in a link, mark, article,
+    suspect)."""
 
     def __init__(self, page: str):
         self.parent, self.step, self.depth, self.key = [-1], [""], [0], [0]
         self._at: dict[tuple[int, str], int] = {}
-        self.blocks: list[list[tuple[int, str, bool, int, int]]] = []
+        self.blocks: list[list[tuple[int, str, bool, int, int, int]]] = []
         #: Hinting elements: names, the one around, article around; articles: whether a main, hint and article around.
         self.soft: list[tuple[frozenset[str], int, int]] = []
         self.articles: list[tuple[bool, int, int]] = []
+        #: Elements that hold no article unless they are around it: tag, the one around, whether a name of readers' or
+        #: other parts is on it, article around; and whether its end tag came.
+        self.suspects: list[tuple[str, int, bool, int]] = []
+        self.ended: list[bool] = []
         self._read(page)
+        self._wrappers()
         self._measure()
 
     def _node(self, parent: int, step: str) -> int:
@@ -140,17 +160,17 @@ class Page:
     def _read(self, page: str) -> None:
         """Unclosed and stray tags are read as browsers do. No step looks back or ahead further than what it then
         takes or closes, so the time is linear in the page."""
-        stack: list[tuple[str, int, bool, int, int]] = []  # tag, node, unwanted, hint and article around
+        stack: list[tuple[str, int, bool, int, int, int]] = []  # tag, node, hidden, hint, article and suspect around
         where: dict[str, list[int]] = defaultdict(list)  # places of open tags in the stack
-        node, bad, mark, article = 0, False, -1, -1
-        pieces: list[tuple[int, str, bool, int, int]] = []
+        node, bad, mark, article, suspect = 0, False, -1, -1, -1
+        pieces: list[tuple[int, str, bool, int, int, int]] = []
         links = 0
 
         def said(text: str) -> None:
             if text and not bad:
                 if "&" in text:
                     text = html_lib.unescape(_HUGE.sub("�", text) if "&#" in text else text)
-                pieces.append((node, text, links > 0, mark, article))
+                pieces.append((node, text, links > 0, mark, article, suspect))
 
         def flush() -> None:
             nonlocal pieces
@@ -161,15 +181,17 @@ class Page:
         def last(names) -> int:
             return max((where[x][-1] for x in names if where[x]), default=-1)
 
-        def close(upto: int) -> None:
-            nonlocal links, node, bad, mark, article
+        def close(upto: int, ended: bool = False) -> None:
+            nonlocal links, node, bad, mark, article, suspect
+            if ended and (at := stack[upto][5]) >= 0 and at != (stack[upto - 1][5] if upto else -1):
+                self.ended[at] = True
             if any(s[0] not in INLINE for s in stack[upto:]):
                 flush()
             for s in stack[upto:]:
                 where[s[0]].pop()
                 links -= s[0] == "a"
             del stack[upto:]
-            _, node, bad, mark, article = stack[-1] if stack else ("", 0, False, -1, -1)
+            _, node, bad, mark, article, suspect = stack[-1] if stack else ("", 0, False, -1, -1, -1)
 
         at, size, plain = 0, len(page), False
         while at < size:
@@ -216,7 +238,7 @@ class Page:
                 elif tag == "p" and last(("p",)) <= last(CONTAINERS):
                     flush()
                 elif (i := last((tag,))) >= 0 and (tag not in INLINE or i > last(CONTAINERS)):
-                    close(i)
+                    close(i, True)
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -239,9 +261,14 @@ class Page:
                 end = _raw_end(tag).search(page, at)
                 at = end.end() if end else size
                 continue
-            new_node, new_bad, new_mark, new_article = node, bad or _unwanted(tag, attrs, article >= 0), mark, article
+            new_node, new_bad, new_mark, new_article, new_suspect = node, bad or _hidden(tag, attrs), mark, article, suspect
             if not new_bad:
                 names = _marked(tag, attrs, article >= 0)
+                if _suspect(tag, attrs, article >= 0):
+                    new_suspect = len(self.suspects)
+                    self.suspects.append((tag, suspect, bool(names - LAYOUT), article))
+                    self.ended.append(False)
+                    names = frozenset()
                 if names:
                     new_mark = len(self.soft)
                     self.soft.append((names, mark, article))
@@ -252,19 +279,54 @@ class Page:
                     new_node = self._node(node, _step(tag, attrs, bool(names)))
             links += tag == "a"
             where[tag].append(len(stack))
-            stack.append((tag, new_node, new_bad, new_mark, new_article))
-            node, bad, mark, article = new_node, new_bad, new_mark, new_article
+            stack.append((tag, new_node, new_bad, new_mark, new_article, new_suspect))
+            node, bad, mark, article, suspect = new_node, new_bad, new_mark, new_article, new_suspect
         said(page[at:])
         flush()
 
+    def _wrappers(self) -> None:
+        """Drops the blocks of suspects, but for those that are around the article: where no article or main has prose
+        outside of suspects, the ones around the articles with the most, if that is more than stands outside; else a form
+        or fieldset with more than half of the page's prose, and a nav, header or element whose end tag never came with
+        nearly all of it. A form round the whole page is common, and so is an end tag that is missing."""
+        n = len(self.suspects)
+        held, inside, free, outside, total = [0] * n, [0] * n, False, 0, 0
+        for b in self.blocks if n else ():
+            size = sum(len(p[1]) for p in b if not p[2])
+            if size >= PROSE_CHARS:
+                # A block lies where its first piece does.
+                article, suspect = b[0][4:]
+                total += size
+                if suspect < 0:
+                    outside += size
+                    free = free or article >= 0
+                else:
+                    held[suspect] += size
+                    # Of an article that is in it, not around it.
+                    inside[suspect] += size * (article >= 0 and article != self.suspects[suspect][3])
+        for i in range(n - 1, -1, -1):
+            if self.suspects[i][1] >= 0:
+                held[self.suspects[i][1]] += held[i]
+        keep = [False] * n
+        at = max(range(n), key=lambda i: (not self.suspects[i][2], inside[i]), default=-1)
+        if n and not free and inside[at] > outside:
+            while at >= 0:
+                keep[at], at = True, self.suspects[at][1]
+        elif not free:
+            for i, (tag, around, named, _) in enumerate(self.suspects):
+                most = 2 * held[i] > total if tag in ("form", "fieldset") else held[i] >= WRAPPED and 10 * held[i] >= 9 * total and (tag in ("nav", "header") or not self.ended[i])
+                keep[i] = most and not named and (around < 0 or keep[around])
+        kept = ([p[:5] for p in b if p[5] < 0 or keep[p[5]]] for b in self.blocks)
+        self.blocks = [b for b in kept if b]
+
     def _measure(self) -> None:
         """Per node, of the whole text below it: characters, those in links, those in hinted elements, a hash that
         doesn't depend on order; and of its own text what it is worth to a score."""
         n = len(self.parent)
         self.chars, self.linked, self.hinted, self.hash, self.worth = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
-        sized = [(node, len(" ".join(text.split())), link, mark, article, text) for b in self.blocks for node, text, link, mark, article in b]
+        sized = [(node, len(" ".join(text.split())), link, mark, article, text, i) for i, b in enumerate(self.blocks) for node, text, link, mark, article in b]
         voided = self._misnamed(sized)
-        for node, size, link, mark, _, text in sized:
+        for node, size, link, mark, _, text, _ in sized:
             if size:
                 hinted = mark >= 0 and not voided[mark]
                 self.chars[node] += size
@@ -287,9 +349,16 @@ class Page:
         if not soft:
             return out
         area, held, free, total = [0] * len(articles), [0] * len(soft), [False] * len(soft), 0
-        for _, size, link, mark, article, _ in sized:
+        # By hinting element, its own text outside links and that of its longest block, less what is in links.
+        own, most, linked, block, here = [0] * len(soft), [0] * len(soft), [0] * len(soft), -1, 0
+        for _, size, link, mark, article, _, i in sized:
             worth = 0 if link else size
             total += worth
+            if mark >= 0:
+                block, here = i, worth + (here if i == block else 0)
+                own[mark] += worth
+                linked[mark] += size - worth
+                most[mark] = max(most[mark], here)
             if article >= 0:
                 area[article] += worth
             if mark >= 0:
@@ -314,6 +383,9 @@ class Page:
         # Adverts, notices and comments may be longer than an article; layout outside of one isn't it.
         for i, (names, _, _) in enumerate(soft):
             out[i] = out[i] or 2 * held[i] > total and names <= LAYOUT and not (full and free[i])
+        # Nor does a name alone say that a long part of an article with prose isn't its own.
+        for i, (names, _, article) in enumerate(soft):
+            out[i] = out[i] or article >= 0 and not readers[i] and own[i] >= max(SECTION, 2 * linked[i]) and most[i] >= PARAGRAPH
         # An element in a hinting one is hinted with it, so only whole chains are void.
         for i, (_, around, _) in enumerate(soft):
             out[i] = out[i] and (around < 0 or out[around])
@@ -389,9 +461,8 @@ class Page:
                 out.append(i)
         return out
 
-    def text(self, key: int, skip: set[int]) -> str | None:
-        """Text at and below the container with this path key, without what lies in containers of skip; None where
-        the page has no such container or no text there."""
+    def _inside(self, key: int, skip: set[int]) -> tuple[list[bool], int]:
+        """By node whether it is at or below the first with this path key, outside of skip; and that node, -1: none."""
         inside, found = [False] * len(self.parent), -1
         for i, k in enumerate(self.key):
             p = self.parent[i]
@@ -399,6 +470,16 @@ class Page:
                 inside[i], found = True, i
             else:
                 inside[i] = p >= 0 and inside[p] and k not in skip
+        return inside, found
+
+    def worth_of(self, key: int, skip: set[int]) -> float:
+        inside, _ = self._inside(key, skip)
+        return sum(max(0.0, w) for w, x in zip(self.worth, inside, strict=True) if x)
+
+    def text(self, key: int, skip: set[int]) -> str | None:
+        """Text at and below the container with this path key, without what lies in containers of skip; None where
+        the page has no such container or no text there."""
+        inside, found = self._inside(key, skip)
         if found < 0 or not self.chars[found]:
             return None
         joined = (" ".join("".join(p[1] for p in b if inside[p[0]]).split()) for b in self.blocks)
@@ -428,16 +509,23 @@ def host_of(url: Column) -> Column:
 
 def extract(page: str, key: int | None, skip: set[int] = frozenset()) -> str:
     """Text of the container with this path key without the containers of skip; by the page's own vote if it has no
-    text there."""
+    text there, or hardly any beside what the page votes for."""
     read = Page(page)
     found = None if key is None else read.text(key, skip)
-    if found is None:
+    if found is not None:
+        # A page of another template may have little at the host's path, and its article elsewhere.
         node, _ = read.vote()
-        if node < 0:
-            return ""
-        own = {read.key[i] for i in read.below(node) if unlike(read.chars[i], read.hinted[i], read.chars[node])}
-        found = read.text(read.key[node], own)
-    return found or ""
+        if node < 0 or read.key[node] in skip or SHORT * read.worth_of(key, skip) >= read.worth_of(read.key[node], skip):
+            return found
+    return _own(read)
+
+
+def _own(read: Page) -> str:
+    """The text that a page by itself votes for."""
+    node, _ = read.vote()
+    if node < 0:
+        return ""
+    return read.text(read.key[node], {read.key[i] for i in read.below(node) if unlike(read.chars[i], read.hinted[i], read.chars[node])}) or ""
 
 
 _SUBS = "array<struct<key:bigint,chars:bigint,hinted:bigint,hash:bigint>>"
