@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..sources import sinks
+from ..sources.storage import written
+from . import quantiles
 
 FEATURES = ["mismatch_count", "total_tax_at_risk", "filing_delay_days", "graph_centrality", "transaction_volume", "community_cluster", "einvoice_compliance_rate", "state_risk_factor"]
 # What a vendor without the fact has.
@@ -38,15 +42,18 @@ def features(vendors: DataFrame, invoices: DataFrame, centrality: DataFrame | No
     return out.select("vendor_id", *(F.coalesce(F.col(c).cast("double"), F.lit(DEFAULTS[c])).alias(c) for c in FEATURES))
 
 
-def labelled(rows: DataFrame, quantile: float = 0.7) -> DataFrame:
-    """label 1 where a weighted score of the features is above its quantile (strictly)."""
-    volume = F.max("transaction_volume").alias("most")
-    most = rows.agg(volume)
+def heuristic(rows: DataFrame) -> DataFrame:
+    """rows with risk, a weighted score of the features."""
+    most = rows.agg(F.max("transaction_volume").alias("most"))
     c = F.col
     score = c("mismatch_count") * F.lit(0.25) + c("total_tax_at_risk") / F.lit(100000.0) * F.lit(0.20) + c("filing_delay_days") * F.lit(0.15) + c("graph_centrality") * F.lit(0.10) + (F.lit(1.0) - c("einvoice_compliance_rate")) * F.lit(0.15) + (F.lit(1.0) - c("transaction_volume") / c("most")) * F.lit(0.05) + c("state_risk_factor") * F.lit(0.10)
-    scored = rows.crossJoin(F.broadcast(most)).withColumn("risk", score).drop("most")
-    limit = scored.agg(F.percentile("risk", quantile).alias("limit"))
-    return scored.crossJoin(F.broadcast(limit)).withColumn("label", (c("risk") > c("limit")).cast("double")).drop("limit")
+    return rows.crossJoin(F.broadcast(most)).withColumn("risk", score).drop("most")
+
+
+def labelled(rows: DataFrame, quantile: float = 0.7) -> DataFrame:
+    """label 1 where the heuristic score is above its quantile (strictly)."""
+    scored = written(heuristic(rows))
+    return scored.withColumn("label", (F.col("risk") > F.lit(quantiles.quantile(scored, "risk", quantile))).cast("double"))
 
 
 def split(rows: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -96,10 +103,33 @@ def evaluated(rows: DataFrame, seed: int = 42) -> DataFrame:
     return rows.sparkSession.createDataFrame(found, "model string, metric string, value double")
 
 
+def folded(rows: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """rows with fold, by a hash of the key, so however the rows are stored a vendor is in the same one."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.lit("fold"), "vendor_id"), F.lit(folds)).cast("int"))
+
+
 def cross_validated(rows: DataFrame, folds: int = 5, **kw) -> float:
     """Mean area under ROC over folds."""
-    cv = CrossValidator(estimator=pipeline(**kw), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=42)
-    return cv.fit(weighted(rows)).avgMetrics[0]
+    cv = CrossValidator(estimator=pipeline(**kw), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, foldCol="fold")
+    return cv.fit(weighted(folded(rows, folds))).avgMetrics[0]
+
+
+def out_of_fold(rows: DataFrame, folds: int = 5, **kw) -> DataFrame:
+    """vendor_id, fold, label, probability of every row by the forest that was trained on the other folds."""
+    held = written(folded(rows, folds))
+    parts = [predict(train(held.filter(F.col("fold") != k), **kw), held.filter(F.col("fold") == k)).select("vendor_id", "probability") for k in range(folds)]
+    return held.select("vendor_id", "fold", "label").join(reduce(DataFrame.unionByName, parts), "vendor_id")
+
+
+def fold_metrics(predictions: DataFrame, folds: int = 5) -> DataFrame:
+    """fold, n, accuracy and auc of predictions of out_of_fold(); the row with fold -1 is over all of them."""
+    held = written(predictions)
+    right = ((F.col("probability") > 0.5) == (F.col("label") > 0)).cast("double")
+
+    def of(rows: DataFrame, k: int) -> DataFrame:
+        return rows.agg(F.count("*").alias("n"), F.avg(right).alias("accuracy")).crossJoin(quantiles.auc(rows, "probability", "label")).select(F.lit(k).alias("fold"), "n", "accuracy", "positives", "auc")
+
+    return reduce(DataFrame.unionByName, [of(held, -1), *(of(held.filter(F.col("fold") == k), k) for k in range(folds))])
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -228,6 +228,9 @@ _SELECTS: dict[str, str] = {
     "indexed_search_short": "SELECT invoice_id, vendor_name, match_status, risk_level, total_tax FROM i WHERE bad AND period = '1995-03' AND (contains(lower(invoice_id), '7') OR contains(lower(vendor_name), '7'))",
     "indexed_search_name": "SELECT invoice_id, vendor_name, match_status, risk_level, total_tax FROM i WHERE bad AND risk_level = 'High' AND (contains(lower(invoice_id), 'er#00000000') OR contains(lower(vendor_name), 'er#00000000'))",
     "indexed_lookup": "SELECT invoice_id, vendor_name, match_status, risk_level, total_tax FROM i WHERE contains(lower(invoice_id), 'inv-1-') OR contains(lower(vendor_name), 'inv-1-')",
+    "risk_score_auc": ", rl AS (SELECT v.raw_score, CAST(h.risk > (SELECT quantile_cont(risk, 0.7) FROM heur) AS INTEGER) AS label FROM v JOIN heur h USING (vendor_id)) SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, floor((SELECT sum(CASE WHEN p.raw_score > n.raw_score THEN 1.0 WHEN p.raw_score = n.raw_score THEN 0.5 ELSE 0 END)::DOUBLE / count(*) FROM rl p, rl n WHERE p.label = 1 AND n.label = 0) * 1000000000 + 0.5) / 1000000000 AS auc FROM rl",
+    "risk_quantiles": "SELECT q, floor(risk * 1000000 + 0.5) / 1000000 AS risk, floor(tax * 1000000 + 0.5) / 1000000 AS tax FROM (" + " UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS q, (SELECT quantile_cont(risk, {q}) FROM heur) AS risk, (SELECT quantile_cont(CAST(total_tax AS DOUBLE), {q}) FROM i) AS tax" for q in (0.1, 0.5, 0.7, 0.99)) + ")",
+    "sql_functions": "SELECT v.vendor_id, v.raw_score AS score, v.status, CASE WHEN v.risk_score < CAST(0.3 AS DOUBLE) THEN 'Low' WHEN v.risk_score < CAST(0.6 AS DOUBLE) THEN 'Medium' ELSE 'High' END AS label, i.invoice_id, i.presence_status AS presence, i.risk_level AS level, CASE WHEN i.total_tax > 10000000 THEN 'High Risk' WHEN v.missed > 5 THEN 'High Risk' WHEN i.total_tax > 5000000 THEN 'Medium Risk' WHEN v.missed > 2 THEN 'Medium Risk' ELSE 'Low Risk' END AS severity FROM v JOIN i ON i.vendor_id = v.vendor_id",
     "graph_summary_nodes": "SELECT 'g-GSTR-3B-' || period AS id, 'GSTR-3B ' || strftime(CAST(period || '-01' AS DATE), '%b %y') AS label, 'gstr' AS \"group\", period, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE -total_tax END) AS BIGINT) AS amount FROM register GROUP BY period",
     "summary_return_register": "SELECT period, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_taxable ELSE 0 END) AS BIGINT) AS outward_taxable, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE 0 END) AS BIGINT) AS outward_tax, CAST(sum(CASE WHEN type = 'GSTR-2B' THEN total_tax ELSE 0 END) AS BIGINT) AS input_tax, CAST(sum(CASE WHEN type = 'GSTR-1' THEN total_tax ELSE -total_tax END) AS BIGINT) AS net_tax FROM register GROUP BY period",
     "graph_capped_nodes": "SELECT * FROM capped",
@@ -330,6 +333,21 @@ clusters AS MATERIALIZED (
     return sql + select
 
 
+def _hops(k: int = 3, hub: int = 1000) -> str:
+    sql = f""", both_ends AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
+wide AS MATERIALIZED (SELECT id FROM degree WHERE degree > {hub}),
+hop0 AS MATERIALIZED (SELECT 'i-' || invoice_id AS seed, 'i-' || invoice_id AS id, 'i-' || invoice_id AS path, 0 AS hop FROM (SELECT * FROM i WHERE bad ORDER BY total_tax DESC, invoice_id LIMIT 20))"""
+    for h in range(1, k + 1):
+        closed = "" if h == 1 else "WHERE p.id NOT IN (SELECT id FROM wide)"
+        sql += f""",
+hop{h} AS MATERIALIZED (SELECT * FROM hop{h - 1} UNION ALL
+  SELECT seed, b AS id, min(path || '>' || b) AS path, {h} AS hop FROM (SELECT p.*, b FROM (SELECT * FROM hop{h - 1} WHERE hop = {h - 1}) p JOIN both_ends ON a = p.id {closed}) n
+  WHERE NOT EXISTS (SELECT 1 FROM hop{h - 1} o WHERE o.seed = n.seed AND o.id = n.b) GROUP BY 1, 2)"""
+    return sql + f" SELECT seed, id, hop, path FROM hop{k}"
+
+
+_SELECTS["evidence_paths"] = _hops()
+_SELECTS["short_ids"] = f"SELECT new_id, replace(new_id, 'INV-2025-', 'INV-') AS label FROM ({_SELECTS['sequential_ids']})"
 # Other ways to the same rows.
 for _new, _old in (("indexed_search", "reconciliation_search"), ("indexed_audit_search", "audit_search"), ("json_gstr1_ranges", "json_gstr1_roundtrip"), ("json_gstr2b_ranges", "json_gstr2b_roundtrip"), ("json_einvoice_ranges", "json_einvoice_roundtrip")):
     _SELECTS[_new] = _SELECTS[_old]

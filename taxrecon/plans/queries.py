@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
-from ..operators import changes, clusters, explain, graph, kpis, model, reconcile, search_index, vendors
+from ..functions import scoring, sql, text
+from ..operators import changes, clusters, explain, graph, kpis, model, quantiles, reconcile, search_index, vendors
 from ..sources import large_json, returns, sinks, storage
 from ..streaming import jobs
 from .domain import Domain
@@ -64,6 +64,7 @@ _simple("vendor_connections", lambda d: graph.vendor_connections(graph.edges(d.i
 _simple("traversal_text", lambda d: explain.traversals(d.invoices))
 _simple("graph_top_edges", lambda d: graph.around(graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)))
 _simple("sequential_ids", lambda d: sinks.numbered_ids(d.invoices.select("invoice_id", "invoice_date"), "INV-2025-", [F.col("invoice_date"), F.col("invoice_id")], 20, name="new_id").select("invoice_id", "new_id"))
+_simple("short_ids", lambda d: sinks.numbered_ids(d.invoices.select("invoice_id", "invoice_date"), "INV-2025-", [F.col("invoice_date"), F.col("invoice_id")], 20, name="new_id").select("new_id", text.short_id(F.col("new_id")).alias("label")))
 _simple("einvoice_missing", lambda d: reconcile.einvoice_missing(d.gstr1, d.gstr2b, d.einvoices))
 _simple("late_filing", lambda d: reconcile.late_filing(d.gstr1))
 _simple("vendor_risk_lookup", lambda d: d.vendors.filter("vendor_id = 'V000007'").select("vendor_id", "risk_score", "status"))
@@ -405,6 +406,50 @@ def forest_cross_validation(d: Domain) -> DataFrame:
     return d.spark.createDataFrame([(float(model.cross_validated(_rows(d))),)], "auc double")
 
 
+@query("forest_fold_metrics")
+def forest_fold_metrics(d: Domain) -> DataFrame:
+    """Rows, accuracy and area under ROC of each fold, by the forest trained on the others, and of all folds together."""
+    return model.fold_metrics(model.out_of_fold(_rows(d)))
+
+
+@query("risk_score_auc")
+def risk_score_auc(d: Domain) -> DataFrame:
+    """How well the rule's score ranks the vendors that the heuristic labels."""
+    labels = model.labelled(model.features(d.vendors, d.invoices)).select("vendor_id", "label")
+    out = quantiles.auc(d.vendors.join(labels, "vendor_id"), "raw_score", "label")
+    return out.select("positives", "negatives", scoring.round_half_up(F.col("auc"), 9).alias("auc"))
+
+
+@query("risk_quantiles")
+def risk_quantiles(d: Domain) -> DataFrame:
+    """Quantiles of the heuristic score and of the invoices' tax."""
+    risk = storage.written(model.heuristic(model.features(d.vendors, d.invoices)).select("risk"))
+    tax = d.invoices.select(F.col("total_tax").alias("tax"))
+    found = [(q, quantiles.quantile(risk, "risk", q), quantiles.quantile(tax, "tax", q)) for q in (0.1, 0.5, 0.7, 0.99)]
+    rows = d.spark.createDataFrame(found, "q double, risk double, tax double")
+    return rows.select("q", *(scoring.round_half_up(F.col(c), 6).alias(c) for c in ("risk", "tax")))
+
+
+@query("evidence_paths")
+def evidence_paths(d: Domain) -> DataFrame:
+    """Within three edges of the twenty mismatched invoices with the most tax."""
+    worst = d.invoices.filter(reconcile.mismatched()).orderBy(F.desc("total_tax"), "invoice_id").limit(20)
+    return graph.hops(graph.edges(d.invoices), worst.select(F.concat(F.lit("i-"), "invoice_id").alias("id")))
+
+
+@query("sql_functions")
+def sql_functions(d: Domain) -> DataFrame:
+    """The scoring rules in SQL."""
+    sql.register(d.spark)
+    found = """
+        SELECT v.vendor_id, predict_risk(v.missed_filings, v.avg_days_late, v.total_transactions) AS score,
+               classify_risk(predict_risk(v.missed_filings, v.avg_days_late, v.total_transactions)) AS status,
+               probability_label(v.risk_score) AS label, i.invoice_id, presence_status(i.in_gstr1, i.in_gstr2b) AS presence,
+               invoice_risk_level(i.match_status, i.total_tax) AS level, classify_mismatch(i.total_tax, v.missed_filings) AS severity
+        FROM {vendors} v JOIN {invoices} i ON i.vendor_id = v.vendor_id"""
+    return d.spark.sql(found, vendors=d.vendors, invoices=d.invoices)
+
+
 @query("pagerank")
 def pagerank(d: Domain) -> DataFrame:
     nodes, edges = graph.nodes(d.vendors, d.invoices), graph.edges(d.invoices)
