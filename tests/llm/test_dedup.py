@@ -283,6 +283,28 @@ def test_near_edges(spark):
     assert len(rows) == 3 and len({x["class_id"] for x in rows if x["doc_id"] == 1}) == 1
 
 
+def test_every_text_of_a_key_links(spark):
+    """A document with several texts links by each of them; two sets may share their smallest document."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[i : i + 20]) for i in (0, 20, 40))
+    near_a, near_b = a.replace("w19", "x"), b.replace("w39", "y")
+    docs = [(1, a), (1, b), (2, near_a), (3, near_b), (4, b), (5, c)]
+    got = {(x["doc_id"]): (x["class_id"], x["n_links"], x["n_linked_docs"]) for x in near_dedup.jaccard_classes(frame(spark, docs), recall=0.9999999).collect()}
+    # 1 links to 2 by one text, to 3 by the other, which 4 has as well.
+    assert got == {1: (1, 2, 3), 2: (1, 1, 1), 3: (1, 1, 2), 4: (1, 1, 2), 5: (5, 0, 0)}
+    # A key with a third of all rows, each another text, and copies of it.
+    hot = [(7, f"{a} tail {i}") for i in range(60)] + [(8 + i, f"t{i} " + " ".join(words[: i % 40])) for i in range(120)] + [(7, f"{a} tail 3")] * 5
+    rows = near_dedup.jaccard_classes(frame(spark, hot), recall=0.9999999, block=8).collect()
+    assert len(rows) == len(hot) and len({(x["set_id"], x["class_id"], x["n_links"]) for x in rows if x["doc_id"] == 7}) == 1
+
+
+def test_scripts_without_spaces_find_their_near_copies(spark):
+    text = "".join(chr(0x4E00 + i * 37 % 900) for i in range(200))
+    docs = [(1, text), (2, text[:100] + "\u4e00" + text[101:]), (3, text[::-1]), (4, "plain Latin text without copies"), (5, "नमस्ते " * 3)]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.jaccard_classes(frame(spark, docs)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_sizes_part_the_blocks(spark):
     """Texts that share half of their n-grams but differ in size meet in buckets; the sizes decide which blocks meet."""
     r = random.Random(11)
@@ -326,3 +348,10 @@ def test_near_query(spark, sf_dir):
     got = {x["doc_id"]: (x["set_id"], x["class_id"], x["n_links"]) for x in near_dedup.op5_jaccard_join(spark, sf_dir).collect()}
     want = brute_classes(docs)
     assert got == {i: want.get(i, (i, i, 0)) for i, _ in docs}
+
+
+def test_a_block_that_meets_an_empty_one_counts_nothing_again(spark):
+    grams = near_dedup.ngrams(" ".join(f"w{i}" for i in range(30)))
+    rows = [(k, 1, 5, [], grams.tobytes(), k) for k in (1, 2)]
+    assert near_dedup._verified(rows, 0.8, True) == []
+    assert near_dedup._verified(rows, 0.8, False) == [(1, 1, None, 1, 1), (2, 2, 1, 1, 1)]
