@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +21,23 @@ from pyspark.sql.window import Window
 
 from .common import fresh, table
 
-_SENTENCE = re.compile(r"[^.!?\n。！？｡]*(?:[.!?\n。！？｡]+[\"')\]»”’」』）]*|$)")
+
+def _marks() -> str:
+    """All characters that end a sentence, by their Unicode property, the ellipsis and line ends."""
+    every = "".join(map(chr, range(0x110000))).encode("utf-8", "ignore").decode()
+    return "".join(regex.findall(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}]", every)) + "\u2026\n"
+
+
+_END = re.escape(_marks())
+_SENTENCE = re.compile(rf"[^{_END}]*(?:[{_END}]+[\"')\]»”’」』）]*|$)")
 #: Scripts written without spaces, of which every character counts as a word.
 _WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _PACKED = np.dtype([("k", "<i8"), ("h", "<i8"), ("h1", "<u8"), ("h2", "<u4"), ("first", "<i4"), ("last", "<i4")])
 #: Parameters: a span has this many sentences and words, or is one sentence of so many words.
 SENTENCES, WORDS, ALONE = 2, 20, 50
-#: Characters of text per shard of the global join, and those of texts whose spans are dealt together.
-SHARD_CHARS, BATCH_CHARS = 8 << 20, 16 << 20
+#: Characters of text per shard of the global join, those of texts whose spans are dealt together, and partitions at most:
+#: beyond them a task takes several shards, one after the other.
+SHARD_CHARS, BATCH_CHARS, PARTITIONS = 8 << 20, 16 << 20, 20_000
 
 
 def sentences(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
@@ -147,8 +157,9 @@ def later_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", **kind
     source = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).filter("k is not null and t is not null")
     shards = max(8, -(-(docs.agg(F.sum(F.length(text))).first()[0] or 0) // SHARD_CHARS))
     dealt = source.mapInArrow(_deal(shards, kind), "shard bigint, later boolean, rows binary")
-    # As many tasks as shards, so that what a task reads doesn't grow with the table.
-    return dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(_later, "k bigint, h bigint, first int, last int")
+    # As many tasks as shards, so that what a task reads doesn't grow with the table, up to the number that the driver can
+    # keep track of; a task still holds one shard at a time.
+    return dealt.repartition(min(shards, PARTITIONS), "shard").groupBy("shard").applyInPandas(_later, "k bigint, h bigint, first int, last int")
 
 
 def sentence_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **kind: int) -> DataFrame:

@@ -355,3 +355,20 @@ def test_a_block_that_meets_an_empty_one_counts_nothing_again(spark):
     rows = [(k, 1, 5, [], grams.tobytes(), k) for k in (1, 2)]
     assert near_dedup._verified(rows, 0.8, True) == []
     assert near_dedup._verified(rows, 0.8, False) == [(1, 1, None, 1, 1), (2, 2, 1, 1, 1)]
+
+
+def test_sentences_of_many_scripts():
+    for text in ("\u0928\u092e\u0938\u094d\u0924\u0947 \u0926\u0941\u0928\u093f\u092f\u093e\u0964 \u0915\u094d\u092f\u093e \u0939\u0948\u0964", "\u0645\u0627 \u0647\u0630\u0627\u061f \u0646\u0639\u0645\u06d4", "\u1230\u120b\u121d\u1362 \u12a5\u1295\u12f4\u1275\u1362", "One\u2026 Two.", "\u4f60\u597d\u3002\u518d\u89c1\uff01", "One. Two!", "\u1780\u17d4 \u1781\u17d4"):
+        assert len(sentence_dedup.sentences(text)) == 2, text
+
+
+@pytest.mark.parametrize("mark", ["\u0964", "\u06d4", "\u061f"])
+def test_repeated_passages_of_other_scripts_go(spark, mark, monkeypatch):
+    monkeypatch.setattr(sentence_dedup, "PARTITIONS", 3)
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(chr(0x915 + r.randrange(30)) for _ in range(4)) for _ in range(n)) + mark
+    passage = " ".join(say(9) for _ in range(4))
+    rows = [(i, f"{' '.join(say(9) for _ in range(3))} {passage} {' '.join(say(9) for _ in range(3))}") for i in range(6)]
+    out = {x["doc_id"]: x for x in sentence_dedup.sentence_dedup(frame(spark, rows)).collect()}
+    assert passage in out[0]["text"] and out[0]["n_spans"] == 0
+    assert all(passage not in out[i]["text"] and out[i]["n_spans"] == 1 and len(out[i]["text"].split()) == 54 for i in range(1, 6))
