@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RUPEE = 100
+# The status name here, and the weights, limits and names in the functions below, must equal the
+# application's own.
 MATCHED = "Matched"
 
 

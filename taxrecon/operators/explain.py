@@ -18,6 +18,10 @@ WHERE NOT EXISTS {
 }
 RETURN v.name AS vendor, i.id AS invoice, i.tax_amount AS tax"""
 
+EVIDENCE = {"in_gstr2b": ("Invoice in GSTR-2B", "NOT in GSTR-2B"), "in_gstr1": ("Invoice in Vendor GSTR-1", "MISSING from Vendor GSTR-1"), "has_einvoice": ("e-Invoice generated", "No e-Invoice")}
+ADVICE = " is at risk. Contact vendor to reconcile."
+PATH = ("Your Entity → GSTR-2B (", ") → ", " → ")
+
 
 def filings() -> Column:
     """Of an invoice the sorted texts 'type (period)' of the returns that hold it; the flags of the one pass over both
@@ -57,13 +61,11 @@ def audit_records(invoices: DataFrame, vendors: DataFrame) -> DataFrame:
     v = vendors.select("vendor_id", "risk_score")
     rows = invoices.filter(mismatched()).join(v, "vendor_id", "left")
     percent = F.floor(F.coalesce("risk_score", F.lit(0.0)) * 100 + 0.5).cast("bigint").cast("string")
-    evidence = F.array(
-        F.concat(F.lit("Invoice date: "), F.col("invoice_date").cast("string"), F.lit(", period: "), "period"), F.when(F.col("in_gstr2b"), "Invoice in GSTR-2B").otherwise("NOT in GSTR-2B"),
-        F.when(F.col("in_gstr1"), "Invoice in Vendor GSTR-1").otherwise("MISSING from Vendor GSTR-1"), F.when(F.col("has_einvoice"), "e-Invoice generated").otherwise("No e-Invoice"), F.concat(F.lit("Vendor risk: "), percent, F.lit("%")),
-    )
+    held = (F.when(F.col(c), yes).otherwise(no) for c, (yes, no) in EVIDENCE.items())
+    evidence = F.array(F.concat(F.lit("Invoice date: "), F.col("invoice_date").cast("string"), F.lit(", period: "), "period"), *held, F.concat(F.lit("Vendor risk: "), percent, F.lit("%")))
     summary = F.concat(F.lit("Invoice "), "invoice_id", F.lit(f" ({text.RUPEE_SIGN}"), text.inr_grouped(F.col("taxable")), F.lit(" taxable) from "), "vendor_name", F.lit(" is flagged: "), "match_status", F.lit("."))
-    advice = F.concat(F.lit(f"ITC of {text.RUPEE_SIGN}"), text.inr_grouped(F.col("total_tax")), F.lit(" is at risk. Contact vendor to reconcile."))
-    path = F.concat(F.lit("Your Entity → GSTR-2B ("), "period", F.lit(") → "), "invoice_id", F.lit(" → "), "vendor_name")
+    advice = F.concat(F.lit(f"ITC of {text.RUPEE_SIGN}"), text.inr_grouped(F.col("total_tax")), F.lit(ADVICE))
+    path = F.concat(F.lit(PATH[0]), "period", F.lit(PATH[1]), "invoice_id", F.lit(PATH[2]), "vendor_name")
     return rows.select("supplier_gstin", "invoice_id", "period", summary.alias("summary"), evidence.alias("evidence"), advice.alias("recommendation"), path.alias("graph_path"))
 
 
