@@ -48,9 +48,9 @@ def wide(text: str) -> bool:
     return not text.isascii() and len(text.encode("utf-8", "surrogatepass")) > 2 * len(text) and 2 * len(_WIDE.findall(text)) > sum(map(len, text.split()))
 
 
-def ngrams(text: str | None, n: int = N, characters: bool | None = None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-grams of text's words (lower case, by white space; with characters, or by
-    itself where most of a text is in such scripts, every character of a script without spaces is a word too). Fewer words
+def ngrams(text: str | None, n: int = N, characters: bool | None = False) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct n-grams of text's words (lower case, by white space; with characters every
+    character of a script without spaces is a word too; None: in texts that are mostly in such scripts). Fewer words
     than n are one n-gram; no words none."""
     text = (text or "").lower()
     words = (_WIDE.sub(r" \g<0> ", text) if (wide(text) if characters is None else characters) else text).split()
@@ -101,7 +101,7 @@ def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("k"), *(h.alias(f"h{i}") for i, h in enumerate(hash128(F.col(text)))), F.col(text).alias("t"))
 
 
-def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int, characters: bool | None = None) -> DataFrame:
+def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int, characters: bool | None = False) -> DataFrame:
     """k, h0, h1 (hashes of the text), set_key (128-bit digest of the n-gram set, null for empty sets), size (of the set),
     bands."""
     schema = pa.schema([("k", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64()), ("set_key", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -240,7 +240,7 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     return tops.select(F.col("u").alias("v"), "class").union(now.select("v", F.col("v").alias("class")).distinct())
 
 
-def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK, characters: bool | None = None) -> DataFrame:
+def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK, characters: bool | None = False) -> DataFrame:
     """One row per document: key, set_id (smallest key with the same n-gram set), class_id (smallest key it
     is linked to through any chain), n_links (other n-gram sets at threshold or above), n_linked_docs (the
     documents behind these, and the other documents of its own set).
@@ -248,8 +248,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     Texts without words, or null, link to nothing: each is its own class. Rows with a null key come back
     with null classes and no links. A key that repeats is one document; if its texts differ, each of them links, its
     class is that of them all, and its counts are their sums. Keys are taken as bigint. Texts of any length count whole;
-    an empty table gives no rows; other columns aren't read. A Latin text without white space is one word and links to its
-    copies alone; in scripts without spaces characters are words (see ngrams)."""
+    an empty table gives no rows; other columns aren't read. A text without white space is one word and links to its
+    copies alone, unless characters is set (see ngrams)."""
     importable(docs.sparkSession)
     bands = bands_for(threshold, recall, rows)
     signed = written(signatures(docs, text, key, n, bands, rows, characters))
@@ -307,6 +307,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """One row per document of the table: doc_id, set_id, class_id, n_links, n_linked_docs, by word 5-grams at 0.8. Edge
-    cases are those of jaccard_classes()."""
-    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """One row per document of the table: doc_id, set_id, class_id, n_links, n_linked_docs, by word 5-grams at 0.8; texts
+    that are mostly in scripts without spaces have their characters as words. Edge cases are those of
+    jaccard_classes()."""
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), characters=None)
