@@ -39,7 +39,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
     # Written, so that the numbers of the rows stay as they are.
     rows = written(docs.filter("doc_id is not null").select(*COLUMNS, F.monotonically_increasing_id().alias("k"), *(h.alias(f"h{i}") for i, h in enumerate(hash128(F.col("text"))))))
-    classes = near_dedup.jaccard_classes(rows.select("k", "text"), key="k").select("k", "class_id")
+    classes = near_dedup.jaccard_classes(rows.select("k", "text"), key="k", characters=None).select("k", "class_id")
     place = F.struct("doc_id", "h0", "h1", "k")
     first = rows.select("k", "doc_id", "h0", "h1").join(classes, "k").groupBy("class_id").agg(F.min(place).alias("s")).select("s.*")
     # Texts without words are classes of their own, even in equal rows.
