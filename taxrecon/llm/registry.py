@@ -11,6 +11,7 @@ QUERIES: dict[str, Callable] = {
     "op1_pack_power_of_two": packing.op1_pack_power_of_two,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "exact_index_changes": exact_dedup.exact_index_changes,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_jaccard_join": near_dedup.op5_jaccard_join,
     "op6_mix_sources": mixing.op6_mix_sources,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable] = {
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "exact_index_changes": exact_dedup.EXACT_INDEX_CHANGES_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op10_top_k_search": topk_search.OP10_SQL,
 }

@@ -39,6 +39,19 @@ def test_fingerprint_hits_are_verified():
     assert index.delete(a) and index.find(b) >= 0 and index.find(a) == -1
 
 
+def test_hits_are_verified_on_the_content():
+    index, digest = exact_dedup.CuckooIndex(16), hashlib.sha256(b"one").digest()
+    assert index.insert(digest, "one") == (0, True) and index.insert(digest, "one") == (0, False)
+    # Another text under the same digest is another text.
+    assert index.find(digest, "two") == -1 and index.insert(digest, "two") == (1, True)
+    assert index.delete(digest, "one") and index.find(digest, "one") == -1 and index.find(digest, "two") == 1
+    full = exact_dedup.CuckooIndex(1)
+    texts = [f"text {i}" for i in range(500)]
+    for t in texts:
+        full.insert(hashlib.sha256(t.encode()).digest(), t)
+    assert full.resizes and [full.find(hashlib.sha256(t.encode()).digest(), t) for t in texts] == list(range(500))
+
+
 def test_exact_edges(spark):
     rows = [(3, "a b"), (1, "ab"), (2, "a  b"), (4, None), (5, ""), (6, " \t\n"), (7, "ü"), (None, "ü"), (2, "a  b"), (8, "a b")]
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
@@ -82,6 +95,18 @@ def test_exact_query(spark, sf_dir, same):
     same(exact_dedup.op3_exact_dedup(spark, sf_dir), exact_dedup.OP3_SQL)
 
 
+def test_index_changes_query(spark, sf_dir, same, tmp_path):
+    same(exact_dedup.exact_index_changes(spark, sf_dir), exact_dedup.EXACT_INDEX_CHANGES_SQL)
+    schema = "doc_id bigint, text string, source string, digest string, content int"
+    rows = [(1, "a b", "first"), (2, "ab", "then"), (3, "a  b", "then"), (4, None, None), (5, " ", "first"), (None, "n", "mid"), (6, "n", "then"), (7, "only", "then"), (8, "ab", "first"), (8, "ab", "first"), (9, "long " * 50_000, "mid")]
+    spark.createDataFrame([(*r, "x", 1) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["group_size"], r["keep_len"], r["keep_id"]) for r in exact_dedup.exact_index_changes(spark, str(tmp_path)).collect()}
+    assert got == {(3, 3, 1), (2, 1, 5), (1, 1, None), (1, 250_000, 9)}
+    for name, some in (("one", [(1, "a", "s")]), ("none", [])):
+        spark.createDataFrame([(*r, "x", 1) for r in some], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert exact_dedup.exact_index_changes(spark, f"{tmp_path}/{name}").count() == 0
+
+
 # Line dedup
 
 
