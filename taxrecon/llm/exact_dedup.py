@@ -148,18 +148,18 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("len")).alias("l"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))).alias("b")
 
 
-def _shards(rows: DataFrame, shard_rows: int) -> int:
+def _shards(chars: Column, rows: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
     """So many that a shard has about shard_rows rows and SHARD_CHARS characters at most."""
-    n, chars = rows.agg(F.count("*"), F.sum(F.length("content").cast("bigint"))).first()
+    n, chars = rows.agg(F.count("*"), F.sum(chars.cast("bigint"))).first()
     return max(1, -(-n // shard_rows), -(-(chars or 0) // SHARD_CHARS))
 
 
-def index_digests(digested: DataFrame, shard_rows: int = SHARD_ROWS, salts: int = 4, stored: bool = True) -> DataFrame:
+def index_digests(digested: DataFrame, shard_rows: int = SHARD_ROWS, salts: int = 4, stored: bool = True, shards: int | None = None) -> DataFrame:
     """The live index of rows of digests(): shard, digest, group_size, keep_len, keep_id and, if it is to be stored for
     changes, content. Copies of one digest are first summed under salts, so at most that many rows of it reach its
     shard; shards grow in number with the rows and with their text."""
     summed = digested.groupBy(F.col("text_sha256").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.count("*").alias("n"), _best(), F.first("content").alias("content"))
-    shards = _shards(digested, shard_rows)
+    shards = shards or _shards(F.length("content"), digested, shard_rows)
     rows = summed.select(F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard"), "digest", "content", F.lit(1).alias("op"), "n", (-F.col("b.l")).alias("len"), F.col("b.id").alias("id"))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +184,7 @@ def change_index(index: DataFrame, inserts: DataFrame | None, deletes: DataFrame
         if df is not None:
             all_rows = all_rows.unionByName(rows(df, op))
     all_rows = written(all_rows)
-    shards = _shards(all_rows, shard_rows)
+    shards = _shards(F.length("content"), all_rows, shard_rows)
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         return _merge(pdf.sort_values("op", ascending=False, kind="stable"))
@@ -208,8 +208,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     they are without white space; null counts as empty. The longest original stays, then the smallest
     doc_id (null last). Rows that repeat a kept doc_id and text are marked kept as well: they are that row. Texts of any
     length are hashed and compared whole; an empty table gives no rows; other columns aren't read."""
-    digested = written(digests(docs))
-    index = written(index_digests(digested, stored=False)).select(F.col("digest").alias("text_sha256"), "keep_id", "group_size", "keep_len")
+    found = digests(docs)
+    # Texts aren't stored again: the index takes them from the documents.
+    digested = written(found.withColumn("chars", F.length("content")).drop("content"))
+    index = written(index_digests(found, stored=False, shards=_shards(F.col("chars"), digested))).select(F.col("digest").alias("text_sha256"), "keep_id", "group_size", "keep_len")
     # Digests with more than a thousandth of the rows, of which there are fewer than a thousand, are known to every task;
     # their documents stay where they are.
     hot = F.col("group_size") > digested.count() / 1000
