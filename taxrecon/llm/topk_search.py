@@ -3,8 +3,9 @@
 Vectors are dealt to cells by their nearest pivots, so a data shard, and a query block, lies in one part of the
 space; each becomes a cover tree. A search walks both trees together: for a query node (centre a, covering
 radius r) and a data node (centre b, radius s) no score can exceed a.b + r|b| + s|a| + rs, and the pair of nodes
-is left out where that is below the worst kth score that the node's queries already have. A block searches the
-shard that fits it best first; of the others it meets those alone whose roots can still reach that worst score.
+is left out where that is below the worst kth score that the node's queries already have. A block searches a
+shard that fits it well first. Above the shards stand the balls of cells and of groups of cells: a block goes down
+from these, and meets those shards alone whose ball, and all balls above it, can still reach that worst score.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 from .common import table, written
 
 #: Parameters: rows per data shard, queries per block, query blocks that meet a shard in one task, points per
-#: leaf, pivots (a bounded sample of the data), roots compared in one task on either side.
-SHARD_ROWS, QUERY_ROWS, LANE, LEAF, PIVOTS, ROOTS = 4096, 1024, 8, 64, 16_384, 1024
+#: leaf, pivots (a bounded sample of the data), balls of the top level up to which they go to every task.
+SHARD_ROWS, QUERY_ROWS, LANE, LEAF, PIVOTS, ROOTS = 4096, 1024, 8, 64, 16_384, 16_384
 #: A node is split only if its children, at half its radius, hold so many points each on average.
 SPLIT = 8
 _NODE = np.dtype([("lo", "<i4"), ("hi", "<i4"), ("kids", "<i4"), ("n_kids", "<i4"), ("radius", "<f8")])
@@ -194,7 +195,7 @@ def _celled(rows: DataFrame, pivots, part_rows: int) -> DataFrame:
     dealt = written(rows.select("id", "x", F.size("x").alias("dim"), cell("x").alias("cell")))
     shares = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("shares"))
     share = F.pmod(F.xxhash64("id", "x"), F.col("shares"))
-    return dealt.join(shares, ["dim", "cell"]).select("id", "x", "dim", F.concat_ws(":", "dim", "cell", share).alias("part"))
+    return dealt.join(shares, ["dim", "cell"]).select("id", "x", "dim", "cell", F.concat_ws(":", "dim", "cell", share).alias("part"))
 
 
 def _indexed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -205,11 +206,11 @@ def _indexed(pdf: pd.DataFrame) -> pd.DataFrame:
     order, nodes, centres = cover_tree(x.astype(float))
     x = x[order]
     kind = "<i2" if np.abs(x).max(initial=0) < 2**15 else "<i8"
-    row = (pdf["part"].iloc[0], dim, len(x), float(nodes["radius"][0]), centres[0].astype("<f8").tobytes(), pdf["id"].to_numpy()[order].astype("<i8").tobytes(), kind, x.astype(kind).tobytes(), nodes.tobytes(), centres.astype("<f8").tobytes())
+    row = (pdf["part"].iloc[0], dim, int(pdf["cell"].iloc[0]), len(x), float(nodes["radius"][0]), centres[0].astype(float).tolist(), pdf["id"].to_numpy()[order].astype("<i8").tobytes(), kind, x.astype(kind).tobytes(), nodes.tobytes(), centres.astype("<f8").tobytes())
     return pd.DataFrame([row], columns=[c.split()[0] for c in _INDEX.split(", ")])
 
 
-_INDEX = "part string, dim int, n int, radius double, centre binary, ids binary, kind string, points binary, nodes binary, centres binary"
+_INDEX = "part string, dim int, cell int, n int, radius double, centre array<double>, ids binary, kind string, points binary, nodes binary, centres binary"
 
 
 def tree_index(rows: DataFrame, pivots, part_rows: int) -> DataFrame:
@@ -225,36 +226,58 @@ def _open(row) -> tuple:
     return x, ids, (nodes, np.frombuffer(row.centres, "<f8").reshape(len(nodes), dim))
 
 
-def root_bounds(asked: pd.DataFrame, data: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of roots of one length, blocks by shards: the scores of their centres, and what no score can exceed."""
-    a, b = (np.array([np.frombuffer(c, "<f8") for c in side["centre"]]).reshape(len(side), -1) for side in (asked, data))
-    r, s = asked["radius"].to_numpy()[:, None], data["radius"].to_numpy()[None, :]
-    dot = a @ b.T
-    ub = dot + r * np.sqrt((b**2).sum(axis=1))[None, :] + s * np.sqrt((a**2).sum(axis=1))[:, None] + r * s
-    return dot, ub + 1e-9 * np.abs(ub) + 1e-6
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
 
-def _objects(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Text columns as plain objects: an empty one of pandas' own text type doesn't go back to Spark."""
-    return pdf.astype({c: object for c in ("q_part", "part") if c in pdf})
+def _dot(a: str, b: str) -> Column:
+    return _total(F.zip_with(a, b, lambda x, y: x * y))
+
+
+def ball_bound(dot: Column) -> Column:
+    """What no score of a query in the ball (q_centre, q_radius) and a point in (centre, radius) can exceed."""
+    q, d = F.sqrt(_dot("q_centre", "q_centre")), F.sqrt(_dot("centre", "centre"))
+    rest = F.col("q_radius") * d + F.col("radius") * q + F.col("q_radius") * F.col("radius")
+    return dot + rest + F.lit(1e-9) * (F.abs(dot) + rest) + F.lit(1e-6)  # rounding never prunes
+
+
+def _balls(children: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Balls of groups of balls (by, name, centre, radius, most): around the first child's centre, over all children."""
+    first = children.groupBy(*by).agg(F.min_by("centre", name).alias("c"), F.max("most").alias("most"))
+    far = F.sqrt(_total(F.zip_with("centre", "c", lambda x, y: (x - y) * (x - y)))) + F.col("radius")
+    wide = children.drop("most").join(first, by).groupBy(*by).agg(F.max(far).alias("radius"))
+    return first.join(wide, by).withColumnRenamed("c", "centre")
 
 
-def _meetings(asked: DataFrame, data: DataFrame, choose, schema: str) -> DataFrame:
-    """choose(blocks, shards) over all roots, ROOTS at most of either side in a task. asked: part, dim, n, radius,
-    centre and further columns; data: part, dim, n, radius, centre."""
-    n_asked, n_data = (max(1, -(-x.count() // ROOTS)) for x in (asked, data))
+def root_tree(index: DataFrame) -> list[tuple[list[str], str, DataFrame]]:
+    """Three levels over the shards of tree_index(), from the top: columns shared with the level above, the level's own
+    key, its balls. A group has at most sqrt(PIVOTS) cells, and there are as many groups of a vector length."""
+    shards = index.select("part", "dim", "cell", F.col("n").alias("most"), "radius", "centre")
+    cells = written(_balls(shards, ["dim", "cell"], "part").withColumn("coarse", F.shiftright("cell", 16)))
+    groups = written(_balls(cells, ["dim", "coarse"], "cell"))
+    # All lengths' groups go to every task while they are few; with very many lengths they are shuffled by length.
+    return [(["dim"], "coarse", F.broadcast(groups) if groups.count() <= ROOTS else groups), (["dim", "coarse"], "cell", cells), (["dim", "cell"], "part", shards)]
 
-    def groups(part: Column, n: int) -> Column:
-        return F.pmod(F.xxhash64(part), F.lit(n))
 
-    left = asked.withColumn("i", groups(F.col("part"), n_asked)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_data - 1).cast("bigint"))))
-    right = data.withColumn("j", groups(F.col("part"), n_data)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_asked - 1).cast("bigint"))))
+def descend(asked: DataFrame, tree: list[tuple[list[str], str, DataFrame]], k: int | None = None) -> DataFrame:
+    """q_part, part: for each block of asked (part, dim, centre, radius) the shards whose balls, from the top of the tree
+    to the shard, can reach the block's score worst. With k instead one shard, by the ball at each level whose centre
+    fits best, among those over a shard with more than k rows if there are any."""
+    step = asked.select(F.col("part").alias("q_part"), "dim", F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"), *(["worst"] if k is None else []))
+    held = step.columns
+    for on, key, balls in tree:
+        met = step.join(balls, on)
+        dot = _dot("q_centre", "centre")
+        if k is None:
+            step = met.filter(ball_bound(dot) >= F.col("worst").cast("double")).select(*held, key)
+        else:
+            step = met.groupBy("q_part").agg(F.max_by(F.struct(*held[1:], key), F.struct(F.col("most") > k, dot, F.col(key))).alias("s")).select("q_part", "s.*")
+    return step.select("q_part", "part")
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [choose(x, b[b["dim"] == dim]) for dim, x in a.groupby("dim") if (b["dim"] == dim).any()]
-        return _objects(pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}))
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+def _objects(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as plain objects: an empty one of pandas' own text type doesn't go back to Spark."""
+    return pdf.astype({c: object for c in ("q_part", "part") if c in pdf})
 
 
 def _searched(pairs: DataFrame, asked: DataFrame, data: DataFrame, k: int) -> DataFrame:
@@ -292,17 +315,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     pivots = vectors.sparkSession.sparkContext.broadcast(pivot_cells(rows, -(-rows.count() // SHARD_ROWS)))
     data = written(tree_index(rows, pivots, SHARD_ROWS))
     asked = written(tree_index(quantised(queries, key, vector), pivots, QUERY_ROWS))
-    roots = data.select("part", "dim", "n", "radius", "centre")
-
-    # First the shard whose centre fits a block best, among those with enough rows if there are any.
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        dot, _ = root_bounds(a, b)
-        dot = np.where((b["n"] > k).to_numpy()[None, :], dot, dot - 2.0**62)
-        at = dot.argmax(axis=1)
-        return pd.DataFrame({"q_part": a["part"].to_numpy(), "part": b["part"].to_numpy()[at], "dot": dot[np.arange(len(a)), at]})
-
-    near = _meetings(asked.select("part", "dim", "n", "radius", "centre"), roots, nearest, "q_part string, part string, dot double")
-    first = written(near.groupBy("q_part").agg(F.max(F.struct("dot", "part"))["part"].alias("part")))
+    tree = root_tree(data)
+    first = written(descend(asked, tree, k))
     found = written(_searched(first, asked.withColumn("floors", F.lit(None).cast("binary")), data, k))
 
     # Then every other shard whose root can reach the worst kth score of a block.
@@ -322,12 +336,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     full = F.when(F.size("floors") == F.col("n"), F.col("least")).otherwise(F.lit(_LEAST))
     held = written(asked.join(floors, asked["part"] == floors["q_part"], "left").select(*asked.columns, F.coalesce(full, F.lit(_LEAST)).alias("worst"), packed("n", "floors").alias("floors")))
 
-    def reaching(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        _, ub = root_bounds(a, b)
-        i, j = np.nonzero(ub >= a["worst"].to_numpy()[:, None])
-        return pd.DataFrame({"q_part": a["part"].to_numpy()[i], "part": b["part"].to_numpy()[j]})
-
-    pairs = _meetings(held.select("part", "dim", "n", "radius", "centre", "worst"), roots, reaching, "q_part string, part string")
+    pairs = descend(held, tree)
     more = _searched(pairs.join(first, ["q_part", "part"], "left_anti"), held, data, k)
     place = F.row_number().over(Window.partitionBy("q_part", "at").orderBy(F.desc("score"), "vec_id"))
     return found.unionByName(more).withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -399,3 +399,45 @@ def test_shards_against_brute_force(spark, monkeypatch, kind):
             best = sorted((-sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i and len(w) == len(v))[:5]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_blocks_go_down_to_the_shards_they_can_reach(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 40), ("QUERY_ROWS", 8)):
+        monkeypatch.setattr(topk_search, name, value)
+    r = np.random.default_rng(4)
+    # Clusters along the axes: a query's best are in its own.
+    rows = [(i, (np.eye(8)[i % 8] * (1 if i % 16 < 8 else -1) * 10 + r.normal(0, 0.05, 8)).tolist()) for i in range(1600)] + [(5000 + i, [float(i), 1.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    points = topk_search.quantised(df)
+    pivots = spark.sparkContext.broadcast(topk_search.pivot_cells(points, 40))
+    data = topk_search.tree_index(points, pivots, 40).cache()
+    tree = topk_search.root_tree(data)
+    held = {tuple(b[c] for c in ("dim", "cell")): b for b in tree[1][2].collect()}
+    tops = {tuple(b[c] for c in ("dim", "coarse")): b for b in tree[0][2].collect()}
+    shards = data.collect()
+    assert len(shards) > len(held) > len(tops) > 2
+    for s in shards:
+        x = np.frombuffer(s["points"], s["kind"]).reshape(s["n"], s["dim"])
+        for ball in (held[s["dim"], s["cell"]], tops[s["dim"], s["cell"] >> 16]):
+            assert (np.sqrt(((x - np.array(ball["centre"])) ** 2).sum(axis=1)) <= ball["radius"] + 1e-6).all() and ball["most"] >= s["n"]
+    blocks = topk_search.tree_index(topk_search.quantised(df.filter("vec_id % 50 = 0")), pivots, 8).cache()
+    worst = {b["part"]: 6_000_000 if b["dim"] == 8 else -(2**63) for b in blocks.collect()}
+    asked = blocks.join(spark.createDataFrame(list(worst.items()), "part string, worst bigint"), "part")
+    got = [tuple(p) for p in topk_search.descend(asked, tree).select("q_part", "part").collect()]
+    reach = set()
+    for b in blocks.collect():
+        q = np.frombuffer(b["points"], b["kind"]).reshape(b["n"], b["dim"]).astype(np.int64)
+        for s in shards:
+            if s["dim"] == b["dim"] and (q @ np.frombuffer(s["points"], s["kind"]).reshape(s["n"], s["dim"]).astype(np.int64).T >= worst[b["part"]]).any():
+                reach.add((b["part"], s["part"]))
+    # Never a pair that the two roots alone rule out.
+    near = set()
+    for b in blocks.collect():
+        for s in shards:
+            if s["dim"] == b["dim"]:
+                c, d = np.array(b["centre"]), np.array(s["centre"])
+                if c @ d + b["radius"] * np.sqrt(d @ d) + s["radius"] * np.sqrt(c @ c) + b["radius"] * s["radius"] >= worst[b["part"]] - 0.1:
+                    near.add((b["part"], s["part"]))
+    assert reach <= set(got) <= near and len(got) == len(set(got)) < len(worst) * len(shards) / 2
+    seeds = topk_search.descend(blocks, tree, 5).collect()
+    assert sorted(s["q_part"] for s in seeds) == sorted(worst)
