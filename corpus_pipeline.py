@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text in any language (no letter, or null) go; a null lang becomes the prediction. Rows with
-    equal or null doc_ids are judged one by one, texts of any length whole; other columns don't go on."""
+    equal or null doc_ids are judged one by one, texts of any length whole; no rows give none; other columns don't go on."""
     importable(spark)
     found = language.identify(docs.select(*COLUMNS), docs)
     return found.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go from the texts, and with them documents of which nothing is left. Rows without a
-    doc_id, and texts of fewer lines, stay as they are."""
+    doc_id, and texts of fewer lines, stay as they are; texts of any length are read whole; no rows give none."""
     cleaned = line_dedup.line_dedup(docs.select(*COLUMNS))
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
     return cleaned.filter(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
@@ -35,7 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id stays, once; a document is a row's
     doc_id and text, so other texts under one doc_id stay. Documents without a doc_id stay, as nothing tells
-    them apart."""
+    them apart. Texts of any length are compared whole; no rows give none."""
     importable(spark)
     # Written, so that the numbers of the rows stay as they are.
     rows = written(docs.filter("doc_id is not null").select(*COLUMNS, F.monotonically_increasing_id().alias("k"), *(h.alias(f"h{i}") for i, h in enumerate(hash128(F.col("text"))))))
@@ -50,7 +50,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes its words, rounded: not at all, once, or up to three times. Rows are told apart
-    by a number of their own, so equal or null doc_ids don't matter. Rows without words go, as none are taken."""
+    by a number of their own, so equal or null doc_ids don't matter. Rows without words go, as none are taken; a text of any
+    length counts whole; no rows give none."""
     k = "__row"
     # Written, so that the numbers of the rows stay as they are.
     rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(k)))
