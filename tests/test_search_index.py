@@ -56,3 +56,23 @@ def test_a_term_reads_its_bucket_and_few_invoices(spark, sf_dir):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "In(invoice_no, [" in plan or "EqualTo(invoice_no," in plan
     assert found.count() == d.invoices.filter("invoice_id like 'INV-1-%'").count() > 0
+
+
+def test_blocks_find_what_postings_of_texts_find(index, spark):
+    texts, found, counts = index
+    stored = M.blocks(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", "k").persist()
+    named = M.block_postings(stored).persist()
+    assert {(r["run"], r["n"]) for r in M.block_frequencies(named).collect()} == {(r["run"], r["n"]) for r in counts.collect()}
+    for term in ("a", "É", "a1", "A1b", "abcabcabca", "zz", "%"):
+        want = sorted(r["k"] for r in M.matches(found, counts, term).collect())
+        assert sorted(r["k"] for r in M.matches(M.blocked(stored, named), M.block_frequencies(named), term).collect()) == want, term
+
+
+def test_an_index_is_smaller_than_its_rows(spark, sf_dir):
+    """Texts are stored once, not under every run, and a term of many matches joins no invoices."""
+    d = Domain(spark, sf_dir)
+    n = d.unified.count()
+    texts = d._index("ids", lambda: d.unified, "invoice_no", "supplier_gstin", "period")[0]
+    assert sum(spark.read.parquet(f).count() for f in texts.inputFiles()) < 2 * n
+    plan = M.found(d.invoices, d.id_index, d.name_index, "inv-")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and plan.count("SortMergeJoin") == plan.count("SortMergeJoin [supplier_gstin") and "LeftSemi" not in plan
