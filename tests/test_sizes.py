@@ -42,3 +42,26 @@ def test_documents_named_by_their_number_alone(spark, sf_dir):
     bills, irns = d.eway_bills.select("invoice_no"), d.einvoices.select("invoice_no", "status")
     got = reconcile.unified(d.gstr1, d.gstr2b, irns, bills).groupBy("has_einvoice", "has_eway_bill", "match_status").count().collect()
     assert sorted(got) == sorted(d.unified.groupBy("has_einvoice", "has_eway_bill", "match_status").count().collect())
+
+
+def test_vendor_ranks_are_those_of_the_whole_graph(spark):
+    """Invoices of one kind are one node; numbers that several vendors use, and invoices of no vendor or period, too."""
+    import pytest
+
+    from taxrecon.operators import graph
+
+    rows = [("a", "x", "p1", True, True), ("b", "x", "p1", True, True), ("c", "x", "p1", True, False), ("d", "y", "p2", False, True), ("d", "z", "p1", True, True), ("e", None, "p1", True, False), ("f", "y", "", True, True), ("g", "z", "p2", True, True), ("h", "z", "p2", True, True)]
+    invoices = spark.createDataFrame(rows, "invoice_id string, vendor_id string, period string, in_gstr1 boolean, in_gstr2b boolean")
+    vendors = spark.createDataFrame([("x",), ("y",), ("z",), ("idle",)], "vendor_id string")
+    edges = graph.edges(invoices.selectExpr("*", "false as has_einvoice", "false as has_eway_bill"))
+    ids = edges.selectExpr("explode(array(source, target)) id").union(vendors.selectExpr("concat('v-', vendor_id)")).union(invoices.selectExpr("explode(array(concat('i-', invoice_id), concat('g-GSTR-1-', period), concat('g-GSTR-2B-', period)))").filter("col not like 'g-%-'"))
+    want = {r["id"]: r["rank"] for r in graph.pagerank(ids, edges).collect()}
+    got = {r["vendor_id"]: r["rank"] for r in graph.vendor_ranks(vendors, invoices).collect()}
+    assert set(got) == {"x", "y", "z", "idle"} and all(v == pytest.approx(want["v-" + k], abs=1e-12) for k, v in got.items())
+
+
+def test_forest_rows_are_made_once(spark, sf_dir):
+    from taxrecon.plans import queries
+
+    first = queries._rows(Domain(spark, sf_dir))
+    assert queries._rows(Domain(spark, sf_dir)) is first
