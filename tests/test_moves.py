@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from taxrecon.operators import changes, reconcile
+from taxrecon.operators import changes, clusters, reconcile
 from taxrecon.plans.domain import Domain
+from taxrecon.sources.storage import written
 
 
 def _plan(df):
@@ -23,3 +24,15 @@ def test_named_invoices_leave_the_base_once(spark, sf_dir):
     for name in changes.FIGURES:
         assert changes.figures(changes.signed(*near, batch, near=True), name).exceptAll(changes.figures(changes.signed(*tables, batch), name)).isEmpty()
     assert not any("hashpartitioning" in _plan(t) for t in near)
+
+
+def test_memberships_stay_with_their_groups(spark):
+    """In a round of the clusters the (vendor, group) rows don't move, and what they say moves once."""
+    rows = [(f"v{i % 40:02}", f"{i % 7}", f"p{i % 3}") for i in range(500)]
+    invoices = spark.createDataFrame(rows, "vendor_id string, hsn string, period string")
+    member = clusters.memberships(invoices).persist()
+    assert member.count() == len(set(rows))
+    labels = written(member.select("vendor_id", F.col("vendor_id").alias("label")).distinct())
+    plan = _plan(clusters._heard(labels, member)).split("InMemoryRelation")[0]
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("Window") >= 2
+    member.unpersist()
