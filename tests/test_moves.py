@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from taxrecon.operators import changes, clusters, reconcile
 from taxrecon.plans.domain import Domain
+from taxrecon.sources import large_json
 from taxrecon.sources.storage import written
 
 
@@ -36,3 +37,21 @@ def test_memberships_stay_with_their_groups(spark):
     plan = _plan(clusters._heard(labels, member)).split("InMemoryRelation")[0]
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("Window") >= 2
     member.unpersist()
+
+
+def test_texts_of_ranges_do_not_move(spark, tmp_path):
+    """Pieces of documents are numbered where they are read."""
+    (tmp_path / "a.json").write_text('{"b2b": [{"ctin": "S", "inv": [{"inum": "1"}, {"inum": "2"}]}]}')
+    plans, keep = [], large_json.written
+
+    def spy(df, *args, **kw):
+        plans.append((df.columns, _plan(df)))
+        return keep(df, *args, **kw)
+
+    large_json.written = spy
+    try:
+        assert large_json.gstr1(spark, str(tmp_path), "2025-07").count() == 2
+    finally:
+        large_json.written = keep
+    texts = [plan for columns, plan in plans if "body" in columns or "value" in columns]
+    assert texts and all("hashpartitioning" not in plan and "Sort" not in plan for plan in texts)
