@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxrecon.operators import changes, clusters, reconcile
+from taxrecon.operators import changes, clusters, graph, reconcile
 from taxrecon.plans.domain import Domain
 from taxrecon.sources import large_json
 from taxrecon.sources.storage import written
@@ -55,3 +55,11 @@ def test_texts_of_ranges_do_not_move(spark, tmp_path):
         large_json.written = keep
     texts = [plan for columns, plan in plans if "body" in columns or "value" in columns]
     assert texts and all("hashpartitioning" not in plan and "Sort" not in plan for plan in texts)
+
+
+def test_edges_are_counted_at_the_front_alone(spark, monkeypatch):
+    """A search for paths counts no edges of nodes that it doesn't reach."""
+    edges = spark.createDataFrame([("a", "h"), *((f"x{i}", "h") for i in range(5)), ("a", "b"), ("b", "c"), ("c", "c")], "source string, target string")
+    monkeypatch.setattr(graph, "degrees", None)
+    found = {r["id"]: r["path"] for r in graph.hops(edges, spark.createDataFrame([("a",)], "id string"), 3, hub=5).collect()}
+    assert found == {"a": "a", "h": "a>h", "b": "a>b", "c": "a>b>c"}
