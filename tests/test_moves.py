@@ -63,3 +63,15 @@ def test_edges_are_counted_at_the_front_alone(spark, monkeypatch):
     monkeypatch.setattr(graph, "degrees", None)
     found = {r["id"]: r["path"] for r in graph.hops(edges, spark.createDataFrame([("a",)], "id string"), 3, hub=5).collect()}
     assert found == {"a": "a", "h": "a>h", "b": "a>b", "c": "a>b>c"}
+
+
+def test_invoices_take_the_rank_of_their_class(spark):
+    """Ranks by classes of invoices are those of the whole graph; numbers of several vendors, of none, and without period."""
+    rows = [("a", "x", "p1", True, True), ("b", "x", "p1", True, True), ("c", "x", "p1", True, False), ("d", "y", "p2", False, True), ("d", "z", "p1", True, True), ("e", None, "p1", True, False), ("f", "y", "", True, True), ("g", "z", "p2", True, True), ("d", "y", "p1", True, True)]
+    invoices = spark.createDataFrame(rows, "invoice_id string, vendor_id string, period string, in_gstr1 boolean, in_gstr2b boolean")
+    vendors = spark.createDataFrame([("x",), ("y",), ("z",), ("idle",)], "vendor_id string")
+    edges = graph.edges(invoices.selectExpr("*", "false as has_einvoice", "false as has_eway_bill"))
+    ids = edges.selectExpr("explode(array(source, target)) id").union(vendors.selectExpr("concat('v-', vendor_id)")).union(invoices.selectExpr("explode(array(concat('i-', invoice_id), concat('g-GSTR-1-', period), concat('g-GSTR-2B-', period)))").filter("col not like 'g-%-'"))
+    want = {r["id"]: r["rank"] for r in graph.pagerank(ids, edges).collect()}
+    got = graph.invoice_ranks(vendors, invoices).collect()
+    assert len(got) == len(want) and all(abs(r["rank"] - want[r["id"]]) < 1e-12 for r in got)
