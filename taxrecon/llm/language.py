@@ -29,9 +29,9 @@ from .tokens import balanced
 #: language, and so many languages, those with the most documents.
 TRAIN_DOCS, TRAIN_CHARS, MAX_LABELS = 300, 40_000, 256
 #: Parameters of the parse: characters of text handled together, places of a text parsed as one lane (longer texts
-#: take several, which are put together exactly), frequent letters with a column in the tables, and moves from which
-#: on a state has a row there.
-BATCH_CHARS, LANE, FREQUENT, BRANCHES = 1 << 20, 1024, 63, 3
+#: take several, which are put together exactly), frequent letters with a column in the tables, moves from which
+#: on a state has a row there, and languages whose parses are put together at once.
+BATCH_CHARS, LANE, FREQUENT, BRANCHES, TOGETHER = 1 << 20, 1024, 63, 3, 8
 
 
 def automaton(text: str) -> list[dict[str, int]]:
@@ -73,6 +73,46 @@ def phrases(text: str, moves: list[dict[str, int]]) -> int:
     return n + 1 if text else n
 
 
+def interleaved(state: np.ndarray, letter: np.ndarray, to: np.ndarray, n_states: int, base: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Moves (state, letter, to), sorted by state, as an array of cells, which will begin at base: a state becomes the place
+    of its row, no two states have the same, and the move by a letter is in the cell so many behind it; rows lie in each
+    other's gaps. A cell has the place of its own row above that of the next state's, 32 bits each; it is -1 where there is
+    no move. Also the places by state. letters are below width."""
+    degree = np.bincount(state, minlength=n_states)
+    first = np.cumsum(degree) - degree
+    place, own, taken, r = np.zeros(n_states, np.int64), np.full(width, -1, np.int64), np.zeros(0, bool), np.random.default_rng(0)
+    room = laid = 0
+    # Long rows first, while most cells are free. Rows go to random places, and again where one meets another.
+    for low, high, spare in ((16, width, 8), (8, 15, 6), (4, 7, 4), (2, 3, 3), (1, 1, 2), (0, 0, 2)):
+        left = np.flatnonzero((degree >= low) & (degree <= high))
+        laid += int(degree[left].sum()) or len(left)
+        room, tries = max(room, spare * laid + 64), 0
+        while len(left):
+            room, tries = room + (room // 2 if tries and tries % 32 == 0 else 0), tries + 1
+            if room > len(taken):
+                own = np.append(own, np.full(room - len(taken), -1))
+                taken = np.append(taken, np.zeros(room - len(taken), bool))
+            at, size = r.integers(0, room, len(left)), degree[left]
+            row = np.repeat(np.arange(len(left)), size)
+            moves = first[left][row] + np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            cells = at[row] + letter[moves]
+            lost = taken[at]
+            # Of the rows that meet in this try, the one that is written last stays.
+            by = np.empty(room + width, np.int64)
+            by[at] = np.arange(len(left))
+            lost |= by[at] != np.arange(len(left))
+            by[cells] = row
+            lost[row[(own[cells] >= 0) | (by[cells] != row)]] = True
+            won = ~lost[row]
+            own[cells[won]] = moves[won]
+            place[left[~lost]], taken[at[~lost]] = at[~lost], True
+            left = left[lost]
+    place += base
+    filled = np.flatnonzero(own >= 0)
+    own[filled] = place[state[own[filled]]] << 32 | place[to[own[filled]]]
+    return own, place
+
+
 def training_text(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS, max_labels: int = MAX_LABELS) -> dict[str, str]:
     """Lower-case text of a bounded sample per non-null lang. The sample goes by a hash of the row, with a
     rate from the language's count, and each document gives a piece whose place goes by another; it reaches
@@ -119,7 +159,9 @@ def plain(text: str) -> str:
 
 class Parser:
     """Phrase counts of texts under all languages. The automata share arrays with moves by state: rows of frequent
-    letters for states that branch, one move beside each state, and the other moves sorted by state and letter."""
+    letters for states that branch, one move beside each state, and the other moves sorted by state and letter; a
+    parse that goes on from one place alone follows these. Lanes, which are parsed in step, follow the same moves as
+    interleaved rows, where a move is one look."""
 
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
@@ -140,10 +182,19 @@ class Parser:
         self.roots, row, c1, t1, more = [], [0], [-1], [0], [False]
         rows, keys, values = [np.zeros(self.frequent + 1, np.int32)], [], []
         self.starts = np.zeros((len(texts), self.width), np.int32)
+        cells, firsts = [np.zeros(0, np.int64)], []
         for k, text in enumerate(texts):
             base = len(row)
             self.roots.append(base)
-            for state, moves in enumerate(automaton(text)):
+            states = automaton(text)
+            state = np.repeat(np.arange(len(states)), [len(x) for x in states])
+            letter = np.fromiter((at[c] for x in states for c in x), np.int64, len(state))
+            to = np.fromiter((t for x in states for t in x.values()), np.int64, len(state))
+            laid, place = interleaved(state, letter, to, len(states), sum(map(len, cells)), self.width)
+            cells.append(laid), firsts.append(np.full(self.width, place[0]))
+            for c, to in states[0].items():
+                firsts[k][at[c]] = place[to]
+            for state, moves in enumerate(states):
                 here = [(at[c], base + to) for c, to in moves.items()]
                 if state == 0:
                     for c, to in here:
@@ -167,20 +218,10 @@ class Parser:
         order = np.argsort(self.keys)
         self.keys, self.values = np.append(self.keys[order], np.iinfo(np.int64).max), np.append(self.values[order], 0).astype(np.int32)
         self.roots = np.array(self.roots, np.int32)
-
-    def _move(self, state: np.ndarray, col: np.ndarray) -> np.ndarray:
-        """Next states, 0 where there is none."""
-        to = self.rows[self.row[state], np.minimum(col, self.frequent)]
-        miss = np.flatnonzero(to == 0)
-        s, c = state[miss], col[miss]
-        hit = self.c1[s] == c
-        to[miss[hit]] = self.t1[s[hit]]
-        rest = np.flatnonzero(self.more[s] & ~hit)
-        if len(rest):
-            key = s[rest].astype(np.int64) * self.width + c[rest]
-            i = np.searchsorted(self.keys, key)
-            to[miss[rest]] = np.where(self.keys[i] == key, self.values[i], 0)
-        return to
+        #: All moves as interleaved rows, and by language and column the row where a phrase starts.
+        self.cells, self.firsts = np.concatenate(cells), np.reshape(firsts, (-1, self.width))
+        self.lacking = self.starts == 0
+        self.lacked = self.lacking.any(0)
 
     def columns(self, text: str) -> tuple[np.ndarray, bool]:
         """The text as columns, in lower case, with one space for each run of what is no letter, before the first
@@ -195,36 +236,45 @@ class Parser:
         keep[1:] |= ~blank[:-1]
         return cols[keep], bool((_kinds()[points] == 2).any())
 
-    def _lanes(self, texts: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """Of texts parsed apart, by language and text: how often a phrase ends and another starts, and the
-        characters lacking; and of the texts wanted the places of these ends as (step, language * texts + text)."""
-        size = np.array([len(t) for t in texts])
-        order = np.argsort(-size, kind="stable")
-        cols, size = np.concatenate([texts[i] for i in order.tolist()]), size[order]
-        start, n_langs = np.cumsum(size) - size, len(self.langs)
-        alive = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist()
-        ends, lacks = np.zeros((n_langs, len(texts)), np.int64), np.zeros((n_langs, len(texts)), np.int64)
-        state, seen = np.zeros((n_langs, len(texts)), np.int32), []
-        for step, m in enumerate(alive):
-            c = cols[start[:m] + step]
-            first = self.starts[:, c]
-            if step:
-                to = self._move(np.ascontiguousarray(state[:, :m]).ravel(), np.tile(c, n_langs)).reshape(n_langs, m)
-                k, i = np.nonzero(to == 0)
-                ends[k, i] += 1
-                to[k, i] = first[k, i]
-                if wanted.any():
-                    which = wanted[order[i]]
-                    seen.append((step, k[which] * len(texts) + order[i[which]]))
-            else:
-                to = first
-            k, i = np.nonzero(to == 0)
-            lacks[k, i] += 1
-            to[k, i] = self.roots[k]
-            state = to
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return ends[:, back], lacks[:, back], seen
+    def _lanes(self, some: range, cols: np.ndarray, alive: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of lanes parsed apart under some languages: where phrases start (language x place), and, for the first of the lanes,
+        which have one after them: the phrases that start in the lane after when the parse goes on there, until it starts one
+        where that lane's own parse does, less its own until there; and whether it does, or the text ends. A phrase depends on
+        where it starts alone, so from there on both parses are the same. cols: columns by step and then lane, the longest lanes
+        first; alive: lanes by step; after: the lane after each."""
+        cells, low, joints, begin = self.cells, (1 << 32) - 1, len(after), np.cumsum(alive) - alive
+        starts, ends = np.zeros((len(some), len(cols)), bool), []
+        starts[:, : alive[0]] = True
+        at, first = np.empty((2, alive[0]), np.int64)
+        for j, k in enumerate(some):
+            firsts, state = self.firsts[k], self.firsts[k].take(cols[: alive[0]])
+            for x, m in zip(begin[1:].tolist(), alive[1:].tolist(), strict=True):
+                c, s, i, new = cols[x : x + m], state[:m], at[:m], starts[j, x : x + m]
+                np.add(s, c, out=i)
+                cell = cells.take(i)
+                np.right_shift(cell, 32, out=i)
+                np.not_equal(i, s, out=new)
+                np.bitwise_and(cell, low, out=s)
+                np.putmask(s, new, firsts.take(c, out=first[:m], mode="clip"))
+            ends.append(state[:joints])
+        more, met = np.zeros(len(some) * joints, np.int64), np.tile(after >= joints, len(some))
+        left, s, there = np.arange(len(more)), np.concatenate(ends), np.tile(after, len(some))
+        for x, m in zip(begin.tolist(), alive.tolist(), strict=True):
+            here = there < m
+            if not here.all():
+                left, s, there = left[here], s[here], there[here]
+            if not len(left):
+                break
+            j, c = left // joints, cols[x + there]
+            own, cell = starts[j, x + there], cells[s + c]
+            new = cell >> 32 != s
+            more[left] += new.astype(np.int64) - own
+            s = np.where(new, self.firsts[some[0] + j, c], cell & low)
+            on = ~(new & own)
+            if not on.all():
+                met[left[~on]] = True
+                left, s, there = left[on], s[on], there[on]
+        return starts, more.reshape(len(some), joints), met.reshape(len(some), joints)
 
     def _phrase_end(self, cols: np.ndarray, at: int, k: int) -> int:
         """Where the phrase that starts at a place of a text ends."""
@@ -265,29 +315,36 @@ class Parser:
         for a, b in balanced([len(t) for t in texts], BATCH_CHARS):
             read = [self.columns(t) for t in texts[a:b]]
             spoken[a:b] = [x for _, x in read]
-            lanes, owner = [], []
-            for i, (cols, _) in enumerate(read):
-                for p in range(0, len(cols), LANE):
-                    lanes.append(cols[p : p + LANE]), owner.append(i)
-            owner = np.array(owner)
-            several = np.bincount(owner, minlength=b - a) > 1
-            single = ~several[owner]
-            ends, lacking, seen = self._lanes(lanes, ~single)
-            np.add.at(lacks, a + owner, lacking.T)
-            total[a + owner[single]] = ends.T[single] + 1
-            if several.any():
-                steps = np.repeat([s for s, _ in seen], [len(x) for _, x in seen])
-                lane = np.concatenate([x for _, x in seen])
-                by = np.lexsort((steps, lane))
-                lane, steps = lane[by], steps[by]
-                for i in np.flatnonzero(several).tolist():
-                    of = np.flatnonzero(owner == i)
-                    for k in range(len(self.langs)):
-                        cut = np.searchsorted(lane, [k * len(lanes) + of[0], k * len(lanes) + of[-1] + 1])
-                        part, at = lane[cut[0] : cut[1]] - (k * len(lanes) + of[0]), steps[cut[0] : cut[1]]
-                        edge = np.searchsorted(part, np.arange(len(of) + 1))
-                        own = [at[edge[j] : edge[j + 1]] + j * LANE for j in range(len(of))]
-                        total[a + i, k] = self._joined(read[i][0], own, k) + 1
+            size = np.array([len(cols) for cols, _ in read])
+            cols, begin = np.concatenate([cols for cols, _ in read]), np.cumsum(size) - size
+            rare = np.flatnonzero(self.lacked[cols])
+            text = np.searchsorted(begin, rare, side="right") - 1
+            for k in range(len(self.langs)):
+                lacks[a:b, k] = np.bincount(text[self.lacking[k, cols[rare]]], minlength=b - a)
+            # Lanes by length, so that those still to be parsed come first; of the full ones those with a lane after them.
+            n = -(-size // LANE)
+            owner = np.repeat(np.arange(b - a), n)
+            rest = size[owner] - (np.arange(len(owner)) - (np.cumsum(n) - n)[owner]) * LANE
+            order = np.lexsort((rest <= LANE, -np.minimum(rest, LANE)))
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            alive = np.searchsorted(-np.minimum(rest, LANE)[order], -np.arange(1, min(int(rest.max()), LANE) + 1), side="right")
+            step = np.arange(len(cols)) - np.repeat(begin, size)
+            place = (np.cumsum(alive) - alive)[step % LANE] + rank[np.repeat(np.cumsum(n) - n, size) + step // LANE]
+            turned = np.empty(len(cols), np.int64)
+            turned[place] = cols
+            joined = order[: int((rest > LANE).sum())]
+            after, whose = rank[joined + 1], owner[joined]
+            for some in (range(k, min(k + TOGETHER, len(self.langs))) for k in range(0, len(self.langs), TOGETHER)):
+                starts, more, met = self._lanes(some, turned, alive, after)
+                for j, k in enumerate(some):
+                    own = starts[j].take(place)
+                    total[a:b, k] = np.add.reduceat(own, begin, dtype=np.int64) + np.bincount(whose, more[j], b - a).astype(np.int64)
+                    # Where a lane's parse doesn't meet the next one's, one phrase follows another.
+                    for i in np.unique(whose[~met[j]]).tolist():
+                        text = np.flatnonzero(own[begin[i] : begin[i] + size[i]])
+                        text = text[text % LANE > 0]
+                        total[a + i, k] = self._joined(read[i][0], np.split(text, np.searchsorted(text, np.arange(1, n[i]) * LANE)), k) + 1
         return total, lacks, spoken
 
     def totals(self, texts: list[str]) -> np.ndarray:
@@ -301,15 +358,9 @@ class Parser:
             return [("und", 0.0)] * len(texts)
         total, lacks, spoken = self.counts([t or "" for t in texts])
         bits = total * self.cost + lacks * self.alphabet
-        out = []
-        for fit, row in zip(spoken.tolist(), bits, strict=True):
-            if not fit:
-                out.append(("und", 0.0))
-                continue
-            best = int(row.argmin())
-            rest = np.delete(row, best)
-            out.append((self.langs[best], float(1 - row[best] / rest.min()) if len(rest) else 0.5))
-        return out
+        best = bits.argmin(1)
+        lead = 1 - bits[np.arange(len(texts)), best] / np.partition(bits, 1, 1)[:, 1] if len(self.langs) > 1 else np.full(len(texts), 0.5)
+        return [(self.langs[k], x) if fit else ("und", 0.0) for fit, k, x in zip(spoken.tolist(), best.tolist(), lead.tolist(), strict=True)]
 
 
 _parsers: dict[int, Parser] = {}

@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -66,6 +67,45 @@ def test_scripts_beyond_the_basic_plane_and_memory():
     assert [x for x, _ in found] == ["got", "en", "z3"]
 
 
+def test_interleaved_rows_hold_the_moves_and_no_others():
+    r = random.Random(3)
+    for letters, n in (("ab", 50), ("abcdefghij ", 3000), ("".join(map(chr, range(0x4E00, 0x5400))), 5000)):
+        moves = language.automaton("".join(r.choices(letters, k=n)))
+        at = {c: i for i, c in enumerate(letters)}
+        triples = np.array([(s, at[c], t) for s, x in enumerate(moves) for c, t in x.items()])
+        cells, place = language.interleaved(*triples.T, len(moves), 1000, len(letters) + 1)
+        assert len(set(place.tolist())) == len(moves) and place.min() >= 1000
+        found = cells[place[:, None] - 1000 + np.arange(len(letters) + 1)]
+        state, letter = np.nonzero(found >> 32 == place[:, None])
+        assert len(cells) < 10 * len(triples) + len(letters) + 100
+        assert sorted(zip(state.tolist(), letter.tolist(), (found[state, letter] & (1 << 32) - 1).tolist(), strict=True)) == sorted((s, c, int(place[t])) for s, c, t in triples.tolist())
+
+
+def test_ordinary_long_texts_are_parsed_in_step(monkeypatch):
+    """Only where a lane's parse never meets the next one's, as in a text that repeats one letter, is a text followed
+    place by place."""
+    r, one_by_one, joined = random.Random(4), [], language.Parser._joined
+    monkeypatch.setattr(language.Parser, "_joined", lambda self, cols, own, k: one_by_one.append(len(cols)) or joined(self, cols, own, k))
+    words = {k: ["".join(r.choices(x, k=r.randint(1, 6))) for _ in range(500)] for k, x in {"a": "abcdefgh", "b": "abcdxyz"}.items()}
+    training = {k: language.plain(" ".join(r.choices(w, k=2000)) + " " + "q" * 7) for k, w in words.items()}
+    moves = {k: language.automaton(t) for k, t in training.items()}
+    p = language.Parser(training)
+    texts = [" ".join(r.choices(words[r.choice("ab")], k=n)) for n in (5, 300, 5000, 20_000) for _ in range(5)]
+    for some, expected in ((texts, []), (["q" * 5000, *texts[:3]], [5002, 5002])):
+        assert p.totals(some).tolist() == [[language.phrases(language.plain(t), moves[k]) for k in p.langs] for t in some]
+        assert one_by_one == expected
+
+
+def test_a_long_text_among_many_short_ones_takes_no_more_room():
+    p = language.Parser({"en": " the cat sat ", "fr": " le chat "})
+    texts = ["the cat " * 1000, *["cat"] * 100_000]
+    tracemalloc.start()
+    total = p.totals(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and len({tuple(x) for x in total[1:].tolist()}) == 1
+
+
 def test_query_equals_a_plain_parse(spark, sf_dir):
     """The registered query against automata walked one text and one language at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
