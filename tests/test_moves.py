@@ -75,3 +75,38 @@ def test_invoices_take_the_rank_of_their_class(spark):
     want = {r["id"]: r["rank"] for r in graph.pagerank(ids, edges).collect()}
     got = graph.invoice_ranks(vendors, invoices).collect()
     assert len(got) == len(want) and all(abs(r["rank"] - want[r["id"]]) < 1e-12 for r in got)
+
+
+def test_clusters_move_what_those_that_move_hear(spark, monkeypatch):
+    """Vendors are numbers while clusters are found, and of a round only what the moving half of them hears is summed."""
+    rows = [(f"v{i % 40:02}", f"{i % 7}", f"p{i % 3}") for i in range(500)] + [("alone", "x", None)]
+    invoices = spark.createDataFrame(rows, "vendor_id string, hsn string, period string")
+    plain = clusters.propagated(clusters.memberships(invoices), invoices.select("vendor_id").distinct())
+    heard, keep = [], clusters._summed
+
+    def spy(df):
+        heard.append((df.schema["label"].dataType.simpleString(), {r["vendor_id"] for r in df.collect()}))
+        return keep(df)
+
+    monkeypatch.setattr(clusters, "_summed", spy)
+    found = {tuple(r) for r in clusters.clusters(invoices).collect()}
+    assert found == {tuple(r) for r in plain.collect()} and len(found) == 41 and ("alone", "alone") in found
+    assert len(heard) == clusters.ROUNDS and {kind for kind, _ in heard} == {"int"}
+    assert not heard[0][1] & heard[1][1] and len(heard[0][1] | heard[1][1]) == 40
+
+
+def test_scores_that_need_more_than_64_bits(spark):
+    """Weights whose products are too large for a long give the same clusters."""
+    from pyspark.sql import functions as F
+
+    rows = [(v, g, 7 * g) for g, vs in enumerate(("ab", "abc", "cd", "de", "def", "fa")) for v in vs]
+    member = spark.createDataFrame(rows, "vendor_id string, g bigint, g2 bigint").withColumn("w", F.lit(3).cast("bigint"))
+    vendors = member.select("vendor_id").distinct()
+    want = sorted(clusters.propagated(member, vendors).collect())
+    assert sorted(clusters.propagated(member.withColumn("w", F.col("w") * 2**40), vendors).collect()) == want
+
+
+def test_the_vendors_are_sent_to_the_invoices(spark, sf_dir):
+    """Their size is known before anything moves."""
+    plan = _plan(Domain(spark, sf_dir).invoices.select("vendor_id", "hsn")).split("== Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
