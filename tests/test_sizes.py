@@ -1,5 +1,7 @@
 """What moves and is stored while the tables are made, from plans and counts."""
 
+import pytest
+
 from taxrecon.operators import reconcile
 from taxrecon.plans import domain
 from taxrecon.plans.domain import Domain
@@ -65,3 +67,21 @@ def test_forest_rows_are_made_once(spark, sf_dir):
 
     first = queries._rows(Domain(spark, sf_dir))
     assert queries._rows(Domain(spark, sf_dir)) is first
+
+
+def test_forests_are_trained_by_many_tasks(spark, monkeypatch):
+    """Rows that are stored as one file are spread, the same way however they are stored."""
+    from pyspark.sql import functions as F
+
+    from taxrecon.operators import model
+
+    monkeypatch.setattr(model, "ROWS", 50)
+    n = F.col("id")
+    rows = spark.range(400).select(F.concat(F.lit("V"), n.cast("string")).alias("vendor_id"), *((n * (k + 7) % 61).cast("double").alias(c) for k, c in enumerate(model.FEATURES)), (n % 3 == 0).cast("double").alias("label"))
+    seen, keep = [], model.spread
+    monkeypatch.setattr(model, "spread", lambda df: seen.append(keep(df)) or seen[-1])
+    stored = [rows.coalesce(1), rows.repartition(3)]
+    found = [{r["feature"]: r["importance"] for r in model.importances(model.train(df, trees=5), spark).collect()} for df in stored]
+    assert all(found[0][c] == pytest.approx(found[1][c], abs=1e-9) for c in model.FEATURES)
+    assert [df.rdd.getNumPartitions() for df in seen] == [8, 8] and seen[0].exceptAll(seen[1]).isEmpty()
+    assert model.cross_validated(stored[0], folds=2, trees=2) > 0 and seen[-1].rdd.getNumPartitions() == 8
