@@ -99,3 +99,47 @@ def test_metrics_are_those_of_a_full_pass(spark, world):
     frames, first, _, _, papers = world
     unified = reconcile.unified(*frames(first), *papers)
     assert rows(changes.metrics(changes.figures(unified, "vendor_month"))) == rows(vendors.compliance(unified))
+
+
+def test_bitmaps_let_all_named_rows_through(spark):
+    """What is named stays, and little else; more values than bits let more through and lose none."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("digest"), "id")
+    named = rows.filter("id % 20 = 3").select("digest")
+    kept = changes.likely(rows, named, "digest")
+    assert kept.columns == rows.columns and named.exceptAll(kept.select("digest")).isEmpty()
+    assert 3_000 <= kept.count() < 9_000
+    most, changes.MOST = changes.MOST, 1 << 10
+    try:
+        assert named.exceptAll(changes.likely(rows, named, "digest").select("digest")).isEmpty()
+    finally:
+        changes.MOST = most
+    assert changes.likely(rows, named.limit(0), "digest").isEmpty()
+
+
+def test_a_batch_moves_once(spark, sf_dir):
+    """Near tables and the changes lie by digest; neither joins nor what changes are laid over moves them again."""
+    from taxrecon.plans.domain import Domain
+
+    d, names = Domain(spark, sf_dir), {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    base = d.base.filter("ok % 10 = 1").withColumn("supplier_gstin", d.base["gstin"]).withColumn("itc_available", d.base["hsn"])
+    before, new = changes.change(base, "gstr1", "delete", 1), changes.change(base.filter("sk % 2 = 0"), "gstr1", "upsert", 2).unionByName(changes.change(base, "gstr2b", "delete", 2))
+    near, held, was = d.near(changes.named_by(new)), [], {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        rows = changes.signed(*near, new, before, near=True, held=held)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        plain = changes.signed(d.gstr1, d.gstr2b, d.einvoices, d.eway_bills, new, before)
+        for name in changes.FIGURES:
+            got, want = changes.figures(rows, name), changes.figures(plain, name)
+            assert want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    finally:
+        for n, v in was.items():
+            spark.conf.set(n, v)
+    other = plain._jdf.queryExecution().executedPlan().toString()
+    moves = [sum("Exchange" in line and "ENSURE_REQUIREMENTS" in line for line in text.split("\n")) for text in (plan, other)]
+    assert len(held) == 2 and moves[0] * 3 < moves[1], moves
+    for df in held:
+        df.unpersist()
