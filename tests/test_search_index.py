@@ -76,3 +76,15 @@ def test_an_index_is_smaller_than_its_rows(spark, sf_dir):
     assert sum(spark.read.parquet(f).count() for f in texts.inputFiles()) < 2 * n
     plan = M.found(d.invoices, d.id_index, d.name_index, "inv-")._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" in plan and plan.count("SortMergeJoin") == plan.count("SortMergeJoin [supplier_gstin") and "LeftSemi" not in plan
+
+
+def test_runs_of_blocks_are_those_of_texts(spark):
+    """Counts by block, taken a place at a time, are those of the texts' distinct runs."""
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([(t, n % 2, n % 3) for n, t in enumerate(["aaaa", "ab", "a", "INV-11-1", "é日本é日本", "İİ", "  ", "Ab ab aB", "😀x😀x😀", "abcabcabc"])], "text string, part int, block int")
+    plain = texts.select("part", "block", F.explode(M.runs(F.col("text"))).alias("run")).groupBy("part", "block", "run").agg(F.count("*").alias("n"))
+    found = M.block_postings(texts)
+    assert sorted(map(tuple, found.drop("bucket").select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct" not in plan and "lambda" not in plan
